@@ -105,7 +105,8 @@ def first_rows_as_queries(chunks: DataFrame, filing_col: str, chunk_col: str,
                           emb_col: str = "embedding", n: int = 5) -> DataFrame:
     """Per-filing query set from the filing's own first ``n`` chunks
     ``(filing, query_no, qv)`` -- e.g. cover-page passages as queries."""
+    # filter on the raw row_number so Catalyst plans a partial WindowGroupLimit
     w = Window.partitionBy(filing_col).orderBy(chunk_col)
-    return (chunks.withColumn("query_no", F.row_number().over(w) - 1)
-            .where(F.col("query_no") < n)
-            .select(filing_col, "query_no", F.col(emb_col).alias("qv")))
+    return (chunks.withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") <= n)
+            .select(filing_col, (F.col("_rn") - 1).alias("query_no"), F.col(emb_col).alias("qv")))
