@@ -46,5 +46,5 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     # Importing the modules fills REGISTRY.
     from filingflow.plans import (  # noqa: F401
-        queries_index, queries_merge, queries_model, queries_retrieval, queries_text,
+        queries_index, queries_merge, queries_model, queries_retrieval, queries_stream, queries_text,
     )
