@@ -35,6 +35,7 @@ def pending_questions(questions: DataFrame, filings: DataFrame, status_log: Data
     if only_ids is not None:
         q = q.join(only_ids.select(*RESULT_KEY), RESULT_KEY, "left_semi")
     f = filings.select("filing_id", "company_name", keys.long_date("filing_date").alias("meeting_date_text"))
+    # PRJ-4: the model contract calls the question text proxy_question
     return q.join(f, "filing_id").withColumnRenamed("question_text", "proxy_question")
 
 

@@ -8,7 +8,7 @@ All jobs of a micro-batch run as one plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingflow.functions import forms, keys, text
@@ -53,8 +53,9 @@ def filing_documents(cands: DataFrame, documents: DataFrame) -> tuple[DataFrame,
 def extract_tallies(docs: DataFrame, fn: model.ModelFn, ticker_col: str = "ticker",
                     max_concurrency: int | None = None) -> tuple[DataFrame, DataFrame]:
     """UD-1 + UD-7 + FLT-11 + AG-6: ``(tallies, rejects)``."""
-    src = docs.withColumn("prompt", F.format_string(TALLY_PROMPT, F.col("clean_html")))
-    out = model.apply_model(src, fn, ["clean_html", "prompt", ticker_col, "group_date"],
+    src = docs.withColumn("prompt", F.format_string(TALLY_PROMPT, F.col("clean_html"))) \
+        .withColumn("meeting_date", F.date_format("group_date", "yyyy-MM-dd"))
+    out = model.apply_model(src, fn, ["clean_html", "prompt", ticker_col, "meeting_date"],
                             ["job_id", "cik", "group_date", "accessionNumber"],
                             max_concurrency=max_concurrency)
     return tally_rows(model.parse_output(out, model.TALLY_SCHEMA))
@@ -73,6 +74,7 @@ def tally_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
                           F.col("parsed.meeting_date").alias("meeting_date"),
                           F.posexplode("parsed.voting_results").alias("position", "v"))
     num = ("total_votes", "for", "against", "abstentions", "broker_non_votes")
+    # PRJ-4: the contract's "for" becomes for_votes
     typed = ex.select(
         "job_id", "cik", "ticker", "meeting_date", "position",
         F.col("v.questionId").alias("question_id"), F.col("v.resolution").alias("resolution"),
@@ -109,5 +111,4 @@ def job_payloads(tallies_df: DataFrame) -> DataFrame:
 
 def meetings_per_job(cands: DataFrame) -> DataFrame:
     """Count of selected meetings per job, for the job result summary."""
-    w = Window.partitionBy("job_id")
-    return cands.select("job_id", F.count(F.lit(1)).over(w).alias("n_meetings")).distinct()
+    return cands.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_meetings"))
