@@ -33,7 +33,9 @@ def _any_null(key_cols: list[str]) -> Column:
 
 
 def _keys(df: DataFrame, key_cols: list[str]) -> DataFrame:
-    return df.select(*key_cols).where(~_any_null(key_cols)).distinct()
+    """Non-null keys of ``df``.  Only ever the build side of semi / anti
+    joins, where duplicates change nothing, so no extra distinct shuffle."""
+    return df.select(*key_cols).where(~_any_null(key_cols))
 
 
 def skip_done(candidates: DataFrame, done: DataFrame, key_cols: list[str],
@@ -72,8 +74,8 @@ def insert_ignore(target: DataFrame, batch: DataFrame, key_cols: list[str],
                   order_cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """SNK-4: existing keys win, then the first batch row per key in arrival
     order.  Returns ``(merged, inserted)``."""
+    present = target.join(_keys(batch, key_cols), key_cols, "left_semi").select(*key_cols)
     dedup = first_per_key(batch, key_cols, order_cols)
-    present = target.join(_keys(dedup, key_cols), key_cols, "left_semi").select(*key_cols).distinct()
     inserted = dedup.join(present, key_cols, "left_anti").select(*target.columns)
     return target.unionByName(inserted), inserted
 
@@ -105,7 +107,7 @@ def upsert(target: DataFrame, batch: DataFrame, key_cols: list[str],
     value_cols = list(rules)
     b = reduce_batch(batch, key_cols, order_col, rules) if order_col else \
         batch.select(*key_cols, *value_cols)
-    bkeys = _keys(b, key_cols)
+    bkeys = _keys(batch, key_cols)
     untouched = target.join(bkeys, key_cols, "left_anti")
     old = target.join(bkeys, key_cols, "left_semi").select(
         *key_cols, *[F.col(c).alias(f"_old_{c}") for c in value_cols])

@@ -50,5 +50,5 @@ def diagnostics(requests: DataFrame, results: DataFrame, key_cols: list[str],
                 reason: str | Column) -> DataFrame:
     """FLT-14: requests with no result rows, with a reason."""
     r = reason if isinstance(reason, Column) else F.lit(reason)
-    return requests.join(results.select(*key_cols).distinct(), key_cols, "left_anti") \
+    return requests.join(results.select(*key_cols), key_cols, "left_anti") \
         .withColumn("reason", r)

@@ -39,7 +39,7 @@ def explicit_ids_or_top_n(requests: DataFrame, candidates: DataFrame, explicit:
     """
     chosen = explicit.select(*request_key, item_key).dropDuplicates([*request_key, item_key]) \
         .withColumn("source", F.lit("explicit"))
-    no_ids = requests.join(explicit.select(*request_key).distinct(), request_key, "left_anti")
+    no_ids = requests.join(explicit.select(*request_key), request_key, "left_anti")
     # n varies per request, so the limit is a filter on the rank, not a static
     # WindowGroupLimit
     w = Window.partitionBy(*request_key).orderBy(*order)
