@@ -18,7 +18,6 @@ table) and let downstream steps read the stored rows.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -87,24 +86,30 @@ EMBED_DIM = 64
 
 
 def hashing_embedder(dim: int = EMBED_DIM) -> Callable[[pd.Series], pd.Series]:
-    """Deterministic lexical embedder: hashed word counts, L2-normalised.
+    """Deterministic lexical embedder: signed hashed word counts, L2-normalised.
 
-    A stand-in for a hosted embedding model with the same contract
-    (text in, unit-length float vector out).
+    A stand-in for a hosted embedding model with the same contract (text in,
+    unit-length float vector out).  Vectorised per Arrow batch: all words of
+    the batch are hashed in one call (fixed-key SipHash) and binned with one
+    ``bincount``.
     """
     word = re.compile(r"\w+", re.UNICODE)
 
     def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = np.zeros(dim, dtype=np.float32)
-            if t:
-                for w in word.findall(t.lower()):
-                    h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                    v[h % dim] += 1.0 if (h >> 63) == 0 else -1.0
-            n = float(np.linalg.norm(v))
-            out.append((v / n if n > 0 else v).tolist())
-        return pd.Series(out)
+        toks = [word.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
+        n = len(toks)
+        lens = np.fromiter((len(x) for x in toks), dtype=np.int64, count=n)
+        if lens.sum() == 0:
+            return pd.Series([np.zeros(dim, dtype=np.float32) for _ in range(n)])
+        flat = np.array([w for x in toks for w in x], dtype=object)
+        h = pd.util.hash_array(flat, categorize=False)
+        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+        bucket = (h % np.uint64(dim)).astype(np.int64)
+        sign = np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
+        m = np.bincount(rows * dim + bucket, weights=sign, minlength=n * dim).reshape(n, dim)
+        norms = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0).astype(np.float32)
+        return pd.Series(list(m))
     return embed
 
 
@@ -149,15 +154,23 @@ QUESTION_SCHEMA = StructType([
 ])
 
 
-def stub_question_model(text_col: str = "context", max_questions: int = 3) -> ModelFn:
-    """Emits up to ``max_questions`` questions: the first sentences of the context."""
-    sent = re.compile(r"[^.!?\n]+[.!?]")
+def _first_sentences(t: str | None, n: int) -> list[str]:
+    sent = _SENTENCE.finditer(t or "")
+    return [m.group(0) for _, m in zip(range(n), sent)]
+
+
+_SENTENCE = re.compile(r"[^.!?\n]+[.!?]")
 
+
+def stub_question_model(text_col: str = "prompt", max_questions: int = 3) -> ModelFn:
+    """Emits up to ``max_questions`` questions: the first sentences of the
+    passages (the text after the prompt's first blank line)."""
     def fn(pdf: pd.DataFrame) -> list[str]:
         out = []
         for t in pdf[text_col]:
             qs = []
-            for i, s in enumerate(sent.findall(t or "")[:max_questions]):
+            body = (t or "").split("\n\n", 1)[-1]
+            for i, s in enumerate(_first_sentences(body, max_questions)):
                 s = s.strip()
                 qs.append({"question_id": f"{i + 1}", "question_text": s,
                            "board_vote_recommendation": BOARD_VOTES[len(s) % 4],
@@ -185,14 +198,12 @@ TALLY_SCHEMA = StructType([
 
 def stub_tally_model(text_col: str = "text", ticker_col: str = "ticker",
                      date_col: str = "meeting_date") -> ModelFn:
-    """One tally per paragraph-like sentence: counts derived from word lengths."""
-    sent = re.compile(r"[^.!?\n]+[.!?]")
-
+    """One tally per sentence of the first four: counts derived from word lengths."""
     def fn(pdf: pd.DataFrame) -> list[str]:
         out = []
         for t, tk, dt in zip(pdf[text_col], pdf[ticker_col], pdf[date_col]):
             res = []
-            for i, s in enumerate(sent.findall(t or "")[:4]):
+            for i, s in enumerate(_first_sentences(t, 4)):
                 w = s.split()
                 res.append({"questionId": str(i + 1), "resolution": s.strip()[:200],
                             "total_votes": None, "for": sum(len(x) for x in w), "against": len(w),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from filingflow.functions.text import html_to_text, word_tokens
 from filingflow.operators.chunking import window_arrays
+from filingflow.operators.parallel import spread
 from filingflow.sources.tables import read_table
 
 # Test pages are short; the reference's 500-word floor applies to real filings.
@@ -20,7 +21,7 @@ FLAGSHIP_MIN_WORDS = 20
 
 def page_chunk_counts(spark: SparkSession, base_dir: str,
                       min_words: int = FLAGSHIP_MIN_WORDS) -> DataFrame:
-    pages = read_table(spark, base_dir, "pages", "page_id", "html")
+    pages = spread(read_table(spark, base_dir, "pages", "page_id", "html"), ["page_id"])
     tok = pages.select("page_id", word_tokens(html_to_text("html")).alias("tokens"))
     kept = tok.where(F.size("tokens") >= min_words)
     wins = kept.select("page_id", F.size("tokens").cast("bigint").alias("n_words"),

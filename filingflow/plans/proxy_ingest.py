@@ -116,7 +116,8 @@ def extract_questions(contexts: DataFrame, fn: model.ModelFn, id_col: str = "fil
                              .replace("{context}", "%3$s"), company, F.col(id_col).cast("string"),
                              F.col("context"))
     src = contexts.withColumn("prompt", prompt)
-    out = model.apply_model(src, fn, ["context", "prompt"], [id_col], max_concurrency=max_concurrency)
+    # the model sees the prompt only (it embeds the context)
+    out = model.apply_model(src, fn, ["prompt"], [id_col], max_concurrency=max_concurrency)
     parsed = model.parse_output(out, model.QUESTION_SCHEMA)
     failed = parsed.where(~model.parse_ok()).select(
         id_col, F.coalesce("model_error", F.lit("malformed model output")).alias("reject_reason"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from filingflow.functions import text
 from filingflow.operators import model, tallies
+from filingflow.operators.parallel import spread
 from filingflow.plans import proxy_ingest
 from filingflow.plans.catalog import register
 from filingflow.sources.tables import read_table
@@ -17,7 +18,7 @@ from filingflow.sources.tables import read_table
 
 @register("proxy_questions", "UD-2 UD-4 UD-7 SC-17 SC-19 SRC-11 JN-5 WN-4 AG-2 WN-5")
 def proxy_questions(spark, d):
-    docs = read_table(spark, d, "documents", "doc_id", "text") \
+    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"]) \
         .withColumnRenamed("doc_id", "filing_id")
     good, _rejects = proxy_ingest.questions_from_documents(docs)
     return good.select("filing_id", "question_id", "question_text", "board_vote_recommend",
@@ -26,7 +27,7 @@ def proxy_questions(spark, d):
 
 @register("tally_extraction", "UD-1 UD-7 AG-6 SC-6")
 def tally_extraction(spark, d):
-    pages = read_table(spark, d, "pages", "page_id", "url", "html")
+    pages = spread(read_table(spark, d, "pages", "page_id", "url", "html"), ["page_id"])
     src = pages.select("page_id", text.html_to_text("html").alias("text"),
                        F.regexp_extract("url", r"//([^./]+)", 1).alias("ticker"),
                        F.lit("2024-01-01").alias("meeting_date"))

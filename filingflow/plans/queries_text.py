@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from filingflow.functions import text as T
 from filingflow.operators import chunking, concat
+from filingflow.operators.parallel import spread
 from filingflow.plans.catalog import register
 from filingflow.sources.tables import read_table
 
@@ -34,7 +35,7 @@ _SQL_TOKENS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '
 select page_id, {_SQL_TEXT} as text from pages
 """)
 def html_text(spark, d):
-    pages = read_table(spark, d, "pages", "page_id", "html")
+    pages = spread(read_table(spark, d, "pages", "page_id", "html"), ["page_id"])
     return pages.select("page_id", T.html_to_text("html").alias("text"))
 
 
@@ -44,7 +45,7 @@ select doc_id, n_words from (
 where n_words >= 500
 """)
 def min_words(spark, d):
-    docs = read_table(spark, d, "documents", "doc_id", "text")
+    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
     return (docs.select("doc_id", T.word_count("text").cast("bigint").alias("n_words"))
             .where(F.col("n_words") >= 500))
 
@@ -59,7 +60,7 @@ select doc_id, cast(st // 600 as bigint) as chunk_index,
 from s
 """)
 def word_chunks(spark, d):
-    docs = read_table(spark, d, "documents", "doc_id", "text")
+    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
     ch = chunking.chunk_text(docs, "text", ["doc_id"])
     return ch.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
                      F.col("n_tokens").cast("bigint").alias("n_tokens"), "chunk_text")
@@ -71,6 +72,6 @@ select doc_id,
 from (select doc_id, len({_SQL_TOKENS}) as n from documents)
 """)
 def chunk_counts(spark, d):
-    docs = read_table(spark, d, "documents", "doc_id", "text")
+    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
     out = chunking.chunk_counts(docs, "text", ["doc_id"])
     return out.select("doc_id", F.col("n_chunks").cast("bigint").alias("n_chunks"))

@@ -55,7 +55,7 @@ def extract_tallies(docs: DataFrame, fn: model.ModelFn, ticker_col: str = "ticke
     """UD-1 + UD-7 + FLT-11 + AG-6: ``(tallies, rejects)``."""
     src = docs.withColumn("prompt", F.format_string(TALLY_PROMPT, F.col("clean_html"))) \
         .withColumn("meeting_date", F.date_format("group_date", "yyyy-MM-dd"))
-    out = model.apply_model(src, fn, ["clean_html", "prompt", ticker_col, "meeting_date"],
+    out = model.apply_model(src, fn, ["prompt", ticker_col, "meeting_date"],
                             ["job_id", "cik", "group_date", "accessionNumber"],
                             max_concurrency=max_concurrency)
     return tally_rows(model.parse_output(out, model.TALLY_SCHEMA))

@@ -34,7 +34,7 @@ def test_e2_votes(spark):
     good, bad = vote_extraction.filing_documents(cands, docs)
     assert bad.count() == 0 and "style" not in good.first()["clean_html"]
     tallies, rejects = vote_extraction.extract_tallies(
-        good.withColumn("ticker", F.lit("T")), model.stub_tally_model("clean_html", "ticker", "meeting_date"))
+        good.withColumn("ticker", F.lit("T")), model.stub_tally_model("prompt", "ticker", "meeting_date"))
     assert tallies.count() >= 1 and rejects.count() == 0
     target = spark.createDataFrame([], ", ".join(f"{c} string" for c in vote_extraction.VOTE_COLUMNS))
     merged, inserted = vote_extraction.store_votes(target, tallies)
