@@ -21,7 +21,9 @@ _SQL_STRIP = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(rege
 
 
 def _sql_unescape_once(x: str) -> str:
-    for ent, ch in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+    # the entities present in the pages; HTML5 also decodes the legacy "&amp"
+    # written without its semicolon (truncated pages end that way)
+    for ent, ch in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"), ("&amp", "&")):
         x = f"replace({x}, '{ent}', '{ch}')"
     return x
 
