@@ -40,14 +40,25 @@ def explicit_ids_or_top_n(requests: DataFrame, candidates: DataFrame, explicit:
     chosen = explicit.select(*request_key, item_key).dropDuplicates([*request_key, item_key]) \
         .withColumn("source", F.lit("explicit"))
     no_ids = requests.join(explicit.select(*request_key), request_key, "left_anti")
-    # n varies per request, so the limit is a filter on the rank, not a static
-    # WindowGroupLimit
-    w = Window.partitionBy(*request_key).orderBy(*order)
-    ranked = candidates.join(no_ids.select(*request_key, n_col), request_key) \
-        .withColumn("_rk", F.row_number().over(w))
-    top = ranked.where(F.col("_rk") <= F.col(n_col)).select(*request_key, item_key) \
-        .withColumn("source", F.lit("top_n"))
-    return chosen.unionByName(top)
+    top = top_n_varying(candidates, no_ids.select(*request_key, n_col), request_key, order, n_col)
+    return chosen.unionByName(top.select(*request_key, item_key).withColumn("source", F.lit("top_n")))
+
+
+def top_n_varying(candidates: DataFrame, requests: DataFrame, key_cols: list[str],
+                  order: list[Column], n_col: str = "n", rank_col: str = "rank") -> DataFrame:
+    """Top ``n`` candidates per key where ``n`` comes from each request row.
+
+    The largest requested n (one number from the small request table) is a
+    static bound, so the ranking gets a partial ``WindowGroupLimit`` before
+    its shuffle -- a key holding a third of all candidates ships at most
+    max(n) rows per input partition; each request then keeps ``rank <= n``.
+    """
+    max_n = requests.agg(F.max(n_col)).first()[0]
+    if max_n is None:  # no requests at all
+        return candidates.join(requests, key_cols).withColumn(rank_col, F.lit(None).cast("int")) \
+            .where(F.lit(False))
+    ranked = top_n_per_group(candidates, key_cols, order, int(max_n), rank_col)
+    return ranked.join(requests, key_cols).where(F.col(rank_col) <= F.col(n_col))
 
 
 def oldest(df: DataFrame, order: list[Column], n: int = 1) -> DataFrame:

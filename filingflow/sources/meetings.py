@@ -9,11 +9,11 @@ orderings.  All requests are answered in one plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from filingflow.operators import quality
+from filingflow.operators import quality, ranking
 
 # Default number of meetings per security.
 DEFAULT_MEETINGS = 5
@@ -75,9 +75,8 @@ def list_meetings(requests: DataFrame, rows: DataFrame, default_n: int = DEFAULT
     req = requests.withColumn("n", F.coalesce(F.col("n"), F.lit(default_n))) if "n" in requests.columns \
         else requests.withColumn("n", F.lit(default_n))
     m = _first_company(rows).where(F.col("meeting_id").isNotNull())
-    j = req.join(m, ["ticker", "isin"])
-    w = Window.partitionBy("request_id").orderBy(F.desc("meeting_date"), F.asc("meeting_pos"))
-    top = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("n")) \
+    top = ranking.top_n_varying(m, req.select("request_id", "ticker", "isin", "n"), ["ticker", "isin"],
+                                [F.desc("meeting_date"), F.asc("meeting_pos")]) \
         .select("request_id", "ticker", "isin", "meeting_id", "meeting_date", "rank")
     known = rows.select("ticker").distinct().withColumn("_known", F.lit(True))
     miss = quality.diagnostics(req, top, ["request_id"], F.lit(None).cast("string")).drop("reason") \
