@@ -96,8 +96,8 @@ def unescape_common(c) -> Column:
 
 
 def html_to_text(c, unescape: str = "exact") -> Column:
-    """SC-6: filing HTML -> clean text.  Also used where the reference uses
-    the simpler text-node join (SC-7), so every path sees the same text.
+    """SC-6: filing HTML -> clean text.  Also used where a simpler text-node
+    join (SC-7) would do, so every path sees the same text.
 
     ``unescape="exact"`` decodes every HTML5 entity twice (parity with a
     parser pass followed by an explicit unescape); ``"common"`` decodes the

@@ -15,7 +15,7 @@ def _col(c) -> Column:
 
 
 def dot(a, b) -> Column:
-    """Inner product.  pgvector's ``<#>`` is its negation."""
+    """Inner product (the SQL "negative inner product" distance is its negation)."""
     prods = F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(prods, F.lit(0.0).cast("double"), lambda s, v: s + v)
 

@@ -1,7 +1,7 @@
 """Overlapping token windows (WN-5, WN-6) and chunk counts (AG-5).
 
-The reference loops ``for start in range(0, n, stride)`` and stops at the first
-window that reaches the end.  The window starts are therefore
+The windowing rule is ``for start in range(0, n, stride)``, stopping at the
+first window that reaches the end.  The window starts are therefore
 ``0, stride, 2*stride, ...`` up to the largest multiple of ``stride`` that is
 ``<= n - overlap - 1`` (and a single window for any 0 < n <= size).  That is a
 ``sequence`` expression, so chunking is a narrow ``posexplode`` inside the

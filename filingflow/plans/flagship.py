@@ -15,7 +15,7 @@ from filingflow.operators.chunking import window_arrays
 from filingflow.operators.parallel import spread
 from filingflow.sources.tables import read_table
 
-# Test pages are short; the reference's 500-word floor applies to real filings.
+# Test pages are short; the 500-word floor (MIN_FILING_WORDS) applies to real filings.
 FLAGSHIP_MIN_WORDS = 20
 
 

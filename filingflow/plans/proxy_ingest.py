@@ -1,7 +1,7 @@
 """E1: proxy statements -> text -> chunks -> embeddings -> questions.
 
-Set-at-a-time over all companies and years: the per-company loop of the
-reference becomes the key columns ``(cik, accession_number)`` / ``filing_id``.
+Set-at-a-time over all companies and years: a per-company loop becomes
+the key columns ``(cik, accession_number)`` / ``filing_id``.
 
 Stage boundaries worth persisting (``write`` them at scale): the chunk table
 (input of the embedder) and the embedded chunks (the expensive model output).

@@ -272,3 +272,55 @@ def union_by_name(spark, d):
     older = o.where(F.col("o_orderdate") < cut).select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     newer = o.where(F.col("o_orderdate") >= cut).select("o_orderstatus", "o_orderkey", "o_custkey")
     return filing_index.union_pages(older, newer)
+
+
+@register("filing_year_text", "SC-4 PRJ-7", oracle="""
+select o_orderkey, cast(substr(strftime(o_orderdate, '%Y-%m-%d'), 1, 4) as integer) as filing_year,
+       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as filed_at
+from orders
+""")
+def filing_year_text(spark, d):
+    o = read_table(spark, d, "orders", "o_orderkey", "o_orderdate")
+    return o.select("o_orderkey", keys.year_of_text(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("filing_year"),
+                    keys.iso_timestamp("o_orderdate").alias("filed_at"))
+
+
+@register("page_pruning", "SRC-2 SC-4", oracle="""
+select cik, page_no from (
+  select o_custkey as cik, o_orderkey // 1000 as page_no,
+         strftime(min(o_orderdate), '%Y-%m-%d') as f, strftime(max(o_orderdate), '%Y-%m-%d') as t
+  from orders group by 1, 2)
+where cast(substr(f, 1, 4) as integer) <= 1997 and cast(substr(t, 1, 4) as integer) >= 1997
+""")
+def page_pruning(spark, d):
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    # index pages of at most 1000 filings per company and their date spans
+    pages = o.groupBy(F.col("o_custkey").alias("cik"), F.floor(F.col("o_orderkey") / 1000).alias("page_no")).agg(
+        F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("filingFrom"),
+        F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("filingTo"))
+    refs = pages.select("cik", F.array(F.struct(F.col("page_no").alias("name"), "filingFrom", "filingTo"))
+                        .alias("files"))
+    kept = filing_index.older_pages_for_year(refs, ["cik"], 1997)
+    return kept.select("cik", F.col("name").alias("page_no"))
+
+
+@register("filing_documents", "JN-7 PRJ-5 PRJ-2 PRJ-3 FLT-6 SC-1", oracle="""
+select lpad(cast(o.o_custkey as varchar), 10, '0') || '_' || cast(o.o_orderkey as varchar) as proxy_id,
+       'https://www.sec.gov/Archives/edgar/data/' || cast(o.o_custkey as varchar) || '/' ||
+       cast(o.o_orderkey as varchar) || '/primary_doc.htm' as url,
+       cast(len(regexp_extract_all(d.text, '\\S+')) as bigint) as n_words
+from orders o join documents d on d.doc_id = o.o_orderkey
+where len(regexp_extract_all(d.text, '\\S+')) >= 500
+""")
+def filing_documents(spark, d):
+    from filingflow.functions import text as T
+    from filingflow.operators.parallel import spread
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey")
+    idx = o.select(keys.pad_cik("o_custkey").alias("cik"), o.o_orderkey.cast("string").alias("acc"))
+    filings = idx.select(keys.proxy_id("cik", "acc").alias("proxy_id"),
+                         keys.archive_url("cik", "acc", keys.document_or_default(F.lit(None))).alias("url"), "acc")
+    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"]) \
+        .select(F.col("doc_id").cast("string").alias("acc"), "text")
+    # JN-7: filings without a document are dropped; FLT-6 keeps long texts
+    j = filings.join(docs, "acc").where(T.has_min_words("text", 500))
+    return j.select("proxy_id", "url", T.word_count("text").cast("bigint").alias("n_words"))

@@ -77,3 +77,29 @@ def chunk_counts(spark, d):
     docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
     out = chunking.chunk_counts(docs, "text", ["doc_id"])
     return out.select("doc_id", F.col("n_chunks").cast("bigint").alias("n_chunks"))
+
+
+@register("style_strip", "SC-8", oracle="""
+select page_id, regexp_replace(html, '(?i)(<[^>]*?)\\sstyle\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>]+)', '\\1', 'g') as html
+from pages
+""")
+def style_strip(spark, d):
+    pages = read_table(spark, d, "pages", "page_id", "html")
+    return pages.select("page_id", T.strip_style_attributes("html").alias("html"))
+
+
+@register("item507_scan", "FLT-5 SC-6 SC-7", oracle=f"""
+select page_id, coalesce(regexp_matches({_SQL_TEXT}, '(?i)\\bITEM\\s*5\\.07\\b'), false) as mentions_item_507
+from pages
+""")
+def item507_scan(spark, d):
+    pages = spread(read_table(spark, d, "pages", "page_id", "html"), ["page_id"])
+    return pages.select("page_id", T.mentions_item_507(T.html_to_text("html")).alias("mentions_item_507"))
+
+
+@register("decode_html_bytes", "SC-9", oracle="""
+select page_id, html as text from pages
+""")
+def decode_html_bytes(spark, d):
+    pages = read_table(spark, d, "pages", "page_id", "html")
+    return pages.select("page_id", T.decode_bytes(F.encode("html", "UTF-8")).alias("text"))

@@ -73,7 +73,7 @@ def recommend(pending: DataFrame, contexts: DataFrame, policy: DataFrame, fn: mo
 
     ``policy`` is the one-row output of ``policy_column``; a non-empty
     ``custom_policy`` replaces it (SC-16).  ``max_concurrency`` mirrors the
-    reference's 20 parallel items.
+    20 items in flight, the service limit of the remote model.
     """
     pol = policy.select(F.coalesce(F.nullif(F.lit(custom_policy or ""), F.lit("")),
                                    F.col("policy_rules")).alias("policy"))

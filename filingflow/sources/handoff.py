@@ -1,7 +1,7 @@
 """Stage hand-off files (SRC-8, SNK-2, SNK-3).
 
-The reference passes per-filing JSON objects between stages (a text file, a
-JSON list of chunks, a JSON list of embeddings).  Here stages hand over
+Per-filing JSON objects can pass between stages (a text file, a JSON list of
+chunks, a JSON list of embeddings).  Here stages hand over
 DataFrames; these helpers read and write the per-filing JSON layout when an
 outside producer or consumer needs it.
 """

@@ -90,7 +90,7 @@ def test_window_counts(spark, n, chunks):
             assert a["chunk_text"].split()[600:] == b["chunk_text"].split()[:200]
 
 
-def reference_loop(n, size=800, overlap=200):
+def python_loop(n, size=800, overlap=200):
     out, stride = [], size - overlap
     for start in range(0, n, stride):
         out.append((start, min(start + size, n)))
@@ -104,7 +104,7 @@ def test_window_formula_matches_loop(spark):
     df = spark.createDataFrame([(n,) for n in ns], "n int")
     got = df.select("n", chunking.window_starts(F.col("n")).alias("s")).collect()
     for r in got:
-        assert [s for s, _ in reference_loop(r["n"])] == list(r["s"]), r["n"]
+        assert [s for s, _ in python_loop(r["n"])] == list(r["s"]), r["n"]
 
 
 def test_window_args_checked():
