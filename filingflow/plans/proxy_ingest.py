@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from filingflow.functions import forms, keys, text
 from filingflow.operators import chunking, concat, merge, model, quality, retrieval
+from filingflow.session import materialize
 from filingflow.sources import directory as dir_src
 
 # The five retrieval query phrases, minimum filing length, depth.
@@ -108,9 +109,13 @@ def retrieval_context(chunks: DataFrame, queries, id_col: str = "filing_id",
 
 
 def extract_questions(contexts: DataFrame, fn: model.ModelFn, id_col: str = "filing_id",
-                      company_col: str | None = None, max_concurrency: int | None = None
-                      ) -> tuple[DataFrame, DataFrame]:
-    """SC-19 + UD-2 + UD-7 + SC-17: ``(questions, rejects)``."""
+                      company_col: str | None = None, max_concurrency: int | None = None,
+                      store_output: bool = True) -> tuple[DataFrame, DataFrame]:
+    """SC-19 + UD-2 + UD-7 + SC-17: ``(questions, rejects)``.
+
+    With ``store_output`` the raw model output is written once to the
+    checkpoint folder: questions and rejects come from the same calls.
+    """
     company = F.col(company_col) if company_col else F.lit("the company")
     prompt = F.format_string(QUESTION_PROMPT.replace("{company}", "%1$s").replace("{filing}", "%2$s")
                              .replace("{context}", "%3$s"), company, F.col(id_col).cast("string"),
@@ -118,6 +123,8 @@ def extract_questions(contexts: DataFrame, fn: model.ModelFn, id_col: str = "fil
     src = contexts.withColumn("prompt", prompt)
     # the model sees the prompt only (it embeds the context)
     out = model.apply_model(src, fn, ["prompt"], [id_col], max_concurrency=max_concurrency)
+    if store_output:
+        out = materialize(out, "question-model-output")
     parsed = model.parse_output(out, model.QUESTION_SCHEMA)
     failed = parsed.where(~model.parse_ok()).select(
         id_col, F.coalesce("model_error", F.lit("malformed model output")).alias("reject_reason"))

@@ -13,6 +13,7 @@ from filingflow.operators import model, tallies
 from filingflow.operators.parallel import spread
 from filingflow.plans import proxy_ingest
 from filingflow.plans.catalog import register
+from filingflow.session import materialize
 from filingflow.sources.tables import read_table
 
 
@@ -42,3 +43,35 @@ def tally_extraction(spark, d):
         F.col("abstentions").try_cast("bigint").alias("abstentions"),
         F.col("broker_non_votes").try_cast("bigint").alias("broker_non_votes"))
     return tallies.with_totals(typed)
+
+
+@register("question_recommendations", "UD-3 UD-4 JN-3 JN-5 WN-3 AG-2 AG-9 SC-5 SC-16 SC-17 SNK-8 SNK-9 FLT-8 ST-3")
+def question_recommendations(spark, d):
+    from filingflow.plans import recommendation
+    docs = spread(read_table(spark, d, "documents", "doc_id", "text", "source"), ["doc_id"])
+    filings = docs.select(F.col("doc_id").alias("filing_id"), "text",
+                          F.col("source").alias("company_name"))
+    kept = filings.where(text.has_min_words("text", proxy_ingest.MIN_FILING_WORDS))
+    # embedded chunks feed two retrievals: store them once
+    chunks = materialize(proxy_ingest.embed_chunks(proxy_ingest.filing_chunks(kept)), "embedded-chunks")
+    ctx = proxy_ingest.retrieval_context(chunks, proxy_ingest.query_vectors())
+    questions, _ = proxy_ingest.extract_questions(ctx, model.stub_question_model())
+    # Q17: question embeddings come from the same embedder
+    questions = materialize(questions.withColumn("question_embedding", model.embed_column("question_text")),
+                            "questions")
+    # each company follows one voting policy: pages of at most 20 rules
+    rules = read_table(spark, d, "benchmark", "item_id", "text").select(
+        F.floor(F.col("item_id") / 20).cast("bigint").alias("policy_id"),
+        F.col("item_id").alias("rule_id"), F.col("text").alias("rule_text"))
+    policies = recommendation.policy_texts(rules)
+    n_policies = policies.count()
+    fil = kept.select("filing_id", "company_name", F.lit(None).cast("date").alias("filing_date"),
+                      F.pmod(F.xxhash64("company_name"), F.lit(max(n_policies, 1))).alias("policy_id"))
+    pending = recommendation.pending_questions(questions, fil)
+    contexts = recommendation.question_contexts(pending, chunks)
+    results, failures = recommendation.recommend(pending, contexts, policies,
+                                                 model.stub_recommendation_model(), max_concurrency=None)
+    status_log = recommendation.status_entries(results, failures, 1)
+    return status_log.join(results.select("filing_id", "question_id", "voting_recommendation", "confidence"),
+                           ["filing_id", "question_id"], "left") \
+        .select("filing_id", "question_id", "status", "error_msg", "voting_recommendation", "confidence")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from filingflow.functions import keys
 from filingflow.operators import concat, merge, model, quality, retrieval, status
+from filingflow.session import materialize
 
 REC_K = retrieval.RAG_TOP_K
 RESULT_KEY = ["filing_id", "question_id"]
@@ -34,15 +35,18 @@ def pending_questions(questions: DataFrame, filings: DataFrame, status_log: Data
     q = q.where(F.col("status").isin(*status.QUESTION_PENDING))
     if only_ids is not None:
         q = q.join(only_ids.select(*RESULT_KEY), RESULT_KEY, "left_semi")
-    f = filings.select("filing_id", "company_name", keys.long_date("filing_date").alias("meeting_date_text"))
+    extra = [c for c in ("policy_id",) if c in filings.columns]
+    f = filings.select("filing_id", "company_name", *extra,
+                       keys.long_date("filing_date").alias("meeting_date_text"))
     # PRJ-4: the model contract calls the question text proxy_question
     return q.join(f, "filing_id").withColumnRenamed("question_text", "proxy_question")
 
 
-def policy_column(rules: DataFrame) -> DataFrame:
-    """AG-9: all rules in id order as one newline-separated string (one row)."""
-    return concat.context_concat(rules.withColumn("_one", F.lit(1)), ["_one"], ["rule_id"], "rule_text",
-                                 sep="\n", name="policy_rules").select("policy_rules")
+def policy_texts(rules: DataFrame, policy_col: str = "policy_id") -> DataFrame:
+    """AG-9: per policy, its rules in id order as one newline-separated string
+    ``(policy_id, policy_rules)``.  A policy is a short, bounded rule list."""
+    return concat.context_concat(rules, [policy_col], ["rule_id"], "rule_text", sep="\n",
+                                 name="policy_rules").select(policy_col, "policy_rules")
 
 
 def question_contexts(pending: DataFrame, chunks: DataFrame, k: int = REC_K) -> DataFrame:
@@ -66,23 +70,32 @@ def _qwin():
     return Window.partitionBy("filing_id").orderBy("question_id")
 
 
-def recommend(pending: DataFrame, contexts: DataFrame, policy: DataFrame, fn: model.ModelFn,
-              custom_policy: str | None = None, max_concurrency: int | None = 20
-              ) -> tuple[DataFrame, DataFrame]:
+def recommend(pending: DataFrame, contexts: DataFrame, policies: DataFrame, fn: model.ModelFn,
+              custom_policy: str | None = None, max_concurrency: int | None = 20,
+              store_output: bool = True) -> tuple[DataFrame, DataFrame]:
     """SC-19 + UD-3 + UD-7 + SC-17: ``(results, failures)``.
 
-    ``policy`` is the one-row output of ``policy_column``; a non-empty
-    ``custom_policy`` replaces it (SC-16).  ``max_concurrency`` mirrors the
-    20 items in flight, the service limit of the remote model.
+    ``pending`` carries a ``policy_id`` (the client's voting policy) and
+    ``policies`` is ``(policy_id, policy_rules)`` from ``policy_texts`` -- an
+    equi-join on a table with one short row per policy, which AQE
+    broadcasts.  A non-empty ``custom_policy`` replaces the stored rules
+    (SC-16).  ``max_concurrency`` bounds the calls in flight (20 items, the
+    service limit of the remote model).  With ``store_output`` the raw model
+    output is written once to the checkpoint folder, so results and failures
+    come from the same calls and the model is never re-run.
     """
-    pol = policy.select(F.coalesce(F.nullif(F.lit(custom_policy or ""), F.lit("")),
-                                   F.col("policy_rules")).alias("policy"))
-    src = _attach_policy(pending, contexts, pol)
+    src = pending.join(contexts.select("filing_id", "question_id", "context"), RESULT_KEY, "left") \
+        .withColumn("context", F.coalesce("context", F.lit(""))) \
+        .join(policies.select("policy_id", "policy_rules"), "policy_id", "left") \
+        .withColumn("policy", F.coalesce(F.nullif(F.lit(custom_policy or ""), F.lit("")),
+                                         F.col("policy_rules"), F.lit("")))
     src = src.withColumn("prompt", F.format_string(
-        REC_PROMPT, "policy", F.coalesce("company_name", F.lit("")), "meeting_date_text", "question_id",
-        "proxy_question", "context"))
+        REC_PROMPT, "policy", F.coalesce("company_name", F.lit("")),
+        F.coalesce("meeting_date_text", F.lit("")), "question_id", "proxy_question", "context"))
     out = model.apply_model(src, fn, ["question_id", "proxy_question", "context", "prompt"],
                             ["filing_id", "question_id"], max_concurrency=max_concurrency)
+    if store_output:
+        out = materialize(out, "recommendation-output")
     parsed = model.parse_output(out, model.REC_SCHEMA)
     rec = parsed.select("filing_id", "question_id", "model_error", "parsed",
                         F.col("parsed.voting_recommendation").alias("voting_recommendation"),
@@ -100,15 +113,6 @@ def recommend(pending: DataFrame, contexts: DataFrame, policy: DataFrame, fn: mo
     return results, bad.select("filing_id", "question_id", "reject_reason")
 
 
-def _attach_policy(pending: DataFrame, contexts: DataFrame, pol: DataFrame) -> DataFrame:
-    # the policy is exactly one short row (a config string): broadcast it on a
-    # constant key; its size does not grow with the data
-    p = pol.withColumn("_k", F.lit(1))
-    src = pending.join(contexts.select("filing_id", "question_id", "context"), RESULT_KEY, "left") \
-        .withColumn("context", F.coalesce("context", F.lit(""))).withColumn("_k", F.lit(1))
-    return src.join(F.broadcast(p), "_k").drop("_k")
-
-
 def store_results(target: DataFrame, results: DataFrame) -> DataFrame:
     """SNK-8 (first merge): upsert recommendations by (filing_id, question_id)."""
     return merge.upsert(target, results, RESULT_KEY, RESULT_RULES)

@@ -70,3 +70,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Write ``df`` once to a fresh folder under the shared checkpoint folder
+    and return the re-read table.
+
+    Used at expensive or non-deterministic boundaries (model output, embedded
+    chunks): downstream branches read the stored rows instead of re-running
+    the lineage, and a lost executor only costs re-reading files.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

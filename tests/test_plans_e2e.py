@@ -67,13 +67,16 @@ def test_e1_ingest_and_e4_recommend(spark):
     assert qs.count() == 3 and bad.count() == 0
     # E4: embed question texts (Q17), retrieve per question, recommend
     qs_e = qs.withColumn("question_embedding", model.embed_column("question_text"))
-    fil = filings.select("filing_id", F.col("name").alias("company_name"), "filing_date")
+    fil = filings.select("filing_id", F.col("name").alias("company_name"), "filing_date",
+                         F.lit(7).alias("policy_id"))
     pending = recommendation.pending_questions(qs_e, fil)
     contexts = recommendation.question_contexts(pending, emb, k=1)
     assert contexts.count() == 3
-    rules = spark.createDataFrame([(1, "Rule one."), (2, "Rule two.")], "rule_id int, rule_text string")
-    res, fails = recommendation.recommend(pending, contexts, recommendation.policy_column(rules),
-                                          model.stub_recommendation_model())
+    rules = spark.createDataFrame([(7, 1, "Rule one."), (7, 2, "Rule two.")],
+                                  "policy_id int, rule_id int, rule_text string")
+    policies = recommendation.policy_texts(rules)
+    assert policies.first()["policy_rules"] == "Rule one.\nRule two."
+    res, fails = recommendation.recommend(pending, contexts, policies, model.stub_recommendation_model())
     assert res.count() + fails.count() == 3
     log = recommendation.status_entries(res, fails, 1)
     assert set(r["status"] for r in log.collect()) <= {"DONE", "ERROR"}
