@@ -42,8 +42,16 @@ def pending_questions(questions: DataFrame, filings: DataFrame, status_log: Data
     return q.join(f, "filing_id").withColumnRenamed("question_text", "proxy_question")
 
 
+def pending_batch(pending: DataFrame, n: int = 100) -> DataFrame:
+    """SL-3: at most ``n`` pending questions per run, in a deterministic order
+    (the streaming job normally takes the whole backlog instead)."""
+    return pending.orderBy("filing_id", "question_id").limit(n)
+
+
 def policy_texts(rules: DataFrame, policy_col: str = "policy_id") -> DataFrame:
-    """AG-9: per policy, its rules in id order as one newline-separated string
+    """SRC-10 + AG-9: ``rules`` is the policy rule table ``(policy_id,
+    rule_id, rule_text)`` (sample rules only; no policy text ships here); per
+    policy, its rules in id order as one newline-separated string
     ``(policy_id, policy_rules)``.  A policy is a short, bounded rule list."""
     return concat.context_concat(rules, [policy_col], ["rule_id"], "rule_text", sep="\n",
                                  name="policy_rules").select(policy_col, "policy_rules")

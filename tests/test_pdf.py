@@ -20,3 +20,13 @@ def test_pdf_text(spark, tmp_path):
     assert got == {"a.pdf": "page one\npage three\n", "d.pdf": ""}
     rej = {r["path"].rsplit("/", 1)[-1]: r["reject_reason"] for r in rejects.collect()}
     assert rej["b.pdf"].startswith("not a PDF") and "corrupt" in rej["c.pdf"]
+
+
+def test_html_files_with_charset_fallback(spark, tmp_path):
+    from filingflow.sources import documents
+    d = tmp_path / "0000000001" / "000000000122000004"
+    d.mkdir(parents=True)
+    (d / "d.htm").write_bytes(b"<p>caf\xe9</p>")
+    got = documents.keyed_by_archive_path(documents.read_html_files(spark, str(tmp_path)), str(tmp_path)).first()
+    assert got["html"] == "<p>café</p>"
+    assert got["url"].endswith("/0000000001/000000000122000004/d.htm")
