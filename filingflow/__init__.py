@@ -13,3 +13,19 @@ Columns; no function creates its own session.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_code_by_value() -> None:
+    """Pickle this package's functions by value, so pandas UDFs and model
+    stages defined here run on executors that do not have the package
+    installed (nothing to distribute, no ``addPyFile``)."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover - pyspark is a hard dependency
+        return
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_code_by_value()

@@ -1,0 +1,31 @@
+"""The driver imports __spark_entry__ from its own working directory with its
+own session: UDF code must reach the Python workers without the package being
+importable there."""
+
+import os
+import subprocess
+import sys
+import textwrap
+
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def test_entry_from_foreign_cwd(tmp_path):
+    script = textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {REPO!r})
+        from pyspark.sql import SparkSession
+        s = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        import __spark_entry__ as E
+        n = E.entry(s).count()
+        m = E.queries()["tally_extraction"](s, "/root/testdata/sf0.001").count()
+        print("COUNTS", n, m)
+    """)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env,
+                         capture_output=True, text=True, timeout=600)
+    line = [x for x in out.stdout.splitlines() if x.startswith("COUNTS")]
+    assert line, out.stderr[-3000:]
+    _, n, m = line[0].split()
+    assert int(n) > 0 and int(m) > 0
