@@ -24,14 +24,19 @@ REC_PROMPT = ("Policy rules:\n%s\n\nCompany: %s, meeting %s.\nQuestion %s: %s\n\
 
 
 def pending_questions(questions: DataFrame, filings: DataFrame, status_log: DataFrame | None = None,
-                      only_ids: DataFrame | None = None) -> DataFrame:
-    """FLT-8 + JN-3 + SC-5: questions whose current status is NEW or ERROR,
-    joined to their filing; optional restriction to an id list."""
+                      only_ids: DataFrame | None = None, max_attempts: int | None = 3) -> DataFrame:
+    """FLT-8 + JN-3 + SC-5 + ST-5: questions whose current status is NEW or
+    ERROR (and that failed fewer than ``max_attempts`` times), joined to their
+    filing; optional restriction to an id list."""
     q = questions
     if status_log is not None:
         cur = status.current_status(status_log, RESULT_KEY, ["seq"], ["status"])
         q = q.drop("status").join(cur, RESULT_KEY, "left") \
             .withColumn("status", F.coalesce("status", F.lit("NEW")))
+        if max_attempts is not None:
+            failed = status_log.where(F.col("status") == "ERROR").groupBy(*RESULT_KEY) \
+                .agg(F.count(F.lit(1)).alias("_fails")).where(F.col("_fails") >= max_attempts)
+            q = q.join(failed.select(*RESULT_KEY), RESULT_KEY, "left_anti")
     q = q.where(F.col("status").isin(*status.QUESTION_PENDING))
     if only_ids is not None:
         q = q.join(only_ids.select(*RESULT_KEY), RESULT_KEY, "left_semi")

@@ -50,3 +50,15 @@ def test_oldest_pending(spark, tmp_path):
                                  ("c", "{}", dt.datetime(2023, 1, 1))], "id string, params string, created_at timestamp")
     got = jobs.oldest_pending_job(spark, req, str(tmp_path / "none"), 2).collect()
     assert [r["id"] for r in got] == ["c", "a"]
+
+
+def test_question_retries_stop_after_max_attempts(spark):
+    from filingflow.plans import recommendation
+    qs = spark.createDataFrame([(1, "1a", "q", "NEW"), (1, "1b", "q", "NEW"), (1, "1c", "q", "NEW")],
+                               "filing_id long, question_id string, question_text string, status string")
+    fil = spark.createDataFrame([(1, "Co", None)], "filing_id long, company_name string, filing_date date")
+    log = spark.createDataFrame([
+        (1, "1a", "ERROR", 1), (1, "1a", "ERROR", 2), (1, "1a", "ERROR", 3),
+        (1, "1b", "ERROR", 1), (1, "1c", "DONE", 1)], "filing_id long, question_id string, status string, seq long")
+    got = recommendation.pending_questions(qs, fil, log, max_attempts=3)
+    assert [r["question_id"] for r in got.collect()] == ["1b"]
