@@ -123,7 +123,9 @@ def recommend(pending: DataFrame, contexts: DataFrame, policies: DataFrame, fn:
     ])
     good, bad = quality.split(tagged)
     results = good.drop("model_error", "parsed").withColumn("updated_at", F.current_timestamp())
-    return results, bad.select("filing_id", "question_id", "reject_reason")
+    reason = F.when(F.col("model_error").isNotNull(), F.concat(F.lit("model error: "), F.col("model_error"))) \
+        .otherwise(F.col("reject_reason"))
+    return results, bad.select("filing_id", "question_id", reason.alias("reject_reason"))
 
 
 def store_results(target: DataFrame, results: DataFrame) -> DataFrame:

@@ -89,7 +89,9 @@ def tally_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
                       F.col("_total_votes").alias("total_votes"), F.col("_for").alias("for_votes"),
                       F.col("_against").alias("against_votes"), F.col("_abstentions").alias("abstentions"),
                       F.col("_broker_non_votes").alias("broker_non_votes"), "raw_json")
-    rejects = bad_docs.select("job_id", "cik", "reject_reason").unionByName(
+    reason = F.when(F.col("model_error").isNotNull(), F.concat(F.lit("model error: "), F.col("model_error"))) \
+        .otherwise(F.col("reject_reason"))
+    rejects = bad_docs.select("job_id", "cik", reason.alias("reject_reason")).unionByName(
         bad.select("job_id", "cik", "reject_reason"))
     return tallies.with_totals(out), rejects
 

@@ -62,3 +62,48 @@ def test_question_retries_stop_after_max_attempts(spark):
         (1, "1b", "ERROR", 1), (1, "1c", "DONE", 1)], "filing_id long, question_id string, status string, seq long")
     got = recommendation.pending_questions(qs, fil, log, max_attempts=3)
     assert [r["question_id"] for r in got.collect()] == ["1b"]
+
+
+def test_recommendation_worker_retries_errors(spark, tmp_path):
+    from filingflow.operators import model
+    from filingflow.streaming import recommendations as worker
+    qdir, state = str(tmp_path / "questions"), str(tmp_path / "state")
+    qschema = ("filing_id long, question_id string, question_text string, status string, "
+               "question_embedding array<float>")
+    spark.createDataFrame([(1, "1", "Elect A?", "NEW", [1.0, 0.0]), (1, "2", "Pay B?", "NEW", [0.0, 1.0])],
+                          qschema).write.mode("append").parquet(qdir)
+    filings = spark.createDataFrame([(1, "Co", None, 0)], "filing_id long, company_name string, "
+                                                          "filing_date date, policy_id int")
+    chunks = spark.createDataFrame([(1, 0, "alpha text", [1.0, 0.0]), (1, 1, "beta text", [0.0, 1.0])],
+                                   "filing_id long, chunk_index int, chunk_text string, embedding array<float>")
+    policies = spark.createDataFrame([(0, "Rule.")], "policy_id int, policy_rules string")
+    switch = tmp_path / "fail-question-2"
+    switch.touch()
+
+    def flaky(pdf):
+        # question 2 fails while the switch file exists (checked on the worker)
+        import os
+        out = []
+        for qid in pdf["question_id"]:
+            if qid == "2" and os.path.exists(str(switch)):
+                raise RuntimeError("model timeout")
+            out.append('{"question_id": "%s", "voting_recommendation": "For", "confidence": 0.9}' % qid)
+        return out
+
+    def current():
+        return {r["question_id"]: (r["status"], r["error_msg"]) for r in
+                status.current_status(worker.status_log(spark, state), ["filing_id", "question_id"], ["seq"],
+                                      ["status", "error_msg"]).collect()}
+
+    worker.start(spark, qdir, state, filings, chunks, policies, flaky, qschema, available_now=True) \
+        .awaitTermination()
+    first = current()
+    assert first["1"] == ("DONE", None) and first["2"][0] == "ERROR" and "timeout" in first["2"][1]
+    switch.unlink()
+    # a new question file arrives; its batch also retries question 2
+    spark.createDataFrame([(1, "3", "Ratify C?", "NEW", [1.0, 1.0])], qschema).write.mode("append").parquet(qdir)
+    worker.start(spark, qdir, state, filings, chunks, policies, flaky, qschema, available_now=True) \
+        .awaitTermination()
+    assert {k: v[0] for k, v in current().items()} == {"1": "DONE", "2": "DONE", "3": "DONE"}
+    recs = {r["question_id"]: r["voting_recommendation"] for r in worker.current_recommendations(spark, state).collect()}
+    assert recs == {"1": "For", "2": "For", "3": "For"}
