@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingflow.functions.text import html_to_text, word_tokens
+from filingflow.functions.text import add_clean_text, word_tokens
 from filingflow.operators.chunking import window_arrays
 from filingflow.operators.parallel import spread
 from filingflow.sources.tables import read_table
@@ -22,7 +22,7 @@ FLAGSHIP_MIN_WORDS = 20
 def page_chunk_counts(spark: SparkSession, base_dir: str,
                       min_words: int = FLAGSHIP_MIN_WORDS) -> DataFrame:
     pages = spread(read_table(spark, base_dir, "pages", "page_id", "html"), ["page_id"])
-    tok = pages.select("page_id", word_tokens(html_to_text("html")).alias("tokens"))
+    tok = add_clean_text(pages, "html").select("page_id", word_tokens("text").alias("tokens"))
     kept = tok.where(F.size("tokens") >= min_words)
     wins = kept.select("page_id", F.size("tokens").cast("bigint").alias("n_words"),
                        window_arrays(F.col("tokens")).alias("w"))

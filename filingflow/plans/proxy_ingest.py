@@ -57,7 +57,7 @@ def filing_texts(filings: DataFrame, documents: DataFrame, key: str = "url",
     """JN-7 + SC-6 + FLT-6: ``(kept, rejects)``; missing documents and short
     texts are rejected with a reason, the rest continue (Q15)."""
     j = filings.join(documents.select(key, html_col), key, "left")
-    t = j.withColumn("text", text.html_to_text(html_col)).drop(html_col)
+    t = text.add_clean_text(j, html_col, "text").drop(html_col)
     tagged = quality.validate(t, [("document missing", F.col("text").isNotNull()),
                                   ("too short", text.has_min_words("text", min_words))])
     return quality.split(tagged)

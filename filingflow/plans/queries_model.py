@@ -29,9 +29,9 @@ def proxy_questions(spark, d):
 @register("tally_extraction", "UD-1 UD-7 AG-6 SC-6")
 def tally_extraction(spark, d):
     pages = spread(read_table(spark, d, "pages", "page_id", "url", "html"), ["page_id"])
-    src = pages.select("page_id", text.html_to_text("html").alias("text"),
-                       F.regexp_extract("url", r"//([^./]+)", 1).alias("ticker"),
-                       F.lit("2024-01-01").alias("meeting_date"))
+    src = text.add_clean_text(pages, "html").select(
+        "page_id", "text", F.regexp_extract("url", r"//([^./]+)", 1).alias("ticker"),
+        F.lit("2024-01-01").alias("meeting_date"))
     out = model.apply_model(src, model.stub_tally_model(), ["text", "ticker", "meeting_date"], ["page_id"])
     parsed = model.parse_output(out, model.TALLY_SCHEMA).where(model.parse_ok())
     rows = parsed.select("page_id", "parsed.ticker", "parsed.meeting_date", F.inline("parsed.voting_results"))

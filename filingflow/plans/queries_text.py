@@ -38,7 +38,7 @@ select page_id, {_SQL_TEXT} as text from pages
 """)
 def html_text(spark, d):
     pages = spread(read_table(spark, d, "pages", "page_id", "html"), ["page_id"])
-    return pages.select("page_id", T.html_to_text("html").alias("text"))
+    return T.add_clean_text(pages, "html").select("page_id", "text")
 
 
 @register("min_words", "FLT-6 SC-12", oracle="""
@@ -94,7 +94,7 @@ from pages
 """)
 def item507_scan(spark, d):
     pages = spread(read_table(spark, d, "pages", "page_id", "html"), ["page_id"])
-    return pages.select("page_id", T.mentions_item_507(T.html_to_text("html")).alias("mentions_item_507"))
+    return T.add_clean_text(pages, "html").select("page_id", T.mentions_item_507("text").alias("mentions_item_507"))
 
 
 @register("decode_html_bytes", "SC-9", oracle="""

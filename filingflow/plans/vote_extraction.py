@@ -43,9 +43,9 @@ def filing_documents(cands: DataFrame, documents: DataFrame) -> tuple[DataFrame,
     """JN-7 + SC-6 + FLT-5 + SC-8: documents that mention Item 5.07, with
     style attributes removed.  ``documents`` is ``(url, html)``."""
     with_url = cands.withColumn("url", keys.archive_url("cik", "accessionNumber", "primaryDocument"))
-    j = with_url.join(documents.select("url", "html"), "url", "left")
+    j = text.add_clean_text(with_url.join(documents.select("url", "html"), "url", "left"), "html", "_text")
     tagged = quality.validate(j, [("document missing", F.col("html").isNotNull()),
-                                  ("no item 5.07", text.mentions_item_507(text.html_to_text("html")))])
+                                  ("no item 5.07", text.mentions_item_507("_text"))]).drop("_text")
     good, bad = quality.split(tagged)
     return good.withColumn("clean_html", text.strip_style_attributes("html")).drop("html"), bad
 
@@ -81,8 +81,8 @@ def tally_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         *[F.col(f"v.{c}").try_cast("bigint").alias(f"_{c}") for c in num],
         F.to_json("v").alias("raw_json"),
         *[F.col(f"v.{c}").alias(f"_raw_{c}") for c in num])
+    # Q8: every count is nullable (null = not reported); only non-numbers are rejected
     rules = [(f"bad {c}", F.col(f"_raw_{c}").isNull() | F.col(f"_{c}").isNotNull()) for c in num]
-    rules += [(f"{c} missing", F.col(f"_{c}").isNotNull()) for c in ("for", "against", "abstentions")]
     tagged = quality.validate(typed, [("question_id missing", quality.present("question_id")), *rules])
     good, bad = quality.split(tagged)
     out = good.select("job_id", "cik", "ticker", "meeting_date", "position", "question_id", "resolution",

@@ -30,13 +30,13 @@ def vr(q, f=10, a=2, ab=1, b=0, t=None):
 def test_tally_validation(spark):
     docs = [
         {"ticker": "T", "meeting_date": "2022-05-06", "voting_results": [vr("1"), vr("2", b=None), vr("3", t=20),
-                                                                          vr("4", f="x")]},
+                                                                          vr("4", f="x"), vr("5", f=None)]},
         {"ticker": "", "meeting_date": "2022-05-06", "voting_results": [vr("1")]},
         "{not json",
     ]
     good, bad = vote_extraction.tally_rows(_parsed(spark, docs))
     g = {r["question_id"]: (r["total_votes"], r["total_mismatch"]) for r in good.collect()}
-    assert g == {"1": (13, False), "2": (None, False), "3": (20, True)}
+    assert g == {"1": (13, False), "2": (None, False), "3": (20, True), "5": (None, False)}
     reasons = sorted(r["reject_reason"] for r in bad.collect())
     assert reasons == ["bad for", "malformed model output", "ticker missing"]
 

@@ -130,3 +130,16 @@ def test_form_class(spark, form, cls, rev):
 def test_form_predicates(spark, form, is8k, isproxy):
     assert one(spark, form, forms.form_matches) is is8k
     assert one(spark, form, forms.is_proxy_statement) is isproxy
+
+
+@pytest.mark.parametrize("html", [
+    "<p>&amp;lt;b&amp;gt; &copy; &nbsp;x</p>",          # native list only
+    "<p>caf&eacute; &#233; &#xE9; &amp x &ampere;</p>",  # needs the Python pass
+    "<p>&amp;amp;lt; &amp;copy;</p>",                   # double decoding order
+    "<p>plain</p>", None,
+])
+def test_clean_text_matches_exact_unescape(spark, html):
+    df = spark.createDataFrame([(1, html)], "id int, html string")
+    hybrid = text.add_clean_text(df, "html").first()["text"]
+    exact = df.select(text.html_to_text("html").alias("t")).first()["t"]
+    assert hybrid == exact
