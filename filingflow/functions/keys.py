@@ -73,6 +73,6 @@ def year_range(c, year: int) -> Column:
 
 
 def first_truthy(*cols) -> Column:
-    """SC-16: first value that is neither null nor the empty string."""
-    return F.coalesce(*[F.when(_col(c) != "", _col(c)) if not isinstance(c, (int, float)) else F.lit(c)
-                        for c in cols])
+    """SC-16: first string that is neither null nor empty.  Strings name
+    columns; pass literal defaults as ``F.lit(...)``."""
+    return F.coalesce(*[F.nullif(_col(c), F.lit("")) for c in cols])

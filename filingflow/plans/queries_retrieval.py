@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from filingflow.functions import keys
 from filingflow.operators import concat, ranking, retrieval
 from filingflow.plans.catalog import register
 from filingflow.sources.tables import read_table
@@ -107,4 +108,4 @@ def rules_joined(spark, d):
     pages = b.withColumn("policy_page", F.floor(F.col("item_id") / 20).cast("bigint"))
     out = concat.context_concat(pages, ["policy_page"], ["item_id"], "text", sep="\n", name="policy_text")
     return out.select("policy_page", F.col("n_parts").cast("bigint").alias("n_rules"),
-                      F.coalesce(F.nullif("policy_text", F.lit("")), F.lit("no policy rules")).alias("policy_text"))
+                      keys.first_truthy("policy_text", F.lit("no policy rules")).alias("policy_text"))

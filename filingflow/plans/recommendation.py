@@ -100,8 +100,8 @@ def recommend(pending: DataFrame, contexts: DataFrame, policies: DataFrame, fn:
     src = pending.join(contexts.select("filing_id", "question_id", "context"), RESULT_KEY, "left") \
         .withColumn("context", F.coalesce("context", F.lit(""))) \
         .join(policies.select("policy_id", "policy_rules"), "policy_id", "left") \
-        .withColumn("policy", F.coalesce(F.nullif(F.lit(custom_policy or ""), F.lit("")),
-                                         F.col("policy_rules"), F.lit("")))
+        .withColumn("policy", F.coalesce(keys.first_truthy(F.lit(custom_policy or ""), "policy_rules"),
+                                         F.lit("")))
     src = src.withColumn("prompt", F.format_string(
         REC_PROMPT, "policy", F.coalesce("company_name", F.lit("")),
         F.coalesce("meeting_date_text", F.lit("")), "question_id", "proxy_question", "context"))

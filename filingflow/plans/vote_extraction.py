@@ -109,8 +109,3 @@ def job_payloads(tallies_df: DataFrame) -> DataFrame:
                                ["question_id", "resolution", "for_votes", "against_votes", "abstentions",
                                 "broker_non_votes", "total_votes"], name="rows")
     return rows.select("job_id", F.to_json("rows").alias("result"))
-
-
-def meetings_per_job(cands: DataFrame) -> DataFrame:
-    """Count of selected meetings per job, for the job result summary."""
-    return cands.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_meetings"))

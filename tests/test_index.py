@@ -106,3 +106,14 @@ def test_directory_last_wins(spark, tmp_path):
     filings = spark.createDataFrame([("1",), ("320193",), ("7",)], "cik string")
     j = {r["cik"]: r["name"] for r in directory.with_company(filings, d).collect()}
     assert j == {"1": "A Two", "320193": "B", "7": None}
+
+
+def test_key_helpers(spark):
+    from filingflow.functions import keys
+    df = spark.createDataFrame([("320193", "0000320193-24-000001", None, "", "x")],
+                               "cik string, acc string, doc string, e string, f string")
+    r = df.select(keys.object_key("filings", keys.pad_cik("cik"), F.col("acc"), keys.document_or_default("doc")).alias("k"),
+                  keys.first_truthy("doc", "e", "f").alias("t"),
+                  keys.first_truthy("e", F.lit("default")).alias("d")).first()
+    assert r["k"] == "filings/0000320193/0000320193-24-000001/primary_doc.htm"
+    assert (r["t"], r["d"]) == ("x", "default")

@@ -117,3 +117,16 @@ def test_replace_by_key_and_skip_done(spark):
     done = spark.createDataFrame([(1,), (2,)], "f int")
     redo = spark.createDataFrame([(2,)], "f int")
     assert sorted(r["f"] for r in merge.skip_done(cand, done, ["f"], redo).collect()) == [2, 3]
+
+
+def test_versions_and_counts(spark, tmp_path):
+    from filingflow.operators import chunking
+    df = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "f int, c int")
+    counts = {r["f"]: r["n"] for r in chunking.count_per_key(df, ["f"]).collect()}
+    assert counts == {1: 2, 2: 1}
+    p1 = merge.write_version(df, str(tmp_path / "t"), 1)
+    merge.write_version(merge.replace_by_key(merge.read_version(spark, str(tmp_path / "t"), 1),
+                                             spark.createDataFrame([(2, 9)], "f int, c int"), ["f"]),
+                        str(tmp_path / "t"), 2)
+    assert sorted(tuple(r) for r in merge.read_version(spark, str(tmp_path / "t"), 2).collect()) == [(1, 0), (1, 1), (2, 9)]
+    assert spark.read.parquet(p1).count() == 3
