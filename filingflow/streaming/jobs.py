@@ -74,7 +74,10 @@ def make_batch_handler(state_dir: str, process: Callable[[DataFrame], DataFrame]
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         jobs = batch.select(F.col("id").alias("job_id"), "params", "created_at").dropDuplicates(["job_id"])
-        done = current_jobs(spark, state_dir).where(F.col("status") == "done").select("job_id")
+        # only this batch's jobs matter: narrow the log before taking the latest entry
+        log = read_status(spark, state_dir).join(jobs.select("job_id"), "job_id", "left_semi")
+        done = st.current_status(log, ["job_id"], ["batch_id", "seq"], ["status"]) \
+            .where(F.col("status") == "done").select("job_id")
         todo = jobs.join(done, "job_id", "left_anti").persist()
         status_path = os.path.join(state_dir, STATUS_DIR, f"batch_id={batch_id}")
         result_path = os.path.join(state_dir, RESULT_DIR, f"batch_id={batch_id}")
