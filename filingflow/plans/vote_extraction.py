@@ -109,3 +109,31 @@ def job_payloads(tallies_df: DataFrame) -> DataFrame:
                                ["question_id", "resolution", "for_votes", "against_votes", "abstentions",
                                 "broker_non_votes", "total_votes"], name="rows")
     return rows.select("job_id", F.to_json("rows").alias("result"))
+
+
+def job_processor(index_rows: DataFrame, documents: DataFrame, companies: DataFrame, fn: model.ModelFn,
+                  strict: bool = False, max_concurrency: int | None = None):
+    """ST-1 + E2: the ``process`` function for ``streaming.jobs.start_worker``.
+
+    Each micro-batch's pending jobs ``(job_id, params={"cik", "year"})`` run as
+    one plan: candidates (AG-1), documents with Item 5.07, model, validated
+    tallies.  Returns one row per tally (``error`` null) and one row per
+    rejected document or tally (``error`` = reason), so the job log can mark a
+    job ``error`` when anything in it failed.
+    """
+    def process(todo: DataFrame) -> DataFrame:
+        p = todo.select("job_id", F.from_json("params", "cik string, year int").alias("p"))
+        jobs = p.select("job_id", F.col("p.cik").alias("cik"), F.col("p.year").alias("year"))
+        cands = candidate_filings(jobs, index_rows, strict)
+        docs, missing = filing_documents(cands, documents)
+        docs = docs.join(companies.select(keys.pad_cik("cik").alias("cik"), "ticker"), "cik", "left")
+        tallies_df, rejects = extract_tallies(docs, fn, max_concurrency=max_concurrency)
+        ok = tallies_df.select("job_id", "cik", "meeting_date", "question_id", "for_votes", "against_votes",
+                               "abstentions", "broker_non_votes", "total_votes",
+                               F.lit(None).cast("string").alias("error"))
+        # documents without Item 5.07 are skipped, not failures
+        bad = missing.where(F.col("reject_reason") != "no item 5.07") \
+            .select("job_id", "cik", F.col("reject_reason").alias("error")).unionByName(
+                rejects.select("job_id", "cik", F.col("reject_reason").alias("error")))
+        return ok.unionByName(bad, allowMissingColumns=True)
+    return process

@@ -107,3 +107,30 @@ def test_recommendation_worker_retries_errors(spark, tmp_path):
     assert {k: v[0] for k, v in current().items()} == {"1": "DONE", "2": "DONE", "3": "DONE"}
     recs = {r["question_id"]: r["voting_recommendation"] for r in worker.current_recommendations(spark, state).collect()}
     assert recs == {"1": "For", "2": "For", "3": "For"}
+
+
+def test_vote_jobs_through_the_queue(spark, tmp_path):
+    from filingflow.operators import model
+    from filingflow.plans import vote_extraction
+    from filingflow.sources import filing_index
+    idx = filing_index.normalise(spark.createDataFrame(
+        [("1", "0000000001-22-000001", "2022-05-10", "8-K", "5.07", "a.htm", "2022-05-06"),
+         ("2", "0000000002-22-000001", "2022-05-10", "8-K", "5.07", "b.htm", "2022-05-07")],
+        "cik string, accessionNumber string, filingDate string, form string, items string, "
+        "primaryDocument string, meetingDate string"))
+    base = "https://www.sec.gov/Archives/edgar/data"
+    docs = spark.createDataFrame([(f"{base}/1/000000000122000001/a.htm", "<p>ITEM 5.07 Votes. For all.</p>"),
+                                  (f"{base}/2/000000000222000001/b.htm", "<p>Other news.</p>")],
+                                 "url string, html string")
+    companies = spark.createDataFrame([("1", "AAA"), ("2", "BBB")], "cik string, ticker string")
+    incoming, state = tmp_path / "in", tmp_path / "state"
+    incoming.mkdir()
+    reqs = [{"id": "j1", "params": json.dumps({"cik": "1", "year": 2022}), "created_at": "2024-01-01T00:00:00"},
+            {"id": "j2", "params": json.dumps({"cik": "2", "year": 2022}), "created_at": "2024-01-01T00:00:01"}]
+    (incoming / "a.json").write_text("\n".join(json.dumps(r) for r in reqs))
+    proc = vote_extraction.job_processor(idx, docs, companies, model.stub_tally_model("prompt", "ticker", "meeting_date"))
+    jobs.start_worker(spark, str(incoming), str(state), proc, available_now=True).awaitTermination()
+    cur = {r["job_id"]: r["status"] for r in jobs.current_jobs(spark, str(state)).collect()}
+    assert cur == {"j1": "done", "j2": "done"}
+    res = jobs.job_results(spark, str(state))
+    assert res.where(F.col("job_id") == "j1").count() >= 1 and res.where(F.col("job_id") == "j2").count() == 0
