@@ -70,3 +70,19 @@ def test_fetch_and_keyed_sink(spark, rows, tmp_path):
     assert (out / "security=AAPL_US0378331005").is_dir()
     back = spark.read.json(str(out)).collect()
     assert back[0]["meeting_id"] == "M1" and json.loads(back[0]["payload"]) == {"meeting": "data"}
+
+
+def test_e3_fetch_plan(spark, rows, tmp_path):
+    from filingflow.plans import meeting_fetch
+    feed_dir = tmp_path / "feed"
+    feed_dir.mkdir()
+    (feed_dir / "t.json").write_text(json.dumps({"ticker": "AAPL", "companies": [
+        {"isin": "US0378331005", "meetings": [{"meetingId": "M1", "meetingDate": "2024-01-01"},
+                                              {"meetingId": "M2", "meetingDate": "2023-01-01"}]}]}))
+    docs = spark.createDataFrame([("M1", '{"meeting": "data"}')], "meeting_id string, payload string")
+    req = spark.createDataFrame([("a", "AAPL", "US0378331005", 5, None), ("b", None, "X", None, None)], REQ_SCHEMA)
+    out, diag = meeting_fetch.fetch(req, meetings.read_feed(spark, str(feed_dir)), docs, str(tmp_path / "out"))
+    assert [r["meeting_id"] for r in out.collect()] == ["M1"]
+    reasons = sorted(r["reason"] for r in diag.collect())
+    assert reasons == ["document missing: M2", "ticker is required"]
+    assert (tmp_path / "out" / "security=AAPL_US0378331005").is_dir()
