@@ -41,3 +41,11 @@ def test_top_n_is_limited_before_shuffle(spark):
 def test_latest_per_group_combines_map_side(spark):
     p = plan(spark, "latest_nonnull_per_group")
     assert "partial_max_by" in p
+
+
+def test_small_sides_broadcast_without_hints(spark):
+    # no broadcast() hint anywhere in these plans: the size check is Spark's
+    for name in ("directory_left_join", "skip_ingested", "missing_diagnostics"):
+        df = E.queries()[name](spark, SF)
+        df.collect()  # AQE re-plans from measured sizes
+        assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString(), name
