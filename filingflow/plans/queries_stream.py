@@ -33,7 +33,18 @@ def _filing_slice(orders):
     return process
 
 
-@register("job_queue", "ST-1 ST-2 ST-5 ST-6 SNK-9 SNK-11 FLT-13 SC-18")
+@register("job_queue", "ST-1 ST-2 ST-5 ST-6 SNK-9 SNK-11 FLT-13 SC-18", oracle="""
+with req as (
+  select c_custkey as cik, cast(json_object('cik', c_custkey, 'year', 1997) as varchar) as params,
+         timestamp '2024-01-01 00:00:00' + to_seconds(c_custkey) as created_at
+  from customer),
+ids as (select cik, substr(sha256(params || '|' || cast(created_at as varchar)), 1, 32) as job_id from req),
+agg as (select o_custkey as cik, count(*) as n, max(o_orderdate) as latest
+        from orders where year(o_orderdate) = 1997 group by 1)
+select ids.job_id, ids.cik, 'done' as status, coalesce(agg.n, 0) as n_filings,
+       strftime(agg.latest, '%Y-%m-%dT%H:%M:%S') as latest_filing
+from ids left join agg on agg.cik = ids.cik
+""")
 def job_queue(spark, d):
     base = scratch_path(spark, "job-queue")
     incoming, state = f"{base}/incoming", f"{base}/state"
