@@ -134,3 +134,24 @@ def test_vote_jobs_through_the_queue(spark, tmp_path):
     assert cur == {"j1": "done", "j2": "done"}
     res = jobs.job_results(spark, str(state))
     assert res.where(F.col("job_id") == "j1").count() >= 1 and res.where(F.col("job_id") == "j2").count() == 0
+
+
+def test_tasks_facade_vote_jobs(spark, tmp_path):
+    from filingflow import tasks
+    from filingflow.operators import model
+    idx_dir = tmp_path / "index"
+    idx_dir.mkdir()
+    (idx_dir / "c1.json").write_text(json.dumps({"cik": "1", "filings": {"recent": {
+        "accessionNumber": ["0000000001-22-000001"], "filingDate": ["2022-05-10"], "form": ["8-K"],
+        "items": ["5.07"], "primaryDocument": ["a.htm"], "meetingDate": ["2022-05-06"]}}}))
+    docs = spark.createDataFrame([("https://www.sec.gov/Archives/edgar/data/1/000000000122000001/a.htm",
+                                   "<p>Item 5.07 Results. Approved.</p>")], "url string, html string")
+    companies = spark.createDataFrame([("1", "AAA")], "cik string, ticker string")
+    incoming, state = str(tmp_path / "in"), str(tmp_path / "state")
+    sub = tasks.submit_vote_jobs(spark, incoming, [("1", 2022), ("1", 2021)])
+    ids = sorted(r["id"] for r in sub.collect())
+    tasks.run_vote_worker(spark, incoming, state, str(idx_dir), docs, companies,
+                          model.stub_tally_model("prompt", "ticker", "meeting_date"))
+    st = {r["job_id"]: r["status"] for r in tasks.job_status(spark, state).collect()}
+    assert sorted(st) == ids and set(st.values()) == {"done"}
+    assert tasks.job_results(spark, state).count() >= 1

@@ -82,3 +82,23 @@ def test_e1_ingest_and_e4_recommend(spark):
     assert set(r["status"] for r in log.collect()) <= {"DONE", "ERROR"}
     again = recommendation.pending_questions(qs_e, fil, log.select("filing_id", "question_id", "status", "seq"))
     assert again.count() == fails.count()
+
+
+def test_tasks_facade_ingest(spark, tmp_path):
+    from filingflow import tasks
+    (tmp_path / "idx").mkdir()
+    (tmp_path / "idx" / "c1.json").write_text(json.dumps({"cik": "1", "filings": {"recent": {
+        "accessionNumber": ["0000000001-22-000004", "0000000001-22-000005"], "filingDate": ["2022-04-01", "2022-04-15"],
+        "form": ["DEF 14A", "DEFA14A"], "primaryDocument": ["d.htm", "f.htm"]}}}))
+    (tmp_path / "companies.json").write_text(json.dumps({"fields": ["cik", "name", "ticker", "exchange"],
+                                                         "data": [[1, "A One", "AONE", "X"]]}))
+    docs = spark.createDataFrame([("https://www.sec.gov/Archives/edgar/data/1/000000000122000004/d.htm",
+                                   f"<p>{WORDS}</p>")], "url string, html string")
+    stored = spark.createDataFrame([], "proxy_id string")
+    filings, chunks, rejects = tasks.ingest_proxy_statements(
+        spark, str(tmp_path / "idx"), docs, stored, 2022, str(tmp_path / "companies.json"))
+    f = filings.collect()
+    assert len(f) == 1 and f[0]["name"] == "A One" and f[0]["proxy_id"].endswith("22-000004")
+    assert chunks.count() == 2 and rejects.count() == 0
+    qs, bad = tasks.extract_ballot_questions(chunks, model.stub_question_model())
+    assert qs.count() == 3
