@@ -168,3 +168,18 @@ def validation_split(spark, d):
         ("too_short", text.has_min_words("text", 50)),
     ]
     return quality.validate(j, rules).select("doc_id", "reject_reason")
+
+
+@register("job_result_payloads", "AG-4 SNK-11 SC-15", oracle="""
+select o_custkey, cast(year(o_orderdate) as integer) as filing_year,
+       cast(to_json(list({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus} order by o_orderkey)) as varchar)
+         as result
+from orders group by 1, 2
+""")
+def job_result_payloads(spark, d):
+    from filingflow.operators import concat
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    # one job = one company-year; its result rows become one JSON array
+    jobs = o.withColumn("filing_year", F.year("o_orderdate"))
+    rows = concat.collect_rows(jobs, ["o_custkey", "filing_year"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    return rows.select("o_custkey", "filing_year", F.to_json("rows").alias("result"))
