@@ -103,3 +103,19 @@ select page_id, html as text from pages
 def decode_html_bytes(spark, d):
     pages = read_table(spark, d, "pages", "page_id", "html")
     return pages.select("page_id", T.decode_bytes(F.encode("html", "UTF-8")).alias("text"))
+
+
+@register("chunk_json_export", "SNK-3 SRC-8 WN-5 SC-15", oracle=f"""
+with t as (select doc_id, {_SQL_TOKENS} as tok from documents),
+s as (select doc_id, tok, unnest(range(0, greatest(1, len(tok) - 200), 600)) as st
+      from t where len(tok) > 0)
+select doc_id, cast(to_json(list({{'chunk_index': cast(st // 600 as integer),
+                                   'chunk_text': array_to_string(list_slice(tok, st + 1, st + 800), ' ')}}
+                                  order by st)) as varchar) as json
+from s group by doc_id
+""")
+def chunk_json_export(spark, d):
+    from filingflow.sources import handoff
+    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
+    ch = chunking.chunk_text(docs, "text", ["doc_id"])
+    return handoff.chunks_as_json(ch, "doc_id", with_embedding=False)
