@@ -117,3 +117,19 @@ def test_key_helpers(spark):
                   keys.first_truthy("e", F.lit("default")).alias("d")).first()
     assert r["k"] == "filings/0000320193/0000320193-24-000001/primary_doc.htm"
     assert (r["t"], r["d"]) == ("x", "default")
+
+
+def test_chunk_handoff_files_roundtrip(spark, tmp_path):
+    from filingflow.sources import handoff
+    (tmp_path / "f1").mkdir()
+    (tmp_path / "f2").mkdir()
+    (tmp_path / "f1" / "chunks.json").write_text(json.dumps(
+        [{"chunk_index": 0, "chunk_text": "a b", "embedding": [0.5, 0.5]},
+         {"chunk_index": 1, "chunk_text": "c", "embedding": [1.0, 0.0]}]))
+    (tmp_path / "f2" / "chunks.json").write_text(json.dumps(["x y", "z"]))
+    rows = handoff.read_chunk_files(spark, str(tmp_path / "*" / "chunks.json"))
+    got = sorted((r["filing_key"], r["chunk_index"], r["chunk_text"], r["embedding"]) for r in rows.collect())
+    assert got == [("f1", 0, "a b", [0.5, 0.5]), ("f1", 1, "c", [1.0, 0.0]), ("f2", 0, "x y", None), ("f2", 1, "z", None)]
+    back = handoff.chunks_as_json(rows.where(F.col("filing_key") == "f1"), "filing_key").first()["json"]
+    assert json.loads(back) == [{"chunk_index": 0, "chunk_text": "a b", "embedding": [0.5, 0.5]},
+                                {"chunk_index": 1, "chunk_text": "c", "embedding": [1.0, 0.0]}]
