@@ -137,3 +137,22 @@ def write_version(df: DataFrame, base: str, version: int | str) -> str:
 
 def read_version(spark: SparkSession, base: str, version: int | str) -> DataFrame:
     return spark.read.parquet(os.path.join(base, f"version={version}"))
+
+
+def latest_version(spark: SparkSession, base: str) -> int | None:
+    """Highest committed version under ``base`` (one scalar).
+
+    A version folder only holds data files once its write job has committed
+    (uncommitted output stays in hidden ``_temporary`` folders, which
+    partition discovery skips), so readers never see a half-written version.
+    """
+    try:
+        v = spark.read.parquet(base).agg(F.max("version")).first()[0]
+    except Exception:  # noqa: BLE001 -- no version written yet
+        return None
+    return None if v is None else int(v)
+
+
+def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
+    v = latest_version(spark, base)
+    return None if v is None else read_version(spark, base, v)

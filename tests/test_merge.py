@@ -130,3 +130,6 @@ def test_versions_and_counts(spark, tmp_path):
                         str(tmp_path / "t"), 2)
     assert sorted(tuple(r) for r in merge.read_version(spark, str(tmp_path / "t"), 2).collect()) == [(1, 0), (1, 1), (2, 9)]
     assert spark.read.parquet(p1).count() == 3
+    assert merge.latest_version(spark, str(tmp_path / "t")) == 2
+    assert merge.read_latest(spark, str(tmp_path / "t")).count() == 3
+    assert merge.latest_version(spark, str(tmp_path / "none")) is None
