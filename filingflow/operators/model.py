@@ -59,7 +59,8 @@ def apply_model(df: DataFrame, fn: ModelFn, input_cols: list[str], keep_cols: li
                     except Exception as e:  # noqa: BLE001
                         errs[i] = f"{type(e).__name__}: {e}"[:1000]
             res_pdf = pdf[keep_cols].copy()
-            res_pdf[output_col] = outs
+            # models may hand back parsed objects; store JSON text either way
+            res_pdf[output_col] = [o if o is None or isinstance(o, str) else json.dumps(o) for o in outs]
             res_pdf[error_col] = errs
             yield res_pdf
 

@@ -85,12 +85,16 @@ def make_batch_handler(state_dir: str, process: Callable[[DataFrame], DataFrame]
         running = todo.select("job_id", F.lit("running").alias("status"),
                               F.lit(None).cast("string").alias("error"),
                               F.lit(_SEQ_RUNNING).alias("seq"), now.alias("updated_at"))
-        results = process(todo)
-        if "error" not in results.columns:
-            results = results.withColumn("error", F.lit(None).cast("string"))
-        results.write.mode("overwrite").parquet(result_path)
-        stored = spark.read.parquet(result_path)
-        errors = stored.groupBy("job_id").agg(F.max("error").alias("error"))
+        try:
+            results = process(todo)
+            if "error" not in results.columns:
+                results = results.withColumn("error", F.lit(None).cast("string"))
+            results.write.mode("overwrite").parquet(result_path)
+            stored = spark.read.parquet(result_path)
+            errors = stored.groupBy("job_id").agg(F.max("error").alias("error"))
+        except Exception as e:  # noqa: BLE001 -- Q14: the batch outcome sets every job's status
+            msg = f"{type(e).__name__}: {e}"[:1000]
+            errors = todo.select("job_id", F.lit(msg).alias("error"))
         final = todo.select("job_id").join(errors, "job_id", "left").select(
             "job_id", F.when(F.col("error").isNull(), "done").otherwise("error").alias("status"),
             "error", F.lit(_SEQ_FINAL).alias("seq"), now.alias("updated_at"))

@@ -155,3 +155,23 @@ def test_tasks_facade_vote_jobs(spark, tmp_path):
     st = {r["job_id"]: r["status"] for r in tasks.job_status(spark, state).collect()}
     assert sorted(st) == ids and set(st.values()) == {"done"}
     assert tasks.job_results(spark, state).count() >= 1
+
+
+def test_failed_batch_marks_jobs_error_and_stream_continues(spark, tmp_path):
+    incoming, state = tmp_path / "in", tmp_path / "state"
+    incoming.mkdir()
+    (incoming / "a.json").write_text(json.dumps({"id": "j1", "params": "{}", "created_at": "2024-01-01T00:00:00"}))
+
+    def broken(todo):
+        raise ValueError("index unavailable")
+
+    jobs.start_worker(spark, str(incoming), str(state), broken, available_now=True).awaitTermination()
+    cur = {r["job_id"]: (r["status"], r["error"]) for r in jobs.current_jobs(spark, str(state)).collect()}
+    assert cur["j1"][0] == "error" and "index unavailable" in cur["j1"][1]
+
+
+def test_model_may_return_objects(spark):
+    from filingflow.operators import model
+    df = spark.createDataFrame([(1, "x")], "id int, t string")
+    out = model.apply_model(df, lambda pdf: [{"a": 1}] * len(pdf), ["t"], ["id"]).first()
+    assert json.loads(out["model_output"]) == {"a": 1} and out["model_error"] is None
