@@ -109,3 +109,33 @@ def rules_joined(spark, d):
     out = concat.context_concat(pages, ["policy_page"], ["item_id"], "text", sep="\n", name="policy_text")
     return out.select("policy_page", F.col("n_parts").cast("bigint").alias("n_rules"),
                       keys.first_truthy("policy_text", F.lit("no policy rules")).alias("policy_text"))
+
+
+def _phrase_vectors() -> list[list[float]]:
+    from filingflow.plans import proxy_ingest
+    return proxy_ingest.query_vectors()
+
+
+def _phrase_sql() -> str:
+    vals = ", ".join(f"({i}, [{', '.join(repr(float(x)) for x in v)}]::DOUBLE[])"
+                     for i, v in enumerate(_phrase_vectors()))
+    return f"q(query_no, qv) as (values {vals})"
+
+
+@register("phrase_query_retrieval", "JN-5 WN-3 WN-4 AG-8 SRC-11 UD-4 SC-14", oracle=f"""
+with {_phrase_sql()},
+s as (select e.label, e.vec_id, q.query_no,
+             list_inner_product(cast(e.embedding as double[]), q.qv) as sc
+      from embeddings e, q),
+t as (select *, row_number() over (partition by label, query_no order by sc desc, vec_id) as rk
+      from s qualify rk <= 20),
+f as (select label, vec_id, min(query_no * 1000000 + rk) as first from t group by label, vec_id)
+select label, vec_id, merged_rank from (
+  select label, vec_id, row_number() over (partition by label order by first) as merged_rank from f)
+where merged_rank <= 20
+""")
+def phrase_query_retrieval(spark, d):
+    # the five fixed query phrases, embedded once, against every chunk of every filing
+    e = _emb(spark, d)
+    out = retrieval.retrieve(e, _phrase_vectors(), "label", "vec_id", k=20, merge="first_seen")
+    return out.select("label", "vec_id", F.col("merged_rank").cast("bigint").alias("merged_rank"))
