@@ -105,7 +105,7 @@ def decode_html_bytes(spark, d):
     return pages.select("page_id", T.decode_bytes(F.encode("html", "UTF-8")).alias("text"))
 
 
-@register("chunk_json_export", "SNK-3 SRC-8 WN-5 SC-15", oracle=f"""
+@register("chunk_json_export", "SNK-3 WN-5 SC-15", oracle=f"""
 with t as (select doc_id, {_SQL_TOKENS} as tok from documents),
 s as (select doc_id, tok, unnest(range(0, greatest(1, len(tok) - 200), 600)) as st
       from t where len(tok) > 0)
