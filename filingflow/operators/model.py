@@ -226,11 +226,12 @@ REC_SCHEMA = StructType([
 ])
 
 
-def stub_recommendation_model() -> ModelFn:
+def stub_recommendation_model(text_col: str = "prompt") -> ModelFn:
+    """Recommendation derived from the size of the prompt's passages."""
     def fn(pdf: pd.DataFrame) -> list[str]:
         out = []
-        for qid, q, ctx in zip(pdf["question_id"], pdf["proxy_question"], pdf["context"]):
-            n = len((ctx or "").split())
+        for qid, q, ctx in zip(pdf["question_id"], pdf["proxy_question"], pdf[text_col]):
+            n = (ctx or "").count(" ") + 1
             out.append(json.dumps({
                 "question_id": qid, "proxy_question": q,
                 "voting_recommendation": RECOMMENDATIONS[n % 4],

@@ -105,7 +105,8 @@ def recommend(pending: DataFrame, contexts: DataFrame, policies: DataFrame, fn:
     src = src.withColumn("prompt", F.format_string(
         REC_PROMPT, "policy", F.coalesce("company_name", F.lit("")),
         F.coalesce("meeting_date_text", F.lit("")), "question_id", "proxy_question", "context"))
-    out = model.apply_model(src, fn, ["question_id", "proxy_question", "context", "prompt"],
+    # the model sees the prompt (which carries policy and passages) and the question
+    out = model.apply_model(src, fn, ["question_id", "proxy_question", "prompt"],
                             ["filing_id", "question_id"], max_concurrency=max_concurrency)
     if store_output:
         out = materialize(out, "recommendation-output")
