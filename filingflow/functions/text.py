@@ -22,7 +22,10 @@ HTML_DROP_BLOCK_RES = (
     r"(?is)<style\b[^>]*>.*?</style\s*>",
     r"(?is)<noscript\b[^>]*>.*?</noscript\s*>",
 )
-HTML_TAG_RE = r"<[^>]*>"
+# a block left open by a truncated page runs to the end of the document
+HTML_OPEN_BLOCK_RE = r"(?is)<(?:script|style|noscript)\b[^>]*>.*$"
+# a tag starts with a letter, "/", "!" or "?"; a bare "<" in text is data
+HTML_TAG_RE = r"<[A-Za-z/!?][^>]*>"
 WS_RUN_RE = r"(?U)\s+"
 WORD_RE = r"(?U)\S+"
 ITEM_507_RE = r"(?iU)\bITEM\s*5\.07\b"
@@ -75,10 +78,12 @@ def decode_cp1252(b: pd.Series) -> pd.Series:
 
 
 def strip_markup(c) -> Column:
-    """Remove comments, script/style/noscript blocks, then every tag -> space."""
+    """Remove comments, script/style/noscript blocks (closed, then one left
+    open at the end), then every tag -> space."""
     out = F.regexp_replace(_col(c), HTML_COMMENT_RE, " ")
     for pat in HTML_DROP_BLOCK_RES:
         out = F.regexp_replace(out, pat, " ")
+    out = F.regexp_replace(out, HTML_OPEN_BLOCK_RE, " ")
     return F.regexp_replace(out, HTML_TAG_RE, " ")
 
 

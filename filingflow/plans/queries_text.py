@@ -12,12 +12,13 @@ from filingflow.sources.tables import read_table
 
 # DuckDB spelling of the same cleaning steps (RE2 has no back-references, so
 # each dropped block is its own pass, in the same order as the Spark side).
-_SQL_STRIP = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+_SQL_STRIP = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
       '(?s)<!--.*?-->', ' ', 'g'),
       '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'),
       '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'),
       '(?is)<noscript\\b[^>]*>.*?</noscript\\s*>', ' ', 'g'),
-      '<[^>]*>', ' ', 'g')"""
+      '(?is)<(?:script|style|noscript)\\b[^>]*>.*$', ' ', 'g'),
+      '<[A-Za-z/!?][^>]*>', ' ', 'g')"""
 
 
 def _sql_unescape_once(x: str) -> str:

@@ -141,3 +141,12 @@ def test_clean_text_matches_exact_unescape(spark, html):
     hybrid = text.add_clean_text(df, "html").first()["text"]
     exact = df.select(text.html_to_text("html").alias("t")).first()["t"]
     assert hybrid == exact
+
+
+@pytest.mark.parametrize("html,expected", [
+    ("<p>a < b and c > d</p>", "a < b and c > d"),
+    ("<p>kept</p><script>var x = 1; // truncated", "kept"),
+    ("<!DOCTYPE html><?xml x?><p>t</p>", "t"),
+])
+def test_html_parser_like_edges(spark, html, expected):
+    assert one(spark, html, text.html_to_text) == expected
