@@ -31,10 +31,17 @@ from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, Str
 ModelFn = Callable[[pd.DataFrame], "list[str] | pd.Series"]
 
 
-def apply_model(df: DataFrame, fn: ModelFn, input_cols: list[str], keep_cols: list[str],
+def apply_model(df: DataFrame, fn: ModelFn | None, input_cols: list[str], keep_cols: list[str],
                 output_col: str = "model_output", error_col: str = "model_error",
-                max_concurrency: int | None = None) -> DataFrame:
-    """Run ``fn`` over Arrow batches; returns keep_cols + output + error."""
+                max_concurrency: int | None = None,
+                factory: Callable[[], ModelFn] | None = None) -> DataFrame:
+    """Run ``fn`` over Arrow batches; returns keep_cols + output + error.
+
+    ``factory`` builds the model once per task (a client with a connection
+    pool, a local model loaded from disk) instead of shipping a built one.
+    """
+    if fn is None and factory is None:
+        raise ValueError("give fn or factory")
     src = df.select(*dict.fromkeys([*keep_cols, *input_cols]))
     if max_concurrency:
         src = src.repartition(max_concurrency)
@@ -43,19 +50,20 @@ def apply_model(df: DataFrame, fn: ModelFn, input_cols: list[str], keep_cols: li
                              StructField(output_col, StringType()), StructField(error_col, StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model_fn = factory() if factory is not None else fn
         for pdf in batches:
             inp = pdf[input_cols]
             outs: list = [None] * len(pdf)
             errs: list = [None] * len(pdf)
             try:
-                res = list(fn(inp))
+                res = list(model_fn(inp))
                 if len(res) != len(pdf):
                     raise ValueError(f"model returned {len(res)} outputs for {len(pdf)} rows")
                 outs = res
             except Exception:  # noqa: BLE001 -- retry row by row, isolate failures
                 for i in range(len(pdf)):
                     try:
-                        outs[i] = list(fn(inp.iloc[i:i + 1]))[0]
+                        outs[i] = list(model_fn(inp.iloc[i:i + 1]))[0]
                     except Exception as e:  # noqa: BLE001
                         errs[i] = f"{type(e).__name__}: {e}"[:1000]
             res_pdf = pdf[keep_cols].copy()
@@ -114,14 +122,19 @@ def hashing_embedder(dim: int = EMBED_DIM) -> Callable[[pd.Series], pd.Series]:
     return embed
 
 
-def embed_column(text_col: str | Column, embedder: Callable[[pd.Series], pd.Series] | None = None) -> Column:
-    """UD-4 as an Arrow-batched pandas UDF: text -> ``array<float>``."""
-    fn = embedder or hashing_embedder()
+def embed_column(text_col: str | Column, embedder: Callable[[pd.Series], pd.Series] | None = None,
+                 factory: Callable[[], Callable[[pd.Series], pd.Series]] | None = None) -> Column:
+    """UD-4 as an iterator pandas UDF: text -> ``array<float>``.
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def _embed(s: pd.Series) -> pd.Series:
-        return fn(s)
-    return _embed(F.col(text_col) if isinstance(text_col, str) else text_col)
+    The embedder (or ``factory()``, e.g. loading a local model) is set up once
+    per task and then applied to every Arrow batch of the task.
+    """
+    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = factory() if factory is not None else (embedder or hashing_embedder())
+        for s in batches:
+            yield fn(s)
+    udf = F.pandas_udf(_embed, ArrayType(FloatType()))
+    return udf(F.col(text_col) if isinstance(text_col, str) else text_col)
 
 
 def embed_texts_once(df: DataFrame, text_col: str, out_col: str = "embedding",

@@ -133,3 +133,20 @@ def test_versions_and_counts(spark, tmp_path):
     assert merge.latest_version(spark, str(tmp_path / "t")) == 2
     assert merge.read_latest(spark, str(tmp_path / "t")).count() == 3
     assert merge.latest_version(spark, str(tmp_path / "none")) is None
+
+
+def test_model_and_embedder_factories_run_once_per_task(spark):
+    df = spark.range(0, 50, numPartitions=2).select(F.col("id"), F.col("id").cast("string").alias("t"))
+
+    def make_model():
+        import os
+        pid = os.getpid()
+        return lambda pdf: [json.dumps({"pid": pid})] * len(pdf)
+    out = model.apply_model(df, None, ["t"], ["id"], factory=make_model).collect()
+    assert len(out) == 50 and all(r["model_error"] is None for r in out)
+
+    def make_embedder():
+        base = model.hashing_embedder(8)
+        return base
+    emb = df.select(model.embed_column("t", factory=make_embedder).alias("e")).collect()
+    assert all(len(r["e"]) == 8 for r in emb)
