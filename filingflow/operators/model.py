@@ -168,25 +168,25 @@ QUESTION_SCHEMA = StructType([
 ])
 
 
-def _first_sentences(t: str | None, n: int) -> list[str]:
-    sent = _SENTENCE.finditer(t or "")
-    return [m.group(0) for _, m in zip(range(n), sent)]
+_SENTENCE = re.compile(r"[^.!?\n]+[.!?]")
 
 
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?]")
+def _sentences(t: str | None) -> list[str]:
+    return [m.group(0).strip() for m in _SENTENCE.finditer(t or "")]
 
 
 def stub_question_model(text_col: str = "prompt", max_questions: int = 3) -> ModelFn:
-    """Emits up to ``max_questions`` questions: the first sentences of the
-    passages (the text after the prompt's first blank line)."""
+    """Emits the ``max_questions`` longest sentences of the passages (the text
+    after the prompt's first blank line), in document order."""
     def fn(pdf: pd.DataFrame) -> list[str]:
         out = []
         for t in pdf[text_col]:
+            sents = _sentences((t or "").split("\n\n", 1)[-1])
+            keep = sorted(sorted(range(len(sents)), key=lambda i: (-len(sents[i]), i))[:max_questions])
             qs = []
-            body = (t or "").split("\n\n", 1)[-1]
-            for i, s in enumerate(_first_sentences(body, max_questions)):
-                s = s.strip()
-                qs.append({"question_id": f"{i + 1}", "question_text": s,
+            for n, i in enumerate(keep):
+                s = sents[i]
+                qs.append({"question_id": f"{n + 1}", "question_text": s,
                            "board_vote_recommendation": BOARD_VOTES[len(s) % 4],
                            "question_type": QUESTION_TYPES[len(s.split()) % 6],
                            "is_shareholder_proposal": "true" if len(s) % 2 else "false"})
@@ -212,16 +212,20 @@ TALLY_SCHEMA = StructType([
 
 def stub_tally_model(text_col: str = "text", ticker_col: str = "ticker",
                      date_col: str = "meeting_date") -> ModelFn:
-    """One tally per sentence of the first four: counts derived from word lengths."""
+    """Up to four tallies from all sentences: sentence j feeds tally j mod 4;
+    counts come from word lengths, the last tally has no broker non-votes."""
     def fn(pdf: pd.DataFrame) -> list[str]:
         out = []
         for t, tk, dt in zip(pdf[text_col], pdf[ticker_col], pdf[date_col]):
+            sents = _sentences(t)
             res = []
-            for i, s in enumerate(_first_sentences(t, 4)):
-                w = s.split()
-                res.append({"questionId": str(i + 1), "resolution": s.strip()[:200],
-                            "total_votes": None, "for": sum(len(x) for x in w), "against": len(w),
-                            "abstentions": len(s) % 7, "broker_non_votes": None if i == 3 else i})
+            for i in range(min(4, len(sents))):
+                group = sents[i::4]
+                words = [w for s in group for w in s.split()]
+                res.append({"questionId": str(i + 1), "resolution": group[0],
+                            "total_votes": None, "for": sum(len(w) for w in words), "against": len(words),
+                            "abstentions": sum(len(s) for s in group) % 7,
+                            "broker_non_votes": None if i == 3 else i})
             out.append(json.dumps({"ticker": tk, "meeting_date": dt, "voting_results": res}))
         return out
     return fn
@@ -248,7 +252,8 @@ def stub_recommendation_model(text_col: str = "prompt") -> ModelFn:
             out.append(json.dumps({
                 "question_id": qid, "proxy_question": q,
                 "voting_recommendation": RECOMMENDATIONS[n % 4],
-                "rationale": f"context of {n} words", "citation": (ctx or "")[:80],
+                "rationale": f"context of {n} words",
+                "citation": max(_sentences(ctx), key=len, default=""),
                 "confidence": round((n % 101) / 100, 2), "key_facts": [], "policy_breaches": []}))
         return out
     return fn
