@@ -150,3 +150,23 @@ def test_model_and_embedder_factories_run_once_per_task(spark):
         return base
     emb = df.select(model.embed_column("t", factory=make_embedder).alias("e")).collect()
     assert all(len(r["e"]) == 8 for r in emb)
+
+
+def test_recommendation_validation(spark):
+    from filingflow.plans import recommendation
+    pending = spark.createDataFrame([(1, "1a", "q", "Co", "June 05 2025", 0), (1, "1b", "q", "Co", None, 0),
+                                     (1, "1c", "q", "Co", None, 0)],
+                                    "filing_id long, question_id string, proxy_question string, "
+                                    "company_name string, meeting_date_text string, policy_id int")
+    contexts = spark.createDataFrame([(1, "1a", "ctx")], "filing_id long, question_id string, context string")
+    policies = spark.createDataFrame([(0, "Rule.")], "policy_id int, policy_rules string")
+    answers = {"1a": {"voting_recommendation": "For", "confidence": 0.7},
+               "1b": {"voting_recommendation": "Maybe", "confidence": 0.5},
+               "1c": {"voting_recommendation": "Against", "confidence": 1.2}}
+
+    def fn(pdf):
+        return [json.dumps({"question_id": q, **answers[q]}) for q in pdf["question_id"]]
+    res, bad = recommendation.recommend(pending, contexts, policies, fn, max_concurrency=None)
+    assert [(r["question_id"], r["confidence"]) for r in res.collect()] == [("1a", 0.7)]
+    assert {r["question_id"]: r["reject_reason"] for r in bad.collect()} == {
+        "1b": "bad recommendation", "1c": "confidence out of range"}

@@ -32,6 +32,8 @@ def test_html_null(spark):
 
 @pytest.mark.parametrize("s,expected", [
     ("Item 5.07 Submission", True),
+    ("Item\u00a05.07", True),
+    ("item\u2003\u00a05.07.", True),
     ("ITEM5.07", True),
     (None, False),
     ("Item 5.070", False),
