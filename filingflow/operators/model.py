@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,11 +35,14 @@ ModelFn = Callable[[pd.DataFrame], "list[str] | pd.Series"]
 def apply_model(df: DataFrame, fn: ModelFn | None, input_cols: list[str], keep_cols: list[str],
                 output_col: str = "model_output", error_col: str = "model_error",
                 max_concurrency: int | None = None,
-                factory: Callable[[], ModelFn] | None = None) -> DataFrame:
+                factory: Callable[[], ModelFn] | None = None,
+                retries: int = 2, backoff_seconds: float = 0.0) -> DataFrame:
     """Run ``fn`` over Arrow batches; returns keep_cols + output + error.
 
     ``factory`` builds the model once per task (a client with a connection
     pool, a local model loaded from disk) instead of shipping a built one.
+    When a batch call fails, each row is tried alone up to ``retries`` more
+    times (``backoff_seconds`` apart); rows that still fail carry the error.
     """
     if fn is None and factory is None:
         raise ValueError("give fn or factory")
@@ -62,10 +66,15 @@ def apply_model(df: DataFrame, fn: ModelFn | None, input_cols: list[str], keep_c
                 outs = res
             except Exception:  # noqa: BLE001 -- retry row by row, isolate failures
                 for i in range(len(pdf)):
-                    try:
-                        outs[i] = list(model_fn(inp.iloc[i:i + 1]))[0]
-                    except Exception as e:  # noqa: BLE001
-                        errs[i] = f"{type(e).__name__}: {e}"[:1000]
+                    for attempt in range(max(retries, 1)):
+                        try:
+                            outs[i] = list(model_fn(inp.iloc[i:i + 1]))[0]
+                            errs[i] = None
+                            break
+                        except Exception as e:  # noqa: BLE001
+                            errs[i] = f"{type(e).__name__}: {e}"[:1000]
+                            if backoff_seconds and attempt + 1 < retries:
+                                time.sleep(backoff_seconds)
             res_pdf = pdf[keep_cols].copy()
             # models may hand back parsed objects; store JSON text either way
             res_pdf[output_col] = [o if o is None or isinstance(o, str) else json.dumps(o) for o in outs]

@@ -170,3 +170,23 @@ def test_recommendation_validation(spark):
     assert [(r["question_id"], r["confidence"]) for r in res.collect()] == [("1a", 0.7)]
     assert {r["question_id"]: r["reject_reason"] for r in bad.collect()} == {
         "1b": "bad recommendation", "1c": "confidence out of range"}
+
+
+def test_model_row_retries(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    marker = str(tmp_path / "calls")
+
+    def flaky(pdf):
+        # row "b" fails on its first two single-row calls, then succeeds
+        import os
+        if len(pdf) > 1:
+            raise RuntimeError("batch failed")
+        if pdf["t"].iloc[0] == "b":
+            n = len(os.listdir(marker)) if os.path.isdir(marker) else 0
+            os.makedirs(marker, exist_ok=True)
+            open(os.path.join(marker, str(n)), "w").close()
+            if n < 2:
+                raise RuntimeError("transient")
+        return ["{}"]
+    ok = {r["id"]: r["model_error"] for r in model.apply_model(df.coalesce(1), flaky, ["t"], ["id"], retries=3).collect()}
+    assert ok == {1: None, 2: None}
