@@ -15,6 +15,14 @@ def _q(c: str) -> str:
     return f"`{c}`"
 
 
+def _with_keys(df: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Rows whose key columns are all present (grouping drops null keys)."""
+    cond = F.lit(True)
+    for k in key_cols:
+        cond = cond & F.col(k).isNotNull()
+    return df.where(cond)
+
+
 def latest_nonnull(df: DataFrame, key_cols: list[str], order_col: str,
                    value_cols: list[str]) -> DataFrame:
     """Parity mode: per key and per column, the value from the row with the
@@ -24,8 +32,7 @@ def latest_nonnull(df: DataFrame, key_cols: list[str], order_col: str,
     column" returns, so one output row may mix values of different input rows.
     Rows with a null key are dropped.
     """
-    kept = df.where(F.greatest(*[F.col(k).isNull() for k in key_cols]) == F.lit(False)) \
-        if len(key_cols) > 1 else df.where(F.col(key_cols[0]).isNotNull())
+    kept = _with_keys(df, key_cols)
     aggs = [F.expr(f"max_by({_q(c)}, {_q(order_col)}) FILTER (WHERE {_q(c)} IS NOT NULL)").alias(c)
             for c in value_cols]
     return kept.groupBy(*key_cols).agg(*aggs)
@@ -34,8 +41,6 @@ def latest_nonnull(df: DataFrame, key_cols: list[str], order_col: str,
 def latest_whole_row(df: DataFrame, key_cols: list[str], order_cols: list[str],
                      value_cols: list[str]) -> DataFrame:
     """Strict mode: the one whole row with the greatest ``order_cols`` tuple."""
-    kept = df
-    for k in key_cols:
-        kept = kept.where(F.col(k).isNotNull())
+    kept = _with_keys(df, key_cols)
     best = F.max_by(F.struct(*value_cols), F.struct(*order_cols)).alias("_best")
     return kept.groupBy(*key_cols).agg(best).select(*key_cols, "_best.*")
