@@ -169,8 +169,11 @@ def decode_bytes(c) -> Column:
     """SC-9: strict UTF-8 when valid, else Windows-1252 with replacement."""
     b = _col(c)
     as_str = b.cast("string")
-    return F.when(b.isNull(), F.lit(None).cast("string")).when(
-        F.is_valid_utf8(as_str), as_str).otherwise(decode_cp1252(b))
+    valid = F.is_valid_utf8(as_str)
+    # a Python UDF in a conditional branch still runs for every row, so it is
+    # fed the bytes only where the strict decode failed (null elsewhere)
+    fallback = decode_cp1252(F.when(~valid, b))
+    return F.when(b.isNull(), F.lit(None).cast("string")).when(valid, as_str).otherwise(fallback)
 
 
 PDF_MAGIC = bytearray(b"%PDF")
