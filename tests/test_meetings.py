@@ -86,3 +86,20 @@ def test_e3_fetch_plan(spark, rows, tmp_path):
     reasons = sorted(r["reason"] for r in diag.collect())
     assert reasons == ["document missing: M2", "ticker is required"]
     assert (tmp_path / "out" / "security=AAPL_US0378331005").is_dir()
+
+
+def test_tasks_facade_meetings(spark, tmp_path):
+    from filingflow import tasks
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    (feed / "t.json").write_text(json.dumps({"ticker": "AAPL", "companies": [
+        {"isin": "US0378331005", "meetings": [{"meetingId": "M1", "meetingDate": "2024-01-01"}]}]}))
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "M1.json").write_text(json.dumps({"meeting": "data"}))
+    req = spark.createDataFrame([("a", "AAPL", "US0378331005", 3, None), ("b", "AAPL", None, 3, None)], REQ_SCHEMA)
+    found, diag = tasks.list_meetings(spark, str(feed), req.drop("meeting_ids"))
+    assert [r["meeting_id"] for r in found.collect()] == ["M1"]
+    assert [r["reason"] for r in diag.collect()] == ["isin is required"]
+    out, diag2 = tasks.fetch_meetings(spark, str(feed), str(docs), req, str(tmp_path / "out"))
+    assert [r["meeting_id"] for r in out.collect()] == ["M1"] and diag2.count() == 1
