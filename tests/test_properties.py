@@ -82,3 +82,27 @@ def test_insert_ignore_and_upsert_against_loops(spark):
         exp[k] = (v, e if e is not None else old[1])
     got = {r["k"]: (r["v"], r["e"]) for r in up.collect()}
     assert got == exp
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from filingflow.operators import chunking  # noqa: E402
+
+
+def declared_starts(n, size, overlap):
+    stride = size - overlap
+    return [s for s in range(0, n, stride) if s == 0 or s - stride + size < n]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.integers(2, 60).flatmap(lambda size: st.tuples(
+    st.just(size), st.integers(1, size - 1), st.lists(st.integers(0, 400), min_size=1, max_size=40))))
+def test_window_starts_any_size(spark, case):
+    size, overlap, ns = case
+    df = spark.createDataFrame([(n,) for n in ns], "n int")
+    got = df.select("n", chunking.window_starts(F.col("n"), size, overlap).alias("s"),
+                    chunking.chunk_count(F.col("n"), size, overlap).alias("c")).collect()
+    for r in got:
+        exp = declared_starts(r["n"], size, overlap)
+        assert list(r["s"]) == exp and r["c"] == len(exp)
