@@ -7,11 +7,12 @@ then two merges from the same cached batch: results upsert and status log.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingflow.functions import keys
 from filingflow.operators import concat, merge, model, quality, retrieval, status
+from filingflow.operators.ranking import top_n_per_group
 from filingflow.session import materialize
 
 REC_K = retrieval.RAG_TOP_K
@@ -65,24 +66,20 @@ def policy_texts(rules: DataFrame, policy_col: str = "policy_id") -> DataFrame:
 def question_contexts(pending: DataFrame, chunks: DataFrame, k: int = REC_K) -> DataFrame:
     """JN-5b + WN-3 + AG-2: context per question from its own filing's chunks,
     using the question embedding as the query."""
+    # number the questions within their filing: query_no is the join key back
+    per_filing = Window.partitionBy("filing_id").orderBy("question_id")
     q = pending.where(F.col("question_embedding").isNotNull()).select(
-        "filing_id", F.dense_rank().over(_qwin()).alias("query_no"), "question_id",
+        "filing_id", F.dense_rank().over(per_filing).alias("query_no"), "question_id",
         F.col("question_embedding").alias("qv"))
     ids = q.select("filing_id", "query_no", "question_id")
     scored = retrieval.score_all(chunks.select("filing_id", "chunk_index", "chunk_text", "embedding"),
                                  q.drop("question_id"), "filing_id").drop("embedding")
     ex = scored.select("filing_id", "chunk_index", "chunk_text", F.inline("scores"))
-    from filingflow.operators.ranking import top_n_per_group
     top = top_n_per_group(ex, ["filing_id", "query_no"], [F.desc("score"), F.asc("chunk_index")], k, "rank")
     ctx = concat.context_concat(top, ["filing_id", "query_no"], ["rank"], "chunk_text")
     return ctx.join(ids, ["filing_id", "query_no"]).drop("query_no")
 
 
-def _qwin():
-    from pyspark.sql import Window
-    return Window.partitionBy("filing_id").orderBy("question_id")
-
-
 def recommend(pending: DataFrame, contexts: DataFrame, policies: DataFrame, fn: model.ModelFn,
               custom_policy: str | None = None, max_concurrency: int | None = 20,
               store_output: bool = True) -> tuple[DataFrame, DataFrame]:
