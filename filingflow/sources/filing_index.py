@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from filingflow.functions.keys import document_or_default, year_of_text
 
@@ -46,16 +46,14 @@ def page_struct(df: DataFrame) -> Column:
     return F.coalesce(F.col("filings.recent"), top)
 
 
-def uniform_lengths(page: Column, columns=INDEX_COLUMNS) -> Column:
-    """AG-7: every present column array has the same length."""
-    sizes = F.array(*[F.size(page[c]) for c in columns])
-    known = F.filter(sizes, lambda s: s.isNotNull() & (s >= 0))
-    return F.size(F.array_distinct(known)) <= 1
+def _present_sizes(page: Column, columns) -> Column:
+    """Lengths of the column arrays that are present (a missing column is null)."""
+    return F.filter(F.array(*[F.size(page[c]) for c in columns]), lambda s: s.isNotNull() & (s >= 0))
 
 
-def _row_count(page: Column, columns) -> Column:
-    return F.array_max(F.filter(F.array(*[F.size(page[c]) for c in columns]),
-                                lambda s: s.isNotNull() & (s >= 0)))
+def uniform_lengths(page: Column, columns=INDEX_COLUMNS) -> Column:
+    """AG-7: every present column array has the same length."""
+    return F.size(F.array_distinct(_present_sizes(page, columns))) <= 1
 
 
 def index_rows(pages: DataFrame, key_cols: list[str], page_col: str = "page",
@@ -66,11 +64,10 @@ def index_rows(pages: DataFrame, key_cols: list[str], page_col: str = "page",
     tagged = pages.withColumn("_ok", F.coalesce(uniform_lengths(page, columns), F.lit(True)))
     rejects = tagged.where(~F.col("_ok")).select(*key_cols, F.lit("unequal column lengths").alias("reason"))
     ok = tagged.where(F.col("_ok"))
-    n = F.coalesce(_row_count(page, columns), F.lit(0))
-    rows = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-                       lambda i: F.struct(i.alias("row_pos"), *[F.get(page[c], i).alias(c) for c in columns]))
-    rows = F.when(n > 0, rows).otherwise(F.array().cast(
-        ArrayType(StructType([StructField("row_pos", IntegerType()), *[StructField(c, StringType()) for c in columns]]))))
+    n = F.coalesce(F.array_max(_present_sizes(page, columns)), F.lit(0))
+    # one struct per position; a page without rows yields null, which inline skips
+    rows = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        i.alias("row_pos"), *[F.get(page[c], i).alias(c) for c in columns])))
     out = ok.select(*key_cols, F.inline(rows))
     return out, rejects
 

@@ -133,3 +133,10 @@ def test_chunk_handoff_files_roundtrip(spark, tmp_path):
     back = handoff.chunks_as_json(rows.where(F.col("filing_key") == "f1"), "filing_key").first()["json"]
     assert json.loads(back) == [{"chunk_index": 0, "chunk_text": "a b", "embedding": [0.5, 0.5]},
                                 {"chunk_index": 1, "chunk_text": "c", "embedding": [1.0, 0.0]}]
+
+
+def test_empty_and_missing_pages(spark):
+    pages = spark.createDataFrame([("a", {"form": []}), ("b", None)], "k string, page map<string, array<string>>") \
+        .select("k", F.struct(*[F.col("page")[c].alias(c) for c in filing_index.INDEX_COLUMNS]).alias("page"))
+    rows, rej = filing_index.index_rows(pages, ["k"])
+    assert rows.count() == 0 and rej.count() == 0
