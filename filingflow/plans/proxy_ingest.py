@@ -35,7 +35,8 @@ QUESTION_PROMPT = ("Extract every proxy voting question from the passages of {co
 
 def select_proxy_filings(index_rows: DataFrame, year: int | None = None) -> DataFrame:
     """FLT-3 (+ FLT-1 when ``year``): DEF 14A / DEFR14A rows of a normalised index
-    ``(cik, accessionNumber, filing_date, form, primaryDocument)``; adds keys."""
+    ``(cik, accessionNumber, filing_date, form, primaryDocument)``; adds keys.
+    A filing listed on several index pages is kept once."""
     sel = index_rows.where(forms.is_proxy_statement("form"))
     if year is not None:
         sel = sel.where(keys.year_range("filing_date", year))
@@ -44,7 +45,8 @@ def select_proxy_filings(index_rows: DataFrame, year: int | None = None) -> Data
         cik.alias("cik"), F.col("accessionNumber").alias("accession_number"),
         F.col("primaryDocument").alias("primary_document"), "filing_date", "form",
         keys.proxy_id(cik, F.col("accessionNumber")).alias("proxy_id"),
-        keys.archive_url(cik, F.col("accessionNumber"), F.col("primaryDocument")).alias("url"))
+        keys.archive_url(cik, F.col("accessionNumber"), F.col("primaryDocument")).alias("url")) \
+        .dropDuplicates(["proxy_id"])
 
 
 def new_filings(selected: DataFrame, stored: DataFrame, redo: DataFrame | None = None) -> DataFrame:

@@ -175,3 +175,37 @@ def test_model_may_return_objects(spark):
     df = spark.createDataFrame([(1, "x")], "id int, t string")
     out = model.apply_model(df, lambda pdf: [{"a": 1}] * len(pdf), ["t"], ["id"]).first()
     assert json.loads(out["model_output"]) == {"a": 1} and out["model_error"] is None
+
+
+def test_incremental_ingest_stream(spark, tmp_path):
+    from filingflow.streaming import ingest
+    words = " ".join(f"w{i}." if i % 9 == 8 else f"w{i}" for i in range(900))
+    base = "https://www.sec.gov/Archives/edgar/data/1"
+    docs = spark.createDataFrame([(f"{base}/{a}/d.htm", f"<p>{words}</p>")
+                                  for a in ("000000000122000001", "000000000122000002", "000000000122000003")],
+                                 "url string, html string")
+    idx, state = tmp_path / "idx", str(tmp_path / "state")
+    idx.mkdir()
+
+    def page(accs):
+        return json.dumps({"cik": "1", "filings": {"recent": {
+            "accessionNumber": accs, "filingDate": ["2022-04-01"] * len(accs), "form": ["DEF 14A"] * len(accs),
+            "primaryDocument": ["d.htm"] * len(accs)}}})
+
+    def run(redo=None):
+        ingest.start(spark, str(idx), state, docs, 2022, redo=redo, available_now=True).awaitTermination()
+
+    (idx / "p1.json").write_text(page(["0000000001-22-000001", "0000000001-22-000002"]))
+    (idx / "p1b.json").write_text(page(["0000000001-22-000001"]))  # overlapping page, same batch
+    run()
+    (idx / "p2.json").write_text(page(["0000000001-22-000002", "0000000001-22-000003"]))
+    run()
+    cur = {r["proxy_id"][-2:]: r["batch_id"] for r in ingest.stored_filings(spark, state).collect()}
+    assert cur == {"01": 0, "02": 0, "03": 1}  # 02 was delivered again and skipped
+    redo = spark.createDataFrame([("0000000001_0000000001-22-000001",)], "proxy_id string")
+    (idx / "p3.json").write_text(page(["0000000001-22-000001"]))
+    run(redo)
+    cur = {r["proxy_id"][-2:]: r["batch_id"] for r in ingest.stored_filings(spark, state).collect()}
+    assert cur == {"01": 2, "02": 0, "03": 1}
+    ch = ingest.stored_chunks(spark, state)
+    assert ch.count() == 3 * 2  # two windows per filing, the re-ingested one counted once
