@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from filingflow.functions.common import as_col as _col
+
 # Form patterns.
 FORM_8K_PATTERN = "8-K"
 PROXY_FORM_RE = r"(?i)^DEFR? ?14A$"
@@ -20,10 +22,6 @@ FORM_CLASSES = (
 OTHER_CLASS = ("other", "other")
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def form_matches(c, pattern: str = FORM_8K_PATTERN) -> Column:
     """FLT-2: regex ``pattern`` found anywhere, case-insensitive; null -> false.
 

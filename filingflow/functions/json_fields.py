@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+from filingflow.functions.common import as_col as _col
+from pyspark.sql.types import StructType
 
 
 def parse_json(c, schema: StructType | str) -> Column:

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from filingflow.functions.common import as_col as _col
+
 # Public archive URL root, default document name, key widths.
 ARCHIVE_BASE = "https://www.sec.gov/Archives/edgar/data"
 DEFAULT_DOCUMENT = "primary_doc.htm"
 CIK_WIDTH = 10
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def pad_cik(c) -> Column:
     """SC-1: zero-pad to 10 characters, never truncating longer values."""
     s = _col(c).cast("string")

@@ -12,6 +12,8 @@ import html as _html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from filingflow.functions.common import as_col as _col
 from pyspark.sql.types import StringType
 
 # Fixed patterns.  Java regex syntax; (?U) makes \s, \S and \b Unicode-aware so
@@ -53,10 +55,6 @@ COMMON_ENTITIES = (
 )
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def _unescape_twice(s: pd.Series) -> pd.Series:
     def one(x):
         if "&" not in x:

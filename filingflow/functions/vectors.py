@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+from filingflow.functions.common import as_col as _col
 
 
 def dot(a, b) -> Column:
