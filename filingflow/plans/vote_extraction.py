@@ -25,14 +25,22 @@ def candidate_filings(jobs: DataFrame, index_rows: DataFrame, strict: bool = Fal
     """FLT-1/2/4 + AG-1: per job, the latest 8-K per meeting date.
 
     ``index_rows`` is a normalised index (cik, accessionNumber, filing_date,
-    meeting_date, form, items, primaryDocument).  The meeting date falls back
-    to the filing date when the index has no meeting date at all.
+    meeting_date, form, items, primaryDocument, optional present_cols).  The
+    grouping date falls back per company index, not per row: when any page
+    of the company's index carries the meeting-date column, filings are
+    grouped by meeting date and those without one are dropped; only a
+    company whose index has no such column is grouped by filing date.
     """
-    j = jobs.select("job_id", keys.pad_cik("cik").alias("cik"), "year") \
-        .join(index_rows.withColumn("cik", keys.pad_cik("cik")), "cik")
+    idx = index_rows.withColumn("cik", keys.pad_cik("cik"))
+    has_col = F.array_contains("present_cols", "meetingDate") if "present_cols" in idx.columns \
+        else F.col("meeting_date").isNotNull()
+    # one flag per company (a map-side combined aggregate over its index rows)
+    per_company = idx.groupBy("cik").agg(F.max(has_col).alias("_meeting_col"))
+    j = jobs.select("job_id", keys.pad_cik("cik").alias("cik"), "year").join(idx, "cik")
     sel = j.where((F.year("filing_date") == F.col("year")) & forms.form_matches("form")
                   & forms.items_include("items"))
-    sel = sel.withColumn("group_date", F.coalesce("meeting_date", "filing_date"))
+    sel = sel.join(per_company, "cik").withColumn(
+        "group_date", F.when(F.col("_meeting_col"), F.col("meeting_date")).otherwise(F.col("filing_date")))
     cols = ["accessionNumber", "primaryDocument", "filing_date", "form"]
     if strict:
         return latest.latest_whole_row(sel, ["job_id", "cik", "group_date"], ["filing_date", "accessionNumber"], cols)

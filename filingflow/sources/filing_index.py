@@ -59,7 +59,9 @@ def uniform_lengths(page: Column, columns=INDEX_COLUMNS) -> Column:
 def index_rows(pages: DataFrame, key_cols: list[str], page_col: str = "page",
                columns=INDEX_COLUMNS) -> tuple[DataFrame, DataFrame]:
     """SRC-1: ``(rows, rejects)``.  A missing column becomes nulls (SO-1); a
-    page with unequal column lengths goes to rejects whole."""
+    page with unequal column lengths goes to rejects whole.  ``present_cols``
+    lists the columns the row's page actually carried (absent differs from
+    null for the per-index fallbacks of AG-1)."""
     page = F.col(page_col)
     tagged = pages.withColumn("_ok", F.coalesce(uniform_lengths(page, columns), F.lit(True)))
     rejects = tagged.where(~F.col("_ok")).select(*key_cols, F.lit("unequal column lengths").alias("reason"))
@@ -68,7 +70,8 @@ def index_rows(pages: DataFrame, key_cols: list[str], page_col: str = "page",
     # one struct per position; a page without rows yields null, which inline skips
     rows = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
         i.alias("row_pos"), *[F.get(page[c], i).alias(c) for c in columns])))
-    out = ok.select(*key_cols, F.inline(rows))
+    present = F.array_compact(F.array(*[F.when(page[c].isNotNull(), F.lit(c)) for c in columns]))
+    out = ok.select(*key_cols, present.alias("present_cols"), F.inline(rows))
     return out, rejects
 
 

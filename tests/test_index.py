@@ -140,3 +140,24 @@ def test_empty_and_missing_pages(spark):
         .select("k", F.struct(*[F.col("page")[c].alias(c) for c in filing_index.INDEX_COLUMNS]).alias("page"))
     rows, rej = filing_index.index_rows(pages, ["k"])
     assert rows.count() == 0 and rej.count() == 0
+
+
+def test_grouping_fallback_is_per_index_not_per_row(spark, tmp_path):
+    from filingflow.plans import vote_extraction
+    d = tmp_path / "idx2"
+    d.mkdir()
+    # company 1: meeting dates exist, one 8-K lacks it -> that one is dropped
+    (d / "c1.json").write_text(json.dumps({"cik": "1", "filings": {"recent": {
+        "accessionNumber": ["a1", "a2"], "filingDate": ["2022-05-10", "2022-06-10"], "form": ["8-K", "8-K"],
+        "items": ["5.07", "5.07"], "primaryDocument": ["x.htm", "y.htm"], "meetingDate": ["2022-05-06", None]}}}))
+    # company 2: no meetingDate column anywhere -> grouped by filing date
+    (d / "c2.json").write_text(json.dumps({"cik": "2", "filings": {"recent": {
+        "accessionNumber": ["b1", "b2"], "filingDate": ["2022-05-10", "2022-05-10"], "form": ["8-K", "8-K"],
+        "items": ["5.07", "5.07"], "primaryDocument": ["x.htm", "y.htm"]}}}))
+    raw = filing_index.read_index_files(spark, str(d))
+    rows, _ = filing_index.index_rows(raw.select("cik", "source_file", filing_index.page_struct(raw).alias("page")),
+                                      ["cik", "source_file"])
+    jobs = spark.createDataFrame([("j1", "1", 2022), ("j2", "2", 2022)], "job_id string, cik string, year int")
+    got = sorted((r["job_id"], str(r["group_date"]), r["accessionNumber"])
+                 for r in vote_extraction.candidate_filings(jobs, filing_index.normalise(rows)).collect())
+    assert got == [("j1", "2022-05-06", "a1"), ("j2", "2022-05-10", "b2")]
