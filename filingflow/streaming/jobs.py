@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from filingflow.operators import status as st
+from filingflow.streaming import logs
 
 JOB_SCHEMA = StructType([
     StructField("id", StringType()),
@@ -48,13 +49,18 @@ def write_requests(requests: DataFrame, incoming_dir: str) -> None:
     out.select("id", "params", "created_at").write.mode("append").json(incoming_dir)
 
 
+STATUS_SCHEMA = "job_id string, status string, error string, seq int, updated_at timestamp, batch_id bigint"
+
+
 def read_status(spark: SparkSession, state_dir: str) -> DataFrame:
-    path = os.path.join(state_dir, STATUS_DIR)
-    schema = "job_id string, status string, error string, seq int, updated_at timestamp, batch_id bigint"
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 -- nothing written yet
-        return spark.createDataFrame([], schema)
+    """Status rows needed for the current state: latest snapshot + newer batches."""
+    return logs.read(spark, os.path.join(state_dir, STATUS_DIR), STATUS_SCHEMA)
+
+
+def compact_status(spark: SparkSession, state_dir: str) -> int | None:
+    """Snapshot the current status of every job (a new folder); later reads
+    skip all log folders up to the returned batch id."""
+    return logs.compact(spark, os.path.join(state_dir, STATUS_DIR), STATUS_SCHEMA, ["job_id"], ["batch_id", "seq"])
 
 
 def current_jobs(spark: SparkSession, state_dir: str) -> DataFrame:
@@ -79,7 +85,7 @@ def make_batch_handler(state_dir: str, process: Callable[[DataFrame], DataFrame]
         done = st.current_status(log, ["job_id"], ["batch_id", "seq"], ["status"]) \
             .where(F.col("status") == "done").select("job_id")
         todo = jobs.join(done, "job_id", "left_anti").persist()
-        status_path = os.path.join(state_dir, STATUS_DIR, f"batch_id={batch_id}")
+        status_path = logs.log_path(os.path.join(state_dir, STATUS_DIR), batch_id)
         result_path = os.path.join(state_dir, RESULT_DIR, f"batch_id={batch_id}")
         now = F.current_timestamp()
         running = todo.select("job_id", F.lit("running").alias("status"),

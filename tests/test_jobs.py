@@ -209,3 +209,24 @@ def test_incremental_ingest_stream(spark, tmp_path):
     assert cur == {"01": 2, "02": 0, "03": 1}
     ch = ingest.stored_chunks(spark, state)
     assert ch.count() == 3 * 2  # two windows per filing, the re-ingested one counted once
+
+
+def test_status_log_compaction(spark, tmp_path):
+    incoming, state = tmp_path / "in", tmp_path / "state"
+    incoming.mkdir()
+
+    def process(todo):
+        return todo.select("job_id", F.lit(1).alias("x"))
+
+    for i in range(3):
+        (incoming / f"r{i}.json").write_text(json.dumps({"id": f"j{i}", "params": "{}",
+                                                         "created_at": "2024-01-01T00:00:00"}))
+        jobs.start_worker(spark, str(incoming), str(state), process, available_now=True).awaitTermination()
+        if i == 1:
+            assert jobs.compact_status(spark, str(state)) == 1
+    rows = jobs.read_status(spark, str(state))
+    # snapshot: one row per job up to batch 1; log: both rows of batch 2
+    assert rows.count() == 2 + 2
+    cur = {r["job_id"]: r["status"] for r in jobs.current_jobs(spark, str(state)).collect()}
+    assert cur == {"j0": "done", "j1": "done", "j2": "done"}
+    assert jobs.job_results(spark, str(state)).count() == 3
