@@ -35,8 +35,11 @@ def pending_questions(questions: DataFrame, filings: DataFrame, status_log: Data
         q = q.drop("status").join(cur, RESULT_KEY, "left") \
             .withColumn("status", F.coalesce("status", F.lit("NEW")))
         if max_attempts is not None:
-            failed = status_log.where(F.col("status") == "ERROR").groupBy(*RESULT_KEY) \
-                .agg(F.count(F.lit(1)).alias("_fails")).where(F.col("_fails") >= max_attempts)
+            # a compacted log carries earlier failures in error_count
+            carried = F.col("error_count") if "error_count" in status_log.columns else F.lit(None)
+            failed = status_log.groupBy(*RESULT_KEY).agg(F.sum(F.coalesce(
+                carried, F.when(F.col("status") == "ERROR", 1).otherwise(0))).alias("_fails")) \
+                .where(F.col("_fails") >= max_attempts)
             q = q.join(failed.select(*RESULT_KEY), RESULT_KEY, "left_anti")
     q = q.where(F.col("status").isin(*status.QUESTION_PENDING))
     if only_ids is not None:

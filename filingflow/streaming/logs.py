@@ -51,14 +51,27 @@ def read(spark: SparkSession, base: str, schema: str) -> DataFrame:
     return snap.unionByName(log.where(F.col("batch_id") > s))
 
 
-def compact(spark: SparkSession, base: str, schema: str, key_cols: list[str], order_cols: list[str]) -> int | None:
-    """Write a snapshot of the latest row per key; returns its ``upto``."""
+def compact(spark: SparkSession, base: str, schema: str, key_cols: list[str], order_cols: list[str],
+            counters: dict | None = None) -> int | None:
+    """Write a snapshot of the latest row per key; returns its ``upto``.
+
+    ``counters`` maps a count column of the schema (null in log rows) to a
+    condition; the snapshot keeps, per key, how many rows so far matched it,
+    so history-based rules (e.g. retry limits) survive compaction.
+    """
     rows = read(spark, base, schema)
     upto = rows.agg(F.max("batch_id")).first()[0]
     if upto is None:
         return None
-    value_cols = [c for c in rows.columns if c not in key_cols]
+    counters = counters or {}
+    value_cols = [c for c in rows.columns if c not in key_cols and c not in counters]
     latest = status.current_status(rows, key_cols, order_cols, value_cols)
+    if counters:
+        counts = rows.groupBy(*key_cols).agg(*[
+            F.sum(F.coalesce(F.col(name), F.when(cond, 1).otherwise(0))).cast("bigint").alias(name)
+            for name, cond in counters.items()])
+        latest = latest.join(counts, key_cols)
     latest.select(*rows.columns).write.mode("overwrite").parquet(
         os.path.join(base, SNAPSHOT, f"upto={int(upto)}"))
     return int(upto)
+

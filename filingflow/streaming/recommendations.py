@@ -19,24 +19,24 @@ from pyspark.sql import functions as F
 
 from filingflow.operators import model, status
 from filingflow.plans import recommendation as rec
+from filingflow.streaming import logs
 
 RESULTS, STATUS = "results", "status"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 -- nothing written yet
-        return spark.createDataFrame([], schema)
-
-
 STATUS_SCHEMA = ("filing_id long, question_id string, status string, error_msg string, "
-                 "last_attempt timestamp, batch_id long")
+                 "last_attempt timestamp, error_count bigint, batch_id long")
 
 
 def status_log(spark: SparkSession, state_dir: str) -> DataFrame:
-    log = _read(spark, os.path.join(state_dir, STATUS), STATUS_SCHEMA)
-    return log.withColumnRenamed("batch_id", "seq")
+    """Question status rows (snapshot + newer batches); ``seq`` = batch id."""
+    return logs.read(spark, os.path.join(state_dir, STATUS), STATUS_SCHEMA).withColumnRenamed("batch_id", "seq")
+
+
+def compact_status(spark: SparkSession, state_dir: str) -> int | None:
+    """Snapshot the question log, keeping each question's ERROR count."""
+    return logs.compact(spark, os.path.join(state_dir, STATUS), STATUS_SCHEMA, rec.RESULT_KEY, ["batch_id"],
+                        counters={"error_count": F.col("status") == "ERROR"})
 
 
 def current_recommendations(spark: SparkSession, state_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def make_handler(questions_dir: str, state_dir: str, filings: DataFrame, chunks:
         results, failures = rec.recommend(pending, contexts, policies, fn, max_concurrency=None)
         results.write.mode("overwrite").parquet(os.path.join(state_dir, RESULTS, f"batch_id={batch_id}"))
         rec.status_entries(results, failures, batch_id).drop("seq") \
-            .write.mode("overwrite").parquet(os.path.join(state_dir, STATUS, f"batch_id={batch_id}"))
+            .write.mode("overwrite").parquet(logs.log_path(os.path.join(state_dir, STATUS), batch_id))
     return handle
 
 

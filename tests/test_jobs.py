@@ -99,6 +99,7 @@ def test_recommendation_worker_retries_errors(spark, tmp_path):
         .awaitTermination()
     first = current()
     assert first["1"] == ("DONE", None) and first["2"][0] == "ERROR" and "timeout" in first["2"][1]
+    assert worker.compact_status(spark, state) == 0  # later batches read the snapshot
     switch.unlink()
     # a new question file arrives; its batch also retries question 2
     spark.createDataFrame([(1, "3", "Ratify C?", "NEW", [1.0, 1.0])], qschema).write.mode("append").parquet(qdir)
@@ -230,3 +231,18 @@ def test_status_log_compaction(spark, tmp_path):
     cur = {r["job_id"]: r["status"] for r in jobs.current_jobs(spark, str(state)).collect()}
     assert cur == {"j0": "done", "j1": "done", "j2": "done"}
     assert jobs.job_results(spark, str(state)).count() == 3
+
+
+def test_retry_limit_survives_compaction(spark):
+    from filingflow.plans import recommendation
+    qs = spark.createDataFrame([(1, "1a", "q", "NEW"), (1, "1b", "q", "NEW")],
+                               "filing_id long, question_id string, question_text string, status string")
+    fil = spark.createDataFrame([(1, "Co", None)], "filing_id long, company_name string, filing_date date")
+    # 1a: snapshot says 2 earlier failures, plus one newer ERROR row -> 3 -> excluded
+    # 1b: snapshot says 1 failure, newer row ERROR -> 2 -> still pending
+    log = spark.createDataFrame([
+        (1, "1a", "ERROR", 2, 5), (1, "1a", "ERROR", None, 6),
+        (1, "1b", "ERROR", 1, 5), (1, "1b", "ERROR", None, 6)],
+        "filing_id long, question_id string, status string, error_count bigint, seq long")
+    got = recommendation.pending_questions(qs, fil, log, max_attempts=3)
+    assert [r["question_id"] for r in got.collect()] == ["1b"]
