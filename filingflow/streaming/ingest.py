@@ -17,19 +17,24 @@ from pyspark.sql import functions as F
 
 from filingflow.plans import proxy_ingest
 from filingflow.sources import filing_index
+from filingflow.streaming import logs
 
 FILINGS, CHUNKS, REJECTS = "filings", "chunks", "rejects"
 
 
 def stored_filings(spark: SparkSession, state_dir: str) -> DataFrame:
-    """Current filing rows: the latest batch per ``proxy_id``."""
-    path = os.path.join(state_dir, FILINGS)
-    try:
-        all_ = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 -- nothing stored yet
+    """Current filing rows: the latest batch per ``proxy_id`` (snapshot +
+    newer batches, see ``compact_filings``)."""
+    rows = logs.read(spark, os.path.join(state_dir, FILINGS), None)
+    if rows is None:
         return spark.createDataFrame([], "proxy_id string, filing_id long, batch_id long")
-    latest = all_.groupBy("proxy_id").agg(F.max("batch_id").alias("batch_id"))
-    return all_.join(latest, ["proxy_id", "batch_id"], "left_semi")
+    latest = rows.groupBy("proxy_id").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(latest, ["proxy_id", "batch_id"], "left_semi")
+
+
+def compact_filings(spark: SparkSession, state_dir: str) -> int | None:
+    """Snapshot the current filing rows; later micro-batches skip older folders."""
+    return logs.compact(spark, os.path.join(state_dir, FILINGS), None, ["proxy_id"], ["batch_id"])
 
 
 def stored_chunks(spark: SparkSession, state_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def make_handler(state_dir: str, documents: DataFrame, year: int | None = None,
         texts, rejects = proxy_ingest.filing_texts(new, documents, min_words=min_words)
         filings = proxy_ingest.filing_records(texts).persist()
         filings.drop("text").write.mode("overwrite").parquet(
-            os.path.join(state_dir, FILINGS, f"batch_id={batch_id}"))
+            logs.log_path(os.path.join(state_dir, FILINGS), batch_id))
         proxy_ingest.filing_chunks(filings).write.mode("overwrite").parquet(
             os.path.join(state_dir, CHUNKS, f"batch_id={batch_id}"))
         rejects.select("proxy_id", "reject_reason").unionByName(

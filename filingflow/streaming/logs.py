@@ -35,19 +35,26 @@ def _latest_snapshot(spark: SparkSession, base: str) -> int | None:
     return None if v is None else int(v)
 
 
-def read(spark: SparkSession, base: str, schema: str) -> DataFrame:
+def read(spark: SparkSession, base: str, schema: str | None) -> DataFrame | None:
     """All rows needed to know the current state: snapshot + newer log rows.
 
-    ``schema`` is a DDL string that includes ``batch_id bigint``.
+    ``schema`` is a DDL string that includes ``batch_id bigint``; with None the
+    parquet footers give it (files this module wrote), and None is returned
+    while nothing has been written.
     """
+    def load(path):
+        r = spark.read
+        return (r.schema(schema) if schema else r).parquet(path)
     try:
-        log = spark.read.schema(schema).parquet(os.path.join(base, LOG))
+        log = load(os.path.join(base, LOG))
     except Exception:  # noqa: BLE001 -- nothing written yet
+        if schema is None:
+            return None
         log = spark.createDataFrame([], schema)
     s = _latest_snapshot(spark, base)
     if s is None:
         return log
-    snap = spark.read.schema(schema).parquet(os.path.join(base, SNAPSHOT, f"upto={s}"))
+    snap = load(os.path.join(base, SNAPSHOT, f"upto={s}"))
     return snap.unionByName(log.where(F.col("batch_id") > s))
 
 
@@ -60,6 +67,8 @@ def compact(spark: SparkSession, base: str, schema: str, key_cols: list[str], or
     so history-based rules (e.g. retry limits) survive compaction.
     """
     rows = read(spark, base, schema)
+    if rows is None:
+        return None
     upto = rows.agg(F.max("batch_id")).first()[0]
     if upto is None:
         return None

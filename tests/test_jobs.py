@@ -203,6 +203,7 @@ def test_incremental_ingest_stream(spark, tmp_path):
     run()
     cur = {r["proxy_id"][-2:]: r["batch_id"] for r in ingest.stored_filings(spark, state).collect()}
     assert cur == {"01": 0, "02": 0, "03": 1}  # 02 was delivered again and skipped
+    assert ingest.compact_filings(spark, state) == 1
     redo = spark.createDataFrame([("0000000001_0000000001-22-000001",)], "proxy_id string")
     (idx / "p3.json").write_text(page(["0000000001-22-000001"]))
     run(redo)
