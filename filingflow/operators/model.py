@@ -36,13 +36,15 @@ def apply_model(df: DataFrame, fn: ModelFn | None, input_cols: list[str], keep_c
                 output_col: str = "model_output", error_col: str = "model_error",
                 max_concurrency: int | None = None,
                 factory: Callable[[], ModelFn] | None = None,
-                retries: int = 2, backoff_seconds: float = 0.0) -> DataFrame:
+                retries: int = 2, backoff_seconds: float = 0.0, call_rows: int = 256) -> DataFrame:
     """Run ``fn`` over Arrow batches; returns keep_cols + output + error.
 
     ``factory`` builds the model once per task (a client with a connection
     pool, a local model loaded from disk) instead of shipping a built one.
-    When a batch call fails, each row is tried alone up to ``retries`` more
-    times (``backoff_seconds`` apart); rows that still fail carry the error.
+    The model is called on slices of at most ``call_rows`` rows (bounded
+    request size).  When a slice fails, each of its rows is tried alone up to
+    ``retries`` times (``backoff_seconds`` apart); rows that still fail carry
+    the error.
     """
     if fn is None and factory is None:
         raise ValueError("give fn or factory")
@@ -59,22 +61,24 @@ def apply_model(df: DataFrame, fn: ModelFn | None, input_cols: list[str], keep_c
             inp = pdf[input_cols]
             outs: list = [None] * len(pdf)
             errs: list = [None] * len(pdf)
-            try:
-                res = list(model_fn(inp))
-                if len(res) != len(pdf):
-                    raise ValueError(f"model returned {len(res)} outputs for {len(pdf)} rows")
-                outs = res
-            except Exception:  # noqa: BLE001 -- retry row by row, isolate failures
-                for i in range(len(pdf)):
-                    for attempt in range(max(retries, 1)):
-                        try:
-                            outs[i] = list(model_fn(inp.iloc[i:i + 1]))[0]
-                            errs[i] = None
-                            break
-                        except Exception as e:  # noqa: BLE001
-                            errs[i] = f"{type(e).__name__}: {e}"[:1000]
-                            if backoff_seconds and attempt + 1 < retries:
-                                time.sleep(backoff_seconds)
+            for lo in range(0, len(pdf), max(call_rows, 1)):
+                hi = min(lo + max(call_rows, 1), len(pdf))
+                try:
+                    res = list(model_fn(inp.iloc[lo:hi]))
+                    if len(res) != hi - lo:
+                        raise ValueError(f"model returned {len(res)} outputs for {hi - lo} rows")
+                    outs[lo:hi] = res
+                except Exception:  # noqa: BLE001 -- retry row by row, isolate failures
+                    for i in range(lo, hi):
+                        for attempt in range(max(retries, 1)):
+                            try:
+                                outs[i] = list(model_fn(inp.iloc[i:i + 1]))[0]
+                                errs[i] = None
+                                break
+                            except Exception as e:  # noqa: BLE001
+                                errs[i] = f"{type(e).__name__}: {e}"[:1000]
+                                if backoff_seconds and attempt + 1 < retries:
+                                    time.sleep(backoff_seconds)
             res_pdf = pdf[keep_cols].copy()
             # models may hand back parsed objects; store JSON text either way
             res_pdf[output_col] = [o if o is None or isinstance(o, str) else json.dumps(o) for o in outs]

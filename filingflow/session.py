@@ -22,6 +22,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # model stages ship whole documents / prompts to Python: keep batches small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

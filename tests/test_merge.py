@@ -190,3 +190,14 @@ def test_model_row_retries(spark, tmp_path):
         return ["{}"]
     ok = {r["id"]: r["model_error"] for r in model.apply_model(df.coalesce(1), flaky, ["t"], ["id"], retries=3).collect()}
     assert ok == {1: None, 2: None}
+
+
+def test_model_called_in_bounded_slices(spark):
+    df = spark.range(0, 600, numPartitions=1).select(F.col("id"), F.col("id").cast("string").alias("t"))
+
+    def sized(pdf):
+        if len(pdf) > 100:
+            raise ValueError("request too large")
+        return [json.dumps({"n": len(pdf)})] * len(pdf)
+    out = model.apply_model(df, sized, ["t"], ["id"], call_rows=100).collect()
+    assert all(r["model_error"] is None and json.loads(r["model_output"])["n"] <= 100 for r in out)
