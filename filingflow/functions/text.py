@@ -1,8 +1,9 @@
 """Text functions over filing HTML and plain text (SC-6..SC-13, FLT-5..FLT-7).
 
-Everything here is a Column expression evaluated inside whole-stage codegen,
-except entity unescaping and the Windows-1252 fallback, which are Arrow-batched
-pandas UDFs applied to one narrow column.
+Everything here is a JVM Column expression (regex functions are code-generated;
+the array lambdas are interpreted but stay in the JVM), except entity
+unescaping and the Windows-1252 fallback, which are Arrow-batched pandas UDFs
+applied to one narrow column.
 """
 
 from __future__ import annotations
