@@ -54,15 +54,21 @@ def new_filings(selected: DataFrame, stored: DataFrame, redo: DataFrame | None =
     return merge.skip_done(selected, stored.select("proxy_id"), ["proxy_id"], redo)
 
 
-def filing_texts(filings: DataFrame, documents: DataFrame, key: str = "url",
-                 html_col: str = "html", min_words: int = MIN_FILING_WORDS) -> tuple[DataFrame, DataFrame]:
-    """JN-7 + SC-6 + FLT-6: ``(kept, rejects)``; missing documents and short
-    texts are rejected with a reason, the rest continue (Q15)."""
+def tag_filing_texts(filings: DataFrame, documents: DataFrame, key: str = "url",
+                     html_col: str = "html", min_words: int = MIN_FILING_WORDS) -> DataFrame:
+    """JN-7 + SC-6 + FLT-6: filings with clean text and a ``reject_reason``
+    (missing document, too short; null = keep)."""
     j = filings.join(documents.select(key, html_col), key, "left")
     t = text.add_clean_text(j, html_col, "text").drop(html_col)
-    tagged = quality.validate(t, [("document missing", F.col("text").isNotNull()),
-                                  ("too short", text.has_min_words("text", min_words))])
-    return quality.split(tagged)
+    return quality.validate(t, [("document missing", F.col("text").isNotNull()),
+                                ("too short", text.has_min_words("text", min_words))])
+
+
+def filing_texts(filings: DataFrame, documents: DataFrame, key: str = "url",
+                 html_col: str = "html", min_words: int = MIN_FILING_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``(kept, rejects)`` of ``tag_filing_texts``; the rest continue (Q15).
+    Persist the tagged rows first when both sides are consumed."""
+    return quality.split(tag_filing_texts(filings, documents, key, html_col, min_words))
 
 
 def filing_records(texts: DataFrame, companies: DataFrame | None = None) -> DataFrame:

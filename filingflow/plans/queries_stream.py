@@ -59,3 +59,48 @@ def job_queue(spark, d):
     res = jobs.job_results(spark, state)
     return res.select("job_id", "cik", "status", "n_filings",
                       keys.iso_timestamp("latest_filing").alias("latest_filing"))
+
+
+# Test mapping of order status onto proxy form types.
+_STATUS_TO_FORM = (("F", "DEF 14A"), ("O", "DEFR14A"), ("P", "DEFA14A"))
+
+
+@register("streamed_ingest", "ST-6 SRC-1 JN-2 JN-7 FLT-3 FLT-6 SC-6 WN-5 AG-5 SNK-6", oracle="""
+with f as (select o_custkey, o_orderkey from orders where o_orderstatus in ('F', 'O')),
+j as (select lpad(cast(f.o_custkey as varchar), 10, '0') || '_' || cast(f.o_orderkey as varchar) as proxy_id,
+             len(list_filter(regexp_split_to_array(d.text, '\\s+'), lambda x: x <> '')) as n
+      from f join documents d on d.doc_id = f.o_orderkey)
+select proxy_id, cast(1 + ceil(greatest(0, n - 800) / 600.0) as bigint) as n_chunks from j where n >= 500
+""")
+def streamed_ingest(spark, d):
+    """Index pages written from the orders table are drained by the streaming
+    ingest job; output: chunks per stored proxy statement."""
+    from filingflow.streaming import ingest
+
+    base = scratch_path(spark, "ingest-stream")
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    form = None
+    for st, fm in _STATUS_TO_FORM:
+        form = F.when(F.col("o_orderstatus") == st, fm) if form is None else form.when(F.col("o_orderstatus") == st, fm)
+    rec = F.struct(F.col("o_orderkey").cast("string").alias("accessionNumber"),
+                   F.date_format("o_orderdate", "yyyy-MM-dd").alias("filingDate"), form.alias("form"))
+    # column-wise index pages of at most 1000 filings per company
+    pages = o.groupBy(F.col("o_custkey").cast("string").alias("cik"),
+                      F.floor(F.col("o_orderkey") / 1000).alias("page_no")).agg(F.collect_list(rec).alias("r"))
+
+    def field(name):
+        return lambda x: x[name]
+    recent = F.struct(*[F.transform("r", field(c)).alias(c) for c in ("accessionNumber", "filingDate", "form")])
+    pages.select("cik", F.struct(recent.alias("recent")).alias("filings")).write.json(f"{base}/index")
+    # the filing documents, keyed by their archive URL
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    docs = o.join(docs, o.o_orderkey == docs.doc_id).select(
+        keys.archive_url(keys.pad_cik("o_custkey"), F.col("o_orderkey").cast("string"),
+                         keys.document_or_default(F.lit(None))).alias("url"),
+        F.col("text").alias("html"))
+    ingest.start(spark, f"{base}/index", f"{base}/state", docs, available_now=True,
+                 multi_line=False).awaitTermination()
+    filings = ingest.stored_filings(spark, f"{base}/state").select("proxy_id", "filing_id")
+    counts = ingest.stored_chunks(spark, f"{base}/state").groupBy("filing_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"))
+    return filings.join(counts, "filing_id").select("proxy_id", "n_chunks")

@@ -15,6 +15,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filingflow.operators import quality
 from filingflow.plans import proxy_ingest
 from filingflow.sources import filing_index
 from filingflow.streaming import logs
@@ -54,7 +55,9 @@ def make_handler(state_dir: str, documents: DataFrame, year: int | None = None,
         selected = proxy_ingest.select_proxy_filings(filing_index.normalise(rows), year)
         done = stored_filings(spark, state_dir).select("proxy_id")
         new = proxy_ingest.new_filings(selected, done, redo)
-        texts, rejects = proxy_ingest.filing_texts(new, documents, min_words=min_words)
+        # cleaned once per batch: kept filings and rejects both read it
+        tagged = proxy_ingest.tag_filing_texts(new, documents, min_words=min_words).persist()
+        texts, rejects = quality.split(tagged)
         filings = proxy_ingest.filing_records(texts).persist()
         filings.drop("text").write.mode("overwrite").parquet(
             logs.log_path(os.path.join(state_dir, FILINGS), batch_id))
@@ -64,12 +67,15 @@ def make_handler(state_dir: str, documents: DataFrame, year: int | None = None,
             bad_pages.select(F.col("source_file").alias("proxy_id"), F.col("reason").alias("reject_reason"))) \
             .write.mode("overwrite").parquet(os.path.join(state_dir, REJECTS, f"batch_id={batch_id}"))
         filings.unpersist()
+        tagged.unpersist()
     return handle
 
 
 def start(spark: SparkSession, index_dir: str, state_dir: str, documents: DataFrame, year: int | None = None,
-          redo: DataFrame | None = None, available_now: bool = False, processing_time: str = "10 minutes"):
-    stream = spark.readStream.schema(filing_index.INDEX_FILE_SCHEMA).option("multiLine", True).json(index_dir) \
+          redo: DataFrame | None = None, available_now: bool = False, processing_time: str = "10 minutes",
+          multi_line: bool = True):
+    """``multi_line``: one JSON document per file (as published) or JSON lines."""
+    stream = spark.readStream.schema(filing_index.INDEX_FILE_SCHEMA).option("multiLine", multi_line).json(index_dir) \
         .withColumn("source_file", F.col("_metadata.file_path"))
     w = stream.writeStream.foreachBatch(make_handler(state_dir, documents, year, redo)) \
         .option("checkpointLocation", os.path.join(state_dir, "_checkpoint"))
