@@ -29,3 +29,22 @@ def test_entry_from_foreign_cwd(tmp_path):
     assert line, out.stderr[-3000:]
     _, n, m = line[0].split()
     assert int(n) > 0 and int(m) > 0
+
+
+def test_bench_prints_one_json_line():
+    import json
+    env = dict(os.environ, BENCH_SF_DIR="/root/testdata/sf0.001", BENCH_REPEAT="1", BENCH_CPUS="2")
+    out = subprocess.run([sys.executable, os.path.join(REPO, "bench.py"), "index_filter", "first_match"],
+                         cwd=REPO, env=env, capture_output=True, text=True, timeout=600)
+    lines = [x for x in out.stdout.splitlines() if x.strip()]
+    assert len(lines) == 1, out.stderr[-2000:]
+    d = json.loads(lines[0])
+    assert d["metric"] == "total_query_seconds" and d["unit"] == "sec" and d["sf"] == 0.001
+    assert set(d["queries"]) == {"index_filter", "first_match"} and "errors" not in d
+
+
+def test_cli_lists_queries():
+    out = subprocess.run([sys.executable, "-m", "filingflow", "list"], cwd=REPO,
+                         capture_output=True, text=True, timeout=300)
+    names = [line.split()[0] for line in out.stdout.splitlines() if line.strip()]
+    assert "html_text" in names and "streamed_ingest" in names
