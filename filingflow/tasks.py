@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingflow.operators import model
+from filingflow.operators import model, quality
 from filingflow.plans import meeting_fetch, pdf_text, proxy_ingest, recommendation, vote_extraction
 from filingflow.sources import directory, filing_index, meetings
 from filingflow.streaming import jobs
@@ -92,14 +92,17 @@ def ingest_proxy_statements(spark: SparkSession, index_path: str, documents: Dat
     """New proxy statements of ``year`` -> ``(filings, chunks, rejects)``.
 
     ``documents`` is ``(url, html)``; ``stored`` holds the ``proxy_id`` of
-    filings already ingested (skipped unless listed in ``redo``).
+    filings already ingested (skipped unless listed in ``redo``).  The
+    cleaned documents are persisted once (all three results read them);
+    ``unpersist`` the filings when done.
     """
     raw = filing_index.read_index_files(spark, index_path)
     pages = raw.select("cik", filing_index.page_struct(raw).alias("page"), "source_file")
     rows, _rejects = filing_index.index_rows(pages, ["cik", "source_file"])
     selected = proxy_ingest.select_proxy_filings(filing_index.normalise(rows), year)
     new = proxy_ingest.new_filings(selected, stored, redo)
-    texts, rejects = proxy_ingest.filing_texts(new, documents)
+    tagged = proxy_ingest.tag_filing_texts(new, documents).persist()
+    texts, rejects = quality.split(tagged)
     companies = directory.directory_rows(directory.read_directory_files(spark, directory_path)) \
         if directory_path else None
     filings = proxy_ingest.filing_records(texts, companies)
