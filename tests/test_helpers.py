@@ -61,3 +61,14 @@ def test_facade_pdf_and_recommend(spark, tmp_path):
     res, log = tasks.recommend_votes(qs, fil, chunks, pol, model.stub_recommendation_model())
     assert res.count() == 1 and [r["status"] for r in log.collect()] == ["DONE"]
     assert json.loads(json.dumps(res.first().asDict(), default=str))["question_id"] == "1"
+
+
+def test_spread_is_a_no_op_on_wide_inputs(spark):
+    from filingflow.operators.parallel import spread
+    slots = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, numPartitions=slots * 3)
+    assert spread(wide, ["id"]) is wide
+    narrow = spark.range(0, 1000, numPartitions=1)
+    spread_df = spread(narrow, ["id"])
+    assert spread_df.rdd.getNumPartitions() == slots * 2
+    assert sorted(r["id"] for r in spread_df.collect()) == list(range(1000))
