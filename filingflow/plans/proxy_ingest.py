@@ -85,7 +85,13 @@ def filing_chunks(texts: DataFrame, id_col: str = "filing_id") -> DataFrame:
 
 
 def embed_chunks(chunks: DataFrame, embedder=None, dedupe: bool = True) -> DataFrame:
-    """UD-4: adds ``embedding array<float>``."""
+    """UD-4: adds ``embedding array<float>``.
+
+    ``dedupe`` embeds each distinct chunk text once (two extra shuffles of the
+    chunk text).  Worth it for a remote, per-call-priced embedder; with a
+    cheap local one it is slower (measured at sf0.1: 6% duplicate chunks,
+    ~2.5 s plain vs ~3-4.7 s deduplicated).
+    """
     if dedupe:
         return model.embed_texts_once(chunks, "chunk_text", "embedding", embedder)
     return chunks.withColumn("embedding", model.embed_column("chunk_text", embedder))
