@@ -29,17 +29,24 @@ def context_concat(df: DataFrame, group_cols: list[str], order_cols: list[str],
 
 
 def page_concat(df: DataFrame, group_cols: list[str], page_col: str, text_col: str,
-                name: str = "text") -> DataFrame:
+                name: str = "text", block_pages: int = 64) -> DataFrame:
     """AG-3 + FLT-12: non-empty page texts in page order, each followed by a newline.
 
     Documents whose pages are all empty produce ``''`` (one row per document
-    key present in ``df``).
+    key present in ``df``).  Two levels: pages are joined within blocks of
+    ``block_pages`` consecutive pages (many small groups, spread over tasks),
+    then the blocks of a document are joined in order, so a very long
+    document's final merge handles one string per block, not per page.
     """
     kept = F.when(non_empty(text_col), F.col(text_col))
     parts = F.array_sort(F.collect_list(F.when(kept.isNotNull(), F.struct(
         F.col(page_col).alias("_p"), kept.alias("_t")))))
-    joined = F.array_join(F.transform(parts, lambda s: F.concat(s["_t"], F.lit("\n"))), "")
-    return df.groupBy(*group_cols).agg(joined.alias(name))
+    block_text = F.array_join(F.transform(parts, lambda s: F.concat(s["_t"], F.lit("\n"))), "")
+    blocks = df.groupBy(*group_cols, F.floor(F.col(page_col) / block_pages).alias("_block")) \
+        .agg(block_text.alias("_bt"))
+    doc = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_bt"))),
+                                   lambda s: s["_bt"]), "")
+    return blocks.groupBy(*group_cols).agg(doc.alias(name))
 
 
 def collect_rows(df: DataFrame, group_cols: list[str], order_cols: list[str],

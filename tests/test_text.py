@@ -152,3 +152,12 @@ def test_clean_text_matches_exact_unescape(spark, html):
 ])
 def test_html_parser_like_edges(spark, html, expected):
     assert one(spark, html, text.html_to_text) == expected
+
+
+def test_page_concat_across_blocks(spark):
+    import random
+    pages = [(7, p, "" if p % 10 == 3 else f"p{p}") for p in range(150)]
+    random.Random(5).shuffle(pages)
+    df = spark.createDataFrame(pages, "doc int, page int, t string")
+    got = concat.page_concat(df, ["doc"], "page", "t", block_pages=16).first()["text"]
+    assert got == "".join(f"p{p}\n" for p in range(150) if p % 10 != 3)
