@@ -1,8 +1,9 @@
 """The queries of this package, one per operator, with SQL where SQL can say the same."""
 
-from filingflow.llm import bpe_rank_queue, language_id
+from filingflow.llm import bpe_rank_queue, language_id, url_language_model
 
 QUERIES = {
+    "op1_url_language_model": url_language_model.op1_url_language_model,
     "op3_language_id": language_id.op3_language_id,
     "op9_bpe_rank_queue": bpe_rank_queue.op9_bpe_rank_queue,
 }
