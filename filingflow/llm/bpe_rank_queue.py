@@ -18,7 +18,8 @@ driver and shipped with the tasks; ``MAX_VOCABULARY_BYTES`` bounds it.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes;
 invalid UTF-8 becomes U+FFFD before encoding; rows are independent, so
-repeated rows and ids repeat their result; other columns are carried along.
+repeated rows and ids repeat their result; other columns are carried along,
+those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -223,7 +224,7 @@ class PackedMemory(dict):
 
 
 def _replaced(batch: pa.RecordBatch, name: str, column: pa.Array, new: str) -> pa.RecordBatch:
-    keep = [n for n in batch.schema.names if n != name]
+    keep = [n for n in batch.schema.names if n not in (name, new)]
     return pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [column], keep + [new])
 
 
@@ -240,10 +241,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     ``pattern`` splits the text before merging, every match by itself; special
     tokens are ordinary text.
     """
-    if ids_col in df.columns and ids_col != text_col:
-        raise ValueError(f"{ids_col} is a column already; choose another ids_col")
     shipped = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    keep = [f for f in df.schema.fields if f.name != text_col]
+    keep = [f for f in df.schema.fields if f.name not in (text_col, ids_col)]
     schema = T.StructType(keep + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
@@ -265,9 +264,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for (null ids: no bytes)."""
-    if bytes_col in df.columns:
-        raise ValueError(f"{bytes_col} is a column already; choose another bytes_col")
     shipped = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    df = df.drop(bytes_col)
     schema = T.StructType(df.schema.fields + [T.StructField(bytes_col, T.BinaryType(), False)])
 
     def run(batches):
@@ -282,7 +280,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
 
 def digests(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Replace ids and decoded bytes by n_tokens, ids_sha256 and decoded_sha256."""
-    keep = [f for f in df.schema.fields if f.name not in (ids_col, bytes_col)]
+    keep = [f for f in df.schema.fields if f.name not in (ids_col, bytes_col, "n_tokens", "ids_sha256", "decoded_sha256")]
     schema = T.StructType(keep + [T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False),
                                   T.StructField("decoded_sha256", T.StringType(), False)])
 

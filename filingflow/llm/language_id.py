@@ -10,7 +10,8 @@ with the scoring function.
 Defined results: text that is null or has no letter is ``und`` with score 0
 and teaches nothing, and so is every text if there is nothing to learn from;
 ties go to the label that sorts first; rows are independent, so repeated rows
-and ids repeat their result; other columns are carried along.
+and ids repeat their result; other columns are carried along, those named like
+a result column are replaced.
 """
 
 from __future__ import annotations
@@ -130,9 +131,7 @@ def fit(df: DataFrame, text_col: str, label_col: str) -> Model:
 
 def predict(df: DataFrame, model: Model, text_col: str, label_col: str = "lang_pred", score_col: str = "score", drop: tuple[str, ...] = ()) -> DataFrame:
     """Add the likeliest label of every whole text and its posterior probability; ``drop`` names columns to leave out."""
-    keep = [f for f in df.schema.fields if f.name not in drop]
-    if {label_col, score_col} & {f.name for f in keep}:
-        raise ValueError(f"{label_col} or {score_col} is a column already")
+    keep = [f for f in df.schema.fields if f.name not in (*drop, label_col, score_col)]
     schema = T.StructType(keep + [T.StructField(label_col, T.StringType(), False), T.StructField(score_col, T.DoubleType(), False)])
     names = [f.name for f in keep]
     shipped = df.sparkSession.sparkContext.broadcast(model)

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from filingflow.llm import bpe_rank_queue as bpe
 
@@ -44,8 +45,9 @@ def test_rows(spark, reference):
     assert len(out) == len(texts)
     for row, t in zip(out, texts):
         assert row.ids == lib.encode_ordinary(t or "") and bytes(row.decoded).decode() == (t or "") and row.n_tokens_x == "n"
-    with pytest.raises(ValueError):
-        bpe.encode(df.withColumnRenamed("n_tokens_x", "ids"), PATH, public_tokenizers.PATTERN)
+    clash = df.select("text", F.lit("x").alias("ids"), F.lit("y").alias("n_tokens"), F.lit(1).alias("decoded"))
+    clash = bpe.digests(bpe.decode(bpe.encode(clash, PATH, public_tokenizers.PATTERN), PATH))
+    assert clash.columns == ["n_tokens", "ids_sha256", "decoded_sha256"] and clash.count() == len(texts)
     assert bpe.digests(bpe.decode(bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN), PATH)).count() == 0
 
 
