@@ -1,6 +1,6 @@
 """The queries of this package, one per operator, with SQL where SQL can say the same."""
 
-from filingflow.llm import bpe_rank_queue, language_id, multiprobe_lsh, near_duplicates, quality_bayes, suffix_dedup, url_language_model
+from filingflow.llm import bpe_rank_queue, language_id, multiprobe_lsh, near_duplicates, quality_bayes, suffix_dedup, token_counts, url_language_model
 
 QUERIES = {
     "op1_url_language_model": url_language_model.op1_url_language_model,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_quality_bayes": quality_bayes.op7_quality_bayes,
     "op8_similarity_sketching": near_duplicates.op8_similarity_sketching,
     "op9_bpe_rank_queue": bpe_rank_queue.op9_bpe_rank_queue,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
