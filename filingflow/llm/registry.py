@@ -1,12 +1,13 @@
 """The queries of this package, one per operator, with SQL where SQL can say the same."""
 
-from filingflow.llm import bpe_rank_queue, language_id, multiprobe_lsh, near_duplicates, quality_bayes, suffix_dedup, token_counts, url_language_model
+from filingflow.llm import bpe_rank_queue, language_id, latent_decontamination, multiprobe_lsh, near_duplicates, quality_bayes, suffix_dedup, token_counts, url_language_model
 
 QUERIES = {
     "op1_url_language_model": url_language_model.op1_url_language_model,
     "op2_multiprobe_lsh": multiprobe_lsh.op2_multiprobe_lsh,
     "op3_language_id": language_id.op3_language_id,
     "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
+    "op5_latent_decontamination": latent_decontamination.op5_latent_decontamination,
     "op7_quality_bayes": quality_bayes.op7_quality_bayes,
     "op8_similarity_sketching": near_duplicates.op8_similarity_sketching,
     "op9_bpe_rank_queue": bpe_rank_queue.op9_bpe_rank_queue,
