@@ -1,6 +1,6 @@
 """The queries of this package, one per operator, with SQL where SQL can say the same."""
 
-from filingflow.llm import bpe_rank_queue, language_id, latent_decontamination, multiprobe_lsh, near_duplicates, quality_bayes, suffix_dedup, token_counts, url_language_model
+from filingflow.llm import bpe_rank_queue, language_id, latent_decontamination, multiprobe_lsh, near_duplicates, quality_bayes, suffix_dedup, token_counts, toxicity_chain, url_language_model
 
 QUERIES = {
     "op1_url_language_model": url_language_model.op1_url_language_model,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
     "op5_latent_decontamination": latent_decontamination.op5_latent_decontamination,
+    "op6_toxicity_chain": toxicity_chain.op6_toxicity_chain,
     "op7_quality_bayes": quality_bayes.op7_quality_bayes,
     "op8_similarity_sketching": near_duplicates.op8_similarity_sketching,
     "op9_bpe_rank_queue": bpe_rank_queue.op9_bpe_rank_queue,
