@@ -1,25 +1,78 @@
-"""From raw documents to tokens: the stages, applied one after the other.
+"""From raw documents to tokens: five stages, applied one after the other.
 
 Every stage is (spark, docs, sf_dir) -> DataFrame.  ``run`` writes each result
 as Parquet in the shared folder and gives the reread table to the next stage.
+All stages but the last return the columns of ``documents``.
+
+1. ``quality``: documents that the quality classifier rejects go, among them
+   texts that are null or have no words.
+2. ``near-dedup``: one document of each group of near duplicates stays, the one
+   with the least id.  Rows that share an id are one document, of which one row
+   stays; documents without an id are linked with nothing and stay.
+3. ``suffix-dedup``: strings of 200 bytes or more that occur again are removed
+   from all texts that hold them; characters that are cut in part go as well,
+   and ``n_chars`` is counted anew.  Documents without a word left go.
+4. ``decontamination``: documents that leak a benchmark item go.
+5. ``tokens``: the texts become token ids, with their number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from filingflow.llm import bpe_rank_queue, latent_decontamination, near_duplicates, quality_bayes, suffix_dedup
 from filingflow.llm.store import Scratch
 
-STAGES: list = []
 
-#: Hash sketches and byte-level suffix matching are beyond SQL; tests/llm holds the rows against brute force.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_bayes.train(docs, labels, "doc_id", "text", "quality")
+    return quality_bayes.score(docs, model, "text", "source", "lang").where("keep").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = near_duplicates.near_duplicates(docs, "doc_id", "text").where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(docs, "doc_id", "text")
+    left = F.make_valid_utf8(F.col("kept_bytes").cast("string"))
+    cut = F.size("spans") > 0
+    out = out.withColumn("text", F.when(cut, F.regexp_replace(left, "�", "")).otherwise(left))
+    out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))  # equal texts, with an id or without, share their verdict
+    leaking = latent_decontamination.leaks(keyed, benchmark, "text_key", "text").select("text_key").distinct()
+    return keyed.join(leaking, "text_key", "left_anti").select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_rank_queue.encode(docs, path, public_tokenizers.PATTERN).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [("quality", quality), ("near-dedup", near_dedup), ("suffix-dedup", suffix_array_dedup), ("decontamination", decontamination), ("tokens", tokens)]
+
+#: Sketches, byte-level suffix matching and rank merges are beyond SQL; tests/llm holds every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
-        docs = scratch.put(stage(spark, docs, sf_dir), f"{number}-{name}")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        docs = scratch.put(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
