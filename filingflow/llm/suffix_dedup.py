@@ -279,47 +279,45 @@ def _merge(length: int):
 def _fetch(length: int):
     def run(batches):
         for batch in batches:
-            wanted = batch.column("wanted")
-            row = np.repeat(np.arange(len(batch)), wanted.value_lengths().to_numpy())
-            w = wanted.flatten()
-            at = w.field("at").to_numpy()
-            anchor, before, windows = _unpack(at)
-            buf, offs = flat(batch.column("text"))
-            start = offs[row] + anchor - before
-            data = [buf[s:e].tobytes() for s, e in zip(start.tolist(), (start + windows + length - 1).tolist())]
-            yield pa.RecordBatch.from_arrays([w.field("gram"), w.field("n"), w.field("hot"), w.field("shard"), batch.column("key").take(pa.array(row)), batch.column("tag").take(pa.array(row)), pa.array(at), pa.array(data, pa.binary())],
-                                             ["gram", "n", "hot", "shard", "key", "tag", "at", "bytes"])
+            for first, last, buf, offs in blocks(batch.column("text")):
+                wanted = batch.column("wanted").slice(first, last - first)
+                row = np.repeat(np.arange(last - first), wanted.value_lengths().to_numpy())
+                w = wanted.flatten()
+                at = w.field("at").to_numpy()
+                anchor, before, windows = _unpack(at)
+                start = offs[row] + anchor - before
+                data = [buf[s:e].tobytes() for s, e in zip(start.tolist(), (start + windows + length - 1).tolist())]
+                source = pa.array(row + first)
+                yield pa.RecordBatch.from_arrays([w.field("gram"), w.field("n"), w.field("hot"), w.field("shard"), batch.column("key").take(source), batch.column("tag").take(source), pa.array(at), pa.array(data, pa.binary())],
+                                                 ["gram", "n", "hot", "shard", "key", "tag", "at", "bytes"])
     return run
 
 
 def _cut(keep: list[str]):
     def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            buf, offs = flat(batch.column(len(keep)))
-            spans = batch.column(len(keep) + 1)
-            count = spans.value_lengths().fill_null(0).to_numpy()
-            s = spans.flatten()
-            row = np.repeat(np.arange(len(batch)), count)
-            # coverage as a running sum of starts and ends; the slot after a text takes its ends
-            shift = np.arange(len(batch))
-            edge = np.zeros(len(buf) + len(batch) + 1, np.int64)
-            np.add.at(edge, offs[row] + shift[row] + s.field("start").to_numpy(), 1)
-            np.add.at(edge, offs[row] + shift[row] + s.field("end").to_numpy(), -1)
-            covered = np.cumsum(edge)[:-1] > 0
-            x, y = _runs(covered)  # never across texts: the slot after a text is not covered
-            owner = np.searchsorted(offs[:-1] + shift, x, "right") - 1
-            base = offs[owner] + shift[owner]
-            slot = np.ones(len(covered), bool)
-            slot[offs[1:] + shift] = False
-            kept = ~covered[slot]
-            left = np.concatenate([[0], np.cumsum(kept)])[offs]
-            data = buf[kept].tobytes()
-            found = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(batch) + 1)), pa.int32()),
-                                             pa.StructArray.from_arrays([pa.array(x - base), pa.array(y - base + 1)], ["start", "end"]))
-            texts = pa.array([data[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep))] + [texts, found, pa.array(np.diff(offs))], keep + ["kept_bytes", "spans", "n_bytes"])
+            for first, last, buf, offs in blocks(batch.column(len(keep))):
+                n = last - first
+                spans = batch.column(len(keep) + 1).slice(first, n)
+                s = spans.flatten()
+                row = np.repeat(np.arange(n), spans.value_lengths().fill_null(0).to_numpy())
+                # coverage as a running sum of starts and ends; the slot after a text takes its ends
+                shift = np.arange(n)
+                edge = np.zeros(len(buf) + n + 1, np.int32)
+                np.add.at(edge, offs[row] + shift[row] + s.field("start").to_numpy(), 1)
+                np.add.at(edge, offs[row] + shift[row] + s.field("end").to_numpy(), -1)
+                covered = np.cumsum(edge)[:-1] > 0
+                x, y = _runs(covered)  # never across texts: the slot after a text is not covered
+                owner = np.searchsorted(offs[:-1] + shift, x, "right") - 1
+                base = offs[owner] + shift[owner]
+                slot = np.ones(len(covered), bool)
+                slot[offs[1:] + shift] = False
+                kept = ~covered[slot]
+                left = np.concatenate([[0], np.cumsum(kept)])[offs]
+                data = buf[kept].tobytes()
+                found = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(x - base), pa.array(y - base + 1)], ["start", "end"]))
+                texts = pa.array([data[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, n) for c in range(len(keep))] + [texts, found, pa.array(np.diff(offs))], keep + ["kept_bytes", "spans", "n_bytes"])
     return run
 
 
