@@ -10,15 +10,13 @@ joins against the (small) batch key set:
   meets the target (a key repeated many times in a batch costs nothing);
 - rows with a null key never conflict (SQL unique-constraint semantics).
 
-Results are new DataFrames; ``write_version`` stores them under a new version
-folder so readers of the previous version are never disturbed.
+Results are new DataFrames; the caller writes them where readers of the old
+table are not disturbed.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REPLACE = "replace"
@@ -83,7 +81,8 @@ def insert_ignore(target: DataFrame, batch: DataFrame, key_cols: list[str],
 def reduce_batch(batch: DataFrame, key_cols: list[str], order_col: str,
                  rules: dict[str, str]) -> DataFrame:
     """Apply a batch's rows in ``order_col`` order per key: for ``replace``
-    columns the last value wins, for ``keep_if_null`` the last non-null."""
+    columns the last value wins, for ``keep_if_null`` the last non-null.
+    Null-key rows pass through untouched."""
     aggs = []
     for c, rule in rules.items():
         if rule == REPLACE:
@@ -92,7 +91,8 @@ def reduce_batch(batch: DataFrame, key_cols: list[str], order_col: str,
             aggs.append(F.expr(f"max_by(`{c}`, `{order_col}`) FILTER (WHERE `{c}` IS NOT NULL)").alias(c))
         else:
             raise ValueError(f"unknown rule {rule!r} for {c}")
-    return batch.where(~_any_null(key_cols)).groupBy(*key_cols).agg(*aggs)
+    reduced = batch.where(~_any_null(key_cols)).groupBy(*key_cols).agg(*aggs)
+    return reduced.unionByName(batch.where(_any_null(key_cols)).select(*reduced.columns))
 
 
 def upsert(target: DataFrame, batch: DataFrame, key_cols: list[str],
@@ -122,37 +122,3 @@ def replace_by_key(target: DataFrame, batch: DataFrame, key_cols: list[str]) ->
     """SNK-6: every target row of a key present in the batch is replaced by
     the batch's rows for that key (delete + insert in one result)."""
     return delete_keys(target, batch, key_cols).unionByName(batch.select(*target.columns))
-
-
-def write_version(df: DataFrame, base: str, version: int | str) -> str:
-    """Write ``df`` as a new immutable version folder and return its path.
-
-    Readers keep using the old folder; callers record the new path (for
-    example in a streaming batch log) once the write has committed.
-    """
-    path = os.path.join(base, f"version={version}")
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-def read_version(spark: SparkSession, base: str, version: int | str) -> DataFrame:
-    return spark.read.parquet(os.path.join(base, f"version={version}"))
-
-
-def latest_version(spark: SparkSession, base: str) -> int | None:
-    """Highest committed version under ``base`` (one scalar).
-
-    A version folder only holds data files once its write job has committed
-    (uncommitted output stays in hidden ``_temporary`` folders, which
-    partition discovery skips), so readers never see a half-written version.
-    """
-    try:
-        v = spark.read.parquet(base).agg(F.max("version")).first()[0]
-    except Exception:  # noqa: BLE001 -- no version written yet
-        return None
-    return None if v is None else int(v)
-
-
-def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
-    v = latest_version(spark, base)
-    return None if v is None else read_version(spark, base, v)

@@ -76,7 +76,7 @@ def apply_model(df: DataFrame, fn: ModelFn | None, input_cols: list[str], keep_c
                                 errs[i] = None
                                 break
                             except Exception as e:  # noqa: BLE001
-                                errs[i] = f"{type(e).__name__}: {e}"[:1000]
+                                errs[i] = f"{type(e).__name__}: {e}"
                                 if backoff_seconds and attempt + 1 < retries:
                                     time.sleep(backoff_seconds)
             res_pdf = pdf[keep_cols].copy()
@@ -155,7 +155,7 @@ def embed_texts_once(df: DataFrame, text_col: str, out_col: str = "embedding",
     """UD-4 with de-duplication: each distinct text is embedded once (keyed by
     a 128-bit hash), then joined back -- repeated boilerplate chunks across
     filings cost one model call."""
-    keyed = df.withColumn("_th", F.sha2(F.col(text_col), 256))
+    keyed = df.withColumn("_th", F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")))  # null texts share one call
     distinct = keyed.select("_th", text_col).dropDuplicates(["_th"])
     emb = distinct.select("_th", embed_column(text_col, embedder).alias(out_col))
     return keyed.join(emb, "_th").drop("_th")
@@ -188,14 +188,14 @@ def _sentences(t: str | None) -> list[str]:
     return [m.group(0).strip() for m in _SENTENCE.finditer(t or "")]
 
 
-def stub_question_model(text_col: str = "prompt", max_questions: int = 3) -> ModelFn:
-    """Emits the ``max_questions`` longest sentences of the passages (the text
-    after the prompt's first blank line), in document order."""
+def stub_question_model(text_col: str = "prompt", min_words: int = 24) -> ModelFn:
+    """Emits every sentence of at least ``min_words`` words of the passages
+    (the text after the prompt's first blank line), in document order."""
     def fn(pdf: pd.DataFrame) -> list[str]:
         out = []
         for t in pdf[text_col]:
             sents = _sentences((t or "").split("\n\n", 1)[-1])
-            keep = sorted(sorted(range(len(sents)), key=lambda i: (-len(sents[i]), i))[:max_questions])
+            keep = [i for i, s in enumerate(sents) if len(s.split()) >= min_words]
             qs = []
             for n, i in enumerate(keep):
                 s = sents[i]
@@ -225,15 +225,14 @@ TALLY_SCHEMA = StructType([
 
 def stub_tally_model(text_col: str = "text", ticker_col: str = "ticker",
                      date_col: str = "meeting_date") -> ModelFn:
-    """Up to four tallies from all sentences: sentence j feeds tally j mod 4;
-    counts come from word lengths, the last tally has no broker non-votes."""
+    """Tallies of all sentences: sentence j feeds tally j mod 4; counts come
+    from word lengths, the last tally has no broker non-votes."""
     def fn(pdf: pd.DataFrame) -> list[str]:
         out = []
         for t, tk, dt in zip(pdf[text_col], pdf[ticker_col], pdf[date_col]):
             sents = _sentences(t)
             res = []
-            for i in range(min(4, len(sents))):
-                group = sents[i::4]
+            for i, group in enumerate(g for g in (sents[k::4] for k in range(4)) if g):
                 words = [w for s in group for w in s.split()]
                 res.append({"questionId": str(i + 1), "resolution": group[0],
                             "total_votes": None, "for": sum(len(w) for w in words), "against": len(words),
@@ -251,8 +250,8 @@ REC_SCHEMA = StructType([
     StructField("rationale", StringType()),
     StructField("citation", StringType()),
     StructField("confidence", StringType()),
-    StructField("key_facts", ArrayType(StringType())),
-    StructField("policy_breaches", ArrayType(StringType())),
+    StructField("key_facts", StringType()),
+    StructField("policy_breaches", StringType()),
 ])
 
 
@@ -267,6 +266,6 @@ def stub_recommendation_model(text_col: str = "prompt") -> ModelFn:
                 "voting_recommendation": RECOMMENDATIONS[n % 4],
                 "rationale": f"context of {n} words",
                 "citation": max(_sentences(ctx), key=len, default=""),
-                "confidence": round((n % 101) / 100, 2), "key_facts": [], "policy_breaches": []}))
+                "confidence": round((n % 101) / 100, 2), "key_facts": f"{n} words", "policy_breaches": "none"}))
         return out
     return fn

@@ -1,21 +1,21 @@
-"""Parallelism for CPU-heavy narrow stages.
+"""Parallelism for CPU-heavy narrow stages, by an explicit setting.
 
 Text cleaning, chunking and model calls cost far more CPU per byte than the
-scan.  When a scan yields fewer partitions than the cluster has task slots (a
-few large files or single-row-group files), ``spread`` hash-partitions the rows
-by their key so every slot gets work.  On a large input that already has at
-least that many splits it returns the DataFrame unchanged: no extra shuffle.
+scan.  Large inputs have enough splits (``spark.sql.files.maxPartitionBytes``,
+row groups).  For a few large single-row-group files a caller may set
+``spark.filingflow.scanPartitions``; without it nothing is shuffled, whatever
+the input.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SETTING = "spark.filingflow.scanPartitions"
 
-def spread(df: DataFrame, key_cols: list[str], factor: int = 2) -> DataFrame:
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    target = slots * factor
-    if df.rdd.getNumPartitions() >= slots:
-        return df
+
+def by_setting(df: DataFrame, key_cols: list[str]) -> DataFrame:
+    """``df`` dealt by its key into the partitions the session asks for, if it does."""
+    n = df.sparkSession.conf.get(SETTING, None)
     # hash on the key: deterministic on task retry, unlike round-robin
-    return df.repartition(target, *key_cols)
+    return df.repartition(int(n), *key_cols) if n else df

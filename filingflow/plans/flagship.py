@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from filingflow.functions.text import add_clean_text, word_tokens
 from filingflow.operators.chunking import window_arrays
-from filingflow.operators.parallel import spread
+from filingflow.operators.parallel import by_setting
 from filingflow.sources.tables import read_table
 
 # Test pages are short; the 500-word floor (MIN_FILING_WORDS) applies to real filings.
@@ -21,7 +21,7 @@ FLAGSHIP_MIN_WORDS = 20
 
 def page_chunk_counts(spark: SparkSession, base_dir: str,
                       min_words: int = FLAGSHIP_MIN_WORDS) -> DataFrame:
-    pages = spread(read_table(spark, base_dir, "pages", "page_id", "html"), ["page_id"])
+    pages = by_setting(read_table(spark, base_dir, "pages", "page_id", "html"), ["page_id"])
     tok = add_clean_text(pages, "html").select("page_id", word_tokens("text").alias("tokens"))
     kept = tok.where(F.size("tokens") >= min_words)
     wins = kept.select("page_id", F.size("tokens").cast("bigint").alias("n_words"),

@@ -65,7 +65,7 @@ def pages(pdfs: DataFrame, extractor: PageExtractor | None = None) -> DataFrame:
                     for i, t in enumerate(fn(bytes(content))):
                         out.append((path, i, t, None))
                 except Exception as e:  # noqa: BLE001
-                    out.append((path, None, None, f"{type(e).__name__}: {e}"[:1000]))
+                    out.append((path, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "page_no", "page_text", "error"])
 
     return pdfs.select("path", "content").mapInPandas(run, PAGE_SCHEMA)

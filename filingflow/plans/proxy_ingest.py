@@ -84,7 +84,7 @@ def filing_chunks(texts: DataFrame, id_col: str = "filing_id") -> DataFrame:
     return chunking.chunk_text(texts, "text", [id_col])
 
 
-def embed_chunks(chunks: DataFrame, embedder=None, dedupe: bool = True) -> DataFrame:
+def embed_chunks(chunks: DataFrame, embedder=None, dedupe: bool = False) -> DataFrame:
     """UD-4: adds ``embedding array<float>``.
 
     ``dedupe`` embeds each distinct chunk text once (two extra shuffles of the

@@ -172,16 +172,36 @@ def directory_left_join(spark, d):
     return joined.select("c_custkey", "cik", "company_name")
 
 
-@register("pending_questions", "JN-3 FLT-8 SC-5 SL-3", oracle="""
-select o.o_orderkey, c.c_name, strftime(o.o_orderdate, '%B %d %Y') as meeting_date_text
-from orders o join customer c on c.c_custkey = o.o_custkey
-where o.o_orderstatus in ('O', 'P')
+@register("pending_questions", "JN-3 FLT-8 SC-5 SL-3 ST-3 PRJ-4", oracle="""
+with log as (select user_id as k, event_type as t, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events),
+cur as (select k, case when t in ('purchase', 'click') then 'DONE' else 'ERROR' end as status from log where rn = 1),
+q as (select l.l_orderkey as filing_id, cast(l.l_linenumber as varchar) as question_id, l.l_returnflag as proxy_question,
+             coalesce(cur.status, 'NEW') as status
+      from lineitem l left join cur on cur.k = l.l_orderkey)
+select q.filing_id, q.question_id, q.proxy_question, q.status, c.c_name as company_name,
+       strftime(o.o_orderdate, '%B %d %Y') as meeting_date_text
+from q join orders o on o.o_orderkey = q.filing_id join customer c on c.c_custkey = o.o_custkey
+where q.status in ('NEW', 'ERROR')
 """)
 def pending_questions(spark, d):
-    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    """Questions (order lines) whose latest status is not DONE, however often
+    they failed, with their filing; the event log is the status log."""
+    from filingflow.plans import recommendation
+    li = read_table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
+    questions = li.select(F.col("l_orderkey").alias("filing_id"), F.col("l_linenumber").cast("string").alias("question_id"),
+                          F.col("l_returnflag").alias("question_text"), F.lit("NEW").alias("status"))
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     c = read_table(spark, d, "customer", "c_custkey", "c_name")
-    q = o.where(F.col("o_orderstatus").isin("O", "P")).join(c, o.o_custkey == c.c_custkey)
-    return q.select("o_orderkey", "c_name", keys.long_date("o_orderdate").alias("meeting_date_text"))
+    filings = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").alias("filing_id"), F.col("c_name").alias("company_name"), F.col("o_orderdate").alias("filing_date"))
+    e = read_table(spark, d, "events", "event_id", "user_id", "event_type", "ts")
+    done = F.col("event_type").isin("purchase", "click")
+    # a log entry holds for all questions of its filing
+    log = e.select(F.col("user_id").alias("filing_id"), F.when(done, "DONE").otherwise("ERROR").alias("status"),
+                   F.struct("ts", "event_id").alias("seq"))
+    log = questions.select("filing_id", "question_id").join(log, "filing_id")
+    got = recommendation.pending_questions(questions, filings, log)
+    return got.select("filing_id", "question_id", "proxy_question", "status", "company_name", "meeting_date_text")
 
 
 @register("oldest_pending", "SL-2 FLT-13", oracle="""
@@ -314,12 +334,12 @@ where len(regexp_extract_all(d.text, '\\S+')) >= 500
 """)
 def filing_documents(spark, d):
     from filingflow.functions import text as T
-    from filingflow.operators.parallel import spread
+    from filingflow.operators.parallel import by_setting
     o = read_table(spark, d, "orders", "o_orderkey", "o_custkey")
     idx = o.select(keys.pad_cik("o_custkey").alias("cik"), o.o_orderkey.cast("string").alias("acc"))
     filings = idx.select(keys.proxy_id("cik", "acc").alias("proxy_id"),
                          keys.archive_url("cik", "acc", keys.document_or_default(F.lit(None))).alias("url"), "acc")
-    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"]) \
+    docs = by_setting(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"]) \
         .select(F.col("doc_id").cast("string").alias("acc"), "text")
     # JN-7: filings without a document are dropped; FLT-6 keeps long texts
     j = filings.join(docs, "acc").where(T.has_min_words("text", 500))

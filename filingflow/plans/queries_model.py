@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from filingflow.functions import text
 from filingflow.operators import model, tallies
-from filingflow.operators.parallel import spread
+from filingflow.operators.parallel import by_setting
 from filingflow.plans import proxy_ingest
 from filingflow.plans.catalog import register
 from filingflow.session import materialize
@@ -19,7 +19,7 @@ from filingflow.sources.tables import read_table
 
 @register("proxy_questions", "UD-2 UD-4 UD-7 SC-17 SC-19 SRC-11 JN-5 WN-4 AG-2 WN-5")
 def proxy_questions(spark, d):
-    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"]) \
+    docs = by_setting(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"]) \
         .withColumnRenamed("doc_id", "filing_id")
     good, _rejects = proxy_ingest.questions_from_documents(docs)
     return good.select("filing_id", "question_id", "question_text", "board_vote_recommend",
@@ -28,7 +28,7 @@ def proxy_questions(spark, d):
 
 @register("tally_extraction", "UD-1 UD-7 AG-6 SC-6")
 def tally_extraction(spark, d):
-    pages = spread(read_table(spark, d, "pages", "page_id", "url", "html"), ["page_id"])
+    pages = by_setting(read_table(spark, d, "pages", "page_id", "url", "html"), ["page_id"])
     src = text.add_clean_text(pages, "html").select(
         "page_id", "text", F.regexp_extract("url", r"//([^./]+)", 1).alias("ticker"),
         F.lit("2024-01-01").alias("meeting_date"))
@@ -48,7 +48,7 @@ def tally_extraction(spark, d):
 @register("question_recommendations", "UD-3 UD-4 JN-3 JN-5 WN-3 AG-2 AG-9 SC-5 SC-16 SC-17 SNK-8 SNK-9 FLT-8 ST-3")
 def question_recommendations(spark, d):
     from filingflow.plans import recommendation
-    docs = spread(read_table(spark, d, "documents", "doc_id", "text", "source"), ["doc_id"])
+    docs = by_setting(read_table(spark, d, "documents", "doc_id", "text", "source"), ["doc_id"])
     filings = docs.select(F.col("doc_id").alias("filing_id"), "text",
                           F.col("source").alias("company_name"))
     kept = filings.where(text.has_min_words("text", proxy_ingest.MIN_FILING_WORDS))

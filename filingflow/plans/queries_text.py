@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from filingflow.functions import text as T
 from filingflow.operators import chunking
-from filingflow.operators.parallel import spread
+from filingflow.operators.parallel import by_setting
 from filingflow.plans.catalog import register
 from filingflow.sources.tables import read_table
 
@@ -38,7 +38,7 @@ _SQL_TOKENS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '
 select page_id, {_SQL_TEXT} as text from pages
 """)
 def html_text(spark, d):
-    pages = spread(read_table(spark, d, "pages", "page_id", "html"), ["page_id"])
+    pages = by_setting(read_table(spark, d, "pages", "page_id", "html"), ["page_id"])
     return T.add_clean_text(pages, "html").select("page_id", "text")
 
 
@@ -48,7 +48,7 @@ select doc_id, n_words from (
 where n_words >= 500
 """)
 def min_words(spark, d):
-    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
+    docs = by_setting(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
     return (docs.select("doc_id", T.word_count("text").cast("bigint").alias("n_words"))
             .where(F.col("n_words") >= 500))
 
@@ -63,7 +63,7 @@ select doc_id, cast(st // 600 as bigint) as chunk_index,
 from s
 """)
 def word_chunks(spark, d):
-    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
+    docs = by_setting(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
     ch = chunking.chunk_text(docs, "text", ["doc_id"])
     return ch.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
                      F.col("n_tokens").cast("bigint").alias("n_tokens"), "chunk_text")
@@ -75,35 +75,47 @@ select doc_id,
 from (select doc_id, len({_SQL_TOKENS}) as n from documents)
 """)
 def chunk_counts(spark, d):
-    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
+    docs = by_setting(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
     out = chunking.chunk_counts(docs, "text", ["doc_id"])
     return out.select("doc_id", F.col("n_chunks").cast("bigint").alias("n_chunks"))
 
 
-@register("style_strip", "SC-8", oracle="""
-select page_id, regexp_replace(html, '(?i)(<[^>]*?)\\sstyle\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>]+)', '\\1', 'g') as html
-from pages
+# Every third page gets a style attribute, every fourth a mention of the item, so that both outcomes occur.
+def _styled(pages):
+    mark = F.lit('<p class="a" style="color: red">x</p><i STYLE=bold>y</i>')
+    return F.when(F.col("page_id") % 3 == 0, F.concat(mark, "html")).otherwise(F.col("html"))
+
+
+@register("style_strip", "SC-8", oracle=f"""
+select page_id, case when page_id % 3 = 0 then '<p class="a">x</p><i>y</i>' || rest else rest end as html
+from (select page_id, regexp_replace(html, '(?i)(<[^>]*?)\\sstyle\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>]+)', '\\1', 'g') as rest from pages)
 """)
 def style_strip(spark, d):
     pages = read_table(spark, d, "pages", "page_id", "html")
-    return pages.select("page_id", T.strip_style_attributes("html").alias("html"))
+    return pages.select("page_id", T.strip_style_attributes(_styled(pages)).alias("html"))
 
 
 @register("item507_scan", "FLT-5 SC-6 SC-7", oracle=f"""
-select page_id, coalesce(regexp_matches({_SQL_TEXT}, '(?i)\\bITEM\\s*5\\.07\\b'), false) as mentions_item_507
+select page_id, page_id % 4 = 0 or coalesce(regexp_matches({_SQL_TEXT}, '(?i)\\bITEM\\s*5\\.07\\b'), false) as mentions_item_507
 from pages
 """)
 def item507_scan(spark, d):
-    pages = spread(read_table(spark, d, "pages", "page_id", "html"), ["page_id"])
+    pages = by_setting(read_table(spark, d, "pages", "page_id", "html"), ["page_id"])
+    # a mention across tags and lines, and near misses that aren't one
+    mention = F.when(F.col("page_id") % 4 == 0, F.lit("<p>see <b>Item</b>\n5.07.</p>")).otherwise(F.lit("<p>Items 5.075, item 5x07</p>"))
+    pages = pages.select("page_id", F.concat(mention, F.coalesce("html", F.lit(""))).alias("html"))
     return T.add_clean_text(pages, "html").select("page_id", T.mentions_item_507("text").alias("mentions_item_507"))
 
 
 @register("decode_html_bytes", "SC-9", oracle="""
-select page_id, html as text from pages
+select page_id, case when page_id % 3 = 0 then 'caf' || chr(233) || ' ' || chr(8364) || ' ' || page_id else html end as text from pages
 """)
 def decode_html_bytes(spark, d):
     pages = read_table(spark, d, "pages", "page_id", "html")
-    return pages.select("page_id", T.decode_bytes(F.encode("html", "UTF-8")).alias("text"))
+    # every third page as Windows-1252 bytes, which are not valid UTF-8
+    old = F.concat(F.unhex(F.lit("636166E9208020")), F.encode(F.col("page_id").cast("string"), "UTF-8"))
+    data = F.when(F.col("page_id") % 3 == 0, old).otherwise(F.encode("html", "UTF-8"))
+    return pages.select("page_id", T.decode_bytes(data).alias("text"))
 
 
 @register("chunk_json_export", "SNK-3 WN-5 SC-15", oracle=f"""
@@ -117,6 +129,6 @@ from s group by doc_id
 """)
 def chunk_json_export(spark, d):
     from filingflow.sources import handoff
-    docs = spread(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
+    docs = by_setting(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
     ch = chunking.chunk_text(docs, "text", ["doc_id"])
     return handoff.chunks_as_json(ch, "doc_id", with_embedding=False)

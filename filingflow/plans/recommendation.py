@@ -17,30 +17,23 @@ from filingflow.session import materialize
 
 REC_K = retrieval.RAG_TOP_K
 RESULT_KEY = ["filing_id", "question_id"]
-RESULT_RULES = {c: merge.REPLACE for c in ("voting_recommendation", "rationale", "citation",
-                                            "confidence", "updated_at")}
+RESULT_RULES = {c: merge.REPLACE for c in ("voting_recommendation", "rationale", "citation", "confidence",
+                                            "key_facts", "policy_breaches", "updated_at")}
 
 REC_PROMPT = ("Policy rules:\n%s\n\nCompany: %s, meeting %s.\nQuestion %s: %s\n\n"
               "Passages:\n%s\n\nRecommend For, Against, Abstain or Withhold as JSON.")
 
 
 def pending_questions(questions: DataFrame, filings: DataFrame, status_log: DataFrame | None = None,
-                      only_ids: DataFrame | None = None, max_attempts: int | None = 3) -> DataFrame:
+                      only_ids: DataFrame | None = None) -> DataFrame:
     """FLT-8 + JN-3 + SC-5 + ST-5: questions whose current status is NEW or
-    ERROR (and that failed fewer than ``max_attempts`` times), joined to their
-    filing; optional restriction to an id list."""
+    ERROR, however often they failed, joined to their filing; optional
+    restriction to an id list."""
     q = questions
     if status_log is not None:
         cur = status.current_status(status_log, RESULT_KEY, ["seq"], ["status"])
         q = q.drop("status").join(cur, RESULT_KEY, "left") \
             .withColumn("status", F.coalesce("status", F.lit("NEW")))
-        if max_attempts is not None:
-            # a compacted log carries earlier failures in error_count
-            carried = F.col("error_count") if "error_count" in status_log.columns else F.lit(None)
-            failed = status_log.groupBy(*RESULT_KEY).agg(F.sum(F.coalesce(
-                carried, F.when(F.col("status") == "ERROR", 1).otherwise(0))).alias("_fails")) \
-                .where(F.col("_fails") >= max_attempts)
-            q = q.join(failed.select(*RESULT_KEY), RESULT_KEY, "left_anti")
     q = q.where(F.col("status").isin(*status.QUESTION_PENDING))
     if only_ids is not None:
         q = q.join(only_ids.select(*RESULT_KEY), RESULT_KEY, "left_semi")
@@ -75,16 +68,18 @@ def question_contexts(pending: DataFrame, chunks: DataFrame, k: int = REC_K) ->
         "filing_id", F.dense_rank().over(per_filing).alias("query_no"), "question_id",
         F.col("question_embedding").alias("qv"))
     ids = q.select("filing_id", "query_no", "question_id")
-    scored = retrieval.score_all(chunks.select("filing_id", "chunk_index", "chunk_text", "embedding"),
+    # ids and scores are ranked; the text joins the k chunks that are left
+    scored = retrieval.score_all(chunks.select("filing_id", "chunk_index", "embedding"),
                                  q.drop("question_id"), "filing_id").drop("embedding")
-    ex = scored.select("filing_id", "chunk_index", "chunk_text", F.inline("scores"))
+    ex = scored.select("filing_id", "chunk_index", F.inline("scores"))
     top = top_n_per_group(ex, ["filing_id", "query_no"], [F.desc("score"), F.asc("chunk_index")], k, "rank")
+    top = top.join(chunks.select("filing_id", "chunk_index", "chunk_text"), ["filing_id", "chunk_index"])
     ctx = concat.context_concat(top, ["filing_id", "query_no"], ["rank"], "chunk_text")
     return ctx.join(ids, ["filing_id", "query_no"]).drop("query_no")
 
 
 def recommend(pending: DataFrame, contexts: DataFrame, policies: DataFrame, fn: model.ModelFn,
-              custom_policy: str | None = None, max_concurrency: int | None = 20,
+              custom_policy: str | None = None, max_concurrency: int | None = None,
               store_output: bool = True) -> tuple[DataFrame, DataFrame]:
     """SC-19 + UD-3 + UD-7 + SC-17: ``(results, failures)``.
 
@@ -92,8 +87,8 @@ def recommend(pending: DataFrame, contexts: DataFrame, policies: DataFrame, fn:
     ``policies`` is ``(policy_id, policy_rules)`` from ``policy_texts`` -- an
     equi-join on a table with one short row per policy, which AQE
     broadcasts.  A non-empty ``custom_policy`` replaces the stored rules
-    (SC-16).  ``max_concurrency`` bounds the calls in flight (20 items, the
-    service limit of the remote model).  With ``store_output`` the raw model
+    (SC-16).  Calls in flight are bounded by the task slots; ``max_concurrency``
+    lowers that to a number of partitions the caller names.  With ``store_output`` the raw model
     output is written once to the checkpoint folder, so results and failures
     come from the same calls and the model is never re-run.
     """
@@ -115,7 +110,9 @@ def recommend(pending: DataFrame, contexts: DataFrame, policies: DataFrame, fn:
                         F.col("parsed.voting_recommendation").alias("voting_recommendation"),
                         F.col("parsed.rationale").alias("rationale"),
                         F.col("parsed.citation").alias("citation"),
-                        F.col("parsed.confidence").try_cast("double").alias("confidence"))
+                        F.col("parsed.confidence").try_cast("double").alias("confidence"),
+                        F.col("parsed.key_facts").alias("key_facts"),
+                        F.col("parsed.policy_breaches").alias("policy_breaches"))
     tagged = quality.validate(rec, [
         ("model error", F.col("model_error").isNull()),
         ("malformed model output", F.col("parsed").isNotNull() & F.col("parsed._corrupt_record").isNull()),

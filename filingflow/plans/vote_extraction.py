@@ -18,6 +18,9 @@ VOTE_KEY = ["cik", "meeting_date", "question_id"]
 VOTE_COLUMNS = ["cik", "ticker", "meeting_date", "question_id", "resolution", "total_votes",
                 "for_votes", "against_votes", "abstentions", "broker_non_votes", "raw_json"]
 
+#: Rejects that leave a job done: the document is passed over.
+SKIPPED = ("ticker missing", "meeting_date missing")
+
 TALLY_PROMPT = "Extract the Item 5.07 voting results of this filing as JSON.\n\n%s"
 
 
@@ -126,22 +129,25 @@ def job_processor(index_rows: DataFrame, documents: DataFrame, companies: DataFr
     Each micro-batch's pending jobs ``(job_id, params={"cik", "year"})`` run as
     one plan: candidates (AG-1), documents with Item 5.07, model, validated
     tallies.  Returns one row per tally (``error`` null) and one row per
-    rejected document or tally (``error`` = reason), so the job log can mark a
-    job ``error`` when anything in it failed.
+    failure (``error`` = reason): a company and year without an Item 5.07
+    filing, a failed model call, malformed output, a bad tally.  Missing
+    documents, documents without Item 5.07 and outputs without ticker or
+    meeting date are skipped and leave the job ``done``.
     """
     def process(todo: DataFrame) -> DataFrame:
         p = todo.select("job_id", F.from_json("params", "cik string, year int").alias("p"))
         jobs = p.select("job_id", F.col("p.cik").alias("cik"), F.col("p.year").alias("year"))
         cands = candidate_filings(jobs, index_rows, strict)
-        docs, missing = filing_documents(cands, documents)
+        docs, _skipped = filing_documents(cands, documents)
         docs = docs.join(companies.select(keys.pad_cik("cik").alias("cik"), "ticker"), "cik", "left")
         tallies_df, rejects = extract_tallies(docs, fn, max_concurrency=max_concurrency)
         ok = tallies_df.select("job_id", "cik", "meeting_date", "question_id", "for_votes", "against_votes",
                                "abstentions", "broker_non_votes", "total_votes",
                                F.lit(None).cast("string").alias("error"))
-        # documents without Item 5.07 are skipped, not failures
-        bad = missing.where(F.col("reject_reason") != "no item 5.07") \
-            .select("job_id", "cik", F.col("reject_reason").alias("error")).unionByName(
-                rejects.select("job_id", "cik", F.col("reject_reason").alias("error")))
+        none = jobs.join(cands.select("job_id").distinct(), "job_id", "left_anti").select(
+            "job_id", keys.pad_cik("cik").alias("cik"),
+            F.format_string("no Item 5.07 filing of %s in %d", F.col("cik"), F.col("year")).alias("error"))
+        bad = none.unionByName(rejects.where(~F.col("reject_reason").isin(*SKIPPED)).select(
+            "job_id", "cik", F.col("reject_reason").alias("error")))
         return ok.unionByName(bad, allowMissingColumns=True)
     return process

@@ -52,6 +52,7 @@ PROXY_QUESTIONS = _s(("filing_id", LongType()), ("question_id", StringType()), (
 RECOMMENDATIONS_TABLE = _s(("filing_id", LongType()), ("question_id", StringType()),
                            ("voting_recommendation", StringType()), ("rationale", StringType()),
                            ("citation", StringType()), ("confidence", DoubleType()),
+                           ("key_facts", StringType()), ("policy_breaches", StringType()),
                            ("updated_at", TimestampType()))
 
 QUESTION_STATUS_LOG = _s(("filing_id", LongType()), ("question_id", StringType()), ("status", StringType()),

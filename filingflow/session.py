@@ -56,17 +56,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and job state.
 
-    Reads ``spark.checkpoint.dir`` from the session (set by the cluster).  Only
-    when it is unset -- local tests -- a fresh scratch folder is created and
-    registered, so later calls in the same session reuse it.
+    Reads ``spark.checkpoint.dir`` from the session (set by the cluster).  A
+    single-JVM local session (tests) without it gets a scratch folder; any
+    other one is refused, as its executors could not see such a folder.
     """
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="filingflow-ckpt-"))
         d = spark.sparkContext.getCheckpointDir()
-    return d.removeprefix("file:")
+    return d.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -82,8 +82,8 @@ def list_meetings(requests: DataFrame, rows: DataFrame, default_n: int = DEFAULT
     miss = quality.diagnostics(req, top, ["request_id"], F.lit(None).cast("string")).drop("reason") \
         .join(known, "ticker", "left")
     diag = miss.select("request_id", "ticker", "isin", F.when(F.col("_known"), F.format_string(
-        "Ticker '%s' exists but no company with ISIN '%s' matches it", F.col("ticker"), F.col("isin")))
-        .otherwise(F.format_string("Ticker '%s' not found", F.col("ticker"))).alias("reason"))
+        "No company of ticker '%s' has the ISIN '%s'", F.col("ticker"), F.col("isin")))
+        .otherwise(F.format_string("No feed for ticker '%s'", F.col("ticker"))).alias("reason"))
     return top, diag
 
 
@@ -101,22 +101,21 @@ def select_meetings(requests: DataFrame, rows: DataFrame, default_n: int = DEFAU
 
 
 def fetch_documents(chosen: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JN-7 + FLT-10: attach payloads; missing ones and not-found / warning
-    payloads go to rejects."""
+    """JN-7 + FLT-10: attach payloads; missing ones and those that say "Not
+    found" with status "warning" go to rejects, other warnings are kept."""
     j = chosen.join(documents, "meeting_id", "left")
-    status = F.get_json_object("payload", "$.status")
+    absent = (F.get_json_object("payload", "$.status") == "warning") & (F.get_json_object("payload", "$.message") == "Not found")
     tagged = quality.validate(j, [
         ("document missing", F.col("payload").isNotNull()),
-        ("not found / warning payload", ~F.coalesce(F.lower(status).isin("warning", "error", "not found"),
-                                                    F.lit(False))),
+        ("not found / warning payload", ~F.coalesce(absent, F.lit(False))),
     ])
     return quality.split(tagged)
 
 
 def write_documents(docs: DataFrame, base: str) -> None:
-    """SNK-1: ``base/security=<ticker>_<isin>/`` JSON, replacing only the
-    securities present in this batch (dynamic partition overwrite)."""
+    """SNK-1: ``base/security=<ticker>_<isin>/meeting_id=<id>/`` JSON, replacing
+    only the meetings present in this batch (dynamic partition overwrite)."""
     out = docs.withColumn("security", F.concat_ws("_", "ticker", "isin"))
     (out.select("security", "meeting_id", "payload").write
      .option("partitionOverwriteMode", "dynamic").mode("overwrite")
-     .partitionBy("security").json(base))
+     .partitionBy("security", "meeting_id").json(base))

@@ -3,8 +3,9 @@
 New filing-index files arrive in a folder.  Each micro-batch turns them into
 rows, keeps proxy statements, skips filings already stored (unless listed for
 re-ingest), joins their documents, cleans and chunks the text, and writes the
-filings and chunks of the batch to folders named by the batch id (overwrite,
-so a re-run batch replaces its own output).  The stored filing set is the
+filings and chunks of the batch to folders named by the batch id (overwrite;
+what is stored already is judged by earlier batches only, so a re-run batch
+takes the same filings and replaces its own output).  The stored filing set is the
 union of those folders; a re-ingested filing's latest batch wins.
 """
 
@@ -23,10 +24,10 @@ from filingflow.streaming import logs
 FILINGS, CHUNKS, REJECTS = "filings", "chunks", "rejects"
 
 
-def stored_filings(spark: SparkSession, state_dir: str) -> DataFrame:
-    """Current filing rows: the latest batch per ``proxy_id`` (snapshot +
-    newer batches, see ``compact_filings``)."""
-    rows = logs.read(spark, os.path.join(state_dir, FILINGS), None)
+def stored_filings(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame:
+    """Current filing rows (as batch ``before`` found them): the latest batch
+    per ``proxy_id`` (snapshot + newer batches, see ``compact_filings``)."""
+    rows = logs.read(spark, os.path.join(state_dir, FILINGS), None, before)
     if rows is None:
         return spark.createDataFrame([], "proxy_id string, filing_id long, batch_id long")
     latest = rows.groupBy("proxy_id").agg(F.max("batch_id").alias("batch_id"))
@@ -53,7 +54,7 @@ def make_handler(state_dir: str, documents: DataFrame, year: int | None = None,
         pages = batch.select("cik", "source_file", filing_index.page_struct(batch).alias("page"))
         rows, bad_pages = filing_index.index_rows(pages, ["cik", "source_file"])
         selected = proxy_ingest.select_proxy_filings(filing_index.normalise(rows), year)
-        done = stored_filings(spark, state_dir).select("proxy_id")
+        done = stored_filings(spark, state_dir, batch_id).select("proxy_id")
         new = proxy_ingest.new_filings(selected, done, redo)
         # cleaned once per batch: kept filings and rejects both read it
         tagged = proxy_ingest.tag_filing_texts(new, documents, min_words=min_words).persist()

@@ -5,9 +5,10 @@ picks up new files (the checkpoint remembers which were read, so replaying the
 same file adds nothing), and ``foreachBatch`` runs the batch job over *all*
 pending requests at once.
 
-Exactly-once: every output of micro-batch ``b`` is written to folders named
-after ``b`` with overwrite, so a batch re-run after an executor or driver loss
-replaces its own partial output instead of duplicating it.  Job status is an
+Replay: every output of micro-batch ``b`` is written to folders named after
+``b`` with overwrite, and what is done already is judged by earlier batches
+only.  A batch that runs again after an executor or driver loss therefore does
+the same jobs and replaces its own output.  Job status is an
 append-only log; the current status is the entry with the greatest sequence.
 """
 
@@ -52,9 +53,10 @@ def write_requests(requests: DataFrame, incoming_dir: str) -> None:
 STATUS_SCHEMA = "job_id string, status string, error string, seq int, updated_at timestamp, batch_id bigint"
 
 
-def read_status(spark: SparkSession, state_dir: str) -> DataFrame:
-    """Status rows needed for the current state: latest snapshot + newer batches."""
-    return logs.read(spark, os.path.join(state_dir, STATUS_DIR), STATUS_SCHEMA)
+def read_status(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame:
+    """Status rows needed for the current state (as batch ``before`` found it):
+    latest snapshot + newer batches."""
+    return logs.read(spark, os.path.join(state_dir, STATUS_DIR), STATUS_SCHEMA, before)
 
 
 def compact_status(spark: SparkSession, state_dir: str) -> int | None:
@@ -81,7 +83,7 @@ def make_batch_handler(state_dir: str, process: Callable[[DataFrame], DataFrame]
         spark = batch.sparkSession
         jobs = batch.select(F.col("id").alias("job_id"), "params", "created_at").dropDuplicates(["job_id"])
         # only this batch's jobs matter: narrow the log before taking the latest entry
-        log = read_status(spark, state_dir).join(jobs.select("job_id"), "job_id", "left_semi")
+        log = read_status(spark, state_dir, batch_id).join(jobs.select("job_id"), "job_id", "left_semi")
         done = st.current_status(log, ["job_id"], ["batch_id", "seq"], ["status"]) \
             .where(F.col("status") == "done").select("job_id")
         todo = jobs.join(done, "job_id", "left_anti").persist()
@@ -91,6 +93,8 @@ def make_batch_handler(state_dir: str, process: Callable[[DataFrame], DataFrame]
         running = todo.select("job_id", F.lit("running").alias("status"),
                               F.lit(None).cast("string").alias("error"),
                               F.lit(_SEQ_RUNNING).alias("seq"), now.alias("updated_at"))
+        # visible while the work goes on; the final write replaces it
+        running.write.mode("overwrite").parquet(status_path)
         try:
             results = process(todo)
             if "error" not in results.columns:
@@ -99,7 +103,7 @@ def make_batch_handler(state_dir: str, process: Callable[[DataFrame], DataFrame]
             stored = spark.read.parquet(result_path)
             errors = stored.groupBy("job_id").agg(F.max("error").alias("error"))
         except Exception as e:  # noqa: BLE001 -- Q14: the batch outcome sets every job's status
-            msg = f"{type(e).__name__}: {e}"[:1000]
+            msg = f"{type(e).__name__}: {e}"
             errors = todo.select("job_id", F.lit(msg).alias("error"))
         final = todo.select("job_id").join(errors, "job_id", "left").select(
             "job_id", F.when(F.col("error").isNull(), "done").otherwise("error").alias("status"),

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,59 +28,59 @@ def log_path(base: str, batch_id: int) -> str:
     return os.path.join(base, LOG, f"batch_id={batch_id}")
 
 
-def _latest_snapshot(spark: SparkSession, base: str) -> int | None:
+def _load(spark: SparkSession, path: str, schema: str | None) -> DataFrame | None:
+    """The table, or None if nothing has been written there; other errors are raised."""
     try:
-        v = spark.read.parquet(os.path.join(base, SNAPSHOT)).agg(F.max("upto")).first()[0]
-    except Exception:  # noqa: BLE001 -- no snapshot yet
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _latest_snapshot(spark: SparkSession, base: str, before: int | None) -> int | None:
+    found = _load(spark, os.path.join(base, SNAPSHOT), None)
+    if found is None:
         return None
+    v = (found if before is None else found.where(F.col("upto") < before)).agg(F.max("upto")).first()[0]
     return None if v is None else int(v)
 
 
-def read(spark: SparkSession, base: str, schema: str | None) -> DataFrame | None:
+def read(spark: SparkSession, base: str, schema: str | None, before: int | None = None) -> DataFrame | None:
     """All rows needed to know the current state: snapshot + newer log rows.
 
+    With ``before``, the state that batch ``before`` started from: only rows
+    and snapshots of earlier batches.  A batch that is run again must not see
+    what it wrote itself the first time.
     ``schema`` is a DDL string that includes ``batch_id bigint``; with None the
     parquet footers give it (files this module wrote), and None is returned
     while nothing has been written.
     """
-    def load(path):
-        r = spark.read
-        return (r.schema(schema) if schema else r).parquet(path)
-    try:
-        log = load(os.path.join(base, LOG))
-    except Exception:  # noqa: BLE001 -- nothing written yet
+    log = _load(spark, os.path.join(base, LOG), schema)
+    if log is None:
         if schema is None:
             return None
         log = spark.createDataFrame([], schema)
-    s = _latest_snapshot(spark, base)
+    if before is not None:
+        log = log.where(F.col("batch_id") < before)
+    s = _latest_snapshot(spark, base, before)
     if s is None:
         return log
-    snap = load(os.path.join(base, SNAPSHOT, f"upto={s}"))
+    path = os.path.join(base, SNAPSHOT, f"upto={s}")
+    snap = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     return snap.unionByName(log.where(F.col("batch_id") > s))
 
 
-def compact(spark: SparkSession, base: str, schema: str, key_cols: list[str], order_cols: list[str],
-            counters: dict | None = None) -> int | None:
-    """Write a snapshot of the latest row per key; returns its ``upto``.
-
-    ``counters`` maps a count column of the schema (null in log rows) to a
-    condition; the snapshot keeps, per key, how many rows so far matched it,
-    so history-based rules (e.g. retry limits) survive compaction.
-    """
+def compact(spark: SparkSession, base: str, schema: str, key_cols: list[str], order_cols: list[str]) -> int | None:
+    """Write a snapshot of the latest row per key; returns its ``upto``."""
     rows = read(spark, base, schema)
     if rows is None:
         return None
     upto = rows.agg(F.max("batch_id")).first()[0]
     if upto is None:
         return None
-    counters = counters or {}
-    value_cols = [c for c in rows.columns if c not in key_cols and c not in counters]
+    value_cols = [c for c in rows.columns if c not in key_cols]
     latest = status.current_status(rows, key_cols, order_cols, value_cols)
-    if counters:
-        counts = rows.groupBy(*key_cols).agg(*[
-            F.sum(F.coalesce(F.col(name), F.when(cond, 1).otherwise(0))).cast("bigint").alias(name)
-            for name, cond in counters.items()])
-        latest = latest.join(counts, key_cols)
     latest.select(*rows.columns).write.mode("overwrite").parquet(
         os.path.join(base, SNAPSHOT, f"upto={int(upto)}"))
     return int(upto)

@@ -63,12 +63,13 @@ def test_facade_pdf_and_recommend(spark, tmp_path):
     assert json.loads(json.dumps(res.first().asDict(), default=str))["question_id"] == "1"
 
 
-def test_spread_is_a_no_op_on_wide_inputs(spark):
-    from filingflow.operators.parallel import spread
-    slots = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=slots * 3)
-    assert spread(wide, ["id"]) is wide
-    narrow = spark.range(0, 1000, numPartitions=1)
-    spread_df = spread(narrow, ["id"])
-    assert spread_df.rdd.getNumPartitions() == slots * 2
-    assert sorted(r["id"] for r in spread_df.collect()) == list(range(1000))
+def test_partitions_only_by_setting(spark):
+    from filingflow.operators.parallel import SETTING, by_setting
+    df = spark.range(0, 1000, numPartitions=2)
+    assert by_setting(df, ["id"]) is df
+    spark.conf.set(SETTING, "5")
+    try:
+        dealt = by_setting(df, ["id"])
+        assert dealt.rdd.getNumPartitions() == 5 and dealt.count() == 1000
+    finally:
+        spark.conf.unset(SETTING)

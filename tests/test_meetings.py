@@ -40,7 +40,7 @@ def test_explicit_ids_and_diagnostics(spark, rows):
     assert sorted(r["request_id"] for r in diag.collect()) == ["r2", "r3", "r4"]
     _, d2 = meetings.list_meetings(req.where(F.col("request_id") != "r1").drop("meeting_ids"), rows)
     reasons = {r["request_id"]: r["reason"] for r in d2.collect()}
-    assert "exists but no company" in reasons["r3"] and "not found" in reasons["r4"]
+    assert reasons["r3"].startswith("No company of ticker") and reasons["r4"].startswith("No feed for ticker")
 
 
 def test_default_five_and_validation(spark, rows):
@@ -72,6 +72,23 @@ def test_fetch_and_keyed_sink(spark, rows, tmp_path):
     assert back[0]["meeting_id"] == "M1" and json.loads(back[0]["payload"]) == {"meeting": "data"}
 
 
+def test_meetings_stored_one_after_the_other_all_stay(spark, tmp_path):
+    schema = "ticker string, isin string, meeting_id string, payload string"
+    for m, text in (("m1", "a"), ("m2", "b"), ("m1", "c")):
+        meetings.write_documents(spark.createDataFrame([("T", "I", m, text)], schema), str(tmp_path / "out"))
+    got = spark.read.json(str(tmp_path / "out")).collect()
+    assert sorted((r["meeting_id"], r["payload"]) for r in got) == [("m1", "c"), ("m2", "b")]
+
+
+def test_only_not_found_warnings_are_rejected(spark):
+    chosen = spark.createDataFrame([(k, k) for k in "abcde"], "request_id string, meeting_id string")
+    docs = spark.createDataFrame([("a", '{"status": "warning", "message": "Not found"}'), ("b", '{"status": "warning", "message": "late"}'),
+                                  ("c", '{"status": "error", "message": "Not found"}'), ("d", '{"m": 1}')], "meeting_id string, payload string")
+    good, bad = meetings.fetch_documents(chosen, docs)
+    assert sorted(r["meeting_id"] for r in good.collect()) == ["b", "c", "d"]
+    assert sorted((r["meeting_id"], r["reject_reason"]) for r in bad.collect()) == [("a", "not found / warning payload"), ("e", "document missing")]
+
+
 def test_e3_fetch_plan(spark, rows, tmp_path):
     from filingflow.plans import meeting_fetch
     feed_dir = tmp_path / "feed"

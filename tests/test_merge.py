@@ -119,20 +119,40 @@ def test_replace_by_key_and_skip_done(spark):
     assert sorted(r["f"] for r in merge.skip_done(cand, done, ["f"], redo).collect()) == [2, 3]
 
 
-def test_versions_and_counts(spark, tmp_path):
+def test_counts(spark):
     from filingflow.operators import chunking
     df = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "f int, c int")
     counts = {r["f"]: r["n"] for r in chunking.count_per_key(df, ["f"]).collect()}
     assert counts == {1: 2, 2: 1}
-    p1 = merge.write_version(df, str(tmp_path / "t"), 1)
-    merge.write_version(merge.replace_by_key(merge.read_version(spark, str(tmp_path / "t"), 1),
-                                             spark.createDataFrame([(2, 9)], "f int, c int"), ["f"]),
-                        str(tmp_path / "t"), 2)
-    assert sorted(tuple(r) for r in merge.read_version(spark, str(tmp_path / "t"), 2).collect()) == [(1, 0), (1, 1), (2, 9)]
-    assert spark.read.parquet(p1).count() == 3
-    assert merge.latest_version(spark, str(tmp_path / "t")) == 2
-    assert merge.read_latest(spark, str(tmp_path / "t")).count() == 3
-    assert merge.latest_version(spark, str(tmp_path / "none")) is None
+
+
+def test_null_keys_survive_an_ordered_upsert(spark):
+    schema = "filing_id long, question_id string, v string, e string, seq int"
+    batch = spark.createDataFrame([(1, "a", "old", "x", 1), (1, "a", "new", None, 2), (None, "b", "n", "y", 1), (1, None, "m", None, 1)], schema)
+    target = spark.createDataFrame([(1, "a", "stored", "z")], "filing_id long, question_id string, v string, e string")
+    rules = {"v": merge.REPLACE, "e": merge.KEEP_IF_NULL}
+    got = merge.upsert(target, batch, ["filing_id", "question_id"], rules, "seq").collect()
+    assert sorted(tuple(map(str, r)) for r in got) == [("1", "None", "m", "None"), ("1", "a", "new", "x"), ("None", "b", "n", "y")]
+
+
+def test_null_texts_are_embedded_once(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b"), (4, None)], "id int, t string")
+    plain = {r["id"]: r["e"] for r in df.withColumn("e", model.embed_column("t")).collect()}
+    once = {r["id"]: r["embedding"] for r in model.embed_texts_once(df, "t").collect()}
+    assert once == plain
+
+
+def test_recommendation_contract_strings(spark):
+    out = spark.createDataFrame([(json.dumps({"voting_recommendation": "For", "confidence": 0.5, "key_facts": "two facts", "policy_breaches": "none"}),)], "model_output string")
+    parsed = model.parse_output(out, model.REC_SCHEMA).first()["parsed"]
+    assert parsed["_corrupt_record"] is None and parsed["key_facts"] == "two facts"
+
+
+def test_error_texts_are_whole(spark):
+    def fails(pdf):
+        raise RuntimeError("x" * 5000)
+    df = spark.createDataFrame([(1, "a")], "id int, t string")
+    assert len(model.apply_model(df, fails, ["t"], ["id"]).first()["model_error"]) > 5000
 
 
 def test_model_and_embedder_factories_run_once_per_task(spark):

@@ -21,7 +21,7 @@ def test_scan_reads_only_needed_columns(spark):
 
 
 def test_chunking_and_flagship_need_no_shuffle(spark):
-    # the only exchange allowed is the optional spread of a too-small scan
+    # the only exchange allowed is one that the session asks for
     for p in (plan(spark, "word_chunks"), plan(spark, "chunk_counts"),
               E.entry(spark)._jdf.queryExecution().executedPlan().toString()):
         assert "ENSURE_REQUIREMENTS" not in p

@@ -63,21 +63,22 @@ def test_e1_ingest_and_e4_recommend(spark):
     emb = proxy_ingest.embed_chunks(chunks)
     ctx = proxy_ingest.retrieval_context(emb, proxy_ingest.query_vectors())
     assert ctx.first()["n_parts"] == 2
-    qs, bad = proxy_ingest.extract_questions(ctx, model.stub_question_model())
-    assert qs.count() == 3 and bad.count() == 0
+    qs, bad = proxy_ingest.extract_questions(ctx, model.stub_question_model(min_words=9))
+    n = qs.count()
+    assert n > 100 and bad.count() == 0  # all whole sentences of both chunks
     # E4: embed question texts (Q17), retrieve per question, recommend
     qs_e = qs.withColumn("question_embedding", model.embed_column("question_text"))
     fil = filings.select("filing_id", F.col("name").alias("company_name"), "filing_date",
                          F.lit(7).alias("policy_id"))
     pending = recommendation.pending_questions(qs_e, fil)
     contexts = recommendation.question_contexts(pending, emb, k=1)
-    assert contexts.count() == 3
+    assert contexts.count() == n
     rules = spark.createDataFrame([(7, 1, "Rule one."), (7, 2, "Rule two.")],
                                   "policy_id int, rule_id int, rule_text string")
     policies = recommendation.policy_texts(rules)
     assert policies.first()["policy_rules"] == "Rule one.\nRule two."
     res, fails = recommendation.recommend(pending, contexts, policies, model.stub_recommendation_model())
-    assert res.count() + fails.count() == 3
+    assert res.count() + fails.count() == n
     log = recommendation.status_entries(res, fails, 1)
     assert set(r["status"] for r in log.collect()) <= {"DONE", "ERROR"}
     again = recommendation.pending_questions(qs_e, fil, log.select("filing_id", "question_id", "status", "seq"))
@@ -100,5 +101,5 @@ def test_tasks_facade_ingest(spark, tmp_path):
     f = filings.collect()
     assert len(f) == 1 and f[0]["name"] == "A One" and f[0]["proxy_id"].endswith("22-000004")
     assert chunks.count() == 2 and rejects.count() == 0
-    qs, bad = tasks.extract_ballot_questions(chunks, model.stub_question_model())
-    assert qs.count() == 3
+    qs, bad = tasks.extract_ballot_questions(chunks, model.stub_question_model(min_words=9))
+    assert qs.count() > 100

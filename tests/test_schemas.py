@@ -25,11 +25,13 @@ def test_votes_and_questions_conform(spark):
     assert schemas.conform(merged, schemas.VOTES).count() == 1
 
     docs = spark.createDataFrame([(7, WORDS)], "filing_id long, text string")
-    qs, _ = proxy_ingest.questions_from_documents(docs)
+    qs, _ = proxy_ingest.questions_from_documents(docs, model.stub_question_model(min_words=9))
     q = schemas.conform(qs, schemas.PROXY_QUESTIONS)
-    assert names_types(q.schema) == names_types(schemas.PROXY_QUESTIONS) and q.count() == 3
+    assert names_types(q.schema) == names_types(schemas.PROXY_QUESTIONS)
+    n = q.count()
+    assert n > 100
     stored = proxy_ingest.store_questions(schemas.empty(spark, schemas.PROXY_QUESTIONS), q)
-    assert stored.count() == 3
+    assert stored.count() == n
 
 
 def test_chunks_and_results_conform(spark):
@@ -37,9 +39,10 @@ def test_chunks_and_results_conform(spark):
     ch = proxy_ingest.embed_chunks(proxy_ingest.filing_chunks(docs))
     c = schemas.conform(ch, schemas.PROXY_CHUNKS)
     assert c.count() == 2 and c.where(F.size("embedding") == model.EMBED_DIM).count() == 2
-    res = spark.createDataFrame([(7, "1", "For", "r", "c", 0.5)],
+    res = spark.createDataFrame([(7, "1", "For", "r", "c", 0.5, "facts", "none")],
                                 "filing_id long, question_id string, voting_recommendation string, "
-                                "rationale string, citation string, confidence double") \
+                                "rationale string, citation string, confidence double, key_facts string, "
+                                "policy_breaches string") \
         .withColumn("updated_at", F.current_timestamp())
     out = recommendation.store_results(schemas.empty(spark, schemas.RECOMMENDATIONS_TABLE), res)
     assert names_types(schemas.conform(out, schemas.RECOMMENDATIONS_TABLE).schema) == \
