@@ -3,8 +3,9 @@
 Passages are windows of ``WINDOW`` words, every ``STRIDE`` words, over whole
 texts.  The terms are the ``TERMS`` words of each benchmark item that fewest
 items share, the longer first; other words add nothing to an inner product
-with an item.  Passages with ``LEAST_TERMS`` terms make a TF-IDF matrix A,
-weighted by the passages of the whole corpus that hold a term.
+with an item.  Passages with ``LEAST_SHARE`` of the terms of some item, well
+below what a leak holds, make a TF-IDF matrix A, weighted by the passages of
+the whole corpus that hold a term.
 
 The randomised SVD is a Nystroem sketch: tasks add up G = A'(A O) for a
 Gaussian O of ``RANK`` columns, and the driver takes the leading right singular
@@ -44,7 +45,7 @@ from filingflow.llm.store import Scratch
 from filingflow.llm.textblocks import LOWER, blocks, prefix_hash, span_hash, word_spans
 
 WINDOW, STRIDE = 64, 32
-TERMS, LEAST_TERMS, LEAST_WORDS = 12, 3, 5
+TERMS, LEAST_SHARE, LEAST_WORDS = 12, 1 / 3, 5
 RANK, COSINE = 48, 0.35
 WHOLE, PARAPHRASE, OF_TERMS, OF_ANSWER = 0.8, 0.6, 0.6, 0.8
 BLOCK, MAX_ITEMS = 256, 50_000
@@ -118,6 +119,20 @@ class Block:
         every_term = np.unique(np.concatenate(self.of_part))
         self.term[every_term] = np.arange(len(every_term))
         self.terms = len(every_term)
+        # the items of each term, one term's after the other's
+        pairs = sorted((self.term[w], i) for i, c in enumerate(self.of_part) for w in c)
+        self.holder = np.array([i for _, i in pairs])
+        self.holders = np.bincount([t for t, _ in pairs], minlength=self.terms)
+        self.least = np.array([-(-len(c) * LEAST_SHARE // 1) for c in self.of_part])
+
+    def promising(self, window: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Windows, in order, that hold LEAST_SHARE of the terms of some item; (window, term) are distinct."""
+        first = np.cumsum(self.holders) - self.holders
+        n = self.holders[term]
+        pair = np.repeat(np.arange(len(term)), n)
+        item = self.holder[first[term][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)]
+        key, count = np.unique(window[pair] * len(self.items) + item, return_counts=True)
+        return np.unique(key[count >= self.least[key % len(self.items)]] // len(self.items))
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Vocabulary numbers, -1 for other words."""
@@ -155,10 +170,11 @@ def _passages(shipped):
                 window, term_ = key // block.terms, key % block.terms
                 df += np.bincount(term_, minlength=block.terms)
                 held = np.bincount(window, minlength=int(windows.sum()))
-                use = held >= LEAST_TERMS
-                chosen = np.flatnonzero(use)
+                chosen = block.promising(window, term_)
                 if not len(chosen):
                     continue
+                use = np.zeros(len(held), bool)
+                use[chosen] = True
                 keep = use[window]
                 doc = np.searchsorted(base + windows, chosen, "right")
                 start = (chosen - base[doc]) * STRIDE
