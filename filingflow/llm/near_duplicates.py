@@ -18,13 +18,19 @@ Groups of copies are never expanded into pairs:
 2. in each band bucket all representatives are checked against two hubs, the
    least id and the least mixed id, on the full sets; links found that way are
    merged into components;
-3. only pairs of one bucket that are still in different components, and whose
-   one-bit sketches do not rule the threshold out, are checked after that.
+3. in large buckets that still have several components all members are checked
+   against a third hub, the member with the least share of rare elements, and
+   merged again;
+4. only pairs of one bucket that are still in different components are checked
+   after that.  In a large bucket, two members that share a rare element meet
+   by that element, which only few have; others are paired only if their sets
+   without the rare elements could reach the threshold.  One-bit sketches rule
+   out more.
 
 So every pair that shares a bucket is either in one component, checked exactly,
-or excluded by 128 one-bit coordinates (more than 5.5 standard deviations
-below what a pair at the threshold has).  A bucket is joined with itself on its
-key, which Spark's skew splitting deals out; no bucket is capped.
+or excluded: by a bound, or by 128 one-bit coordinates (more than 5.5 standard
+deviations below what a pair at the threshold has).  A bucket is joined with
+itself on its key, which Spark's skew splitting deals out; none is capped.
 
 Defined results: null or empty texts, and texts without words, have no set and
 are linked with nothing; rows without an id neither, and are kept; rows that
@@ -46,6 +52,8 @@ COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 #: One-bit coordinates that must agree: 128 * (1 + 0.75) / 2 = 112 are expected at the threshold, with deviation 3.7.
 AGREEING_BITS = 91
+#: Buckets of more members are large; an element is rare among their members if at most RARE have it.
+SMALL, RARE = 32, 16
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -140,6 +148,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
+def _mixed(side: DataFrame, forest: DataFrame) -> DataFrame:
+    """The members of buckets that have several components, with component c and the size of the bucket."""
+    side = side.join(forest.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    mixed = side.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low < high")
+    return side.join(mixed.select("band", "key", "size"), ["band", "key"])
+
+
+def _rare(sets: DataFrame) -> DataFrame:
+    """(id, e): the elements that RARE of the sets have at most."""
+    elements = sets.select("id", F.explode("s").alias("e"))
+    return elements.join(elements.groupBy("e").agg(F.count("*").alias("times")).where(F.col("times") <= RARE).select("e"), "e").select("id", "e")
+
+
+def _common(sets: DataFrame, rare: DataFrame) -> DataFrame:
+    """(id, n, m): elements of each set, and those that are not rare; null for an id with several sets."""
+    sizes = sets.groupBy("id").agg(F.count("*").alias("times"), F.max(F.size("s")).alias("n"))
+    own = rare.groupBy("id").agg(F.count("*").alias("own"))
+    one = F.col("times") == 1
+    return sizes.join(own, "id", "left").select("id", F.when(one, F.col("n")).alias("n"), F.when(one, F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     scratch = Scratch(df.sparkSession, "near-duplicates")
@@ -159,20 +188,33 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     pairs = shared.select("id", F.explode(F.array("hub", "second")).alias("v")).where("id <> v").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
     links = scratch.put(_linked(pairs, sets, percent), "hub-links")
     forest = scratch.put(components(links, Scratch(df.sparkSession, "near-duplicates-hubs")), "forest")
-    # 3. what is left between components
-    side = shared.select("band", "key", "id", "b1", "b2").join(forest.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    mixed = side.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "key")
-    side = scratch.put(side.join(mixed, ["band", "key"], "left_semi"), "mixed")
-    x, y = (side.select("band", "key", *(F.col(c).alias(c + e) for c in ("id", "b1", "b2", "c"))) for e in "xy")
+    # 3. central hubs of large buckets that still have several components
+    mixed = scratch.put(_mixed(shared.select("band", "key", "id", "b1", "b2"), forest), "mixed")
+    in_large = sets.join(mixed.where(F.col("size") > SMALL).select("id").distinct(), "id")
+    rare = scratch.put(_rare(in_large), "rare")
+    sizes = scratch.put(_common(in_large, rare), "common")
+    large = mixed.where(F.col("size") > SMALL).join(sizes, "id")
+    centre = large.groupBy("band", "key").agg(F.max(F.struct(F.coalesce(F.col("m") / F.col("n"), F.lit(0.0)).alias("x"), (-F.col("id")).alias("y"))).alias("centre"))
+    pairs = large.join(centre, ["band", "key"]).select("id", (-F.col("centre.y")).alias("v")).where("id <> v").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
+    links = forest.unionByName(_linked(pairs, sets, percent))
+    forest2 = scratch.put(components(links, Scratch(df.sparkSession, "near-duplicates-centres")), "forest2")
+    # 4. what is left between components
+    side = scratch.put(_mixed(mixed.drop("c", "size"), forest2).join(sizes, "id", "left"), "rest")
+    x, y = (side.select("band", "key", "size", *(F.col(c).alias(c + e) for c in ("id", "b1", "b2", "c", "n", "m"))) for e in "xy")
     differing = F.bit_count(F.col("b1x").bitwiseXOR(F.col("b1y"))) + F.bit_count(F.col("b2x").bitwiseXOR(F.col("b2y")))
-    rest = (x.join(y, ["band", "key"]).where((F.col("cx") > F.col("cy")) & (differing <= COORDINATES - AGREEING_BITS))
-            .select(F.greatest("idx", "idy").alias("u"), F.least("idx", "idy").alias("v")).distinct())
+    most = F.least("mx", "my")  # bounds the intersection of sets that share no rare element
+    possible = F.when(F.col("size") > SMALL, 100 * most >= percent * (F.col("nx") + F.col("ny") - most))
+    in_bucket = x.join(y.drop("size"), ["band", "key"]).where((F.col("cx") > F.col("cy")) & F.coalesce(possible, F.lit(True)) & (differing <= COORDINATES - AGREEING_BITS))
+    of_large = rare.join(side.where(F.col("size") > SMALL).select("id", "c").distinct(), "id")
+    x, y = (of_large.select("e", F.col("id").alias("id" + k), F.col("c").alias("c" + k)) for k in "xy")
+    by_element = x.join(y, "e").where("cx > cy")  # at most RARE sets an element
+    rest = in_bucket.select("idx", "idy").unionByName(by_element.select("idx", "idy")).select(F.greatest("idx", "idy").alias("u"), F.least("idx", "idy").alias("v")).distinct()
     more = _linked(rest, sets, percent)
-    final = components(forest.select("u", "v").unionByName(more).unionByName(copies), Scratch(df.sparkSession, "near-duplicates-all"))
+    final = components(forest2.unionByName(more).unionByName(copies), Scratch(df.sparkSession, "near-duplicates-all"))
     out = rows.select("id", "n").join(final.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left")
     component = F.coalesce("c", "id")
     out = scratch.put(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "out")
-    scratch.drop("rows", "buckets", "sets", "hub-links", "forest", "mixed")
+    scratch.drop("rows", "buckets", "sets", "hub-links", "forest", "mixed", "rare", "common", "forest2", "rest")
     return out
 
 

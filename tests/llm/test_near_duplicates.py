@@ -80,6 +80,24 @@ def test_copies_edits_and_edges(spark):
     check(spark, rows)
 
 
+def test_large_buckets_with_families(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SMALL", 3)
+    monkeypatch.setattr(nd, "RARE", 4)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(9000)}"
+    rows, base = [], [word() for _ in range(110)]
+    for _ in range(14):
+        family = list(base)
+        for k in rng.sample(range(110), rng.choice([0, 1, 4, 6])):
+            family[k] = word()
+        for _ in range(9):
+            text = list(family)
+            for k in rng.sample(range(110), rng.choice([0, 1, 2, 3, 5])):
+                text[k] = word()
+            rows.append((len(rows), " ".join(text)))
+    check(spark, rows)
+
+
 def test_empty_table(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string, n long"), "doc_id", "text").count() == 0
 
