@@ -169,6 +169,12 @@ def _common(sets: DataFrame, rare: DataFrame) -> DataFrame:
     return sizes.join(own, "id", "left").select("id", F.when(one, F.col("n")).alias("n"), F.when(one, F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
 
 
+def _with_sizes(side: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Bucket members with n and m, if there are any; joined once per id, not once per bucket."""
+    buckets = side.groupBy("id").agg(F.collect_list(F.struct(*(c for c in side.columns if c != "id"))).alias("buckets"))  # BANDS a set
+    return buckets.join(sizes, "id", "left").select("id", "n", "m", F.inline("buckets"))
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     scratch = Scratch(df.sparkSession, "near-duplicates")
@@ -193,13 +199,13 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     in_large = sets.join(mixed.where(F.col("size") > SMALL).select("id").distinct(), "id")
     rare = scratch.put(_rare(in_large), "rare")
     sizes = scratch.put(_common(in_large, rare), "common")
-    large = mixed.where(F.col("size") > SMALL).join(sizes, "id")
+    large = _with_sizes(mixed.where(F.col("size") > SMALL), sizes)
     centre = large.groupBy("band", "key").agg(F.max(F.struct(F.coalesce(F.col("m") / F.col("n"), F.lit(0.0)).alias("x"), (-F.col("id")).alias("y"))).alias("centre"))
     pairs = large.join(centre, ["band", "key"]).select("id", (-F.col("centre.y")).alias("v")).where("id <> v").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
     links = forest.unionByName(_linked(pairs, sets, percent))
     forest2 = scratch.put(components(links, Scratch(df.sparkSession, "near-duplicates-centres")), "forest2")
     # 4. what is left between components
-    side = scratch.put(_mixed(mixed.drop("c", "size"), forest2).join(sizes, "id", "left"), "rest")
+    side = scratch.put(_with_sizes(_mixed(mixed.drop("c", "size"), forest2), sizes), "rest")
     x, y = (side.select("band", "key", "size", *(F.col(c).alias(c + e) for c in ("id", "b1", "b2", "c", "n", "m"))) for e in "xy")
     differing = F.bit_count(F.col("b1x").bitwiseXOR(F.col("b1y"))) + F.bit_count(F.col("b2x").bitwiseXOR(F.col("b2y")))
     most = F.least("mx", "my")  # bounds the intersection of sets that share no rare element
