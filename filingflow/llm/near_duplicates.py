@@ -170,9 +170,9 @@ def _common(sets: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def _with_sizes(side: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Bucket members with n and m, if there are any; joined once per id, not once per bucket."""
+    """Bucket members with n, m and all bands, if there are any; joined once per id, not once per bucket."""
     buckets = side.groupBy("id").agg(F.collect_list(F.struct(*(c for c in side.columns if c != "id"))).alias("buckets"))  # BANDS a set
-    return buckets.join(sizes, "id", "left").select("id", "n", "m", F.inline("buckets"))
+    return buckets.join(sizes, "id", "left").select("id", "n", "m", "bands", F.inline("buckets"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, percent: int = 75) -> DataFrame:
@@ -198,7 +198,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     mixed = scratch.put(_mixed(shared.select("band", "key", "id", "b1", "b2"), forest), "mixed")
     in_large = sets.join(mixed.where(F.col("size") > SMALL).select("id").distinct(), "id")
     rare = scratch.put(_rare(in_large), "rare")
-    sizes = scratch.put(_common(in_large, rare), "common")
+    sizes = _common(in_large, rare).join(reps.select("id", "bands"), "id")
+    sizes = scratch.put(sizes.withColumn("bands", F.when(F.col("n").isNotNull(), F.col("bands"))).dropDuplicates(["id"]), "common")
     large = _with_sizes(mixed.where(F.col("size") > SMALL), sizes)
     centre = large.groupBy("band", "key").agg(F.max(F.struct(F.coalesce(F.col("m") / F.col("n"), F.lit(0.0)).alias("x"), (-F.col("id")).alias("y"))).alias("centre"))
     pairs = large.join(centre, ["band", "key"]).select("id", (-F.col("centre.y")).alias("v")).where("id <> v").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
@@ -206,11 +207,14 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, p
     forest2 = scratch.put(components(links, Scratch(df.sparkSession, "near-duplicates-centres")), "forest2")
     # 4. what is left between components
     side = scratch.put(_with_sizes(_mixed(mixed.drop("c", "size"), forest2), sizes), "rest")
-    x, y = (side.select("band", "key", "size", *(F.col(c).alias(c + e) for c in ("id", "b1", "b2", "c", "n", "m"))) for e in "xy")
+    x, y = (side.select("band", "key", "size", *(F.col(c).alias(c + e) for c in ("id", "b1", "b2", "c", "n", "m", "bands"))) for e in "xy")
     differing = F.bit_count(F.col("b1x").bitwiseXOR(F.col("b1y"))) + F.bit_count(F.col("b2x").bitwiseXOR(F.col("b2y")))
     most = F.least("mx", "my")  # bounds the intersection of sets that share no rare element
     possible = F.when(F.col("size") > SMALL, 100 * most >= percent * (F.col("nx") + F.col("ny") - most))
-    in_bucket = x.join(y.drop("size"), ["band", "key"]).where((F.col("cx") > F.col("cy")) & F.coalesce(possible, F.lit(True)) & (differing <= COORDINATES - AGREEING_BITS))
+    # a pair of large buckets meets in the first band it shares
+    earlier = F.exists(F.zip_with(F.slice("bandsx", F.lit(1), F.col("band")), F.slice("bandsy", F.lit(1), F.col("band")), lambda a, b: a == b), lambda equal: equal)
+    first = F.coalesce(~earlier, F.lit(True))
+    in_bucket = x.join(y.drop("size"), ["band", "key"]).where((F.col("cx") > F.col("cy")) & F.coalesce(possible, F.lit(True)) & (differing <= COORDINATES - AGREEING_BITS) & first)
     of_large = rare.join(side.where(F.col("size") > SMALL).select("id", "c").distinct(), "id")
     x, y = (of_large.select("e", F.col("id").alias("id" + k), F.col("c").alias("c" + k)) for k in "xy")
     by_element = x.join(y, "e").where("cx > cy")  # at most RARE sets an element
