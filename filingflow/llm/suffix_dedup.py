@@ -334,9 +334,10 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     source = keyed.select(F.col("__key").alias("key"), F.col("__tag").alias("tag"), text.alias("text"))
     # 1. anchors that occur twice
     all_anchors = scratch.put(source.mapInArrow(_anchor_rows(length, gram), "key long, tag int, gram long, context long, at long"), "anchors")
-    twice = all_anchors.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram")
+    # written, so that the join below reads two plain shuffles and Spark can split a hot anchor
+    twice = scratch.put(all_anchors.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram"), "twice")
     shared = scratch.put(all_anchors.join(twice, "gram"), "shared")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "twice")
     # 2. whole contexts
     order = F.xxhash64("key", "tag", "at")
     kinds = scratch.put(shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(order).alias("first")), "kinds")
@@ -344,7 +345,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     anchor, before = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF)
     covered = covered.select("key", "tag", (anchor - before).alias("start"), (anchor - F.col("at").bitwiseAND(0xFFFF) + length).alias("end"))
     # 3. contexts of anchors that have several
-    several = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("singles")).where("kinds > 1 and singles > 0")
+    several = scratch.put(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("singles")).where("kinds > 1 and singles > 0"), "several")
     open_kinds = kinds.join(several, "gram")
     wanted = shared.join(open_kinds, ["gram", "context"]).where((F.col("n") == 1) | (F.col("first") == order))
     shards = _rounded((several.agg(F.sum("kinds")).first()[0] or 0) / shard)
@@ -375,7 +376,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     names = [f.name for f in keep]
     joined = keyed.join(found, (F.col("__key") == F.col("__of")) & (F.col("__tag") == F.col("__of_tag")), "left").select(*names, text.alias("__text"), "__found")
     out = joined.mapInArrow(_cut(names), schema)
-    scratch.drop("shared", "contexts", "local", "windows", "kinds")
+    scratch.drop("shared", "kinds", "several", "contexts", "local", "windows")
     return out
 
 
