@@ -118,6 +118,21 @@ def decode_html_bytes(spark, d):
     return pages.select("page_id", T.decode_bytes(data).alias("text"))
 
 
+@register("decode_page_bytes", "SC-9", oracle="""
+select page_id, 'utf-8' as variant, html as text from pages
+union all
+select page_id, 'windows-1252', 'caf' || chr(233) || ' ' || chr(8364) || ' ' || page_id from pages
+""")
+def decode_page_bytes(spark, d):
+    pages = read_table(spark, d, "pages", "page_id", "html")
+    # every page's own text, and as further rows bytes that are not valid UTF-8
+    old = F.concat(F.unhex(F.lit("636166E9208020")), F.encode(F.col("page_id").cast("string"), "UTF-8"))
+    both = F.array(F.struct(F.lit("utf-8").alias("variant"), F.encode("html", "UTF-8").alias("data")),
+                   F.struct(F.lit("windows-1252").alias("variant"), old.alias("data")))
+    rows = pages.select("page_id", F.inline(both))
+    return rows.select("page_id", "variant", T.decode_bytes("data").alias("text"))
+
+
 @register("chunk_json_export", "SNK-3 WN-5 SC-15", oracle=f"""
 with t as (select doc_id, {_SQL_TOKENS} as tok from documents),
 s as (select doc_id, tok, unnest(range(0, greatest(1, len(tok) - 200), 600)) as st

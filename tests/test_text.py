@@ -161,3 +161,13 @@ def test_page_concat_across_blocks(spark):
     df = spark.createDataFrame(pages, "doc int, page int, t string")
     got = concat.page_concat(df, ["doc"], "page", "t", block_pages=16).first()["text"]
     assert got == "".join(f"p{p}\n" for p in range(150) if p % 10 != 3)
+
+
+def test_every_page_is_decoded_from_its_own_bytes(spark, tmp_path):
+    from filingflow.plans import catalog
+    pages = [(i, f"<p>caf\u00e9 \u20ac {i}</p>") for i in range(7)] + [(7, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = catalog.queries()["decode_page_bytes"](spark, str(tmp_path)).collect()
+    assert len(rows) == 2 * len(pages)
+    assert {(r.page_id, r.text) for r in rows if r.variant == "utf-8"} == set(pages)
+    assert {(r.page_id, r.text) for r in rows if r.variant == "windows-1252"} == {(i, f"caf\u00e9 \u20ac {i}") for i, _ in pages}
