@@ -17,9 +17,13 @@ A passage whose cosine with an item there reaches ``COSINE`` is a candidate.
 Each is checked by longest common subsequences of the item's words and the
 passage with ``STRIDE * 2`` words around it, by bit-parallel recurrences over
 all candidates of a batch.  A passage leaks an item if it has ``WHOLE`` of its
-words and ``OF_TERMS`` of its terms in order, or ``PARAPHRASE`` of its words,
-``OF_TERMS`` of its terms and ``OF_ANSWER`` of its answer.  The answer is what
-follows the last "answer:", or else the last sentence.
+words in order, or ``PARAPHRASE`` of its words, ``OF_TERMS`` of its terms and
+``OF_ANSWER`` of its answer.  The answer is what follows the last "answer:", or
+else the last sentence.
+
+``WHOLE`` needs no terms and no cosine.  Its candidates are all passages that
+can reach it: what ``WHOLE`` lets be absent is counted off the rarest words of
+the item, so many of them that ``EXTRA`` must be there at least, or all words.
 
 Items are taken in blocks of ``BLOCK`` parts; a part has at most 64 words, and
 longer items have several, of which any may leak.  The benchmark is read by the
@@ -48,8 +52,9 @@ WINDOW, STRIDE = 64, 32
 TERMS, LEAST_SHARE, LEAST_WORDS = 12, 1 / 3, 5
 RANK, COSINE = 48, 0.35
 WHOLE, PARAPHRASE, OF_TERMS, OF_ANSWER = 0.8, 0.6, 0.6, 0.8
+EXTRA = 8
 BLOCK, MAX_ITEMS = 256, 50_000
-_PAIRS = 1 << 14
+_PAIRS, _GROUPS = 1 << 14, 1 << 12
 
 # Words are runs of ASCII letters and digits and of bytes beyond ASCII.
 _GAP = np.ones(256, bool)
@@ -102,11 +107,17 @@ class Block:
         self.items = [p.item_id for p in parts]
         self.words = np.array([len(c) for c in codes])
         self.mask = np.zeros((3, len(parts), len(self.vocabulary) + 1), np.uint64)  # words, terms, answer; the last column is for no word
-        self.of_part = []
+        self.of_part, marks, self.least_marks = [], [], []
         for i, (p, c) in enumerate(zip(parts, codes)):
-            kinds = np.unique(c)
-            terms = kinds[np.lexsort((kinds, -size[kinds], held[kinds]))][:TERMS]
+            kinds, times = np.unique(c, return_counts=True)
+            rarest = np.lexsort((kinds, -size[kinds], held[kinds]))
+            terms = kinds[rarest][:TERMS]
             self.of_part.append(np.sort(terms))
+            absent = next(k for k in range(len(c), -1, -1) if (len(c) - k) / len(c) >= WHOLE)
+            places = np.cumsum(times[rarest])
+            enough = np.searchsorted(places, min(len(c), absent + EXTRA))
+            marks += [(w, i, n) for w, n in zip(kinds[rarest][:enough + 1], times[rarest])]
+            self.least_marks.append(places[enough] - absent)
             for place, w in enumerate(c.tolist()):
                 bit = np.uint64(1 << place)
                 self.mask[0, i, w] |= bit
@@ -124,6 +135,14 @@ class Block:
         self.holder = np.array([i for _, i in pairs])
         self.holders = np.bincount([t for t, _ in pairs], minlength=self.terms)
         self.least = np.array([-(-len(c) * LEAST_SHARE // 1) for c in self.of_part])
+        # the items of each mark, a word that WHOLE counts, and the places it has there
+        self.mark = np.full(len(self.vocabulary), -1)
+        every_mark = np.unique([w for w, _, _ in marks])
+        self.mark[every_mark] = np.arange(len(every_mark))
+        self.marks, self.least_marks = len(every_mark), np.array(self.least_marks)
+        marks = np.array(sorted((self.mark[w], i, n) for w, i, n in marks))
+        self.marked, self.places = marks[:, 1], marks[:, 2]
+        self.markers = np.bincount(marks[:, 0], minlength=self.marks)
 
     def promising(self, window: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Windows, in order, that hold LEAST_SHARE of the terms of some item; (window, term) are distinct."""
@@ -134,6 +153,21 @@ class Block:
         key, count = np.unique(window[pair] * len(self.items) + item, return_counts=True)
         return np.unique(key[count >= self.least[key % len(self.items)]] // len(self.items))
 
+    def near(self, group: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(group, item) where a group of words can hold WHOLE of an item; (group, mark) are distinct and in order."""
+        first, parts, found = np.cumsum(self.markers) - self.markers, len(self.items), []
+        cuts = np.searchsorted(group, np.arange(0, group.max(initial=-1) + 1 + _GROUPS, _GROUPS))
+        for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            m = mark[a:b]
+            n = self.markers[m]
+            pair = np.repeat(np.arange(a, b), n)
+            entry = np.arange(len(pair)) + np.repeat(first[m] - np.cumsum(n) + n, n)
+            key = (group[pair] - number * _GROUPS) * parts + self.marked[entry]
+            there = np.bincount(key, self.places[entry], _GROUPS * parts).reshape(_GROUPS, parts)
+            g, item = np.nonzero(there >= self.least_marks)
+            found.append((g + number * _GROUPS, item))
+        return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, int), np.zeros(0, int))
+
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Vocabulary numbers, -1 for other words."""
         out = np.full(len(h), -1, np.int64)
@@ -170,9 +204,29 @@ def _passages(shipped):
                 window, term_ = key // block.terms, key % block.terms
                 df += np.bincount(term_, minlength=block.terms)
                 held = np.bincount(window, minlength=int(windows.sum()))
-                chosen = block.promising(window, term_)
+                # two windows with the words around them are a group: steps 2 j - 2 to 2 j + 4
+                mark = block.mark[word]
+                m = np.flatnonzero(mark >= 0)
+                own = owner[at[m]]
+                step = (at[m] - first_word[own]) // STRIDE
+                groups = (windows + 1) // 2
+                group_base = np.cumsum(groups) - groups
+                key = []
+                for j in range(4):
+                    j = (step + 2) // 2 - j
+                    ok = (j >= 0) & (j < groups[own]) & (step <= 2 * j + 4)
+                    key.append(((group_base[own] + j) * block.marks + mark[m])[ok])
+                key = np.unique(np.concatenate(key))
+                group, item = block.near(key // block.marks, key % block.marks)
+                doc = np.searchsorted(group_base + groups, group, "right")
+                near = base[doc] + 2 * (group - group_base[doc])
+                second = near + 1 < (base + windows)[doc]
+                near, item = np.append(near, near[second] + 1), np.append(item, item[second])
+                chosen = np.union1d(block.promising(window, term_), near)
                 if not len(chosen):
                     continue
+                order = np.argsort(near, kind="stable")
+                near_cuts = np.searchsorted(near[order], np.append(chosen, chosen[-1] + 1))
                 use = np.zeros(len(held), bool)
                 use[chosen] = True
                 keep = use[window]
@@ -186,20 +240,22 @@ def _passages(shipped):
                 region = word[np.arange(cuts[-1]) - np.repeat(cuts[:-1] - lo, size)]
                 term_cuts = pa.array(np.concatenate([[0], np.cumsum(held[chosen])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(a + doc)), pa.ListArray.from_arrays(term_cuts, pa.array(term_[keep], pa.int32())),
-                                                  pa.ListArray.from_arrays(term_cuts, pa.array(tf[keep], pa.int64())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(region, pa.int32())), pa.nulls(len(chosen), pa.int64())],
-                                                 ["id", "terms", "tf", "region", "windows"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([np.flatnonzero(df)], pa.list_(pa.int32())), pa.array([df[df > 0]], pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32())), pa.array([total], pa.int64())],
-                                         ["id", "terms", "tf", "region", "windows"])
+                                                  pa.ListArray.from_arrays(term_cuts, pa.array(tf[keep], pa.int64())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(region, pa.int32())),
+                                                  pa.ListArray.from_arrays(pa.array(near_cuts, pa.int32()), pa.array(item[order], pa.int32())), pa.nulls(len(chosen), pa.int64())],
+                                                 ["id", "terms", "tf", "region", "near", "windows"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([np.flatnonzero(df)], pa.list_(pa.int32())), pa.array([df[df > 0]], pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())), pa.array([total], pa.int64())],
+                                         ["id", "terms", "tf", "region", "near", "windows"])
     return run
 
 
 def _rows(batch, idf: np.ndarray):
-    """(weights, terms, first entry of each passage) of a batch of passages."""
+    """(weights, terms, first entry, number) of the passages of a batch that hold a term."""
     terms = batch.column("terms")
     t = terms.flatten().to_numpy()
     tf = batch.column("tf").flatten().to_numpy()
-    first = np.cumsum(terms.value_lengths().to_numpy()) - terms.value_lengths().to_numpy()
-    return ((1 + np.log(tf)) * idf[t]).astype(np.float32), t, first
+    size = terms.value_lengths().to_numpy()
+    some = np.flatnonzero(size)
+    return ((1 + np.log(tf)) * idf[t]).astype(np.float32), t, (np.cumsum(size) - size)[some], some
 
 
 def _sketch(shipped, terms: int):
@@ -209,7 +265,7 @@ def _sketch(shipped, terms: int):
         for whole in batches:
             for at in range(0, len(whole), 4096):
                 batch = whole.slice(at, 4096)
-                w, t, first = _rows(batch, idf)
+                w, t, first, _ = _rows(batch, idf)
                 if not len(t):
                     continue
                 y = np.add.reduceat(w[:, None] * omega[t], first)
@@ -252,8 +308,10 @@ def _leaks(shipped):
                 batch = whole.slice(at, 4096)
                 if not len(batch):
                     continue
-                w, t, first = _rows(batch, idf)
-                z = np.add.reduceat(w[:, None] * space[t], first)
+                w, t, first, some = _rows(batch, idf)
+                z = np.zeros((len(batch), space.shape[1]), np.float32)
+                if len(t):
+                    z[some] = np.add.reduceat(w[:, None] * space[t], first)
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
                 cosine = z @ items.T
                 row, part = np.nonzero(cosine >= COSINE)
@@ -266,12 +324,20 @@ def _leaks(shipped):
                 for i in range(0, len(row), _PAIRS):
                     r, p = row[i:i + _PAIRS], part[i:i + _PAIRS]
                     of_terms = common_subsequences(block.mask[1], p, padded[r]) / np.maximum(block.bits[1][p], 1)
-                    near = of_terms >= OF_TERMS
-                    r, p, of_terms = r[near], p[near], of_terms[near]
+                    held = of_terms >= OF_TERMS
+                    r, p = r[held], p[held]
                     whole_ = common_subsequences(block.mask[0], p, padded[r]) / block.words[p]
                     answer = common_subsequences(block.mask[2], p, padded[r]) / np.maximum(block.bits[2][p], 1)
                     leak = (whole_ >= WHOLE) | (whole_ >= PARAPHRASE) & (answer >= OF_ANSWER)
                     found.append((r[leak], p[leak], whole_[leak], answer[leak]))
+                near = batch.column("near")
+                row, part = np.repeat(np.arange(len(batch)), near.value_lengths().to_numpy()), near.flatten().to_numpy()
+                for i in range(0, len(row), _PAIRS):
+                    r, p = row[i:i + _PAIRS], part[i:i + _PAIRS]
+                    whole_ = common_subsequences(block.mask[0], p, padded[r]) / block.words[p]
+                    leak = whole_ >= WHOLE
+                    r, p, whole_ = r[leak], p[leak], whole_[leak]
+                    found.append((r, p, whole_, common_subsequences(block.mask[2], p, padded[r]) / np.maximum(block.bits[2][p], 1)))
                 if found:
                     r, p, whole_, answer = map(np.concatenate, zip(*found))
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(r)), pa.array(np.array(block.items, np.int64)[p]), pa.array(cosine[r, p].astype(float)), pa.array(whole_), pa.array(answer)],
@@ -292,7 +358,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> Da
     for number, at in enumerate(range(0, len(parts), BLOCK)):
         block = Block(parts[at:at + BLOCK])
         shipped = spark.sparkContext.broadcast(block)  # at most BLOCK * 64 words
-        stored = scratch.put(texts.mapInArrow(_passages(shipped), "id long, terms array<int>, tf array<long>, region array<int>, windows long"), f"passages{number}")
+        stored = scratch.put(texts.mapInArrow(_passages(shipped), "id long, terms array<int>, tf array<long>, region array<int>, near array<int>, windows long"), f"passages{number}")
         passages, sums = stored.where("windows is null").drop("windows"), stored.where("windows is not null")
         total = sums.agg(F.sum("windows")).first()[0] or 0
         df_ = np.zeros(block.terms)

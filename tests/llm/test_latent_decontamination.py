@@ -83,3 +83,51 @@ def test_sketch_finds_the_singular_vectors():
     item = rng.normal(size=(1, 60))
     space = ld.latent_space(a.T @ (a @ omega), omega, item)
     assert np.allclose(item @ space @ space.T, item) and np.allclose(space.T @ space, np.eye(6), atol=1e-6)
+
+
+def test_near_copies_without_the_rarest_words(spark):
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(300)]
+    bench, docs, want = [], [], set()
+    for i in range(20):  # 64 words, of which the 12 rarest are changed: 81 % are left in order
+        w = rng.sample(common, 52)
+        for k in range(12):
+            w.insert(rng.randrange(len(w)), f"longname{i}x{k}")
+        bench.append((i, " ".join(w)))
+        for copy, gone in enumerate((range(12), range(5))):
+            gone = {f"longname{i}x{k}" for k in gone}
+            around = [f"other{rng.randrange(10**6)}" for _ in range(rng.randrange(300))]
+            docs.append((100 * copy + i, " ".join(around + [x if x not in gone else "name" for x in w] + around)))
+            want.add((100 * copy + i, i))
+    got = ld.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), "doc_id", "text").collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_all_windows_with_most_words_in_order_are_found(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(250)]
+    bench = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice((5, 9, 30, 59, 64, 100))))) for i in range(30)]
+    parts = ld.parts_of(sorted(bench))
+    code = {h: n for n, h in enumerate(np.unique(np.concatenate([p.h for p in parts])).tolist())}
+    mask = np.zeros((len(parts), len(code) + 1), np.uint64)
+    for i, p in enumerate(parts):
+        for k, h in enumerate(p.h.tolist()):
+            mask[i, code[h]] |= np.uint64(1 << k)
+    docs, want = [], set()
+    for d in range(90):
+        i, text = rng.choice(bench)
+        w, out = text.split(), []
+        edits = set(rng.sample(range(len(w)), int(len(w) * rng.uniform(0.1, 0.3))))
+        for k, x in enumerate(w):  # changed, left out, or with words put between
+            out += [x] if k not in edits else rng.choice(([rng.choice(vocabulary)], [], [x, "put", "in"]))
+        around = lambda: [rng.choice(vocabulary) for _ in range(rng.randrange(150))]
+        words = around() + out + around()
+        docs.append((d, " ".join(words)))
+        data = docs[-1][1].encode()
+        h = [code.get(x, -1) for x in ld.words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist()]
+        for k in range(max(-(-len(h) // 32) - 1, 1)):
+            region = np.array(h[max(0, 32 * k - 64):32 * k + 128])[None].repeat(len(parts), 0)
+            found = ld.common_subsequences(mask, np.arange(len(parts)), region) / [len(p.h) for p in parts]
+            want |= {(d, p.item_id) for p, x in zip(parts, found) if x >= ld.WHOLE}
+    got = ld.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), "doc_id", "text").collect()
+    assert len(want) > 30 and want == {(r.doc_id, r.item_id) for r in got if r.words_found >= ld.WHOLE}
