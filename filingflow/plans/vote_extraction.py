@@ -123,7 +123,7 @@ def job_payloads(tallies_df: DataFrame) -> DataFrame:
 
 
 def job_processor(index_rows: DataFrame, documents: DataFrame, companies: DataFrame, fn: model.ModelFn,
-                  strict: bool = False, max_concurrency: int | None = None):
+                  strict: bool = False, max_concurrency: int | None = None, bad_pages: DataFrame | None = None):
     """ST-1 + E2: the ``process`` function for ``streaming.jobs.start_worker``.
 
     Each micro-batch's pending jobs ``(job_id, params={"cik", "year"})`` run as
@@ -132,7 +132,9 @@ def job_processor(index_rows: DataFrame, documents: DataFrame, companies: DataFr
     failure (``error`` = reason): a company and year without an Item 5.07
     filing, a failed model call, malformed output, a bad tally.  Missing
     documents, documents without Item 5.07 and outputs without ticker or
-    meeting date are skipped and leave the job ``done``.
+    meeting date are skipped and leave the job ``done``.  ``bad_pages`` are
+    the index rejects ``(cik, source_file, reason)``: a job of their company
+    gets each as a failure, since its filings may be on them.
     """
     def process(todo: DataFrame) -> DataFrame:
         p = todo.select("job_id", F.from_json("params", "cik string, year int").alias("p"))
@@ -144,10 +146,19 @@ def job_processor(index_rows: DataFrame, documents: DataFrame, companies: DataFr
         ok = tallies_df.select("job_id", "cik", "meeting_date", "question_id", "for_votes", "against_votes",
                                "abstentions", "broker_non_votes", "total_votes",
                                F.lit(None).cast("string").alias("error"))
-        none = jobs.join(cands.select("job_id").distinct(), "job_id", "left_anti").select(
+        none = jobs.join(cands.select("job_id").distinct(), "job_id", "left_anti")
+        if bad_pages is not None:
+            pages = bad_pages.select(keys.pad_cik("cik").alias("_cik"), F.concat_ws(
+                ": ", F.lit("index page"), "source_file", "reason").alias("error"))
+            unread = jobs.join(pages, keys.pad_cik(jobs["cik"]) == F.col("_cik")).select(
+                "job_id", F.col("_cik").alias("cik"), "error")
+            none = none.join(unread.select("job_id").distinct(), "job_id", "left_anti")
+        none = none.select(
             "job_id", keys.pad_cik("cik").alias("cik"),
             F.format_string("no Item 5.07 filing of %s in %d", F.col("cik"), F.col("year")).alias("error"))
         bad = none.unionByName(rejects.where(~F.col("reject_reason").isin(*SKIPPED)).select(
             "job_id", "cik", F.col("reject_reason").alias("error")))
+        if bad_pages is not None:
+            bad = bad.unionByName(unread)
         return ok.unionByName(bad, allowMissingColumns=True)
     return process

@@ -32,6 +32,7 @@ JOB_SCHEMA = StructType([
 
 STATUS_DIR = "status"
 RESULT_DIR = "results"
+REJECT_DIR = "rejects"
 
 # seq values of the life-cycle steps inside one micro-batch
 _SEQ_RUNNING, _SEQ_FINAL = 1, 2

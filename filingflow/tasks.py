@@ -11,11 +11,13 @@ plan.  They only wire readers to the plans; the work is in ``plans`` and
 from __future__ import annotations
 
 import datetime
+import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filingflow.functions import keys
 from filingflow.operators import model, quality
 from filingflow.plans import meeting_fetch, pdf_text, proxy_ingest, recommendation, vote_extraction
 from filingflow.sources import directory, filing_index, meetings
@@ -67,11 +69,17 @@ def job_results(spark: SparkSession, state_dir: str, job_id: str | None = None)
 def run_vote_worker(spark: SparkSession, incoming_dir: str, state_dir: str, index_path: str,
                     documents: DataFrame, companies: DataFrame, fn: model.ModelFn,
                     once: bool = True, processing_time: str = "1 minute"):
-    """Drain the job folder (``once``) or poll it every ``processing_time``."""
+    """Drain the job folder (``once``) or poll it every ``processing_time``.
+
+    Index pages that cannot be read as rows are written to
+    ``state_dir/rejects``; the jobs of their companies end with that reason.
+    """
     raw = filing_index.read_index_files(spark, index_path)
     pages = raw.select("cik", filing_index.page_struct(raw).alias("page"), "source_file")
-    rows, _rejects = filing_index.index_rows(pages, ["cik", "source_file"])
-    process = vote_extraction.job_processor(filing_index.normalise(rows), documents, companies, fn)
+    rows, bad_pages = filing_index.index_rows(pages, ["cik", "source_file"])
+    bad_pages.write.mode("overwrite").parquet(os.path.join(state_dir, jobs.REJECT_DIR))
+    process = vote_extraction.job_processor(filing_index.normalise(rows), documents, companies, fn,
+                                            bad_pages=bad_pages)
     q = jobs.start_worker(spark, incoming_dir, state_dir, process, processing_time=processing_time,
                           available_now=once)
     if once:
@@ -92,17 +100,21 @@ def ingest_proxy_statements(spark: SparkSession, index_path: str, documents: Dat
     """New proxy statements of ``year`` -> ``(filings, chunks, rejects)``.
 
     ``documents`` is ``(url, html)``; ``stored`` holds the ``proxy_id`` of
-    filings already ingested (skipped unless listed in ``redo``).  The
-    cleaned documents are persisted once (all three results read them);
+    filings already ingested (skipped unless listed in ``redo``).  Rejects
+    include index pages that cannot be read as rows, with their file as
+    ``proxy_id``.  The cleaned documents are persisted once (all three results read them);
     ``unpersist`` the filings when done.
     """
     raw = filing_index.read_index_files(spark, index_path)
     pages = raw.select("cik", filing_index.page_struct(raw).alias("page"), "source_file")
-    rows, _rejects = filing_index.index_rows(pages, ["cik", "source_file"])
+    rows, bad_pages = filing_index.index_rows(pages, ["cik", "source_file"])
     selected = proxy_ingest.select_proxy_filings(filing_index.normalise(rows), year)
     new = proxy_ingest.new_filings(selected, stored, redo)
     tagged = proxy_ingest.tag_filing_texts(new, documents).persist()
     texts, rejects = quality.split(tagged)
+    rejects = rejects.unionByName(
+        bad_pages.select(keys.pad_cik("cik").alias("cik"), F.col("source_file").alias("proxy_id"),
+                         F.col("reason").alias("reject_reason")), allowMissingColumns=True)
     companies = directory.directory_rows(directory.read_directory_files(spark, directory_path)) \
         if directory_path else None
     filings = proxy_ingest.filing_records(texts, companies)

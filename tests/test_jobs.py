@@ -294,3 +294,35 @@ def test_replayed_recommendation_batch_keeps_its_results(spark, tmp_path):
         got = worker.current_recommendations(spark, state).collect()
         assert len(got) == 1 and got[0]["policy_breaches"] == "none"
         assert worker.status_log(spark, state).count() == 1
+
+
+def test_index_pages_that_cannot_be_read_are_reported(spark, tmp_path):
+    from filingflow import tasks
+    from filingflow.operators import model
+    idx_dir = tmp_path / "index"
+    idx_dir.mkdir()
+    page = {"accessionNumber": ["0000000001-22-000001"], "filingDate": ["2022-05-10"], "form": ["8-K"],
+            "items": ["5.07"], "primaryDocument": ["a.htm"], "meetingDate": ["2022-05-06"]}
+    (idx_dir / "c1.json").write_text(json.dumps({"cik": "1", "filings": {"recent": page}}))
+    (idx_dir / "c1-old.json").write_text(json.dumps({"cik": "1", **page, "form": []}))
+    (idx_dir / "c2.json").write_text(json.dumps({"cik": "2", "filings": {"recent": {**page, "items": ["5.07", "9.01"]}}}))
+    docs = spark.createDataFrame([("https://www.sec.gov/Archives/edgar/data/1/000000000122000001/a.htm",
+                                   "<p>Item 5.07 Results. Approved.</p>")], "url string, html string")
+    companies = spark.createDataFrame([("1", "AAA")], "cik string, ticker string")
+    incoming, state = str(tmp_path / "in"), str(tmp_path / "state")
+    submitted = tasks.submit_vote_jobs(spark, incoming, [("1", 2022), ("2", 2022), ("3", 2022)])
+    job = {json.loads(r.params)["cik"]: r.id for r in submitted.collect()}
+    tasks.run_vote_worker(spark, incoming, state, str(idx_dir), docs, companies,
+                          model.stub_tally_model("prompt", "ticker", "meeting_date"))
+    cur = {r["job_id"]: (r["status"], r["error"]) for r in tasks.job_status(spark, state).collect()}
+    assert cur[job["1"]][0] == "error" and cur[job["1"]][1].endswith("c1-old.json: unequal column lengths")
+    assert cur[job["2"]][0] == "error" and cur[job["2"]][1].endswith("c2.json: unequal column lengths")
+    assert "no Item 5.07 filing" in cur[job["3"]][1]
+    # what the readable page holds is stored all the same
+    assert tasks.job_results(spark, state, job["1"]).where("error is null").count() >= 1
+    rejects = spark.read.parquet(f"{state}/rejects").collect()
+    assert sorted(r.source_file.rsplit("/", 1)[1] for r in rejects) == ["c1-old.json", "c2.json"]
+    stored = spark.createDataFrame([], "proxy_id string")
+    filings, _, rejects = tasks.ingest_proxy_statements(spark, str(idx_dir), docs, stored, 2022)
+    assert sorted((r.cik, r.proxy_id.rsplit("/", 1)[1], r.reject_reason) for r in rejects.collect()) == [
+        ("0000000001", "c1-old.json", "unequal column lengths"), ("0000000002", "c2.json", "unequal column lengths")]
