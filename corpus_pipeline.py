@@ -11,7 +11,7 @@ All stages but the last return the columns of ``documents``.
    stays; documents without an id are linked with nothing and stay.
 3. ``suffix-dedup``: strings of 200 bytes or more that occur again are removed
    from all texts that hold them; characters that are cut in part go as well,
-   and ``n_chars`` is counted anew.  Documents without a word left go.
+   others stay, and ``n_chars`` is counted anew.  Documents without a word left go.
 4. ``decontamination``: documents that leak a benchmark item go.
 5. ``tokens``: the texts become token ids, with their number.
 """
@@ -39,9 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(docs, "doc_id", "text")
-    left = F.make_valid_utf8(F.col("kept_bytes").cast("string"))
     cut = F.size("spans") > 0
-    out = out.withColumn("text", F.when(cut, F.regexp_replace(left, "�", "")).otherwise(left))
+    whole = suffix_dedup.characters(F.when(cut, F.col("kept_bytes")), F.when(cut, F.col("spans.start")), F.when(cut, F.col("spans.end")))
+    out = out.withColumn("text", F.make_valid_utf8(F.when(cut, whole).otherwise(F.col("kept_bytes")).cast("string")))
     out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
 

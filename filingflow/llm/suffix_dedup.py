@@ -33,7 +33,10 @@ named like a result column are replaced.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -380,6 +383,27 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     return out
 
 
+# The bytes of a character whose start, or whose end, was removed.
+_HEAD = re.compile(rb"\A[\x80-\xbf]{1,3}")
+_TAIL = re.compile(rb"(?:[\xc0-\xff]|[\xe0-\xff][\x80-\xbf]|[\xf0-\xff][\x80-\xbf]{2})\Z")
+
+
+def whole_characters(kept: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """``kept`` without the parts of characters beside the spans removed before."""
+    size = ends - starts
+    cuts = [0, *(starts - np.cumsum(size) + size).tolist(), len(kept)]
+    pieces = [kept[a:b] for a, b in zip(cuts, cuts[1:])]
+    pieces[1:] = [_HEAD.sub(b"", p) for p in pieces[1:]]
+    pieces[:-1] = [_TAIL.sub(b"", p) for p in pieces[:-1]]
+    return b"".join(pieces)
+
+
+@F.pandas_udf(T.BinaryType())
+def characters(kept: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """``whole_characters`` of kept_bytes and the starts and ends of spans."""
+    return pd.Series([None if k is None else whole_characters(bytes(k), a, b) for k, a, b in zip(kept, starts, ends)], dtype=object)
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document, and how much was removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

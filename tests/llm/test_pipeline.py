@@ -1,5 +1,6 @@
 """Each stage against a brute-force version over its own input, the predecessor's result."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -7,6 +8,7 @@ import tiktoken
 import corpus_pipeline as cp
 from filingflow.llm.bpe_rank_queue import load_ranks
 from filingflow.llm.store import Scratch
+from filingflow.llm.suffix_dedup import whole_characters
 from test_latent_decontamination import contains, tokens
 from test_near_duplicates import brute as near
 from test_suffix_dedup import brute as repeats
@@ -91,3 +93,21 @@ def test_edge_rows(spark, tmp_path):
     for t, s in (("documents", schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], s).write.parquet(str(empty / f"{t}.parquet"))
     assert cp.run(spark, str(empty)).count() == 0
+
+
+def test_cut_texts_keep_their_own_replacement_characters(spark):
+    passage = "é" + "repeated words of a passage " * 12 + "€"
+    # spans begin and end within characters: ü and é, ä and ê, € and ₭ share bytes
+    rows = [(1, "one \ufffd ü" + passage + "₭ then \ufffd\ufffd"), (2, "two other é" + passage + "\ufffd"), (3, "\ufffd alone"), (4, "\ufffd" + passage + "\ufffd")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = by_id(cp.suffix_array_dedup(spark, docs, SF).collect())
+    for (i, text), (kept, spans) in zip(rows, repeats([t for _, t in rows], 200)):
+        gone, at, want = [False] * len(text.encode()), 0, ""
+        for a, b in spans:
+            gone[a:b] = [True] * (b - a)
+        for c in text:  # a character stays if all of its bytes do
+            n = len(c.encode())
+            want, at = want + ("" if any(gone[at:at + n]) else c), at + n
+        assert (got[i].text, got[i].n_chars) == (want, len(want))
+    assert "\ufffd" in got[1].text and got[3].text == "\ufffd alone"
+    assert whole_characters("a€b".encode()[:3] + "c€".encode()[2:], np.array([3]), np.array([9])) == b"a"
