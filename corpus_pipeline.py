@@ -7,8 +7,9 @@ All stages but the last return the columns of ``documents``.
 1. ``quality``: documents that the quality classifier rejects go, among them
    texts that are null or have no words.
 2. ``near-dedup``: one document of each group of near duplicates stays, the one
-   with the least id.  Rows that share an id are one document, of which one row
-   stays; documents without an id are linked with nothing and stay.
+   with the least id.  Rows equal in id and text are one document; texts that
+   share an id are documents of their own.  Documents without an id are linked
+   with nothing and stay.
 3. ``suffix-dedup``: strings of 200 bytes or more that occur again are removed
    from all texts that hold them; characters that are cut in part go as well,
    others stay, and ``n_chars`` is counted anew.  Documents without a word left go.
@@ -18,7 +19,7 @@ All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingflow.llm import bpe_rank_queue, latent_decontamination, near_duplicates, quality_bayes, suffix_dedup
@@ -31,10 +32,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_bayes.score(docs, model, "text", "source", "lang").where("keep").select(docs.columns)
 
 
+def _numbers(scratch: Scratch, several: DataFrame, single: DataFrame) -> Column:
+    """A hash of id and text that differs for all rows of ``several`` and from the numbers of ``single``."""
+    for seed in range(100):
+        number = F.xxhash64(F.lit(seed), "doc_id", "text")
+        used = scratch.put(several.select(number.alias("vertex")), f"numbers{seed}")
+        apart = used.groupBy("vertex").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and used.join(single, "vertex", "left_semi").isEmpty()
+        scratch.drop(f"numbers{seed}")
+        if apart:
+            return number
+    raise ValueError("no hash tells the texts that share an id apart")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates.near_duplicates(docs, "doc_id", "text").where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(spark, "near-dedup")
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    shared = scratch.put(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared")
+    if shared.isEmpty():
+        kept = near_duplicates.near_duplicates(named, "doc_id", "text").where("kept").select("doc_id")
+        return named.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(nameless)
+    # texts that share an id get numbers of their own; of a group the one with the least id stays, then with the least number
+    single = named.join(shared, "doc_id", "left_anti").withColumn("vertex", F.col("doc_id").cast("long"))
+    rest = F.min(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))).alias("rest")
+    several = named.join(shared, "doc_id", "left_semi").groupBy("doc_id", "text").agg(rest)
+    vertices = scratch.put(single.unionByName(several.select("doc_id", "text", "rest.*", _numbers(scratch, several, single).alias("vertex"))), "vertices")
+    component = near_duplicates.near_duplicates(vertices, "vertex", "text").select("vertex", "component_id")
+    order = F.struct("doc_id", "vertex")
+    kept = component.join(vertices.select("doc_id", "vertex"), "vertex").groupBy("component_id").agg(F.min(order).alias("first")).select("first.vertex")
+    return vertices.join(kept, "vertex", "left_semi").select(docs.columns).unionByName(nameless)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

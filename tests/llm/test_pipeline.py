@@ -111,3 +111,15 @@ def test_cut_texts_keep_their_own_replacement_characters(spark):
         assert (got[i].text, got[i].n_chars) == (want, len(want))
     assert "\ufffd" in got[1].text and got[3].text == "\ufffd alone"
     assert whole_characters("a€b".encode()[:3] + "c€".encode()[2:], np.array([3]), np.array([9])) == b"a"
+
+
+def test_texts_that_share_an_id_are_judged_one_by_one(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("a") + " end"), (2, text("b")), (2, text("b")), (2, text("c")), (3, text("b") + " end"),
+            (4, text("d")), (5, None), (5, ""), (5, text("d") + " end"), (None, text("a")), (6, text("e")), (6, text("e") + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.near_dedup(spark, docs, SF).collect()]
+    sixth = [t for i, t in got if i == 6]
+    assert len(sixth) == 1 and (6, sixth[0]) in rows
+    want = [(1, text("a")), (2, text("b")), (2, text("c")), (4, text("d")), (5, None), (5, ""), (None, text("a"))]
+    assert sorted((x for x in got if x[0] != 6), key=repr) == sorted(want, key=repr)
