@@ -9,8 +9,9 @@ tables, and all of them are ranked by exact distance.
 
 k grows with the logarithm of the number of vectors; w and the number of
 probes are fitted on a bounded sample (``SAMPLE`` vectors, ``SAMPLE_QUERIES``
-queries, against brute force) to a recall of ``RECALL``.  The index itself
-holds every vector, and no bucket is capped.
+queries, against brute force) to a recall of ``RECALL``; where ``MAX_PROBES``
+do not reach it, k is lowered until they do, and if none does, that is an error.
+The index itself holds every vector, and no bucket is capped.
 
 Equal vectors are one class, found by grouping; a class keeps its k + 1 least
 ids, which are all that can be among k results.  Queries are dealt into blocks
@@ -102,16 +103,19 @@ def fit(sample: np.ndarray, vectors: int, k: int) -> Hashes:
     true = np.argsort(d, 1, kind="stable")[:, :near]
     scale = float(np.sqrt(np.maximum(np.median(np.take_along_axis(d, true[:, -1:], 1)), 0)))
     functions = max(4, round(0.75 * math.log2(max(2, vectors))))
-    hashes = Hashes(sample.shape[1], functions, WIDTH * scale or 1.0)
-    keys, slots = hashes.keys(hashes.slots(sample)), hashes.slots(queries)
-    probes = 8
-    while True:
-        seen = hashes.visits(slots, probes)
-        hit = np.array([[any(keys[v, t] in seen_q[t] for t in range(hashes.tables)) for v in row] for row, seen_q in zip(true, [[set(x) for x in q.tolist()] for q in seen])])
-        hashes.probes = probes
-        if hit.mean() >= RECALL or probes >= MAX_PROBES:
-            return hashes
-        probes = math.ceil(probes * 1.5)
+    # with fewer functions buckets are wider, so that fewer probes reach the recall
+    for functions in range(functions, 0, -1):
+        hashes = Hashes(sample.shape[1], functions, WIDTH * scale or 1.0)
+        keys, slots = hashes.keys(hashes.slots(sample)), hashes.slots(queries)
+        probes, most = 8, 0
+        while most < MAX_PROBES:
+            seen = hashes.visits(slots, probes)
+            hit = np.array([[any(keys[v, t] in seen_q[t] for t in range(hashes.tables)) for v in row] for row, seen_q in zip(true, [[set(x) for x in q.tolist()] for q in seen])])
+            hashes.probes = most = probes
+            if hit.mean() >= RECALL:
+                return hashes
+            probes = math.ceil(probes * 1.5)
+    raise ValueError(f"no number of functions reaches a recall of {RECALL} on the sample with {MAX_PROBES} probes")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

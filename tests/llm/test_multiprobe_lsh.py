@@ -73,3 +73,18 @@ def test_perturbations_are_ordered_and_whole():
         sets = list(lsh._perturbations(cost, function, 10**6))
         totals = [sum(cost[i] for i in s) for s in sets]
         assert totals == sorted(totals) and len(sets) == len(set(sets)) == 3 ** f - 1
+
+
+def test_fit_lowers_the_functions_until_the_recall_holds(monkeypatch):
+    sample = np.random.default_rng(6).normal(size=(600, 64))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    monkeypatch.setattr(lsh, "MAX_PROBES", 40)
+    hashes = lsh.fit(sample, 10**9, 10)
+    d = ((sample[:64, None] - sample) ** 2).sum(2)
+    true = np.argsort(d, 1, kind="stable")[:, 1:11]
+    keys, seen = hashes.keys(hashes.slots(sample)), hashes.visits(hashes.slots(sample[:64]), hashes.probes)
+    hit = [[any(keys[v, t] in seen[q, t] for t in range(hashes.tables)) for v in true[q]] for q in range(64)]
+    assert np.mean(hit) >= lsh.RECALL
+    monkeypatch.setattr(lsh, "RECALL", 1.1)
+    with pytest.raises(ValueError):
+        lsh.fit(sample, 100, 10)
