@@ -172,7 +172,7 @@ def directory_left_join(spark, d):
     return joined.select("c_custkey", "cik", "company_name")
 
 
-@register("pending_questions", "JN-3 FLT-8 SC-5 SL-3 ST-3 PRJ-4", oracle="""
+@register("pending_questions", "JN-3 FLT-8 SC-5 ST-3 PRJ-4", oracle="""
 with log as (select user_id as k, event_type as t, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events),
 cur as (select k, case when t in ('purchase', 'click') then 'DONE' else 'ERROR' end as status from log where rn = 1),
 q as (select l.l_orderkey as filing_id, cast(l.l_linenumber as varchar) as question_id, l.l_returnflag as proxy_question,
@@ -204,7 +204,7 @@ def pending_questions(spark, d):
     return got.select("filing_id", "question_id", "proxy_question", "status", "company_name", "meeting_date_text")
 
 
-@register("oldest_pending", "SL-2 FLT-13", oracle="""
+@register("oldest_pending", "SL-2", oracle="""
 select o_orderkey, o_custkey from orders where o_orderstatus = 'O'
 order by o_orderdate, o_orderkey limit 1
 """)

@@ -33,7 +33,7 @@ def _filing_slice(orders):
     return process
 
 
-@register("job_queue", "ST-1 ST-2 ST-5 ST-6 SNK-9 SNK-11 FLT-13 SC-18", oracle="""
+@register("job_queue", "ST-1 ST-2 ST-5 ST-6 SNK-9 SNK-11 SC-18", oracle="""
 with req as (
   select c_custkey as cik, cast(json_object('cik', c_custkey, 'year', 1997) as varchar) as params,
          timestamp '2024-01-01 00:00:00' + to_seconds(c_custkey) as created_at

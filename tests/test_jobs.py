@@ -318,6 +318,8 @@ def test_index_pages_that_cannot_be_read_are_reported(spark, tmp_path):
     assert cur[job["1"]][0] == "error" and cur[job["1"]][1].endswith("c1-old.json: unequal column lengths")
     assert cur[job["2"]][0] == "error" and cur[job["2"]][1].endswith("c2.json: unequal column lengths")
     assert "no Item 5.07 filing" in cur[job["3"]][1]
+    assert [r["status"] for r in tasks.job_status(spark, state, job["2"]).collect()] == ["error"]
+    assert tasks.job_status(spark, state, "no such job").count() == 0
     # what the readable page holds is stored all the same
     assert tasks.job_results(spark, state, job["1"]).where("error is null").count() >= 1
     rejects = spark.read.parquet(f"{state}/rejects").collect()
