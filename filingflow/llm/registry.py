@@ -1,6 +1,6 @@
 """The queries of this package, one per operator, with SQL where SQL can say the same."""
 
-from filingflow.llm import bpe_rank_queue, language_id, latent_decontamination, multiprobe_lsh, near_duplicates, quality_bayes, suffix_dedup, token_counts, toxicity_chain, url_language_model
+from filingflow.llm import bpe_rank_queue, language_id, latent_decontamination, multiprobe_lsh, near_duplicates, quality_bayes, rank_index, suffix_dedup, token_counts, toxicity_chain, url_language_model
 
 QUERIES = {
     "op1_url_language_model": url_language_model.op1_url_language_model,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_similarity_sketching": near_duplicates.op8_similarity_sketching,
     "op9_bpe_rank_queue": bpe_rank_queue.op9_bpe_rank_queue,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op12_fim_rank_index": rank_index.op12_fim_rank_index,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_fim_rank_index": rank_index.OP12_SQL,
+}
