@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as E
@@ -14,10 +15,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if isinstance(v, (float, np.floating)):
-        return None if math.isnan(v) else round(float(v), 9)
+        if math.isnan(v):
+            return None
+        return int(v) if float(v).is_integer() else round(float(v), 9)  # integers with nulls are floats in pandas
     if isinstance(v, np.integer):
         return int(v)
     if isinstance(v, np.bool_):
