@@ -1,6 +1,6 @@
 """The queries of this package, one per operator, with SQL where SQL can say the same."""
 
-from filingflow.llm import bpe_rank_queue, language_id, latent_decontamination, license_diagonals, multiprobe_lsh, near_duplicates, quality_bayes, rank_index, suffix_dedup, token_counts, toxicity_chain, url_language_model
+from filingflow.llm import bpe_rank_queue, gnat_negatives, language_id, latent_decontamination, license_diagonals, multiprobe_lsh, near_duplicates, quality_bayes, rank_index, suffix_dedup, token_counts, toxicity_chain, url_language_model
 
 QUERIES = {
     "op1_url_language_model": url_language_model.op1_url_language_model,
@@ -15,9 +15,11 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_license_diagonals": license_diagonals.op11_license_diagonals,
     "op12_fim_rank_index": rank_index.op12_fim_rank_index,
+    "op13_gnat_negatives": gnat_negatives.op13_gnat_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op11_license_diagonals": license_diagonals.OP11_SQL,
     "op12_fim_rank_index": rank_index.OP12_SQL,
+    "op13_gnat_negatives": gnat_negatives.OP13_SQL,
 }

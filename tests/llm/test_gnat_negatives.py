@@ -1,0 +1,115 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from filingflow.llm import gnat_negatives as gn
+
+SCHEMA = "vec_id long, v array<long>, label int"
+
+
+def _brute(rows, is_anchor, positives=5, negatives=10, least=30, most=90):
+    valid = [r for r in rows if None not in r[:3] and None not in r[1]]
+    rows = {i: (label, v) for i, v, label in sorted(valid, key=lambda r: (r[2], r[1]), reverse=True)}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = set()
+    for i, (label, v) in rows.items():
+        if not is_anchor(i):
+            continue
+        scored = sorted((-dot(v, w), j, other) for j, (other, w) in rows.items() if j != i)
+        for s, j, _ in [x for x in scored if x[2] == label][:positives]:
+            fits = [x for x in scored if x[2] != label and least * -s <= 100 * -x[0] <= most * -s][:negatives]
+            out |= {(i, j, r, k, -s, -t) for r, (t, k, _) in enumerate(fits, 1)}
+    return out
+
+
+def _clustered(n, dims, seed=1, spread=20):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(-300, 300, (12, dims))
+    of = rng.integers(0, 12, n)
+    of[: n // 3] = 0
+    v = centres[of] + rng.integers(-spread, spread + 1, (n, dims))
+    v[: n // 6] = centres[0]  # copies of one vector
+    return [(int(i), v[i].tolist(), int(rng.integers(0, 4))) for i in range(n)]
+
+
+def _small(monkeypatch):
+    for name, value in dict(LEAF_ROWS=16, SAMPLE=200, LEAST_PART=40, PARTS=100).items():
+        monkeypatch.setattr(gn, name, value)
+
+
+def _run(df, every=10, **kw):
+    return {tuple(r) for r in gn.hard_negatives(df, "vec_id", "v", "label", F.col("id") % every == 0, **kw).collect()}
+
+
+def test_equals_brute_force_with_hot_vector_and_many_parts(spark, monkeypatch):
+    _small(monkeypatch)
+    rows = _clustered(900, 6)
+    want = _brute(rows, lambda i: i % 10 == 0)
+    assert len(want) > 1000 and _run(spark.createDataFrame(rows, SCHEMA).repartition(7)) == want
+
+
+def test_other_numbers(spark, monkeypatch):
+    _small(monkeypatch)
+    rows = _clustered(300, 3, 2, 200)
+    assert _run(spark.createDataFrame(rows, SCHEMA), positives=2, negatives=3, least_percent=50, most_percent=100) == _brute(rows, lambda i: i % 10 == 0, 2, 3, 50, 100)
+
+
+def test_nulls_repeats_lengths_and_ties(spark, monkeypatch):
+    _small(monkeypatch)
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), [rng.randrange(-2, 3) for _ in range(rng.randrange(4))], rng.randrange(3)) for _ in range(120)]
+    rows += [(None, [1, 1], 1), (100, None, 1), (101, [1, None], 1), (102, [1, 1], None), (103, [], 1), (0, [0, 0], 0)] + rows[:9]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", id string, score long")
+    assert _run(df, 3) == _brute(rows, lambda i: i % 3 == 0)
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 26])
+def test_large_components_stay_exact(spark, monkeypatch, scale):
+    _small(monkeypatch)
+    rng = random.Random(5)
+    rows = [(i, [rng.randrange(-5, 6) * scale + rng.randrange(3) for _ in range(4)], i % 2) for i in range(80)]
+    assert _run(spark.createDataFrame(rows, SCHEMA), 7) == _brute(rows, lambda i: i % 7 == 0)
+    if scale > 1:
+        with pytest.raises(ValueError, match="long"):
+            _run(spark.createDataFrame([(0, [1 << 40], 1)], SCHEMA))
+
+
+def test_few_rows(spark):
+    df = spark.createDataFrame([(0, [1, 2], 1), (1, [1, 1], 1), (2, [1, 0], 2)], SCHEMA)
+    assert _run(df) == {(0, 1, 1, 2, 3, 1)}
+    assert _run(df.limit(0)) == set() and _run(df.where("vec_id = 0")) == set()
+    assert gn.hard_negatives(df, "vec_id", "v", "label", F.col("id") % 10 == 0).columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+
+
+def test_rings_hold_all_rows_and_siblings_are_eliminated():
+    rows = np.array([v for _, v, _ in _clustered(2000, 6)], float)
+    tree = gn.Tree(rows[::5], 2)
+    first, total = tree.slots()
+    least, largest = np.full(total + tree.leaves, np.inf), np.full(total + tree.leaves, -np.inf)
+
+    def visit(node, d, nearest):
+        ways = d.shape[1]
+        for i in range(ways):
+            for j in range(ways):
+                inside = d[nearest == j, i]
+                if len(inside):
+                    at = first[node] + i * ways + j
+                    least[at], largest[at] = min(least[at], inside.min()), max(largest[at], inside.max())
+
+    leaf = tree.descend(rows, visit)
+    for n in np.unique(leaf):
+        square = (rows[leaf == n] ** 2).sum(1)
+        least[total + n], largest[total + n] = square.min(), square.max()
+    tree.measured(least, largest)
+    q = rows[:100]
+    low, high = tree.rings(q)
+    d = np.sqrt(((q[:, None] - rows) ** 2).sum(2))
+    assert (d >= low[:, leaf] - 1e-6).all() and (d <= high[:, leaf] + 1e-6).all()
+    score = q @ rows.T
+    lows, highs = np.full((100, 1), 5e5), np.full((100, 1), 7e5)
+    opened = tree.open(q, lows, highs)
+    inside = (score >= lows) & (score <= highs)
+    assert opened[:, leaf][inside].all()  # nothing needed is eliminated
+    assert opened.mean() < 0.7 < 1 and tree.leaves > 10
