@@ -13,8 +13,9 @@ the bitmap that isn't zero holds the least ranks of all of them, so each
 pre-token with entries there merges its own least pair in the same step.
 
 Texts are encoded per task, slice by slice; equal short pre-tokens are merged
-once per task (a bounded memory of packed ids).  The vocabulary is read by the
-driver and shipped with the tasks; ``MAX_VOCABULARY_BYTES`` bounds it.
+once while a bounded memory of packed ids holds them.  The vocabulary is read
+by the driver and broadcast; ``MAX_VOCABULARY_BYTES`` bounds it.  A Python
+worker that Spark uses again keeps encoder and memory of the last vocabulary.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes;
 invalid UTF-8 becomes U+FFFD before encoding; rows are independent, so
@@ -36,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 MAX_VOCABULARY_BYTES = 32 << 20
-#: Pre-tokens up to this many characters are remembered, this many at a time.
-MEMORY_CHARS, MEMORY_ENTRIES = 64, 600_000
+#: Pre-tokens up to this many characters are remembered, this many in each of two generations.
+MEMORY_CHARS, MEMORY_ENTRIES = 64, 150_000
 _BATCH_BYTES = 4 << 20
 
 
@@ -190,20 +191,29 @@ class Encoder:
 
 
 class PackedMemory(dict):
-    """Pre-token to packed int32 ids; long pre-tokens are not remembered."""
+    """Pre-token to packed int32 ids; long pre-tokens are not remembered.
+
+    When the young generation is full it becomes the old one; what the next
+    texts have of the old one becomes young again.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.encoder = Encoder(ranks)
+        self.encoder, self.old = Encoder(ranks), {}
+        self.token = {rank: data for data, rank in ranks.items()}
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode what the texts have and the memory lacks."""
-        new = set().union(*texts).difference(self)
+        """Have what the texts need, from the old generation or encoded."""
+        needed = set().union(*texts)
+        new = needed.difference(self)
         if len(self) + len(new) > MEMORY_ENTRIES:
+            self.old = dict(self)
             self.clear()
-            new = set().union(*texts)
+            new = needed
+        known = new.intersection(self.old)
+        self.update({p: self.old.pop(p) for p in known})
         ranks, pieces, data = self.encoder.ranks, [], []
-        for p in new:
+        for p in new.difference(known):
             if len(p) <= MEMORY_CHARS:
                 b = p.encode()
                 whole = ranks.get(b)
@@ -223,6 +233,32 @@ class PackedMemory(dict):
         return np.array(self.encoder.long(data) if whole is None else [whole], "<i4").tobytes()
 
 
+_kept: dict[str, PackedMemory] = {}
+
+
+def _memory(shipped) -> PackedMemory:
+    """Encoder and memory of the broadcast vocabulary, kept by the worker."""
+    name, ranks = shipped.value
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = PackedMemory(ranks)
+    return _kept[name]
+
+
+def _ship(spark: SparkSession, ranks_path: str):
+    ranks = load_ranks(ranks_path)
+    name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    return spark.sparkContext.broadcast((name, ranks))
+
+
+def _packed(batch: pa.RecordBatch, name: str, memory: PackedMemory, find) -> list[bytes]:
+    """Packed ids of every text of the batch."""
+    pieces = [find((t or b"").decode("utf-8", "replace")) for t in batch.column(name).cast(pa.binary()).to_pylist()]
+    memory.learn(pieces)
+    lookup = memory.__getitem__
+    return [b"".join(map(lookup, p)) for p in pieces]
+
+
 def _replaced(batch: pa.RecordBatch, name: str, column: pa.Array, new: str) -> pa.RecordBatch:
     keep = [n for n in batch.schema.names if n not in (name, new)]
     return pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [column], keep + [new])
@@ -241,19 +277,15 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     ``pattern`` splits the text before merging, every match by itself; special
     tokens are ordinary text.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    shipped = _ship(df.sparkSession, ranks_path)
     keep = [f for f in df.schema.fields if f.name not in (text_col, ids_col)]
     schema = T.StructType(keep + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
-        memory = PackedMemory(shipped.value)
-        find = regex.compile(pattern).findall
-        lookup = memory.__getitem__
+        memory, find = _memory(shipped), regex.compile(pattern).findall
         for whole in batches:
             for batch in _slices(whole, text_col):
-                pieces = [find((t or b"").decode("utf-8", "replace")) for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
-                memory.learn(pieces)
-                packed = [b"".join(map(lookup, p)) for p in pieces]
+                packed = _packed(batch, text_col, memory, find)
                 offs = np.zeros(len(packed) + 1, np.int64)
                 np.cumsum([len(p) >> 2 for p in packed], out=offs[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
@@ -264,12 +296,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for (null ids: no bytes)."""
-    shipped = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    shipped = _ship(df.sparkSession, ranks_path)
     df = df.drop(bytes_col)
     schema = T.StructType(df.schema.fields + [T.StructField(bytes_col, T.BinaryType(), False)])
 
     def run(batches):
-        token = {rank: data for data, rank in shipped.value.items()}.__getitem__
+        token = _memory(shipped).token.__getitem__
         for whole in batches:
             for batch in _slices(whole, ids_col):
                 out = [b"".join(map(token, ids or ())) for ids in batch.column(ids_col).to_pylist()]
@@ -306,10 +338,33 @@ def digests(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded") ->
     return df.mapInArrow(run, schema)
 
 
+def token_digests(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``digests`` of ``decode`` of ``encode`` in one pass: ids and bytes stay in the task."""
+    shipped = _ship(df.sparkSession, ranks_path)
+    keep = [f for f in df.schema.fields if f.name not in (text_col, "n_tokens", "ids_sha256", "decoded_sha256")]
+    schema = T.StructType(keep + [T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False),
+                                  T.StructField("decoded_sha256", T.StringType(), False)])
+
+    def run(batches):
+        memory, find = _memory(shipped), regex.compile(pattern).findall
+        token, decimal = memory.token.__getitem__, {rank: str(rank) for rank in memory.token}.__getitem__
+        for whole in batches:
+            for batch in _slices(whole, text_col):
+                counts, text, data = [], [], []
+                for packed in _packed(batch, text_col, memory, find):
+                    ids = np.frombuffer(packed, "<i4").tolist()
+                    counts.append(len(ids))
+                    text.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
+                    data.append(hashlib.sha256(b"".join(map(token, ids))).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(counts, pa.int64()), pa.array(text, pa.string()), pa.array(data, pa.string())], [f.name for f in schema])
+
+    return df.mapInArrow(run, schema)
+
+
 def op9_bpe_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(decode(encode(docs, path, public_tokenizers.PATTERN), path))
+    return token_digests(docs, path, public_tokenizers.PATTERN)

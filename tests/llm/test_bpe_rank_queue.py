@@ -48,6 +48,9 @@ def test_rows(spark, reference):
     clash = df.select("text", F.lit("x").alias("ids"), F.lit("y").alias("n_tokens"), F.lit(1).alias("decoded"))
     clash = bpe.digests(bpe.decode(bpe.encode(clash, PATH, public_tokenizers.PATTERN), PATH))
     assert clash.columns == ["n_tokens", "ids_sha256", "decoded_sha256"] and clash.count() == len(texts)
+    one_pass = bpe.token_digests(df.withColumn("n_tokens", F.lit("y")), PATH, public_tokenizers.PATTERN)
+    assert one_pass.columns == ["doc_id", "n_tokens_x", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert [tuple(r)[1:] for r in one_pass.collect()] == [tuple(r)[1:] for r in bpe.digests(bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH)).collect()]
     assert bpe.digests(bpe.decode(bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN), PATH)).count() == 0
 
 
@@ -55,7 +58,7 @@ def test_memory_that_is_full_starts_anew(reference, monkeypatch):
     ranks, lib = reference
     monkeypatch.setattr(bpe, "MEMORY_ENTRIES", 5)
     memory, find = bpe.PackedMemory(ranks), regex.compile(public_tokenizers.PATTERN).findall
-    for text in ("one twoo threeeee fourrrr", "fivveee sixxx sevveen eigghht", "one twoo ninne"):
+    for text in ("one twoo threeeee fourrrr", "fivveee sixxx sevveen eigghht", "one twoo ninne", "sixxx ninne one twoo", "a bbbb cccc ddddd eeeee ffff ggggg"):
         memory.learn([find(text)])
         got = b"".join(map(memory.__getitem__, find(text)))
         assert got == b"".join(i.to_bytes(4, "little") for i in lib.encode_ordinary(text))
