@@ -33,10 +33,7 @@ named like a result column are replaced.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -296,7 +293,16 @@ def _fetch(length: int):
     return run
 
 
-def _cut(keep: list[str]):
+def _whole_characters(buf: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """``kept`` without the bytes of characters of which a byte is not kept."""
+    first = np.flatnonzero((buf & 0xC0) != 0x80)
+    if kept.all() or not len(first):
+        return kept
+    size = np.diff(np.append(first, len(buf)))
+    return kept & np.concatenate([np.ones(first[0], bool), np.repeat(np.logical_and.reduceat(kept, first), size)])
+
+
+def _cut(keep: list[str], characters: bool):
     def run(batches):
         for batch in batches:
             for first, last, buf, offs in blocks(batch.column(len(keep))):
@@ -316,6 +322,8 @@ def _cut(keep: list[str]):
                 slot = np.ones(len(covered), bool)
                 slot[offs[1:] + shift] = False
                 kept = ~covered[slot]
+                if characters:
+                    kept = _whole_characters(buf, kept)
                 left = np.concatenate([[0], np.cumsum(kept)])[offs]
                 data = buf[kept].tobytes()
                 found = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(x - base), pa.array(y - base + 1)], ["start", "end"]))
@@ -328,8 +336,11 @@ def _rounded(n: float) -> int:
     return max(1, int(-(-n // 1)))
 
 
-def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
-    """The rows without ``text_col``, with kept_bytes (binary), spans (removed, in bytes: start, end) and n_bytes."""
+def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, characters: bool = False) -> DataFrame:
+    """The rows without ``text_col``, with kept_bytes (binary), spans (repeated, in bytes: start, end) and n_bytes.
+
+    With ``characters``, kept_bytes also lacks the other bytes of characters that a span cuts.
+    """
     spark = df.sparkSession
     scratch = Scratch(spark, "suffix")
     text = F.col(text_col).cast("string")
@@ -378,32 +389,11 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     schema = T.StructType(keep + [T.StructField("kept_bytes", T.BinaryType()), T.StructField("spans", T.ArrayType(span)), T.StructField("n_bytes", T.LongType())])
     names = [f.name for f in keep]
     joined = keyed.join(found, (F.col("__key") == F.col("__of")) & (F.col("__tag") == F.col("__of_tag")), "left").select(*names, text.alias("__text"), "__found")
-    out = joined.mapInArrow(_cut(names), schema)
+    out = joined.mapInArrow(_cut(names, characters), schema)
     scratch.drop("shared", "kinds", "several", "contexts", "local", "windows")
     return out
 
 
-# The bytes of a character whose start, or whose end, was removed.
-_HEAD = re.compile(rb"\A[\x80-\xbf]{1,3}")
-_TAIL = re.compile(rb"(?:[\xc0-\xff]|[\xe0-\xff][\x80-\xbf]|[\xf0-\xff][\x80-\xbf]{2})\Z")
-
-
-def whole_characters(kept: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
-    """``kept`` without the parts of characters beside the spans removed before."""
-    size = ends - starts
-    cuts = [0, *(starts - np.cumsum(size) + size).tolist(), len(kept)]
-    pieces = [kept[a:b] for a, b in zip(cuts, cuts[1:])]
-    pieces[1:] = [_HEAD.sub(b"", p) for p in pieces[1:]]
-    pieces[:-1] = [_TAIL.sub(b"", p) for p in pieces[:-1]]
-    return b"".join(pieces)
-
-
-@F.pandas_udf(T.BinaryType())
-def characters(kept: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-    """``whole_characters`` of kept_bytes and the starts and ends of spans."""
-    return pd.Series([None if k is None else whole_characters(bytes(k), a, b) for k, a, b in zip(kept, starts, ends)], dtype=object)
-
-
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document, and how much was removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

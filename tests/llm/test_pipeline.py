@@ -8,7 +8,7 @@ import tiktoken
 import corpus_pipeline as cp
 from filingflow.llm.bpe_rank_queue import load_ranks
 from filingflow.llm.store import Scratch
-from filingflow.llm.suffix_dedup import whole_characters
+from filingflow.llm.suffix_dedup import _whole_characters
 from test_latent_decontamination import contains, tokens
 from test_near_duplicates import brute as near
 from test_suffix_dedup import brute as repeats
@@ -110,7 +110,33 @@ def test_cut_texts_keep_their_own_replacement_characters(spark):
             want, at = want + ("" if any(gone[at:at + n]) else c), at + n
         assert (got[i].text, got[i].n_chars) == (want, len(want))
     assert "\ufffd" in got[1].text and got[3].text == "\ufffd alone"
-    assert whole_characters("a€b".encode()[:3] + "c€".encode()[2:], np.array([3]), np.array([9])) == b"a"
+    text = "a€b é".encode()
+    for gone in range(len(text)):
+        left = _whole_characters(np.frombuffer(text, np.uint8), np.arange(len(text)) != gone)
+        assert bytes(np.frombuffer(text, np.uint8)[left]).decode() in ("€b é", "ab é", "a€ é", "a€bé", "a€b ")
+
+
+def test_columns_with_clashing_names_come_back(spark, tmp_path):
+    clash = ["keep", "quality_score", "evidence", "site_rate", "vertex", "rest", "row", "kept_bytes", "spans", "n_bytes", "text_key", "id", "item_id", "component_id", "kept", "Host.x", "label"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = docs.selectExpr("*", *(f"concat('{c}', doc_id) as `{c}`" for c in clash))
+    wide = wide.unionByName(wide.where("doc_id < 20"))
+    for (name, stage), lean in zip(cp.STAGES[:4], [docs] * 4):
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in clash), name
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in lean.select("doc_id").collect()}
+
+
+def test_a_very_long_text(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    long = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(150_000))
+    rows = [(1, long), (2, long + " one more"), (3, "few words " * 30 + "é")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.near_dedup(spark, docs, SF).select("doc_id").collect()} == {1, 3}
+    assert [len(r.text) for r in cp.suffix_array_dedup(spark, docs.where("doc_id < 3"), SF).orderBy("doc_id").collect()] == [9]  # the first is in the second as a whole
+    assert cp.decontamination(spark, docs, SF).count() == 3 and cp.tokens(spark, docs.where("doc_id = 1"), SF).first().n_tokens > 150_000
 
 
 def test_texts_that_share_an_id_are_judged_one_by_one(spark):
