@@ -2,7 +2,8 @@
 
 Every stage is (spark, docs, sf_dir) -> DataFrame.  ``run`` writes each result
 as Parquet in the shared folder and gives the reread table to the next stage.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, any others among
+them; names that clash with an operator's own are no matter.
 
 1. ``quality``: documents that the quality classifier rejects go, among them
    texts that are null or have no words.
@@ -26,10 +27,22 @@ from filingflow.llm import bpe_rank_queue, latent_decontamination, near_duplicat
 from filingflow.llm.store import Scratch
 
 
+def _packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns and text, and all columns but text as one: names that an operator uses can't clash."""
+    rest = F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text")).alias("row")
+    return docs.select(*names, "text", rest)
+
+
+def _unpacked(out: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs``, text and those given anew."""
+    new = {"text": F.col("text"), **new}
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality_bayes.train(docs, labels, "doc_id", "text", "quality")
-    return quality_bayes.score(docs, model, "text", "source", "lang").where("keep").select(docs.columns)
+    model = quality_bayes.train(docs.select("doc_id", "text"), labels, "doc_id", "text", "quality")
+    return _unpacked(quality_bayes.score(_packed(docs, "source", "lang"), model, "text", "source", "lang").where("keep"), docs)
 
 
 def _numbers(scratch: Scratch, several: DataFrame, single: DataFrame) -> Column:
@@ -45,37 +58,35 @@ def _numbers(scratch: Scratch, several: DataFrame, single: DataFrame) -> Column:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "near-dedup")
-    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    scratch, rows = Scratch(spark, "near-dedup"), _packed(docs, "doc_id")
+    named, nameless = rows.where("doc_id is not null"), docs.where("doc_id is null")
     shared = scratch.put(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared")
     if shared.isEmpty():
         kept = near_duplicates.near_duplicates(named, "doc_id", "text").where("kept").select("doc_id")
-        return named.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(nameless)
+        return _unpacked(named.join(kept, "doc_id", "left_semi"), docs).unionByName(nameless)
     # texts that share an id get numbers of their own; of a group the one with the least id stays, then with the least number
     single = named.join(shared, "doc_id", "left_anti").withColumn("vertex", F.col("doc_id").cast("long"))
-    rest = F.min(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))).alias("rest")
-    several = named.join(shared, "doc_id", "left_semi").groupBy("doc_id", "text").agg(rest)
-    vertices = scratch.put(single.unionByName(several.select("doc_id", "text", "rest.*", _numbers(scratch, several, single).alias("vertex"))), "vertices")
+    several = named.join(shared, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min("row").alias("row"))
+    vertices = scratch.put(single.unionByName(several.select("doc_id", "text", "row", _numbers(scratch, several, single).alias("vertex"))), "vertices")
     component = near_duplicates.near_duplicates(vertices, "vertex", "text").select("vertex", "component_id")
     order = F.struct("doc_id", "vertex")
     kept = component.join(vertices.select("doc_id", "vertex"), "vertex").groupBy("component_id").agg(F.min(order).alias("first")).select("first.vertex")
-    return vertices.join(kept, "vertex", "left_semi").select(docs.columns).unionByName(nameless)
+    return _unpacked(vertices.join(kept, "vertex", "left_semi"), docs).unionByName(nameless)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(docs, "doc_id", "text")
+    out = suffix_dedup.remove_repeats(_packed(docs, "doc_id"), "doc_id", "text", characters=True)
     cut = F.size("spans") > 0
-    whole = suffix_dedup.characters(F.when(cut, F.col("kept_bytes")), F.when(cut, F.col("spans.start")), F.when(cut, F.col("spans.end")))
-    out = out.withColumn("text", F.make_valid_utf8(F.when(cut, whole).otherwise(F.col("kept_bytes")).cast("string")))
-    out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+    out = out.withColumn("text", F.make_valid_utf8(F.col("kept_bytes").cast("string"))).where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(cut, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return _unpacked(out, docs, n_chars=n_chars)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))  # equal texts, with an id or without, share their verdict
+    keyed = _packed(docs).withColumn("text_key", F.xxhash64("text"))  # equal texts, with an id or without, share their verdict
     leaking = latent_decontamination.leaks(keyed, benchmark, "text_key", "text").select("text_key").distinct()
-    return keyed.join(leaking, "text_key", "left_anti").select(docs.columns)
+    return _unpacked(keyed.join(leaking, "text_key", "left_anti"), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
