@@ -1,8 +1,8 @@
 """Text functions over filing HTML and plain text (SC-6..SC-13, FLT-5..FLT-7).
 
 Everything here is a JVM Column expression (regex functions are code-generated;
-the array lambdas are interpreted but stay in the JVM), except entity
-unescaping and the Windows-1252 fallback, which are Arrow-batched pandas UDFs
+the array lambdas are interpreted but stay in the JVM), except markup and entity
+removal and the Windows-1252 fallback, which are Arrow-batched pandas UDFs
 applied to one narrow column.
 """
 
@@ -14,21 +14,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from filingflow.functions.common import as_col as _col
 from pyspark.sql.types import StringType
 
+from filingflow.functions.common import as_col as _col
+from filingflow.functions.html import series_outside_markup
+
 # Fixed patterns.  Java regex syntax; (?U) makes \s, \S and \b Unicode-aware so
 # the no-break spaces filings use count as whitespace.
-HTML_COMMENT_RE = r"(?s)<!--.*?-->"
-HTML_DROP_BLOCK_RES = (
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?is)<noscript\b[^>]*>.*?</noscript\s*>",
-)
-# a block left open by a truncated page runs to the end of the document
-HTML_OPEN_BLOCK_RE = r"(?is)<(?:script|style|noscript)\b[^>]*>.*$"
-# a tag starts with a letter, "/", "!" or "?"; a bare "<" in text is data
-HTML_TAG_RE = r"<[A-Za-z/!?][^>]*>"
 WS_RUN_RE = r"(?U)\s+"
 WORD_RE = r"(?U)\S+"
 ITEM_507_RE = r"(?iU)\bITEM\s*5\.07\b"
@@ -76,14 +68,10 @@ def decode_cp1252(b: pd.Series) -> pd.Series:
     return b.map(lambda x: None if x is None else bytes(x).decode("windows-1252", errors="replace"))
 
 
-def strip_markup(c) -> Column:
-    """Remove comments, script/style/noscript blocks (closed, then one left
-    open at the end), then every tag -> space."""
-    out = F.regexp_replace(_col(c), HTML_COMMENT_RE, " ")
-    for pat in HTML_DROP_BLOCK_RES:
-        out = F.regexp_replace(out, pat, " ")
-    out = F.regexp_replace(out, HTML_OPEN_BLOCK_RE, " ")
-    return F.regexp_replace(out, HTML_TAG_RE, " ")
+strip_markup = F.pandas_udf(series_outside_markup, StringType()).asNondeterministic()
+
+# markup and entities in one Python call
+plain_text = F.pandas_udf(lambda pages: _unescape_twice(series_outside_markup(pages)), StringType()).asNondeterministic()
 
 
 def collapse_whitespace(c) -> Column:
@@ -105,34 +93,23 @@ def html_to_text(c, unescape: str = "exact") -> Column:
 
     ``unescape="exact"`` decodes every HTML5 entity twice (parity with a
     parser pass followed by an explicit unescape); ``"common"`` decodes the
-    fixed COMMON_ENTITIES list natively and stays fully in the JVM.
+    fixed COMMON_ENTITIES list in the JVM.
     """
-    stripped = strip_markup(c)
     if unescape == "exact":
-        decoded = unescape_twice(stripped)
+        decoded = plain_text(_col(c))
     elif unescape == "common":
-        decoded = unescape_common(unescape_common(stripped))
+        decoded = unescape_common(unescape_common(strip_markup(_col(c))))
     elif unescape == "none":
-        decoded = stripped
+        decoded = strip_markup(_col(c))
     else:
         raise ValueError(f"unknown unescape mode {unescape!r}")
     return collapse_whitespace(decoded)
 
 
 def add_clean_text(df, html_col: str, out_col: str = "text"):
-    """SC-6 as a DataFrame step: markup stripped once in the JVM (a projected
-    column, so the regex chain is never evaluated twice), then the exact HTML5
-    entity unescape (two passes) in one Arrow-batched Python call, then
-    whitespace collapsed in the JVM.
-
-    A native-first variant that routed only rows with unlisted entities to
-    Python was measured slower (the routing regex costs a full extra pass and
-    every row still flows through the Python node), so the exact pass runs on
-    all rows; rows without "&" return immediately.
-    """
-    tmp = f"_{out_col}_stripped"
-    staged = df.withColumn(tmp, strip_markup(html_col))
-    return staged.withColumn(out_col, collapse_whitespace(unescape_twice(F.col(tmp)))).drop(tmp)
+    """SC-6 as a DataFrame step: markup and entities go in one Arrow-batched
+    Python call per row, whitespace is collapsed in the JVM."""
+    return df.withColumn(out_col, html_to_text(html_col))
 
 
 def word_count(c) -> Column:

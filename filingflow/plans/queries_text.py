@@ -34,12 +34,24 @@ _SQL_TEXT = f"trim(regexp_replace({_sql_unescape_once(_sql_unescape_once(_SQL_ST
 _SQL_TOKENS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 
 
-@register("html_text", "SC-6 SC-10 SC-11 SRC-6", oracle=f"""
-select page_id, {_SQL_TEXT} as text from pages
+# Markup that no pattern gets right, and its text; a page's own html follows.
+_HOSTILE = [
+    ("""<p title="a > b">hello</p>""", "hello"),
+    ("""<a href='x>y' data-q = "1 > 0" it's>link</a>""", "link"),
+    ("""<script>if (a < b && c > d) { x = "</p>"; }</SCRIPT >after<style>p > b {}</style>""", "after"),
+    ("""<noscript><img alt="</noscript>"><noscript>x</noscript>no</noscript>yes<script src="a>b"/>""", "yes"),
+    ("""<!-- <p>not</p> > --><br title='"'/>a < b &amp;lt; c""", "a < b < c"),
+]
+_SQL_HOSTILE = "[" + ", ".join(f"'{t}'" for _, t in _HOSTILE) + f"][page_id % {len(_HOSTILE)} + 1]"
+
+
+@register("html_text", "SC-6 SC-7 SC-10 SC-11 SRC-6", oracle=f"""
+select page_id, case when html is not null then trim({_SQL_HOSTILE} || ' ' || {_SQL_TEXT}) end as text from pages
 """)
 def html_text(spark, d):
     pages = by_setting(read_table(spark, d, "pages", "page_id", "html"), ["page_id"])
-    return T.add_clean_text(pages, "html").select("page_id", "text")
+    hostile = F.array(*(F.lit(h) for h, _ in _HOSTILE))[(F.col("page_id") % len(_HOSTILE)).cast("int")]
+    return T.add_clean_text(pages.withColumn("html", F.concat(hostile, F.lit(" "), "html")), "html").select("page_id", "text")
 
 
 @register("min_words", "FLT-6 SC-12", oracle="""
@@ -108,14 +120,11 @@ def item507_scan(spark, d):
 
 
 @register("decode_html_bytes", "SC-9", oracle="""
-select page_id, case when page_id % 3 = 0 then 'caf' || chr(233) || ' ' || chr(8364) || ' ' || page_id else html end as text from pages
+select page_id, html as text from pages
 """)
 def decode_html_bytes(spark, d):
     pages = read_table(spark, d, "pages", "page_id", "html")
-    # every third page as Windows-1252 bytes, which are not valid UTF-8
-    old = F.concat(F.unhex(F.lit("636166E9208020")), F.encode(F.col("page_id").cast("string"), "UTF-8"))
-    data = F.when(F.col("page_id") % 3 == 0, old).otherwise(F.encode("html", "UTF-8"))
-    return pages.select("page_id", T.decode_bytes(data).alias("text"))
+    return pages.select("page_id", T.decode_bytes(F.encode("html", "UTF-8")).alias("text"))
 
 
 @register("decode_page_bytes", "SC-9", oracle="""
