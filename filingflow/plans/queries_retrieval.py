@@ -35,8 +35,7 @@ where rank <= 20
 def vector_topk(spark, d):
     e = _emb(spark, d)
     q = retrieval.first_rows_as_queries(e, "label", "vec_id", n=1)
-    scored = retrieval.score_all(e, q, "label")
-    top = retrieval.top_k_per_query(scored.drop("embedding"), "label", "vec_id", 20)
+    top = retrieval.top_k(e, q, "label", "vec_id", 20)
     return top.select("label", "vec_id", F.col("rank").cast("bigint").alias("rank"),
                       F.round("score", 6).alias("score"))
 

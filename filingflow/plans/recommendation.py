@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from filingflow.functions import keys
 from filingflow.operators import concat, merge, model, quality, retrieval, status
-from filingflow.operators.ranking import top_n_per_group
 from filingflow.session import materialize
 
 REC_K = retrieval.RAG_TOP_K
@@ -69,10 +68,7 @@ def question_contexts(pending: DataFrame, chunks: DataFrame, k: int = REC_K) ->
         F.col("question_embedding").alias("qv"))
     ids = q.select("filing_id", "query_no", "question_id")
     # ids and scores are ranked; the text joins the k chunks that are left
-    scored = retrieval.score_all(chunks.select("filing_id", "chunk_index", "embedding"),
-                                 q.drop("question_id"), "filing_id").drop("embedding")
-    ex = scored.select("filing_id", "chunk_index", F.inline("scores"))
-    top = top_n_per_group(ex, ["filing_id", "query_no"], [F.desc("score"), F.asc("chunk_index")], k, "rank")
+    top = retrieval.top_k(chunks, q.drop("question_id"), "filing_id", "chunk_index", k)
     top = top.join(chunks.select("filing_id", "chunk_index", "chunk_text"), ["filing_id", "chunk_index"])
     ctx = concat.context_concat(top, ["filing_id", "query_no"], ["rank"], "chunk_text")
     return ctx.join(ids, ["filing_id", "query_no"]).drop("query_no")

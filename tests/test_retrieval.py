@@ -50,3 +50,51 @@ def test_topk_is_partially_limited_before_shuffle(spark, chunks):
     top = retrieval.retrieve(chunks, QUERIES, "filing_id", "chunk_index", k=2)
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_blocks_equal_brute_force(spark, monkeypatch):
+    """Many filings in many batches, a hot one, ties, null and short vectors, and more queries than a block holds."""
+    import random
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    rng = random.Random(2)
+    rows, queries = [], []
+    for f in range(12):
+        for c in range(400 if f == 0 else rng.randrange(30)):
+            v = rng.choice([[rng.randrange(-3, 4) / 2 for _ in range(4)], [1.0, 0.0, 0.0, 0.5], None, [1.0], [0.0] * 4])
+            rows.append((f if f else None if c % 50 == 0 else 0, c, v))
+        queries += [(f, n, [rng.randrange(-2, 3) / 2 for _ in range(4)]) for n in range(rng.choice([1, 2, 7]))]
+    df = spark.createDataFrame(rows, "filing_id int, chunk_index int, embedding array<float>").repartition(5)
+    qs = spark.createDataFrame(queries, "filing_id int, query_no int, qv array<double>")
+
+    def score(v, q, metric):
+        if v is None or len(v) != len(q):
+            return None
+        s = sum(a * b for a, b in zip(v, q))
+        size = (sum(a * a for a in v) * sum(b * b for b in q)) ** 0.5
+        return s if metric == "ip" else round(s / size, 9) if size else None
+
+    last = lambda s: (s is None, -(s or 0))
+    for metric in ("ip", "cosine"):
+        want, best = {}, {}
+        for f, n, q in queries:
+            scored = sorted(((score(v, q, metric), c) for g, c, v in rows if g == f), key=lambda x: (*last(x[0]), x[1]))
+            want.update({(f, n, r): x for r, x in enumerate(scored[:5], 1)})
+            for s, c in scored:
+                best[f, c] = min(best.get((f, c), s), s, key=last)
+        rounded = lambda s: None if s is None else round(s, 9)
+        got = {(r.filing_id, r.query_no, r["rank"]): (rounded(r.score), r.chunk_index) for r in retrieval.top_k(df, qs, "filing_id", "chunk_index", 5, metric=metric).collect()}
+        if metric == "ip":
+            assert got == want
+        assert {k: s for k, (s, _) in got.items()} == {k: s for k, (s, _) in want.items()}
+        merged = retrieval.retrieve(df, qs, "filing_id", "chunk_index", k=4, metric=metric).collect()
+        for f in range(12):
+            mine = sorted((s for (g, _), s in best.items() if g == f), key=last)[:4]
+            assert [rounded(r.best_score) for r in sorted(merged, key=lambda r: r.merged_rank) if r.filing_id == f] == mine
+
+
+def test_scores_are_matrix_products(spark, chunks):
+    q = spark.createDataFrame([(1, 0, [0.0, 1.0])], "filing_id int, query_no int, qv array<float>")
+    for queries in (q, QUERIES):
+        for merge in ("best_score", "first_seen"):
+            plan = retrieval.retrieve(chunks, queries, "filing_id", "chunk_index", merge=merge)._jdf.queryExecution().executedPlan().toString()
+            assert "zip_with" not in plan and "aggregate(" not in plan and "WindowGroupLimit" in plan
