@@ -64,6 +64,56 @@ def job_queue(spark, d):
                       keys.iso_timestamp("latest_filing").alias("latest_filing"))
 
 
+def _counted(orders):
+    """Orders of a job's company; some jobs fail once, some whenever they are tried."""
+    def process(due):
+        p = due.select("id", "try", F.from_json("params", "cik bigint").getField("cik").alias("cik"))
+        n = orders.groupBy(F.col("o_custkey").alias("cik")).agg(F.count("*").alias("n_filings"))
+        bad = ((F.col("cik") % 5 == 0) & (F.col("try") == 1)) | (F.col("cik") % 7 == 0)
+        return p.join(n, "cik", "left").select("id", F.coalesce("n_filings", F.lit(0)).alias("n_filings"),
+                                               F.when(bad, F.concat_ws(" ", F.lit("no answer to try"), "try")).alias("error"))
+    return process
+
+
+@register("job_life_cycle", "ST-1 ST-2 ST-3 ST-5 SNK-9 SNK-11 FLT-13", oracle="""
+with n as (select o_custkey, count(*) as n from orders group by 1)
+select 'job ' || c_custkey as id, case when c_custkey % 7 = 0 then 'failed' else 'done' end as status,
+       case when c_custkey % 7 = 0 or c_custkey % 5 = 0 then 2 else 1 end as tries,
+       case when c_custkey % 7 = 0 then 'no answer to try 2' end as error,
+       case when c_custkey % 7 = 0 then null else coalesce(n.n, 0) end as n_filings,
+       case when c_custkey % 7 = 0 then 'pending,running,error,running,failed' when c_custkey % 5 = 0 then 'pending,running,error,running,done'
+            else 'pending,running,done' end as steps
+from customer left join n on n.o_custkey = c_custkey
+""")
+def job_life_cycle(spark, d):
+    """One job per company, requested twice, drained by the keyed worker: failed tries run again by timer."""
+    import time
+
+    from filingflow.streaming import lifecycle
+
+    base = scratch_path(spark, "job-life-cycle")
+    req = read_table(spark, d, "customer", "c_custkey").select(
+        F.concat_ws(" ", F.lit("job"), "c_custkey").alias("id"), F.to_json(F.struct(F.col("c_custkey").alias("cik"))).alias("params"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
+    lifecycle.request(req, base)
+    lifecycle.request(req, base)
+    orders = read_table(spark, d, "orders", "o_custkey")
+    worker = lifecycle.start(spark, base, _counted(orders), tries=2, retry_after=0, processing_time="0 seconds")
+    try:
+        n = req.count()
+        while worker.isActive and lifecycle.current(spark, base).where(F.col("status").isin(*lifecycle.FINAL)).count() < n:
+            time.sleep(0.2)
+    finally:
+        worker.stop()
+    if worker.exception():
+        raise worker.exception()
+    log = lifecycle.changes(spark, base)
+    steps = log.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "status"))), lambda x: x["status"]), ",").alias("steps"))
+    found = lifecycle.results(spark, base).select("id", F.col("n_filings").cast("bigint").alias("n_filings"))
+    return lifecycle.current(spark, base).join(steps, "id").join(found, "id", "left").select(
+        "id", "status", F.col("try").alias("tries"), "error", "n_filings", "steps")
+
+
 # Test mapping of order status onto proxy form types.
 _STATUS_TO_FORM = (("F", "DEF 14A"), ("O", "DEFR14A"), ("P", "DEFA14A"))
 

@@ -1,0 +1,82 @@
+"""Keyed job state: pending, running, retry by timer, restart and replay."""
+
+import time
+
+from pyspark.sql import functions as F
+
+from filingflow.streaming import lifecycle as lc
+
+
+def process(jobs):
+    """A job named fN fails its first N tries."""
+    bad = F.col("try") <= F.regexp_extract("id", "^f([0-9]+)", 1).try_cast("int")
+    return jobs.select("id", F.when(bad, F.concat(F.lit("try "), F.col("try").cast("string"))).alias("error"), F.upper("params").alias("answer"))
+
+
+def wait(spark, base, query, done, seconds=120):
+    end = time.time() + seconds
+    while time.time() < end:
+        assert query.exception() is None
+        rows = {r.id: (r.status, r["try"], r.error) for r in lc.current(spark, base).collect()}
+        if done(rows):
+            return rows
+        time.sleep(0.5)
+    raise AssertionError(rows)
+
+
+def ask(spark, base, *ids):
+    lc.request(spark.createDataFrame([(i, f"p{i}") for i in ids], "id string, params string").withColumn("created_at", F.timestamp_seconds(F.lit(1000))), base)
+
+
+def test_retries_need_no_new_file_and_states_survive_a_restart(spark, tmp_path):
+    base = str(tmp_path / "jobs")
+    ask(spark, base, "a", "f1", "f9")
+    ask(spark, base, "a")  # again
+    final = lambda rows: rows and all(s in lc.FINAL for s, _, _ in rows.values())
+    start = lambda wait: lc.start(spark, base, process, tries=3, retry_after=wait, processing_time="0 seconds")
+    query = start(3_600_000)
+    try:
+        rows = wait(spark, base, query, lambda rows: rows.get("a", [""])[0] == "done" and rows["f1"][0] == "error" and rows["f9"][0] == "error")
+        assert rows == {"a": ("done", 1, None), "f1": ("error", 1, "try 1"), "f9": ("error", 1, "try 1")}
+    finally:
+        query.stop()
+    log = {(r.id, r.seq): r.status for r in lc.changes(spark, base).collect()}
+    assert log == {**{(i, 1): "pending" for i in ("a", "f1", "f9")}, **{(i, 2): "running" for i in ("a", "f1", "f9")}, ("a", 3): "done", ("f1", 3): "error", ("f9", 3): "error"}
+    assert [(r.id, r.answer) for r in lc.results(spark, base).collect()] == [("a", "PA")]
+
+
+def test_failed_items_run_again_after_the_wait(spark, tmp_path):
+    base = str(tmp_path / "jobs")
+    ask(spark, base, "a", "f1", "f9")
+    query = lc.start(spark, base, process, tries=2, retry_after=100, processing_time="0 seconds")
+    try:
+        wait(spark, base, query, lambda rows: rows.get("f9", [""])[0] == "failed" and rows["f1"][0] == "done")
+    finally:
+        query.stop()
+    ask(spark, base, "late")  # while nobody works
+    query = lc.start(spark, base, process, tries=2, retry_after=100, processing_time="0 seconds")
+    try:
+        rows = wait(spark, base, query, lambda rows: rows.get("late", [""])[0] == "done")
+    finally:
+        query.stop()
+    assert rows == {"a": ("done", 1, None), "f1": ("done", 2, None), "f9": ("failed", 2, "try 2"), "late": ("done", 1, None)}
+    steps = [r.status for r in lc.changes(spark, base).where("id = 'f1'").orderBy("seq").collect()]
+    assert steps == ["pending", "running", "error", "running", "done"]
+    assert {(r.id, r["try"]) for r in lc.results(spark, base).collect()} == {("a", 1), ("f1", 2), ("late", 1)}
+
+
+def test_a_batch_that_runs_again_replaces_its_files(spark, tmp_path):
+    base = str(tmp_path / "jobs")
+    rows = spark.createDataFrame([("a", 2, "running", 1, "p", None, None, 5), ("f1", 2, "running", 1, "p", None, None, 5), ("b", 1, "pending", 0, "p", None, None, 5)], lc.CHANGES)
+    handle = lc.make_handler(base, process)
+    read = lambda: (sorted(map(str, lc.changes(spark, base).collect())), sorted(map(str, spark.read.json(f"{base}/outcomes").collect())))
+    handle(rows, 7)
+    once = read()
+    handle(rows, 7)
+    assert read() == once and len(once[0]) == 3 and len(once[1]) == 2
+
+    def broken(jobs):
+        raise RuntimeError("no model")
+
+    lc.make_handler(base, broken)(rows, 8)
+    assert {r.error for r in spark.read.json(f"{base}/outcomes/batch_id=8").collect()} == {"RuntimeError: no model"}
