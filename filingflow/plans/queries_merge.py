@@ -183,3 +183,22 @@ def job_result_payloads(spark, d):
     jobs = o.withColumn("filing_year", F.year("o_orderdate"))
     rows = concat.collect_rows(jobs, ["o_custkey", "filing_year"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
     return rows.select("o_custkey", "filing_year", F.to_json("rows").alias("result"))
+
+
+@register("bucketed_replace", "SNK-2 SNK-6 SNK-10 JN-2", oracle="""
+with b as (select *, case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as batch_id from orders),
+l as (select o_custkey, max(batch_id) as batch_id from b group by 1)
+select b.o_custkey, b.o_orderkey, b.o_orderstatus from b join l using (o_custkey, batch_id) where b.o_custkey % 11 <> 0
+""")
+def bucketed_replace(spark, d):
+    """The orders of each status as a batch that replaces its companies' rows; then some companies' rows go."""
+    from filingflow.operators.bucketed import BucketedTable
+    from filingflow.session import scratch_path
+
+    o = read_table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus")
+    table = BucketedTable(spark, scratch_path(spark, "bucketed"), ["o_custkey"], o.schema, buckets=16)
+    for batch_id, status in enumerate(("F", "O", "P")):
+        table.replace(o.where(F.col("o_orderstatus") == status), batch_id)
+    table.replace(o.where("o_orderstatus = 'P'"), 2)  # the last batch once more, as after a lost driver
+    table.delete(o.where("o_custkey % 11 = 0").select("o_custkey"), "deleted")
+    return table.read()

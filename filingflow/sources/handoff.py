@@ -8,10 +8,14 @@ outside producer or consumer needs it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
+from filingflow.operators.bucketed import BUCKET, BucketedTable
+
 CHUNK_RECORD = StructType([StructField("chunk_index", IntegerType()), StructField("chunk_text", StringType()),
                            StructField("embedding", ArrayType(FloatType()))])
 
@@ -36,14 +40,20 @@ def read_chunk_files(spark: SparkSession, path: str, key_from_path: str = r"/([^
     return as_recs.unionByName(as_texts)
 
 
-def write_artifacts(texts: DataFrame, path: str, key_cols: list[str], partition_col: str | None = None) -> None:
-    """SNK-2: HTML / text artefacts as a parquet table keyed by filing
-    (overwrite = replace; partition by e.g. filing year so re-runs replace
-    only their own partitions)."""
-    w = texts.write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
-    if partition_col:
-        w = w.partitionBy(partition_col)
-    w.parquet(path)
+def write_artifacts(texts: DataFrame, path: str, key_cols: list[str], partition_col: str | None = None,
+                    batch_id: int | str | None = None, buckets: int = 64) -> None:
+    """SNK-2: HTML / text artefacts, replaced filing by filing: only filings of
+    this batch change, those stored before stay.  ``partition_col`` is an
+    ordinary column of the stored rows.  A batch that is run again under the
+    same ``batch_id`` leaves the same table."""
+    if partition_col and partition_col not in texts.columns:
+        raise ValueError(f"no column {partition_col}")
+    BucketedTable(texts.sparkSession, path, key_cols, texts.schema, buckets).replace(texts, batch_id if batch_id is not None else uuid.uuid4().hex)
+
+
+def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """All stored artefacts."""
+    return spark.read.parquet(path).drop(BUCKET)
 
 
 def chunks_as_json(chunks: DataFrame, key_col: str, with_embedding: bool = True) -> DataFrame:
