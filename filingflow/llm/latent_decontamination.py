@@ -1,33 +1,34 @@
 """Benchmark decontamination by latent semantic retrieval and sequence checks.
 
 Passages are windows of ``WINDOW`` words, every ``STRIDE`` words, over whole
-texts.  The terms are the ``TERMS`` words of each benchmark item that fewest
-items share, the longer first; other words add nothing to an inner product
-with an item.  Passages with ``LEAST_SHARE`` of the terms of some item, well
-below what a leak holds, make a TF-IDF matrix A, weighted by the passages of
-the whole corpus that hold a term.
-
-The randomised SVD is a Nystroem sketch: tasks add up G = A'(A O) for a
-Gaussian O of ``RANK`` columns, and the driver takes the leading right singular
-vectors from the small G and O'G.  The directions of the items that those
-vectors leave out are added, so that an item which only few passages hold
-keeps its place in the latent space.
-
-A passage whose cosine with an item there reaches ``COSINE`` is a candidate.
-Each is checked by longest common subsequences of the item's words and the
-passage with ``STRIDE * 2`` words around it, by bit-parallel recurrences over
-all candidates of a batch.  A passage leaks an item if it has ``WHOLE`` of its
-words in order, or ``PARAPHRASE`` of its words, ``OF_TERMS`` of its terms and
+texts.  Their TF-IDF matrix A has the ``VOCABULARY`` terms that most passage
+halves hold, ``FLOOR`` at least; the weights count the halves of the whole
+corpus.
+
+The randomised SVD is a Nystroem sketch: tasks add up G = A'(A O) over all
+passages for a Gaussian O of ``RANK + MORE`` columns, and the driver takes the
+``RANK`` leading right singular vectors from the small G and O'G.  Coordinates
+are divided by the singular values, so that the direction all passages share
+weighs no more than others.  Words of the same contexts are near in that space,
+whether or not an item has them.
+
+Every passage is compared with every item there; a cosine of ``COSINE`` makes a
+candidate.  Candidates are checked by longest common subsequences, bit-parallel
+over all candidates of a block: of runs of twice the item's words around the
+passage, one must have ``PARAPHRASE`` of the item's words in order and
 ``OF_ANSWER`` of its answer.  The answer is what follows the last "answer:", or
-else the last sentence.
+else the last sentence.  Items of fewer than ``LEAST_PARAPHRASE`` words have no
+paraphrases, as a few common words would do.
 
-``WHOLE`` needs no terms and no cosine.  Its candidates are all passages that
-can reach it: what ``WHOLE`` lets be absent is counted off the rarest words of
-the item, so many of them that ``EXTRA`` must be there at least, or all words.
+A second branch, without terms or cosines, finds near copies: ``WHOLE`` of the
+item's words in order in a passage with ``STRIDE * 2`` words around it.  Its
+candidates are all passages that can reach it: what ``WHOLE`` lets be absent is
+counted off the rarest words of the item, so many of them that ``EXTRA`` must
+be there at least, or all words.
 
-Items are taken in blocks of ``BLOCK`` parts; a part has at most 64 words, and
-longer items have several, of which any may leak.  The benchmark is read by the
-driver, ``MAX_ITEMS`` rows at most.
+The corpus is read three times, twice for the space and once for a portion of
+``PORTION`` item parts; the driver reads the benchmark portion by portion.  A
+part has at most 64 words, and longer items have several, of which any may leak.
 
 Defined results: null or empty texts and items of fewer than ``LEAST_WORDS``
 words leak nothing; an item repeated in the benchmark is reported under each of
@@ -49,12 +50,13 @@ from filingflow.llm.store import Scratch
 from filingflow.llm.textblocks import LOWER, blocks, prefix_hash, span_hash, word_spans
 
 WINDOW, STRIDE = 64, 32
-TERMS, LEAST_SHARE, LEAST_WORDS = 12, 1 / 3, 5
-RANK, COSINE = 48, 0.35
-WHOLE, PARAPHRASE, OF_TERMS, OF_ANSWER = 0.8, 0.6, 0.6, 0.8
+VOCABULARY, FLOOR, LEAST_WORDS = 1 << 15, 3, 5
+RANK, MORE, COSINE = 48, 16, 0.5
+WHOLE, PARAPHRASE, OF_ANSWER, LEAST_PARAPHRASE = 0.8, 0.6, 0.8, 10
 EXTRA = 8
-BLOCK, MAX_ITEMS = 256, 50_000
-_PAIRS, _GROUPS = 1 << 14, 1 << 12
+PORTION = 4096
+#: Pairs checked at once; entries of a passages x items or groups x items matrix.
+_PAIRS, _CELLS = 1 << 14, 1 << 21
 
 # Words are runs of ASCII letters and digits and of bytes beyond ASCII.
 _GAP = np.ones(256, bool)
@@ -90,52 +92,40 @@ def parts_of(rows: list[tuple[int, str]]) -> list[Part]:
     return out
 
 
-class Block:
-    """Vocabulary, terms and bit masks of some parts."""
+class Items:
+    """Vocabulary, marks and bit masks of some parts."""
 
     def __init__(self, parts: list[Part]):
-        every = np.concatenate([p.h for p in parts])
-        self.vocabulary, code = np.unique(every, return_inverse=True)
+        self.vocabulary, code = np.unique(np.concatenate([p.h for p in parts]), return_inverse=True)
         self.first = np.zeros(1 << 16, bool)
         self.first[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
         size = np.zeros(len(self.vocabulary), np.int64)
         size[code] = np.concatenate([p.size for p in parts])
-        codes = np.split(code, np.cumsum([len(p.h) for p in parts])[:-1])
-        held = np.zeros(len(self.vocabulary), np.int64)
-        for c in codes:
-            held[np.unique(c)] += 1
-        self.items = [p.item_id for p in parts]
-        self.words = np.array([len(c) for c in codes])
-        self.mask = np.zeros((3, len(parts), len(self.vocabulary) + 1), np.uint64)  # words, terms, answer; the last column is for no word
-        self.of_part, marks, self.least_marks = [], [], []
-        for i, (p, c) in enumerate(zip(parts, codes)):
+        self.words = np.array([len(p.h) for p in parts])
+        self.items = np.array([p.item_id for p in parts], np.int64)
+        cuts = np.cumsum(self.words)
+        codes = np.split(code, cuts[:-1])
+        held = np.bincount(np.concatenate([np.unique(c) for c in codes]), minlength=len(self.vocabulary))
+        # places of every word of every part, as bits: all words, and those of the answer
+        bit = np.uint64(1) << np.concatenate([np.arange(len(c)) for c in codes]).astype(np.uint64)
+        answer = np.concatenate([p.answer for p in parts])
+        key = np.repeat(np.arange(len(parts)), self.words) * len(self.vocabulary) + code
+        order = np.argsort(key, kind="stable")
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.mask = np.stack([np.bitwise_or.reduceat(bit[order], first), np.bitwise_or.reduceat(np.where(answer, bit, np.uint64(0))[order], first)])
+        begin = cuts - self.words
+        self.every = np.stack([np.bitwise_or.reduceat(bit, begin), np.bitwise_or.reduceat(np.where(answer, bit, np.uint64(0)), begin)])
+        self.answers = np.bitwise_count(self.every[1]).astype(np.int64)
+        # the items of each mark, a word that WHOLE counts, and the places it has there
+        marks, self.least_marks = [], []
+        for i, c in enumerate(codes):
             kinds, times = np.unique(c, return_counts=True)
             rarest = np.lexsort((kinds, -size[kinds], held[kinds]))
-            terms = kinds[rarest][:TERMS]
-            self.of_part.append(np.sort(terms))
             absent = next(k for k in range(len(c), -1, -1) if (len(c) - k) / len(c) >= WHOLE)
             places = np.cumsum(times[rarest])
             enough = np.searchsorted(places, min(len(c), absent + EXTRA))
             marks += [(w, i, n) for w, n in zip(kinds[rarest][:enough + 1], times[rarest])]
             self.least_marks.append(places[enough] - absent)
-            for place, w in enumerate(c.tolist()):
-                bit = np.uint64(1 << place)
-                self.mask[0, i, w] |= bit
-                if w in terms:
-                    self.mask[1, i, w] |= bit
-                if p.answer[place]:
-                    self.mask[2, i, w] |= bit
-        self.bits = np.array([[int(np.bitwise_or.reduce(m)).bit_count() for m in kind] for kind in self.mask])
-        self.term = np.full(len(self.vocabulary), -1)
-        every_term = np.unique(np.concatenate(self.of_part))
-        self.term[every_term] = np.arange(len(every_term))
-        self.terms = len(every_term)
-        # the items of each term, one term's after the other's
-        pairs = sorted((self.term[w], i) for i, c in enumerate(self.of_part) for w in c)
-        self.holder = np.array([i for _, i in pairs])
-        self.holders = np.bincount([t for t, _ in pairs], minlength=self.terms)
-        self.least = np.array([-(-len(c) * LEAST_SHARE // 1) for c in self.of_part])
-        # the items of each mark, a word that WHOLE counts, and the places it has there
         self.mark = np.full(len(self.vocabulary), -1)
         every_mark = np.unique([w for w, _, _ in marks])
         self.mark[every_mark] = np.arange(len(every_mark))
@@ -144,248 +134,305 @@ class Block:
         self.marked, self.places = marks[:, 1], marks[:, 2]
         self.markers = np.bincount(marks[:, 0], minlength=self.marks)
 
-    def promising(self, window: np.ndarray, term: np.ndarray) -> np.ndarray:
-        """Windows, in order, that hold LEAST_SHARE of the terms of some item; (window, term) are distinct."""
-        first = np.cumsum(self.holders) - self.holders
-        n = self.holders[term]
-        pair = np.repeat(np.arange(len(term)), n)
-        item = self.holder[first[term][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)]
-        key, count = np.unique(window[pair] * len(self.items) + item, return_counts=True)
-        return np.unique(key[count >= self.least[key % len(self.items)]] // len(self.items))
-
     def near(self, group: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(group, item) where a group of words can hold WHOLE of an item; (group, mark) are distinct and in order."""
         first, parts, found = np.cumsum(self.markers) - self.markers, len(self.items), []
-        cuts = np.searchsorted(group, np.arange(0, group.max(initial=-1) + 1 + _GROUPS, _GROUPS))
+        step = max(16, _CELLS // parts)
+        cuts = np.searchsorted(group, np.arange(0, group.max(initial=-1) + 1 + step, step))
         for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
             m = mark[a:b]
             n = self.markers[m]
             pair = np.repeat(np.arange(a, b), n)
             entry = np.arange(len(pair)) + np.repeat(first[m] - np.cumsum(n) + n, n)
-            key = (group[pair] - number * _GROUPS) * parts + self.marked[entry]
-            there = np.bincount(key, self.places[entry], _GROUPS * parts).reshape(_GROUPS, parts)
+            key = (group[pair] - number * step) * parts + self.marked[entry]
+            there = np.bincount(key, self.places[entry], step * parts).reshape(step, parts)
             g, item = np.nonzero(there >= self.least_marks)
-            found.append((g + number * _GROUPS, item))
+            found.append((g + number * step, item))
         return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, int), np.zeros(0, int))
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Vocabulary numbers, -1 for other words."""
-        out = np.full(len(h), -1, np.int64)
-        maybe = np.flatnonzero(self.first[(h >> np.uint64(48)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), len(self.vocabulary) - 1)
-        hit = self.vocabulary[at] == h[maybe]
+        return _lookup(self.vocabulary, self.first, h)
+
+    def places_of(self, part: np.ndarray, region: np.ndarray) -> np.ndarray:
+        """Entries of ``mask`` for pairs x words, the last column's number + 1 for none."""
+        key = part[:, None] * len(self.vocabulary) + region
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((region >= 0) & (self.keys[at] == key), at, len(self.keys))
+
+    def common(self, kind: int, part: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of parts (kind 1: their answers) and regions."""
+        return common_subsequences(np.append(self.mask[kind], np.uint64(0))[at], self.every[kind][part])
+
+
+def common_subsequences(places: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Lengths for pairs of a sequence and a region: pairs x words, the bits where each word stands in the sequence; all its bits."""
+    v = np.full(len(places), ~np.uint64(0))
+    for m in places.T:
+        v = (v + (v & m)) | (v & ~m)
+    return np.bitwise_count(~v & every).astype(np.int64)
+
+
+def _lookup(vocabulary: np.ndarray, first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.full(len(h), -1, np.int64)
+    if len(vocabulary):
+        maybe = np.flatnonzero(first[(h >> np.uint64(48)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(vocabulary, h[maybe]), len(vocabulary) - 1)
+        hit = vocabulary[at] == h[maybe]
         out[maybe[hit]] = at[hit]
-        return out
+    return out
 
 
-def _passages(shipped):
-    def run(batches):
-        block = shipped.value
-        df, total = np.zeros(block.terms, np.int64), 0
-        for batch in batches:
-            for a, b, buf, offs in blocks(batch.column("text")):
-                h, _, owner = words_of(buf, offs)
-                n = np.bincount(owner, minlength=b - a)
-                first_word = np.cumsum(n) - n
-                windows = np.maximum(-(-n // STRIDE) - 1, np.minimum(n, 1))
-                base = np.cumsum(windows) - windows
-                total += int(windows.sum())
-                word = block.lookup(h)
-                at = np.flatnonzero(word >= 0)
-                word = word[at]
-                term = block.term[word]
-                t = np.flatnonzero(term >= 0)
-                step = (at[t] - first_word[owner[at[t]]]) // STRIDE
-                key = []
-                for k in (step - 1, step):  # the windows that hold the word
-                    ok = (k >= 0) & (k < windows[owner[at[t]]])
-                    key.append(((base[owner[at[t]]] + k) * block.terms + term[t])[ok])
-                key, tf = np.unique(np.concatenate(key), return_counts=True)
-                window, term_ = key // block.terms, key % block.terms
-                df += np.bincount(term_, minlength=block.terms)
-                held = np.bincount(window, minlength=int(windows.sum()))
-                # two windows with the words around them are a group: steps 2 j - 2 to 2 j + 4
-                mark = block.mark[word]
-                m = np.flatnonzero(mark >= 0)
-                own = owner[at[m]]
-                step = (at[m] - first_word[own]) // STRIDE
-                groups = (windows + 1) // 2
-                group_base = np.cumsum(groups) - groups
-                key = []
-                for j in range(4):
-                    j = (step + 2) // 2 - j
-                    ok = (j >= 0) & (j < groups[own]) & (step <= 2 * j + 4)
-                    key.append(((group_base[own] + j) * block.marks + mark[m])[ok])
-                key = np.unique(np.concatenate(key))
-                group, item = block.near(key // block.marks, key % block.marks)
-                doc = np.searchsorted(group_base + groups, group, "right")
-                near = base[doc] + 2 * (group - group_base[doc])
-                second = near + 1 < (base + windows)[doc]
-                near, item = np.append(near, near[second] + 1), np.append(item, item[second])
-                chosen = np.union1d(block.promising(window, term_), near)
-                if not len(chosen):
-                    continue
-                order = np.argsort(near, kind="stable")
-                near_cuts = np.searchsorted(near[order], np.append(chosen, chosen[-1] + 1))
-                use = np.zeros(len(held), bool)
-                use[chosen] = True
-                keep = use[window]
-                doc = np.searchsorted(base + windows, chosen, "right")
-                start = (chosen - base[doc]) * STRIDE
-                low = first_word[doc] + np.maximum(start - STRIDE * 2, 0)
-                high = first_word[doc] + np.minimum(start + WINDOW + STRIDE * 2, n[doc])
-                lo, hi = np.searchsorted(at, low), np.searchsorted(at, high)
-                size = hi - lo
-                cuts = np.concatenate([[0], np.cumsum(size)])
-                region = word[np.arange(cuts[-1]) - np.repeat(cuts[:-1] - lo, size)]
-                term_cuts = pa.array(np.concatenate([[0], np.cumsum(held[chosen])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(a + doc)), pa.ListArray.from_arrays(term_cuts, pa.array(term_[keep], pa.int32())),
-                                                  pa.ListArray.from_arrays(term_cuts, pa.array(tf[keep], pa.int64())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(region, pa.int32())),
-                                                  pa.ListArray.from_arrays(pa.array(near_cuts, pa.int32()), pa.array(item[order], pa.int32())), pa.nulls(len(chosen), pa.int64())],
-                                                 ["id", "terms", "tf", "region", "near", "windows"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([np.flatnonzero(df)], pa.list_(pa.int32())), pa.array([df[df > 0]], pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())), pa.array([total], pa.int64())],
-                                         ["id", "terms", "tf", "region", "near", "windows"])
-    return run
+class _Layout:
+    """Words of a block of texts with their halves (STRIDE words) and passages (a half and the next)."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+        self.h, _, self.owner = words_of(buf, offs)
+        self.n = np.bincount(self.owner, minlength=len(offs) - 1)
+        self.first = np.cumsum(self.n) - self.n
+        self.step = (np.arange(len(self.h)) - self.first[self.owner]) // STRIDE
+        self.halves = -(-self.n // STRIDE)
+        self.half_base = np.cumsum(self.halves) - self.halves
+        self.half = self.half_base[self.owner] + self.step
+        self.windows = np.maximum(self.halves - 1, np.minimum(self.n, 1))
+        self.base = np.cumsum(self.windows) - self.windows
+        self.total = int(self.windows.sum())
+        self.text = np.repeat(np.arange(len(self.n)), self.windows)  # of each passage
+        self.left = np.arange(self.total) - np.repeat(self.base - self.half_base, self.windows)  # its first half
+        self.two = np.repeat(self.halves > 1, self.windows)
+
+    def passages(self, of_halves: np.ndarray) -> np.ndarray:
+        out = of_halves[self.left]
+        out[self.two] += of_halves[self.left[self.two] + 1]
+        return out
+
+    def back(self, of_passages: np.ndarray) -> np.ndarray:
+        """For each half, the sum over the passages it is in."""
+        out = np.zeros((int(self.halves.sum()), of_passages.shape[1]), of_passages.dtype)
+        out[self.left] += of_passages
+        out[self.left[self.two] + 1] += of_passages[self.two]
+        return out
 
+    def half_sums(self, word: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sums by half of ``rows``, one for each of the words numbered ``word`` (ascending)."""
+        out = np.zeros((int(self.halves.sum()), rows.shape[1]), rows.dtype)
+        if len(word):
+            half = self.half[word]
+            cut = np.flatnonzero(np.append(True, half[1:] != half[:-1]))
+            out[half[cut]] = np.add.reduceat(rows, cut)
+        return out
 
-def _rows(batch, idf: np.ndarray):
-    """(weights, terms, first entry, number) of the passages of a batch that hold a term."""
-    terms = batch.column("terms")
-    t = terms.flatten().to_numpy()
-    tf = batch.column("tf").flatten().to_numpy()
-    size = terms.value_lengths().to_numpy()
-    some = np.flatnonzero(size)
-    return ((1 + np.log(tf)) * idf[t]).astype(np.float32), t, (np.cumsum(size) - size)[some], some
 
+class Space:
+    """Terms with their weights, and what each adds to a passage's coordinates."""
 
-def _sketch(shipped, terms: int):
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray):
+        self.vocabulary, self.idf, self.coordinates = vocabulary, idf.astype(np.float32), np.zeros((len(vocabulary), 0), np.float32)
+        self.first = np.zeros(1 << 16, bool)
+        self.first[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
+
+    def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, terms) of the words that are terms."""
+        t = _lookup(self.vocabulary, self.first, h)
+        word = np.flatnonzero(t >= 0)
+        return word, t[word]
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """The coordinates, of length 1, of a passage with these words."""
+        z = self.coordinates[self.terms(h)[1]].sum(0)
+        return z / max(np.linalg.norm(z), 1e-12)
+
+
+def _counts(batches):
+    """(word hash, passage halves that hold it); null and the halves in all."""
+    total = 0
+    for batch in batches:
+        for _, _, buf, offs in blocks(batch.column("text")):
+            lay = _Layout(buf, offs)
+            total += int(lay.halves.sum())
+            order = np.argsort(lay.h, kind="stable")
+            h, half = lay.h[order], lay.half[order]
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, int)
+            fresh = np.append(True, (h[1:] != h[:-1]) | (half[1:] != half[:-1]))[:len(h)]
+            n = np.add.reduceat(fresh.astype(np.int64), start) if len(h) else start
+            yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], ["h", "n"])
+
+
+def _sketch(shipped):
     def run(batches):
-        idf, omega = shipped.value
-        g = np.zeros((terms, omega.shape[1]))
-        for whole in batches:
-            for at in range(0, len(whole), 4096):
-                batch = whole.slice(at, 4096)
-                w, t, first, _ = _rows(batch, idf)
-                if not len(t):
+        space, omega = shipped.value
+        weighted = space.idf[:, None] * omega
+        g = np.zeros(omega.shape)
+        for batch in batches:
+            for _, _, buf, offs in blocks(batch.column("text")):
+                lay = _Layout(buf, offs)
+                word, t = space.terms(lay.h)
+                if not len(word):
                     continue
-                y = np.add.reduceat(w[:, None] * omega[t], first)
-                size = np.diff(np.append(first, len(t)))
-                back = w[:, None] * np.repeat(y, size, 0)
+                y = lay.back(lay.passages(lay.half_sums(word, weighted[t])))
                 order = np.argsort(t, kind="stable")
-                cut = np.flatnonzero(np.append(True, t[order][1:] != t[order][:-1]))
-                g[t[order][cut]] += np.add.reduceat(back[order], cut)
+                t = t[order]
+                cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+                g[t[cut]] += space.idf[t[cut], None] * np.add.reduceat(y[lay.half[word[order]]], cut)
         some = np.flatnonzero(g.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(g[some]), pa.list_(pa.float64()))], ["term", "g"])
+        if len(some):
+            cuts = pa.array(np.arange(len(some) + 1) * g.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(g[some].astype(np.float32).ravel()))], ["term", "g"])
     return run
 
 
-def latent_space(g: np.ndarray, omega: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """terms x dimensions, orthonormal: leading right singular vectors, then what the items add."""
+def leading(g: np.ndarray, omega: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(terms x rank, singular values): leading right singular vectors of A from G = A'A O."""
     core = omega.T @ g
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     ok = values > 1e-9 * max(values.max(initial=0), 1e-300)
     v, s, _ = np.linalg.svd(g @ (vectors[:, ok] / np.sqrt(values[ok])), full_matrices=False)
-    v = v[:, s > 1e-6 * s.max(initial=0)] if len(s) else v
-    rest = items - (items @ v) @ v.T
-    _, s, more = np.linalg.svd(rest, full_matrices=False)
-    return np.hstack([v, more[s > 1e-6].T])
-
-
-def common_subsequences(mask: np.ndarray, part: np.ndarray, region: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of parts and regions (pairs x words, -1 for none)."""
-    v = np.full(len(part), ~np.uint64(0))
-    for j in range(region.shape[1]):
-        m = mask[part, region[:, j]]
-        v = (v + (v & m)) | (v & ~m)
-    return np.bitwise_count(~v & np.bitwise_or.reduce(mask, 1)[part])
+    ok = s > 1e-5 * s.max(initial=0)
+    return v[:, ok][:, :rank], s[ok][:rank]
+
+
+def fit(texts: DataFrame, scratch: Scratch) -> Space:
+    """The latent space of all passages; the driver gets ``VOCABULARY`` terms and as many rows of the sketch."""
+    spark = texts.sparkSession
+    counts = scratch.put(texts.select("text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "terms")
+    total = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
+    top = counts.where(F.col("h").isNotNull() & (F.col("n") >= FLOOR)).orderBy(F.desc("n"), "h").limit(VOCABULARY).toArrow()
+    h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(h)
+    space = Space(h[order], np.log((1 + total) / (1 + n[order])) + 1e-3)
+    if not len(h):
+        return space
+    omega = np.random.default_rng(11).normal(size=(len(h), min(RANK + MORE, len(h)))).astype(np.float32)
+    sketch = texts.select("text").mapInArrow(_sketch(spark.sparkContext.broadcast((space, omega))), "term int, g array<float>")
+    sums = sketch.groupBy("term").agg(F.array(*(F.sum(F.col("g")[i]) for i in range(omega.shape[1]))).alias("g")).toArrow()
+    g = np.zeros(omega.shape)
+    g[sums["term"].to_numpy()] = sums["g"].combine_chunks().flatten().to_numpy().reshape(-1, omega.shape[1])
+    vectors, size = leading(g, omega.astype(float), RANK)
+    space.coordinates = (space.idf[:, None] * vectors / size).astype(np.float32)
+    return space
 
 
 def _leaks(shipped):
     def run(batches):
-        block, idf, space, items = shipped.value
-        for whole in batches:
-            for at in range(0, len(whole), 4096):
-                batch = whole.slice(at, 4096)
-                if not len(batch):
-                    continue
-                w, t, first, some = _rows(batch, idf)
-                z = np.zeros((len(batch), space.shape[1]), np.float32)
-                if len(t):
-                    z[some] = np.add.reduceat(w[:, None] * space[t], first)
-                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-                cosine = z @ items.T
-                row, part = np.nonzero(cosine >= COSINE)
-                regions = batch.column("region")
-                size = regions.value_lengths().to_numpy()
-                flat, begin = regions.flatten().to_numpy(), np.cumsum(size) - size
-                padded = np.full((len(batch), max(1, size.max(initial=1))), -1)
-                padded[np.repeat(np.arange(len(batch)), size), np.arange(len(flat)) - np.repeat(begin, size)] = flat
-                found = []
-                for i in range(0, len(row), _PAIRS):
-                    r, p = row[i:i + _PAIRS], part[i:i + _PAIRS]
-                    of_terms = common_subsequences(block.mask[1], p, padded[r]) / np.maximum(block.bits[1][p], 1)
-                    held = of_terms >= OF_TERMS
-                    r, p = r[held], p[held]
-                    whole_ = common_subsequences(block.mask[0], p, padded[r]) / block.words[p]
-                    answer = common_subsequences(block.mask[2], p, padded[r]) / np.maximum(block.bits[2][p], 1)
-                    leak = (whole_ >= WHOLE) | (whole_ >= PARAPHRASE) & (answer >= OF_ANSWER)
-                    found.append((r[leak], p[leak], whole_[leak], answer[leak]))
-                near = batch.column("near")
-                row, part = np.repeat(np.arange(len(batch)), near.value_lengths().to_numpy()), near.flatten().to_numpy()
-                for i in range(0, len(row), _PAIRS):
-                    r, p = row[i:i + _PAIRS], part[i:i + _PAIRS]
-                    whole_ = common_subsequences(block.mask[0], p, padded[r]) / block.words[p]
-                    leak = whole_ >= WHOLE
-                    r, p, whole_ = r[leak], p[leak], whole_[leak]
-                    found.append((r, p, whole_, common_subsequences(block.mask[2], p, padded[r]) / np.maximum(block.bits[2][p], 1)))
+        items, space, z_items, least = shipped.value
+        for batch in batches:
+            for a, _, buf, offs in blocks(batch.column("text")):
+                lay = _Layout(buf, offs)
+                found = _leaks_of(lay, items, space, z_items, least)
                 if found:
-                    r, p, whole_, answer = map(np.concatenate, zip(*found))
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(r)), pa.array(np.array(block.items, np.int64)[p]), pa.array(cosine[r, p].astype(float)), pa.array(whole_), pa.array(answer)],
+                    passage, part, cosine, whole, answer = map(np.concatenate, zip(*found))
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(a + lay.text[passage])), pa.array(items.items[part]), pa.array(cosine.astype(float)), pa.array(whole), pa.array(answer)],
                                                      ["id", "item_id", "cosine", "words_found", "answer_found"])
     return run
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _leaks_of(lay: _Layout, items: Items, space: Space, z_items: np.ndarray, least: float) -> list[tuple]:
+    """(passage, part, cosine, words found, answer found) of a block's leaks."""
+    word, t = space.terms(lay.h)
+    z = lay.passages(lay.half_sums(word, space.coordinates[t]))
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    number = items.lookup(lay.h)  # among the items' words
+    start = lay.first[lay.text] + (lay.left - lay.half_base[lay.text]) * STRIDE
+    end = (lay.first + lay.n)[lay.text]
+    found = []
+    step = max(16, _CELLS // len(items.items))
+    for low in range(0, lay.total, step):
+        row, part = np.nonzero(z[low:low + step] @ z_items.T >= least)
+        able = items.words[part] >= LEAST_PARAPHRASE
+        found += _paraphrases(row[able] + low, part[able], number, start, lay.first[lay.text], end, items)
+    passage, part = _near_passages(lay, number, items)
+    at = np.flatnonzero(number >= 0)  # other words match nothing
+    for k in range(0, len(passage), _PAIRS):
+        r, p = passage[k:k + _PAIRS], part[k:k + _PAIRS]
+        lo = np.searchsorted(at, np.maximum(start[r] - STRIDE * 2, lay.first[lay.text[r]]))
+        hi = np.searchsorted(at, np.minimum(start[r] + WINDOW + STRIDE * 2, end[r]))
+        index = lo[:, None] + np.arange(max(1, (hi - lo).max(initial=0)))
+        region = np.where(index < hi[:, None], number[at[np.minimum(index, len(at) - 1)]], -1) if len(at) else np.full(index.shape, -1)
+        places = items.places_of(p, region)
+        whole = items.common(0, p, places) / items.words[p]
+        leak = whole >= WHOLE
+        found.append((r[leak], p[leak], whole[leak], items.common(1, p[leak], places[leak]) / np.maximum(items.answers[p[leak]], 1)))
+    return [(r, p, (z[r] * z_items[p]).sum(1), whole, answer) for r, p, whole, answer in found if len(r)]
+
+
+def _paraphrases(passage, part, number, start, first, end, items: Items) -> list[tuple]:
+    """Candidates of which a run of twice the part's words holds enough of it in order."""
+    out = []
+    for k in range(0, len(passage), 1024):
+        r, p = passage[k:k + 1024], part[k:k + 1024]
+        n = items.words[p]
+        low, high = np.maximum(first[r], start[r] - n), np.minimum(end[r], start[r] + WINDOW + n)
+        move = np.maximum(1, n // 2)
+        runs = np.maximum(1, -(-(high - low - 2 * n) // move) + 1)
+        pair = np.repeat(np.arange(len(r)), runs)
+        begin = low[pair] + (np.arange(len(pair)) - np.repeat(np.cumsum(runs) - runs, runs)) * move[pair]
+        index = begin[:, None] + np.arange(2 * n.max())
+        inside = index < np.minimum(begin + 2 * n[pair], high[pair])[:, None]
+        places = items.places_of(p[pair], np.where(inside, number[np.minimum(index, len(number) - 1)], -1))
+        some = np.flatnonzero((places < len(items.keys)).sum(1) >= PARAPHRASE * n[pair])  # a bound of what is in order
+        pair, places = pair[some], places[some]
+        whole = items.common(0, p[pair], places) / n[pair]
+        answer = items.common(1, p[pair], places) / np.maximum(items.answers[p[pair]], 1)
+        leak = (whole >= PARAPHRASE) & (answer >= OF_ANSWER)
+        out.append((r[pair[leak]], p[pair[leak]], whole[leak], answer[leak]))
+    return out
+
+
+def _near_passages(lay: _Layout, number: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, part) that can hold WHOLE of the part."""
+    at = np.flatnonzero(number >= 0)
+    mark = items.mark[number[at]]
+    m = np.flatnonzero(mark >= 0)
+    own, step = lay.owner[at[m]], lay.step[at[m]]
+    # two passages with the words around them are a group: steps 2 j - 2 to 2 j + 4
+    groups = (lay.windows + 1) // 2
+    group_base = np.cumsum(groups) - groups
+    key = []
+    for j in range(4):
+        j = (step + 2) // 2 - j
+        ok = (j >= 0) & (j < groups[own]) & (step <= 2 * j + 4)
+        key.append(((group_base[own] + j) * items.marks + mark[m])[ok])
+    key = np.unique(np.concatenate(key))
+    group, part = items.near(key // items.marks, key % items.marks)
+    doc = np.searchsorted(group_base + groups, group, "right")
+    near = lay.base[doc] + 2 * (group - group_base[doc])
+    second = near + 1 < (lay.base + lay.windows)[doc]
+    return np.append(near, near[second] + 1), np.append(part, part[second])
+
+
+def _portions(benchmark: DataFrame):
+    """Parts of the benchmark, at most about PORTION at a time."""
+    parts = []
+    for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator():
+        parts += parts_of([(r.item_id, r.text)])
+        if len(parts) >= PORTION:
+            yield sorted(parts, key=lambda p: p.item_id)
+            parts = []
+    if parts:
+        yield sorted(parts, key=lambda p: p.item_id)
+
+
+def leaks(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, cosine: float = COSINE) -> DataFrame:
     """(id, item_id, cosine, words_found, answer_found) for every document and item it leaks, of the passage with most words."""
     spark = df.sparkSession
     schema = "id long, item_id long, cosine double, words_found double, answer_found double"
-    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"the benchmark has more than {MAX_ITEMS} items: check it in portions")
-    parts = parts_of(sorted({(r.item_id, r.text) for r in rows}))
-    scratch, found, done = Scratch(spark, "leaks"), None, []
+    scratch, tables, space = Scratch(spark, "leaks"), [], None
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    for number, at in enumerate(range(0, len(parts), BLOCK)):
-        block = Block(parts[at:at + BLOCK])
-        shipped = spark.sparkContext.broadcast(block)  # at most BLOCK * 64 words
-        stored = scratch.put(texts.mapInArrow(_passages(shipped), "id long, terms array<int>, tf array<long>, region array<int>, near array<int>, windows long"), f"passages{number}")
-        passages, sums = stored.where("windows is null").drop("windows"), stored.where("windows is not null")
-        total = sums.agg(F.sum("windows")).first()[0] or 0
-        df_ = np.zeros(block.terms)
-        for r in sums.select(F.explode(F.arrays_zip("terms", "tf")).alias("x")).groupBy(F.col("x.terms").alias("t")).agg(F.sum("x.tf").alias("n")).collect():
-            df_[r.t] = r.n
-        idf = np.log((1 + total) / (1 + df_)) + 1e-3
-        omega = np.random.default_rng(11).normal(size=(block.terms, min(RANK, block.terms))).astype(np.float32)
-        columns = omega.shape[1]
-        sketch = passages.mapInArrow(_sketch(spark.sparkContext.broadcast((idf, omega)), block.terms), "term int, g array<double>")
-        g = np.zeros((block.terms, columns))
-        for r in sketch.groupBy("term").agg(*(F.sum(F.col("g")[i]).alias(f"g{i}") for i in range(columns))).collect():  # at most BLOCK * TERMS rows
-            g[r.term] = r[1:]
-        items = np.zeros((len(block.items), block.terms))
-        for i, terms in enumerate(block.of_part):
-            items[i, block.term[terms]] = idf[block.term[terms]]
-        items /= np.linalg.norm(items, axis=1, keepdims=True)
-        space = latent_space(g, omega.astype(float), items)
-        z = items @ space
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-        model = spark.sparkContext.broadcast((block, idf, space.astype(np.float32), z.astype(np.float32)))
-        one = passages.mapInArrow(_leaks(model), schema)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    for number, parts in enumerate(_portions(benchmark)):
+        space = space or fit(texts, scratch)
+        items = Items(parts)  # at most 64 words a part
+        z = np.array([space.place(p.h) for p in parts], np.float32)
+        found = texts.mapInArrow(_leaks(spark.sparkContext.broadcast((items, space, z, cosine))), schema)
+        tables.append(scratch.put(found, f"portion{number}"))
+    if not tables:
         return spark.createDataFrame([], schema.replace("id long", f"{id_col} long", 1))
-    best = found.groupBy("id", "item_id").agg(F.max(F.struct("words_found", "answer_found", "cosine")).alias("b"))
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    best = every.groupBy("id", "item_id").agg(F.max(F.struct("words_found", "answer_found", "cosine")).alias("b"))
     out = scratch.put(best.select(F.col("id").alias(id_col), "item_id", "b.cosine", "b.words_found", "b.answer_found"), "out")
-    scratch.drop(*(k for k in scratch.paths if k.startswith("passages")))
+    scratch.drop(*(k for k in scratch.paths if k != "out"))
     return out
 
 

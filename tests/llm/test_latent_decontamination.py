@@ -54,7 +54,7 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     bench = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(20))) for i in range(7)]
     docs = spark.createDataFrame([(i, "x y z " * 20 + t + " u v" * 30, "a") for i, t in bench], "doc_id long, text string, item_id string")
     b = spark.createDataFrame(bench, "item_id long, text string")
-    monkeypatch.setattr(ld, "BLOCK", 3)
+    monkeypatch.setattr(ld, "PORTION", 3)
     assert {(r.doc_id, r.item_id) for r in ld.leaks(docs, b, "doc_id", "text").collect()} == {(i, i) for i in range(7)}
     assert ld.leaks(docs, b.limit(0), "doc_id", "text").count() == 0
     assert ld.leaks(docs.limit(0), b, "doc_id", "text").count() == 0
@@ -71,18 +71,85 @@ def test_common_subsequences_equal_the_table():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
-        assert ld.common_subsequences(mask, np.zeros(1, int), b[None])[0] == table[-1, -1]
+        assert ld.common_subsequences(mask[:, b], np.bitwise_or.reduce(mask, 1))[0] == table[-1, -1]
 
 
 def test_sketch_finds_the_singular_vectors():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 60))
     omega = rng.normal(size=(60, 12))
-    space = ld.latent_space(a.T @ (a @ omega), omega, np.zeros((1, 60)))
-    assert space.shape[1] == 5 and np.allclose(a @ space @ space.T, a, atol=1e-6)
-    item = rng.normal(size=(1, 60))
-    space = ld.latent_space(a.T @ (a @ omega), omega, item)
-    assert np.allclose(item @ space @ space.T, item) and np.allclose(space.T @ space, np.eye(6), atol=1e-6)
+    v, size = ld.leading(a.T @ (a @ omega), omega, 48)
+    assert v.shape[1] == 5 and np.allclose(a @ v @ v.T, a, atol=1e-6) and np.allclose(size, np.linalg.svd(a)[1][:5])
+    v, size = ld.leading(a.T @ (a @ omega), omega, 3)
+    assert np.allclose(np.abs(v.T @ np.linalg.svd(a)[2][:3].T), np.eye(3), atol=1e-6)
+
+
+def test_passages_and_sketch_equal_brute_force():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(n)) for n in (0, 1, 31, 32, 33, 64, 65, 200)]
+    data = [t.encode() for t in texts]
+    buf, offs = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data])
+    lay = ld._Layout(buf, offs)
+    vocabulary = np.unique(lay.h)[::2]
+    space = ld.Space(vocabulary, np.arange(1.0, len(vocabulary) + 1))
+    a, of = [], []
+    for t, d in zip(texts, data):
+        h = ld.words_of(np.frombuffer(d, np.uint8), np.array([0, len(d)]))[0]
+        for k in range(max(-(-len(h) // 32) - 1, min(len(h), 1))):
+            a.append([(h[32 * k:32 * k + 64] == x).sum() * w for x, w in zip(vocabulary, space.idf)])
+            of.append(t)
+    a = np.array(a, float)
+    word, t = space.terms(lay.h)
+    weighted = space.idf[:, None] * np.eye(len(vocabulary), dtype=np.float32)
+    assert np.allclose(lay.passages(lay.half_sums(word, weighted[t])), a) and [texts[i] for i in lay.text] == of
+    omega = np.random.default_rng(2).normal(size=(len(vocabulary), 3)).astype(np.float32)
+
+    class Shipped:
+        value = space, omega
+
+    import pyarrow as pa
+    (out,) = ld._sketch(Shipped)([pa.record_batch({"text": texts})])
+    assert np.allclose(np.array(out["g"].to_pylist()), a.T @ (a @ omega), rtol=1e-4) and out["term"].to_pylist() == list(range(len(vocabulary)))
+    counts = {h: n for b in ld._counts([pa.record_batch({"text": texts})]) for h, n in zip(b["h"].to_pylist(), b["n"].to_pylist())}
+    assert counts.pop(None) == len(np.unique(lay.half)) and counts == {int(h.view(np.int64)): len(set(lay.half[lay.h == h])) for h in np.unique(lay.h)}
+
+
+def _synonyms(rng):
+    """A corpus of topics, whose words come in pairs used alike, and items with paraphrases that use the other word."""
+    glue = [f"c{i}" for i in range(40)]
+    pairs = {t: [(f"t{t}a{k}", f"t{t}b{k}") for k in range(14)] for t in range(24)}
+
+    def text(t, n):
+        return [rng.choice(rng.choice(pairs[t])) if rng.random() < 0.5 else rng.choice(glue) for _ in range(n)]
+
+    docs = [(1000 + i, " ".join(text(i % 24, 300))) for i in range(600)]
+    bench, want, decoys = [], set(), set()
+    for i in range(48):
+        topic = pairs[i % 24]
+        rare = rng.sample(topic, 12)
+        slots = sorted(rng.sample(range(32), 12))
+        item, other = [rng.choice(glue) for _ in range(32)], None
+        for slot, (a, _) in zip(slots, rare):
+            item[slot] = a
+        other = list(item)
+        for slot, (_, b) in rng.sample(list(zip(slots, rare)), 9):  # three of twelve stay: a quarter
+            other[slot] = b
+        answer = [rng.choice(glue) for _ in range(4)]
+        bench.append((i, " ".join(item) + ". Answer: " + " ".join(answer)))
+        docs.append((i, " ".join(text(i % 24, 90) + other + answer + text(i % 24, 70))))
+        want.add((i, i))
+        docs.append((100 + i, " ".join(text(i % 24, 90) + rng.sample(other, len(other)) + text(i % 24, 70))))  # the words without their order
+        decoys.add(100 + i)
+    return docs, bench, want, decoys
+
+
+def test_paraphrases_are_found_through_the_space_only(spark):
+    docs, bench, want, decoys = _synonyms(random.Random(4))
+    df, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in ld.leaks(df, b, "doc_id", "text").collect()}
+    assert len(want & got) >= 0.9 * len(want) and not {d for d, _ in got} & decoys and len(got - want) <= 2
+    # without candidates by cosine only the near copies by chance are left
+    assert ld.leaks(df, b, "doc_id", "text", cosine=2.0).count() <= 0.05 * len(want)
 
 
 def test_near_copies_without_the_rarest_words(spark):
@@ -126,8 +193,7 @@ def test_all_windows_with_most_words_in_order_are_found(spark):
         data = docs[-1][1].encode()
         h = [code.get(x, -1) for x in ld.words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist()]
         for k in range(max(-(-len(h) // 32) - 1, 1)):
-            region = np.array(h[max(0, 32 * k - 64):32 * k + 128])[None].repeat(len(parts), 0)
-            found = ld.common_subsequences(mask, np.arange(len(parts)), region) / [len(p.h) for p in parts]
+            found = ld.common_subsequences(mask[:, h[max(0, 32 * k - 64):32 * k + 128]], np.bitwise_or.reduce(mask, 1)) / [len(p.h) for p in parts]
             want |= {(d, p.item_id) for p, x in zip(parts, found) if x >= ld.WHOLE}
     got = ld.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), "doc_id", "text").collect()
     assert len(want) > 30 and want == {(r.doc_id, r.item_id) for r in got if r.words_found >= ld.WHOLE}
