@@ -2,15 +2,17 @@
 
 Passages are windows of ``WINDOW`` words, every ``STRIDE`` words, over whole
 texts.  Their TF-IDF matrix A has the ``VOCABULARY`` terms that most passage
-halves hold, ``FLOOR`` at least; the weights count the halves of the whole
-corpus.
+halves hold, ``FLOOR`` at least and ``CEILING`` of all at most, as the commonest
+words tell languages apart and no more; the weights count the halves of the
+whole corpus.
 
 The randomised SVD is a Nystroem sketch: tasks add up G = A'(A O) over all
 passages for a Gaussian O of ``RANK + MORE`` columns, and the driver takes the
 ``RANK`` leading right singular vectors from the small G and O'G.  Coordinates
-are divided by the singular values, so that the direction all passages share
-weighs no more than others.  Words of the same contexts are near in that space,
-whether or not an item has them.
+are divided by the singular values, and what all items share, their language
+above all, is taken from passages and items alike, as it tells none apart.
+Words of the same contexts are near in that space, whether or not an item has
+them.
 
 Every passage is compared with every item there; a cosine of ``COSINE`` makes a
 candidate.  Candidates are checked by longest common subsequences, bit-parallel
@@ -50,13 +52,13 @@ from filingflow.llm.store import Scratch
 from filingflow.llm.textblocks import LOWER, blocks, prefix_hash, span_hash, word_spans
 
 WINDOW, STRIDE = 64, 32
-VOCABULARY, FLOOR, LEAST_WORDS = 1 << 15, 3, 5
-RANK, MORE, COSINE = 48, 16, 0.5
+VOCABULARY, FLOOR, CEILING, LEAST_WORDS = 1 << 15, 3, 0.05, 5
+RANK, MORE, COSINE = 32, 16, 0.6
 WHOLE, PARAPHRASE, OF_ANSWER, LEAST_PARAPHRASE = 0.8, 0.6, 0.8, 10
 EXTRA = 8
 PORTION = 4096
 #: Pairs checked at once; entries of a passages x items or groups x items matrix.
-_PAIRS, _CELLS = 1 << 14, 1 << 21
+_PAIRS, _CELLS, _TABLE = 1 << 14, 1 << 21, 1 << 24
 
 # Words are runs of ASCII letters and digits and of bytes beyond ASCII.
 _GAP = np.ones(256, bool)
@@ -116,6 +118,10 @@ class Items:
         begin = cuts - self.words
         self.every = np.stack([np.bitwise_or.reduceat(bit, begin), np.bitwise_or.reduceat(np.where(answer, bit, np.uint64(0)), begin)])
         self.answers = np.bitwise_count(self.every[1]).astype(np.int64)
+        self.table = None
+        if len(parts) * (len(self.vocabulary) + 1) <= _TABLE:  # the same as the search for keys, at once
+            self.table = np.full(len(parts) * (len(self.vocabulary) + 1), len(self.keys), np.int32)
+            self.table[self.keys // len(self.vocabulary) * (len(self.vocabulary) + 1) + self.keys % len(self.vocabulary)] = np.arange(len(self.keys))
         # the items of each mark, a word that WHOLE counts, and the places it has there
         marks, self.least_marks = [], []
         for i, c in enumerate(codes):
@@ -155,7 +161,9 @@ class Items:
         return _lookup(self.vocabulary, self.first, h)
 
     def places_of(self, part: np.ndarray, region: np.ndarray) -> np.ndarray:
-        """Entries of ``mask`` for pairs x words, the last column's number + 1 for none."""
+        """Columns of ``mask`` for pairs x words (-1 for none); where a word isn't in the part, the number of columns."""
+        if self.table is not None:  # region -1 is the column after the vocabulary
+            return self.table[(part * (len(self.vocabulary) + 1))[:, None] + np.where(region < 0, len(self.vocabulary), region)]
         key = part[:, None] * len(self.vocabulary) + region
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((region >= 0) & (self.keys[at] == key), at, len(self.keys))
@@ -228,6 +236,7 @@ class Space:
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray):
         self.vocabulary, self.idf, self.coordinates = vocabulary, idf.astype(np.float32), np.zeros((len(vocabulary), 0), np.float32)
+        self.shared = np.zeros(0, np.float32)
         self.first = np.zeros(1 << 16, bool)
         self.first[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
 
@@ -237,10 +246,22 @@ class Space:
         word = np.flatnonzero(t >= 0)
         return word, t[word]
 
-    def place(self, h: np.ndarray) -> np.ndarray:
-        """The coordinates, of length 1, of a passage with these words."""
-        z = self.coordinates[self.terms(h)[1]].sum(0)
-        return z / max(np.linalg.norm(z), 1e-12)
+    def sums(self, parts: list[Part]) -> np.ndarray:
+        """Coordinates of items, not yet in place."""
+        return np.array([self.coordinates[self.terms(p.h)[1]].sum(0) for p in parts], np.float32)
+
+    def share(self, z: np.ndarray) -> None:
+        """Take the mean direction of these items for what all items share."""
+        self.shared = _unit(z).mean(0)
+
+    def place(self, z: np.ndarray) -> np.ndarray:
+        """Rows of length 1, without what all items share; a row of zeros stays."""
+        some = z.any(1)[:, None]
+        return np.where(some, _unit(_unit(z) - self.shared), 0)
+
+
+def _unit(z: np.ndarray) -> np.ndarray:
+    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
 
 def _counts(batches):
@@ -297,7 +318,7 @@ def fit(texts: DataFrame, scratch: Scratch) -> Space:
     spark = texts.sparkSession
     counts = scratch.put(texts.select("text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "terms")
     total = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
-    top = counts.where(F.col("h").isNotNull() & (F.col("n") >= FLOOR)).orderBy(F.desc("n"), "h").limit(VOCABULARY).toArrow()
+    top = counts.where(F.col("h").isNotNull() & (F.col("n") >= FLOOR) & (F.col("n") <= max(FLOOR, CEILING * total))).orderBy(F.desc("n"), "h").limit(VOCABULARY).toArrow()
     h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(h)
     space = Space(h[order], np.log((1 + total) / (1 + n[order])) + 1e-3)
@@ -330,8 +351,7 @@ def _leaks(shipped):
 def _leaks_of(lay: _Layout, items: Items, space: Space, z_items: np.ndarray, least: float) -> list[tuple]:
     """(passage, part, cosine, words found, answer found) of a block's leaks."""
     word, t = space.terms(lay.h)
-    z = lay.passages(lay.half_sums(word, space.coordinates[t]))
-    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    z = space.place(lay.passages(lay.half_sums(word, space.coordinates[t])))
     number = items.lookup(lay.h)  # among the items' words
     start = lay.first[lay.text] + (lay.left - lay.half_base[lay.text]) * STRIDE
     end = (lay.first + lay.n)[lay.text]
@@ -356,21 +376,33 @@ def _leaks_of(lay: _Layout, items: Items, space: Space, z_items: np.ndarray, lea
     return [(r, p, (z[r] * z_items[p]).sum(1), whole, answer) for r, p, whole, answer in found if len(r)]
 
 
+def _regions(begin: np.ndarray, end: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Vocabulary numbers of the words from ``begin`` to ``end``, -1 after them."""
+    index = begin[:, None] + np.arange((end - begin).max(initial=1))
+    return np.where(index < end[:, None], number[np.minimum(index, len(number) - 1)], -1)
+
+
 def _paraphrases(passage, part, number, start, first, end, items: Items) -> list[tuple]:
     """Candidates of which a run of twice the part's words holds enough of it in order."""
+    mask = np.hstack([items.mask, np.zeros((2, 1), np.uint64)])
+
+    def possible(p, places):  # words that are there at all bound those in order
+        there = [np.bitwise_count(np.bitwise_or.reduce(mask[kind][places], 1)) for kind in (0, 1)]
+        return np.flatnonzero((there[0] >= PARAPHRASE * items.words[p]) & (there[1] >= OF_ANSWER * items.answers[p]))
+
     out = []
-    for k in range(0, len(passage), 1024):
-        r, p = passage[k:k + 1024], part[k:k + 1024]
+    for k in range(0, len(passage), 4096):
+        r, p = passage[k:k + 4096], part[k:k + 4096]
+        low, high = np.maximum(first[r], start[r] - items.words[p]), np.minimum(end[r], start[r] + WINDOW + items.words[p])
+        some = possible(p, items.places_of(p, _regions(low, high, number)))
+        r, p, low, high = r[some], p[some], low[some], high[some]
         n = items.words[p]
-        low, high = np.maximum(first[r], start[r] - n), np.minimum(end[r], start[r] + WINDOW + n)
         move = np.maximum(1, n // 2)
         runs = np.maximum(1, -(-(high - low - 2 * n) // move) + 1)
         pair = np.repeat(np.arange(len(r)), runs)
         begin = low[pair] + (np.arange(len(pair)) - np.repeat(np.cumsum(runs) - runs, runs)) * move[pair]
-        index = begin[:, None] + np.arange(2 * n.max())
-        inside = index < np.minimum(begin + 2 * n[pair], high[pair])[:, None]
-        places = items.places_of(p[pair], np.where(inside, number[np.minimum(index, len(number) - 1)], -1))
-        some = np.flatnonzero((places < len(items.keys)).sum(1) >= PARAPHRASE * n[pair])  # a bound of what is in order
+        places = items.places_of(p[pair], _regions(begin, np.minimum(begin + 2 * n[pair], high[pair]), number))
+        some = possible(p[pair], places)
         pair, places = pair[some], places[some]
         whole = items.common(0, p[pair], places) / n[pair]
         answer = items.common(1, p[pair], places) / np.maximum(items.answers[p[pair]], 1)
@@ -422,7 +454,10 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, cosin
     for number, parts in enumerate(_portions(benchmark)):
         space = space or fit(texts, scratch)
         items = Items(parts)  # at most 64 words a part
-        z = np.array([space.place(p.h) for p in parts], np.float32)
+        z = space.sums(parts)
+        if not number:
+            space.share(z)
+        z = space.place(z)
         found = texts.mapInArrow(_leaks(spark.sparkContext.broadcast((items, space, z, cosine))), schema)
         tables.append(scratch.put(found, f"portion{number}"))
     if not tables:
