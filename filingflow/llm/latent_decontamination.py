@@ -384,26 +384,33 @@ def _regions(begin: np.ndarray, end: np.ndarray, number: np.ndarray) -> np.ndarr
 
 def _paraphrases(passage, part, number, start, first, end, items: Items) -> list[tuple]:
     """Candidates of which a run of twice the part's words holds enough of it in order."""
-    mask = np.hstack([items.mask, np.zeros((2, 1), np.uint64)])
+    mask = np.append(items.mask[0], np.uint64(0))
+    at = np.flatnonzero(number >= 0)  # other words match nothing
+    known = np.append(number[at], -1)
 
-    def possible(p, places):  # words that are there at all bound those in order
-        there = [np.bitwise_count(np.bitwise_or.reduce(mask[kind][places], 1)) for kind in (0, 1)]
-        return np.flatnonzero((there[0] >= PARAPHRASE * items.words[p]) & (there[1] >= OF_ANSWER * items.answers[p]))
+    def possible(p, begin, end):  # words that are there at all bound those in order
+        begin, end, there = np.searchsorted(at, begin), np.searchsorted(at, end), np.zeros(len(p), np.uint64)
+        for j in range((end - begin).max(initial=0)):
+            word = known[np.where(begin + j < end, begin + j, len(at))]
+            there |= mask[items.places_of(p, word[:, None])[:, 0]]
+        answer = np.bitwise_count(there & items.every[1][p])
+        return np.flatnonzero((np.bitwise_count(there) >= PARAPHRASE * items.words[p]) & (answer >= OF_ANSWER * items.answers[p]))
 
     out = []
-    for k in range(0, len(passage), 4096):
-        r, p = passage[k:k + 4096], part[k:k + 4096]
+    for k in range(0, len(passage), _PAIRS):
+        r, p = passage[k:k + _PAIRS], part[k:k + _PAIRS]
         low, high = np.maximum(first[r], start[r] - items.words[p]), np.minimum(end[r], start[r] + WINDOW + items.words[p])
-        some = possible(p, items.places_of(p, _regions(low, high, number)))
+        some = possible(p, low, high)
         r, p, low, high = r[some], p[some], low[some], high[some]
         n = items.words[p]
         move = np.maximum(1, n // 2)
         runs = np.maximum(1, -(-(high - low - 2 * n) // move) + 1)
         pair = np.repeat(np.arange(len(r)), runs)
         begin = low[pair] + (np.arange(len(pair)) - np.repeat(np.cumsum(runs) - runs, runs)) * move[pair]
-        places = items.places_of(p[pair], _regions(begin, np.minimum(begin + 2 * n[pair], high[pair]), number))
-        some = possible(p[pair], places)
-        pair, places = pair[some], places[some]
+        end_ = np.minimum(begin + 2 * n[pair], high[pair])
+        some = possible(p[pair], begin, end_)
+        pair, begin, end_ = pair[some], begin[some], end_[some]
+        places = items.places_of(p[pair], _regions(begin, end_, number))
         whole = items.common(0, p[pair], places) / n[pair]
         answer = items.common(1, p[pair], places) / np.maximum(items.answers[p[pair]], 1)
         leak = (whole >= PARAPHRASE) & (answer >= OF_ANSWER)
