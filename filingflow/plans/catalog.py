@@ -47,4 +47,5 @@ def _load() -> None:
     # Importing the modules fills REGISTRY.
     from filingflow.plans import (  # noqa: F401
         queries_index, queries_merge, queries_model, queries_retrieval, queries_stream, queries_text,
+        queries_votes,
     )

@@ -8,11 +8,14 @@ All jobs of a micro-batch run as one plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingflow.functions import forms, keys, text
-from filingflow.operators import concat, latest, merge, model, quality, tallies
+from filingflow.operators import bucketed, concat, latest, merge, model, quality, tallies, vote_tables
+from filingflow.streaming import jobs as jobs_dirs
 
 VOTE_KEY = ["cik", "meeting_date", "question_id"]
 VOTE_COLUMNS = ["cik", "ticker", "meeting_date", "question_id", "resolution", "total_votes",
@@ -21,6 +24,10 @@ VOTE_COLUMNS = ["cik", "ticker", "meeting_date", "question_id", "resolution", "t
 #: Rejects that leave a job done: the document is passed over.
 SKIPPED = ("ticker missing", "meeting_date missing")
 
+VOTE_SCHEMA = ("cik string, ticker string, meeting_date string, question_id string, resolution string, "
+               "total_votes bigint, for_votes bigint, against_votes bigint, abstentions bigint, "
+               "broker_non_votes bigint, raw_json string")
+
 TALLY_PROMPT = "Extract the Item 5.07 voting results of this filing as JSON.\n\n%s"
 
 
@@ -72,6 +79,28 @@ def extract_tallies(docs: DataFrame, fn: model.ModelFn, ticker_col: str = "ticke
     return tally_rows(model.parse_output(out, model.TALLY_SCHEMA))
 
 
+def read_tallies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """UD-1 without a model: the tallies that the documents' own tables show.
+
+    As ``extract_tallies``: ``(tallies, rejects)``, the meeting date is the
+    group's.  ``position`` counts a document's rows in the order of its tables.
+    """
+    key = ["job_id", "cik", "ticker", "meeting_date"]
+    src = docs.withColumn("meeting_date", F.date_format("group_date", "yyyy-MM-dd"))
+    tagged = quality.validate(src, [("ticker missing", quality.present("ticker")),
+                                    ("meeting_date missing", quality.present("meeting_date"))])
+    ready, skipped = quality.split(tagged)
+    good, bad = vote_tables.page_tallies(ready, key, "clean_html")
+    # tables and rows of one document are numbered; rows are counted in their order
+    place = F.col("table_no").cast("bigint") * (1 << 32) + F.col("row_no")
+    names = [F.col(c) if c != "for_votes" else F.col(c).alias("for") for c in tallies.TALLY_KINDS]
+    names = [n.alias("against") if c == "against_votes" else n for n, c in zip(names, tallies.TALLY_KINDS)]
+    out = good.withColumn("position", place).withColumn("raw_json", F.to_json(F.struct(
+        F.col("question_id").alias("questionId"), "resolution", "total_votes", *names)))
+    rejects = skipped.select("job_id", "cik", "reject_reason").unionByName(bad.select("job_id", "cik", "reject_reason"))
+    return out, rejects
+
+
 def tally_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Validated tally rows from parsed model output (``parsed`` struct)."""
     doc_ok = quality.validate(parsed, [
@@ -111,7 +140,25 @@ def store_votes(target: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFra
     """SNK-4: insert-ignore by (cik, meeting_date, question_id); within a
     batch the first row in arrival order (meeting date, then position) wins."""
     b = batch.select(*VOTE_COLUMNS, "position")
-    return merge.insert_ignore(target.select(*VOTE_COLUMNS), b, VOTE_KEY, ["meeting_date", "position"])
+    return merge.insert_ignore(target.select(*VOTE_COLUMNS), b, VOTE_KEY, ["meeting_date", "position", "raw_json"])
+
+
+def vote_table(spark: SparkSession, state_dir: str) -> bucketed.BucketedTable:
+    """The stored votes of a worker, dealt by company, meeting and question."""
+    return bucketed.BucketedTable(spark, os.path.join(state_dir, jobs_dirs.VOTE_DIR), VOTE_KEY, VOTE_SCHEMA)
+
+
+def vote_store(state_dir: str):
+    """The ``store`` function for ``streaming.jobs.start_worker``: a batch's
+    tallies go to the vote table (SNK-4) and, as one JSON array per job, to the
+    payloads (SNK-11), each under the batch's id, so a replay stores them once."""
+    def store(results: DataFrame, batch_id: int) -> None:
+        votes = results.where(F.col("error").isNull())
+        vote_table(results.sparkSession, state_dir).merge(
+            votes.select(*VOTE_COLUMNS, "position"), batch_id, lambda old, new: store_votes(old, new)[0])
+        job_payloads(votes).write.mode("overwrite").parquet(
+            os.path.join(state_dir, jobs_dirs.PAYLOAD_DIR, f"batch_id={batch_id}"))
+    return store
 
 
 def job_payloads(tallies_df: DataFrame) -> DataFrame:
@@ -122,13 +169,13 @@ def job_payloads(tallies_df: DataFrame) -> DataFrame:
     return rows.select("job_id", F.to_json("rows").alias("result"))
 
 
-def job_processor(index_rows: DataFrame, documents: DataFrame, companies: DataFrame, fn: model.ModelFn,
+def job_processor(index_rows: DataFrame, documents: DataFrame, companies: DataFrame, fn: model.ModelFn | None,
                   strict: bool = False, max_concurrency: int | None = None, bad_pages: DataFrame | None = None):
     """ST-1 + E2: the ``process`` function for ``streaming.jobs.start_worker``.
 
     Each micro-batch's pending jobs ``(job_id, params={"cik", "year"})`` run as
-    one plan: candidates (AG-1), documents with Item 5.07, model, validated
-    tallies.  Returns one row per tally (``error`` null) and one row per
+    one plan: candidates (AG-1), documents with Item 5.07, model (or, without
+    ``fn``, the documents' own vote tables), validated tallies.  Returns one row per tally (``error`` null) and one row per
     failure (``error`` = reason): a company and year without an Item 5.07
     filing, a failed model call, malformed output, a bad tally.  Missing
     documents, documents without Item 5.07 and outputs without ticker or
@@ -142,10 +189,9 @@ def job_processor(index_rows: DataFrame, documents: DataFrame, companies: DataFr
         cands = candidate_filings(jobs, index_rows, strict)
         docs, _skipped = filing_documents(cands, documents)
         docs = docs.join(companies.select(keys.pad_cik("cik").alias("cik"), "ticker"), "cik", "left")
-        tallies_df, rejects = extract_tallies(docs, fn, max_concurrency=max_concurrency)
-        ok = tallies_df.select("job_id", "cik", "meeting_date", "question_id", "for_votes", "against_votes",
-                               "abstentions", "broker_non_votes", "total_votes",
-                               F.lit(None).cast("string").alias("error"))
+        tallies_df, rejects = read_tallies(docs) if fn is None else \
+            extract_tallies(docs, fn, max_concurrency=max_concurrency)
+        ok = tallies_df.select("job_id", *VOTE_COLUMNS, "position", F.lit(None).cast("string").alias("error"))
         none = jobs.join(cands.select("job_id").distinct(), "job_id", "left_anti")
         if bad_pages is not None:
             pages = bad_pages.select(keys.pad_cik("cik").alias("_cik"), F.concat_ws(

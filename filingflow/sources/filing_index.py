@@ -94,6 +94,34 @@ def older_pages_for_year(files: DataFrame, key_cols: list[str], year: int) -> Da
     return ex.where((F.coalesce(y_from, F.lit(year)) <= year) & (F.coalesce(y_to, F.lit(year)) >= year))
 
 
+def company_pages(raw: DataFrame, year: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC-2 within the flows: ``(pages, rejects)`` of index files as read.
+
+    Pages are ``(cik, page, source_file)``.  A file that names its company is
+    that company's page.  An older page does not; the index that lists its
+    file name does.  With ``year``, listed pages whose span misses it go before
+    their columns are checked or turned into rows (the files themselves are
+    still scanned).  A page without a company that no index lists is a reject.
+    A file listed by several companies is a page of each.
+    """
+    named = raw.where(F.col("cik").isNotNull())
+    refs = named.select("cik", F.explode("filings.files").alias("f")) \
+        .select(F.col("cik").alias("_cik"), F.col("f.name").alias("_name"), "f.filingFrom", "f.filingTo")
+    meets = F.lit(True)
+    if year is not None:
+        meets = (F.coalesce(year_of_text("filingFrom"), F.lit(year)) <= year) \
+            & (F.coalesce(year_of_text("filingTo"), F.lit(year)) >= year)
+    refs = refs.groupBy("_cik", "_name").agg(F.max(meets).alias("_meets"))
+    older = raw.where(F.col("cik").isNull()).select(
+        page_struct(raw).alias("page"), "source_file", F.element_at(F.split("source_file", "/"), -1).alias("_name"))
+    older = older.join(refs, "_name", "left")
+    pages = named.select("cik", page_struct(raw).alias("page"), "source_file").unionByName(
+        older.where("_meets").select(F.col("_cik").alias("cik"), "page", "source_file"))
+    rejects = older.where(F.col("_cik").isNull()).select(
+        F.col("_cik").alias("cik"), "source_file", F.lit("page of no listed company").alias("reason"))
+    return pages, rejects
+
+
 def union_pages(*frames: DataFrame) -> DataFrame:
     """SO-1: union by column name; a column missing on one side becomes null."""
     out = frames[0]

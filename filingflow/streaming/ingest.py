@@ -48,7 +48,10 @@ def stored_chunks(spark: SparkSession, state_dir: str) -> DataFrame:
 
 
 def make_handler(state_dir: str, documents: DataFrame, year: int | None = None,
-                 redo: DataFrame | None = None, min_words: int = proxy_ingest.MIN_FILING_WORDS):
+                 redo: DataFrame | None = None, min_words: int = proxy_ingest.MIN_FILING_WORDS,
+                 companies: DataFrame | None = None):
+    """``companies`` is the directory ``(cik, ticker, company_name, ...)`` that
+    filings are joined with (JN-1); those without an entry keep nulls."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         pages = batch.select("cik", "source_file", filing_index.page_struct(batch).alias("page"))
@@ -59,7 +62,7 @@ def make_handler(state_dir: str, documents: DataFrame, year: int | None = None,
         # cleaned once per batch: kept filings and rejects both read it
         tagged = proxy_ingest.tag_filing_texts(new, documents, min_words=min_words).persist()
         texts, rejects = quality.split(tagged)
-        filings = proxy_ingest.filing_records(texts).persist()
+        filings = proxy_ingest.filing_records(texts, companies).persist()
         filings.drop("text").write.mode("overwrite").parquet(
             logs.log_path(os.path.join(state_dir, FILINGS), batch_id))
         proxy_ingest.filing_chunks(filings).write.mode("overwrite").parquet(
@@ -74,11 +77,11 @@ def make_handler(state_dir: str, documents: DataFrame, year: int | None = None,
 
 def start(spark: SparkSession, index_dir: str, state_dir: str, documents: DataFrame, year: int | None = None,
           redo: DataFrame | None = None, available_now: bool = False, processing_time: str = "10 minutes",
-          multi_line: bool = True):
+          multi_line: bool = True, companies: DataFrame | None = None):
     """``multi_line``: one JSON document per file (as published) or JSON lines."""
     stream = spark.readStream.schema(filing_index.INDEX_FILE_SCHEMA).option("multiLine", multi_line).json(index_dir) \
         .withColumn("source_file", F.col("_metadata.file_path"))
-    w = stream.writeStream.foreachBatch(make_handler(state_dir, documents, year, redo)) \
+    w = stream.writeStream.foreachBatch(make_handler(state_dir, documents, year, redo, companies=companies)) \
         .option("checkpointLocation", os.path.join(state_dir, "_checkpoint"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()

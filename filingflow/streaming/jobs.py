@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
@@ -33,6 +34,8 @@ JOB_SCHEMA = StructType([
 STATUS_DIR = "status"
 RESULT_DIR = "results"
 REJECT_DIR = "rejects"
+PAYLOAD_DIR = "payloads"
+VOTE_DIR = "votes"
 
 # seq values of the life-cycle steps inside one micro-batch
 _SEQ_RUNNING, _SEQ_FINAL = 1, 2
@@ -72,13 +75,16 @@ def current_jobs(spark: SparkSession, state_dir: str) -> DataFrame:
     return st.current_status(log, ["job_id"], ["batch_id", "seq"], ["status", "error", "updated_at"])
 
 
-def make_batch_handler(state_dir: str, process: Callable[[DataFrame], DataFrame]):
+def make_batch_handler(state_dir: str, process: Callable[[DataFrame], DataFrame],
+                       store: Callable[[DataFrame, int], None] | None = None):
     """``foreachBatch`` handler.
 
     ``process(jobs)`` receives ``(job_id, params, created_at)`` for the jobs
     not yet done and returns result rows with a ``job_id`` column plus an
     optional ``error`` column (null = ok).  Jobs without result rows finish
-    ``done`` with an empty result.
+    ``done`` with an empty result.  ``store(results, batch_id)`` keeps them in
+    further tables before the jobs get their final status; an error in it fails
+    the batch, which then runs again under the same id.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -90,7 +96,7 @@ def make_batch_handler(state_dir: str, process: Callable[[DataFrame], DataFrame]
         todo = jobs.join(done, "job_id", "left_anti").persist()
         status_path = logs.log_path(os.path.join(state_dir, STATUS_DIR), batch_id)
         result_path = os.path.join(state_dir, RESULT_DIR, f"batch_id={batch_id}")
-        now = F.current_timestamp()
+        now, stored = F.current_timestamp(), None
         running = todo.select("job_id", F.lit("running").alias("status"),
                               F.lit(None).cast("string").alias("error"),
                               F.lit(_SEQ_RUNNING).alias("seq"), now.alias("updated_at"))
@@ -106,6 +112,8 @@ def make_batch_handler(state_dir: str, process: Callable[[DataFrame], DataFrame]
         except Exception as e:  # noqa: BLE001 -- Q14: the batch outcome sets every job's status
             msg = f"{type(e).__name__}: {e}"
             errors = todo.select("job_id", F.lit(msg).alias("error"))
+        if store is not None and stored is not None:
+            store(stored, batch_id)
         final = todo.select("job_id").join(errors, "job_id", "left").select(
             "job_id", F.when(F.col("error").isNull(), "done").otherwise("error").alias("status"),
             "error", F.lit(_SEQ_FINAL).alias("seq"), now.alias("updated_at"))
@@ -118,14 +126,15 @@ def make_batch_handler(state_dir: str, process: Callable[[DataFrame], DataFrame]
 
 def start_worker(spark: SparkSession, incoming_dir: str, state_dir: str,
                  process: Callable[[DataFrame], DataFrame], processing_time: str | None = "1 minute",
-                 available_now: bool = False, max_files_per_trigger: int | None = None):
+                 available_now: bool = False, max_files_per_trigger: int | None = None,
+                 store: Callable[[DataFrame, int], None] | None = None):
     """ST-1: poll ``incoming_dir``; every trigger processes the whole backlog
     (or ``max_files_per_trigger`` files) in one batch job."""
     reader = spark.readStream.schema(JOB_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(incoming_dir)
-    w = stream.writeStream.foreachBatch(make_batch_handler(state_dir, process)) \
+    w = stream.writeStream.foreachBatch(make_batch_handler(state_dir, process, store)) \
         .option("checkpointLocation", os.path.join(state_dir, "_checkpoint"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
@@ -140,6 +149,28 @@ def job_results(spark: SparkSession, state_dir: str) -> DataFrame:
     return res.join(log, ["job_id", "batch_id"]).join(cur.select("job_id", "status"), "job_id")
 
 
+def lookup(spark: SparkSession, incoming_dir: str, state_dir: str) -> DataFrame:
+    """FLT-13 / ST-2: every request ``(job_id, params, created_at)`` with its
+    ``status`` (``pending`` until a batch takes it up), ``error`` and, once it
+    is done, ``result``: the JSON array of the last batch that stored one."""
+    req = spark.read.schema(JOB_SCHEMA).json(incoming_dir) \
+        .select(F.col("id").alias("job_id"), "params", "created_at").dropDuplicates(["job_id"])
+    path = os.path.join(state_dir, PAYLOAD_DIR)
+    schema = "job_id string, result string, batch_id bigint"
+    try:
+        payloads = spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        payloads = spark.createDataFrame([], schema)
+    payloads = payloads.groupBy("job_id").agg(F.max_by("result", "batch_id").alias("result"))
+    cur = current_jobs(spark, state_dir)
+    status = F.coalesce("status", F.lit("pending"))
+    return req.join(cur, "job_id", "left").join(payloads, "job_id", "left").select(
+        "job_id", "params", "created_at", status.alias("status"), "error",
+        F.when(status == "done", F.coalesce("result", F.lit("[]"))).alias("result"))
+
+
 def oldest_pending_job(spark: SparkSession, requests: DataFrame, state_dir: str, n: int = 1) -> DataFrame:
     """SL-2: the n oldest requests that have no status yet (created_at, id)."""
     seen = read_status(spark, state_dir).select("job_id").distinct()

@@ -61,27 +61,42 @@ def job_status(spark: SparkSession, state_dir: str, job_id: str | None = None) -
     return cur if job_id is None else cur.where(F.col("job_id") == job_id)
 
 
+def job_lookup(spark: SparkSession, incoming_dir: str, state_dir: str, job_id: str | None = None) -> DataFrame:
+    """Requests with status, error and the JSON result of those done; of one job or all."""
+    found = jobs.lookup(spark, incoming_dir, state_dir)
+    return found if job_id is None else found.where(F.col("job_id") == job_id)
+
+
+def stored_votes(spark: SparkSession, state_dir: str) -> DataFrame:
+    """Every vote that the worker has stored, one row per company, meeting and question."""
+    return vote_extraction.vote_table(spark, state_dir).read()
+
+
 def job_results(spark: SparkSession, state_dir: str, job_id: str | None = None) -> DataFrame:
     res = jobs.job_results(spark, state_dir)
     return res if job_id is None else res.where(F.col("job_id") == job_id)
 
 
 def run_vote_worker(spark: SparkSession, incoming_dir: str, state_dir: str, index_path: str,
-                    documents: DataFrame, companies: DataFrame, fn: model.ModelFn,
+                    documents: DataFrame, companies: DataFrame, fn: model.ModelFn | None = None,
                     once: bool = True, processing_time: str = "1 minute"):
     """Drain the job folder (``once``) or poll it every ``processing_time``.
 
     Index pages that cannot be read as rows are written to
     ``state_dir/rejects``; the jobs of their companies end with that reason.
+    Tallies are stored in the vote table below ``state_dir`` (``stored_votes``)
+    and with their job (``job_lookup``) before it is done.  Without ``fn`` they
+    are read from the documents' own tables.
     """
     raw = filing_index.read_index_files(spark, index_path)
-    pages = raw.select("cik", filing_index.page_struct(raw).alias("page"), "source_file")
+    pages, unlisted = filing_index.company_pages(raw)
     rows, bad_pages = filing_index.index_rows(pages, ["cik", "source_file"])
+    bad_pages = bad_pages.unionByName(unlisted)
     bad_pages.write.mode("overwrite").parquet(os.path.join(state_dir, jobs.REJECT_DIR))
     process = vote_extraction.job_processor(filing_index.normalise(rows), documents, companies, fn,
                                             bad_pages=bad_pages)
     q = jobs.start_worker(spark, incoming_dir, state_dir, process, processing_time=processing_time,
-                          available_now=once)
+                          available_now=once, store=vote_extraction.vote_store(state_dir))
     if once:
         q.awaitTermination()
     return q
@@ -106,8 +121,9 @@ def ingest_proxy_statements(spark: SparkSession, index_path: str, documents: Dat
     ``unpersist`` the filings when done.
     """
     raw = filing_index.read_index_files(spark, index_path)
-    pages = raw.select("cik", filing_index.page_struct(raw).alias("page"), "source_file")
+    pages, unlisted = filing_index.company_pages(raw, year)
     rows, bad_pages = filing_index.index_rows(pages, ["cik", "source_file"])
+    bad_pages = bad_pages.unionByName(unlisted)
     selected = proxy_ingest.select_proxy_filings(filing_index.normalise(rows), year)
     new = proxy_ingest.new_filings(selected, stored, redo)
     tagged = proxy_ingest.tag_filing_texts(new, documents).persist()
