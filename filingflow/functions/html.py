@@ -26,7 +26,7 @@ _SPACE = " \t\r\n\f"
 _RAW, _DROPPED = ("script", "style"), ("script", "style", "noscript")
 
 
-def _tag_end(page: str, at: int) -> int:
+def tag_end(page: str, at: int) -> int:
     """Index after the ``>`` of the start tag at ``at``; -1 if a quote never ends."""
     j, close = at + 1, page.find(">", at + 1)
     while True:
@@ -58,7 +58,7 @@ def _name(page: str, at: int) -> str:
     return ""
 
 
-def _raw_end(page: str, at: int, name: str) -> int:
+def raw_end(page: str, at: int, name: str) -> int:
     """Index of the end tag that ends raw text, or the page's end."""
     while (at := page.find("</", at)) >= 0:
         if _name(page, at + 2) == name:
@@ -91,12 +91,12 @@ def text_outside_markup(page: str) -> str:
             if _name(page, at + 2) == "noscript":
                 open_ = max(0, open_ - 1)
         else:
-            end = _tag_end(page, at) if quotes else -1
+            end = tag_end(page, at) if quotes else -1
             if end < 0:
                 quotes, end = False, page.find(">", at) + 1
             name = _name(page, at + 1) if page[end - 2] != "/" else ""
         if name in _RAW:
-            end = _raw_end(page, end, name)
+            end = raw_end(page, end, name)
         elif name:
             open_ += 1
         text = end

@@ -1,6 +1,6 @@
 """Tables of HTML pages as grids of cell texts (UD-1, AG-6).
 
-One pass of the standard library's tokenizer over a page.  Every table becomes
+One scan from markup to markup, by the rules of ``html``.  Every table becomes
 a grid in which a cell that spans rows or columns fills all its places, so the
 header of a column stands above it whatever the markup.
 
@@ -15,13 +15,16 @@ header of a column stands above it whatever the markup.
 
 from __future__ import annotations
 
-import html.parser
+import re
+from html import unescape
 
-import pandas as pd
+from filingflow.functions import html
 
 # Limits of spans and elements that separate words.
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 _SEPARATE = frozenset("br p div li ul ol hr h1 h2 h3 h4 h5 h6 blockquote".split())
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""([^\s=>/"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]*)""")
 _SILENT = ("script", "style", "noscript")
 
 
@@ -60,7 +63,7 @@ class _Table:
             for parts, across, down in cells:
                 while col in row:
                     col += 1
-                text = " ".join("".join(parts).split())
+                text = " ".join(unescape("".join(parts)).split())
                 for col in range(col, col + across):
                     if col in row:  # overlaps a cell from above: that one stays
                         break
@@ -72,54 +75,83 @@ class _Table:
         return grid
 
 
-class _Reader(html.parser.HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.tables, self.open, self.silent = [], [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _SILENT:
-            self.silent += 1
+_WANTED = frozenset(("table", "tr", "td", "th", *_SEPARATE, *_SILENT))
+
+
+def _markup(page: str):
+    """``(text before, tag or None, is an end tag, tag's inside)`` from markup to markup."""
+    at, text, last, quotes, comments = page.find("<"), 0, page.rfind(">"), True, True
+    while 0 <= at < last:
+        head = page[at + 1]
+        if not (head.isascii() and head.isalpha()) and head not in "/!?":
+            at = page.find("<", at + 1)
+            continue
+        before, tag, ends, inside = page[text:at], None, head == "/", ""
+        if head in "!?":
+            text = 0
+            if comments and page.startswith("<!--", at):
+                text = page.find("-->", at + 4) + 3
+                comments = text > 2  # one that never ends is a declaration
+                text = text if comments else 0
+            text = text or page.find(">", at) + 1
+        else:
+            text = -1 if ends or not quotes else html.tag_end(page, at)
+            if text < 0:
+                quotes, text = quotes and ends, page.find(">", at) + 1
+            tag = _NAME.match(page, at + 1 + ends)
+            tag = tag.group().lower() if tag else None
+            if tag in _WANTED:
+                inside = page[at + 1 + len(tag):text - 1]
+            else:
+                tag = None
+            if tag in ("script", "style"):
+                if not ends and not inside.endswith("/"):
+                    text = html.raw_end(page, text, tag)
+                tag = None
+        yield before, tag, ends, inside
+        at = page.find("<", text)
+    yield page[text:], None, False, ""
+
+
+def _spans(inside: str) -> dict:
+    found = {}
+    if "span" in inside.lower():
+        for name, value in _ATTRIBUTE.findall(inside):
+            found.setdefault(name.lower(), value.strip("\"'"))
+    return found
+
+
+def _tables(page: str) -> list[_Table]:
+    tables, open_, silent = [], [], 0
+    for text, tag, ends, inside in _markup(page):
+        cell = open_[-1].cell if open_ and not silent else None
+        if cell is not None and text:
+            cell.append(text)
+        if tag is None:
+            continue
+        if tag == "noscript":
+            if not inside.endswith("/"):
+                silent = max(0, silent - 1) if ends else silent + 1
         elif tag == "table":
-            self.tables.append(_Table(len(self.tables)))
-            self.open.append(self.tables[-1])
-        elif self.open:
-            if tag == "tr":
-                self.open[-1].start_row()
-            elif tag in ("td", "th"):
-                self.open[-1].start_cell(dict(attrs))
-            elif tag in _SEPARATE:
-                self.handle_data(" ")
-
-    def handle_startendtag(self, tag, attrs):
-        if tag not in _SILENT:
-            self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif self.open:
-            if tag == "table":
-                self.open.pop()
-            elif tag in ("td", "th", "tr"):
-                self.open[-1].cell = None
-            elif tag in _SEPARATE:
-                self.handle_data(" ")
-
-    def handle_data(self, data):
-        if self.open and self.open[-1].cell is not None and not self.silent:
-            self.open[-1].cell.append(data)
+            if not ends:
+                tables.append(_Table(len(tables)))
+                open_.append(tables[-1])
+            elif open_:
+                open_.pop()
+        elif tag in _SEPARATE:
+            if cell is not None:
+                cell.append(" ")
+        elif not open_:
+            continue
+        elif ends:
+            open_[-1].cell = None
+        elif tag == "tr":
+            open_[-1].start_row()
+        else:
+            open_[-1].start_cell(_spans(inside))
+    return tables
 
 
 def page_grids(page: str) -> list[dict]:
     """``[{"table_no", "rows": [[text]]}]`` in document order; tables without rows are left out."""
-    if "<" not in page:
-        return []
-    reader = _Reader()
-    reader.feed(page)
-    reader.close()
-    return [{"table_no": t.number, "rows": t.grid()} for t in reader.tables if t.rows]
-
-
-def series_grids(pages: pd.Series) -> pd.Series:
-    return pd.Series([page_grids(p) if isinstance(p, str) else None for p in pages], dtype=object)
+    return [{"table_no": t.number, "rows": t.grid()} for t in _tables(page) if t.rows]

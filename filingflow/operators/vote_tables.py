@@ -1,8 +1,8 @@
 """Vote tallies read from the tables of a filing (UD-1, AG-6).
 
-The grids come from one Arrow pass over the pages; headers, alignment, counts
-and checks are array expressions on them, so nothing shuffles and a table never
-meets another one.
+One Arrow pass over the pages reads the grids, aligns headers and yields a row's
+texts by kind; counts, question ids and checks are column expressions on those.
+Nothing shuffles and a table never meets another one.
 
 * Header: the rows before the first one with a count beyond the first column.
   The label of a column is all its header texts, so a header that spans ("Votes
@@ -22,14 +22,15 @@ meets another one.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingflow.functions import html_tables
 from filingflow.operators import quality, tallies
 
-GRID_TYPE = "array<struct<table_no:int,rows:array<array<string>>>>"
-
 # What a column's label says, the first that fits.
 KIND_PATTERNS = (
     ("broker_non_votes", r"(?i)broker|non-?\s*votes?\b"),
@@ -39,74 +40,80 @@ KIND_PATTERNS = (
     ("total_votes", r"(?i)\btotal\b"),
 )
 KINDS = tuple(k for k, _ in KIND_PATTERNS)
-_COUNT = r"^\d{1,3}(,\d{3})+$|^\d+$"
+ROW_TYPE = "array<struct<table_no:int,row_no:int,resolution:string," + ",".join(f"{k}:string" for k in KINDS) + ">>"
+_COUNT = r"^[0-9]{1,3}(,[0-9]{3})+$|^[0-9]+$"
 _NOT_REPORTED = r"(?i)^([-‐-―*]+|n\.?/?a\.?|none)?$"
 _NUMBERED = r"(?i)^(?:proposal|item|resolution)\s+(?:no\.?\s*|number\s+)?(\d{1,3}[a-z]?)\b|^(\d{1,2}[a-z]?)[.):]\s"
 
 
-def _bare(text: Column) -> Column:
-    """A count's cell without notes, shares, brackets' content and blanks."""
-    return F.regexp_replace(text, r"\([^)]*\)|[\s $]|(?<=\d)[*†‡]+$", "")
+_NOTES = r"\([^)]*\)|[\s $]|(?<=\d)[*†‡]+$"
+
+_kind_res = [(kind, re.compile(pattern)) for kind, pattern in KIND_PATTERNS]
+_notes_re, _count_re, _not_reported_re = (re.compile(p) for p in (_NOTES, _COUNT, _NOT_REPORTED))
 
 
 def parse_count(text: Column) -> Column:
     """``1,234`` -> 1234; null where the cell holds no whole number."""
-    b = _bare(text)
-    return F.when(b.rlike(_COUNT), F.replace(b, F.lit(","), F.lit("")).try_cast("bigint"))
-
-
-def _label_kind(label: Column) -> Column:
-    kind = None
-    for name, pattern in KIND_PATTERNS:
-        hit = label.rlike(pattern)
-        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-    return kind.otherwise("")
-
-
-def table_rows(pages: DataFrame, key_cols: list[str], html_col: str = "html") -> DataFrame:
-    """Rows of vote tables: ``key_cols, table_no, row_no, resolution, question_id`` and
-    per kind its cells' first text that counts (``_raw_<kind>``) and its number."""
-    grids = F.pandas_udf(html_tables.series_grids, GRID_TYPE)
-    t = pages.select(*key_cols, F.explode(grids(html_col)).alias("t")).select(*key_cols, "t.*")
-    # a row with a count beyond its first column ends the header
-    def is_data(row):
-        return F.exists(F.slice(row, 2, F.greatest(F.size(row), F.lit(1))), lambda c: parse_count(c).isNotNull())
-    t = t.withColumn("_data", F.transform("rows", is_data)) \
-        .withColumn("_first", F.array_position("_data", F.lit(True)).cast("int")).where("_first > 1")
-    width = F.array_max(F.transform("rows", F.size))
-    header = F.filter(F.slice("rows", F.lit(1), F.greatest(F.col("_first") - 1, F.lit(0))),
-                      lambda r: F.size(F.array_distinct(r)) > 1)
-    labels = F.transform(F.sequence(F.lit(0), width - 1), lambda c: F.array_join(
-        F.transform(header, lambda r: F.coalesce(F.get(r, c), F.lit(""))), " "))
-    t = t.withColumn("_kinds", F.transform(labels, _label_kind))
-    t = t.where(F.array_contains("_kinds", "for_votes") & F.array_contains("_kinds", "against_votes"))
-    r = t.select(*key_cols, "table_no", "_first", "_kinds", F.posexplode("rows").alias("_pos", "_row")) \
-        .where(F.col("_pos") >= F.col("_first") - 1)
-    cells = F.arrays_zip(F.col("_row").alias("text"), F.col("_kinds").alias("kind"))
-    r = r.withColumn("_cells", cells)
-    def first(kind):
-        own = F.filter("_cells", lambda c: (c["kind"] == kind) & ~F.coalesce(_bare(c["text"]).rlike(_NOT_REPORTED), F.lit(True)))
-        counts = F.filter(own, lambda c: parse_count(c["text"]).isNotNull())
-        return F.coalesce(F.get(counts, F.lit(0))["text"], F.get(own, F.lit(0))["text"])
-    named = F.filter("_cells", lambda c: (c["kind"] == "") & (F.length(F.coalesce(c["text"], F.lit(""))) > 0))
-    r = r.select(*key_cols, "table_no", (F.col("_pos") - F.col("_first") + 2).alias("row_no"),
-                 F.get(named, F.lit(0))["text"].alias("resolution"), *[first(k).alias(f"_raw_{k}") for k in KINDS])
-    r = r.where(F.coalesce(*[f"_raw_{k}" for k in KINDS]).isNotNull())
+    bare = F.regexp_replace(text, _NOTES, "")
+    return F.when(bare.rlike(_COUNT), F.replace(bare, F.lit(","), F.lit("")).try_cast("bigint"))
+
+
+def _is_count(text: str) -> bool:
+    return bool(_count_re.search(_notes_re.sub("", text)))
+
+
+def _label_kind(label: str) -> str | None:
+    return next((kind for kind, pattern in _kind_res if pattern.search(label)), None)
+
+
+def _first_shown(cells: list[str]) -> str | None:
+    """The first cell with a count, else the first that reports something."""
+    shown = [c for c in cells if not _not_reported_re.search(_notes_re.sub("", c))]
+    return next((c for c in shown if _is_count(c)), shown[0] if shown else None)
+
+
+def vote_rows(page: str) -> list[dict]:
+    """Rows of a page's vote tables: ``table_no, row_no, resolution`` and the text of each kind."""
+    out = []
+    for table in html_tables.page_grids(page):
+        rows = table["rows"]
+        first = next((i for i, r in enumerate(rows) if any(_is_count(c) for c in r[1:])), 0)
+        header = [r for r in rows[:first] if len(set(r)) > 1]
+        width = max(map(len, header), default=0)
+        kinds = [_label_kind(" ".join(r[c] for r in header if c < len(r))) for c in range(width)]
+        if "for_votes" not in kinds or "against_votes" not in kinds:
+            continue
+        places = {kind: [c for c, k in enumerate(kinds) if k == kind] for kind in KINDS}
+        for number, row in enumerate(rows[first:], 1):
+            texts = {kind: _first_shown([row[c] for c in cols if c < len(row)]) for kind, cols in places.items()}
+            if any(t is not None for t in texts.values()):
+                named = (t for c, t in enumerate(row) if t and (c >= width or kinds[c] is None))
+                out.append({"table_no": table["table_no"], "row_no": number, "resolution": next(named, None), **texts})
+    return out
+
+
+def _series_rows(pages: pd.Series) -> pd.Series:
+    return pd.Series([vote_rows(p) if isinstance(p, str) else None for p in pages], dtype=object)
+
+
+def tagged_tallies(pages: DataFrame, key_cols: list[str], html_col: str = "html") -> DataFrame:
+    """All rows of vote tables, ``reject_reason`` null where every count is one or not reported.
+
+    Totals are computed (AG-6) for those; a reject keeps the counts that were read.
+    Null and empty pages and pages without vote tables yield no rows.
+    """
+    rows = pages.select(*key_cols, F.inline(F.pandas_udf(_series_rows, ROW_TYPE)(html_col)))
     number = F.concat(F.regexp_extract("resolution", _NUMBERED, 1), F.regexp_extract("resolution", _NUMBERED, 2))
     place = F.concat_ws(".", F.col("table_no") + 1, "row_no")
-    return r.select(*key_cols, "table_no", "row_no", "resolution",
-                    F.coalesce(F.nullif(F.lower(number), F.lit("")), place).alias("question_id"),
-                    *[f"_raw_{k}" for k in KINDS], *[parse_count(F.col(f"_raw_{k}")).alias(k) for k in KINDS])
+    typed = rows.select(*key_cols, "table_no", "row_no", F.coalesce(F.nullif(F.lower(number), F.lit("")), place).alias("question_id"),
+                        "resolution", *[F.col(k).alias(f"_raw_{k}") for k in KINDS], *[parse_count(F.col(k)).alias(k) for k in KINDS])
+    tagged = quality.validate(typed, [(f"bad {k}", F.col(f"_raw_{k}").isNull() | F.col(k).isNotNull()) for k in KINDS])
+    stated = F.col("total_votes")
+    summed = tallies.with_totals(tagged.drop(*[f"_raw_{k}" for k in KINDS]).withColumn("_stated", stated))
+    ok = F.col("reject_reason").isNull()
+    return summed.withColumn("total_votes", F.when(ok, F.col("total_votes")).otherwise(F.col("_stated"))).drop("_stated")
 
 
 def page_tallies(pages: DataFrame, key_cols: list[str], html_col: str = "html") -> tuple[DataFrame, DataFrame]:
-    """``(tallies, rejects)``: tallies with totals (AG-6), rejects with the counts that
-    were read and the kind that is none.
-
-    Null and empty pages and pages without vote tables yield neither.
-    """
-    rows = table_rows(pages, key_cols, html_col)
-    rules = [(f"bad {k}", F.col(f"_raw_{k}").isNull() | F.col(k).isNotNull()) for k in KINDS]
-    good, bad = quality.split(quality.validate(rows, rules))
-    keep = [*key_cols, "table_no", "row_no", "question_id", "resolution"]
-    return tallies.with_totals(good.select(*keep, *KINDS)), bad.select(*keep, *KINDS, "reject_reason")
+    """``(tallies, rejects)`` of ``tagged_tallies``; persist its rows first when both are read."""
+    return quality.split(tagged_tallies(pages, key_cols, html_col))

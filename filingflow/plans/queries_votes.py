@@ -55,11 +55,9 @@ def vote_tables_query(spark, d):
             F.when(i == 0, F.concat(F.lit("<td rowspan=0>"), F.format_number("filing_id", 0), F.lit("</td>"))).otherwise(""))
     html = F.concat(F.lit(_HEADER), F.array_join(F.transform("lines", row), ""), F.lit("</table></table>"))
     src = by_setting(pages.select("filing_id", "page_no", html.alias("html")), ["filing_id", "page_no"])
-    good, bad = vote_tables.page_tallies(src, ["filing_id", "page_no"])
-    cols = ["filing_id", "page_no", "table_no", "row_no", "question_id", "resolution"]
-    kinds = ["for_votes", "against_votes", "abstentions", "broker_non_votes", "total_votes"]
-    good = good.select(*cols, *kinds, F.lit(None).cast("string").alias("reject_reason"))
-    return good.unionByName(bad.select(*cols, *kinds, "reject_reason"))
+    return vote_tables.tagged_tallies(src, ["filing_id", "page_no"]).select(
+        "filing_id", "page_no", "table_no", "row_no", "question_id", "resolution", "for_votes", "against_votes",
+        "abstentions", "broker_non_votes", "total_votes", "reject_reason")
 
 
 # Feeds: four customers' orders of one range of 4,000 order keys are one ticker's feed, two customers
