@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filingflow.functions import spans
 from filingflow.functions.text import detokenize, word_tokens
 
 # Window size and overlap, in tokens.
@@ -74,6 +75,26 @@ def chunk_text(df: DataFrame, text_col: str, key_cols: list[str],
                      detokenize("chunk_tokens").alias("chunk_text"))
 
 
+SPAN_TYPE = ("array<struct<chunk_index:int,first_token:int,n_tokens:int,char_start:int,char_end:int,"
+             "chunk_text:string>>")
+
+
+def chunk_spans(df: DataFrame, text_col: str, key_cols: list[str],
+                size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """The windows of ``chunk_text`` with their place in the text.
+
+    ``key_cols, chunk_index, first_token, n_tokens, char_start, char_end,
+    chunk_text``: offsets in code points, the text cut from the original, so
+    its white space stays.  The text from one window's ``char_start`` to the
+    next one's joins to the whole text (up to white space at either end).  One
+    pass over a text, in time linear in it; null texts and texts without words
+    give no rows.
+    """
+    _check(size, overlap)
+    windows = F.pandas_udf(spans.series_spans(size, overlap), SPAN_TYPE)
+    return df.select(*key_cols, F.inline(windows(text_col)))
+
+
 def chunk_counts(df: DataFrame, text_col: str, key_cols: list[str],
                  size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """AG-5 without materialising chunks: one row per input row."""

@@ -1,15 +1,16 @@
-"""Registered model-stage queries (rows-only checks: model output has no SQL oracle).
+"""Registered model-stage queries.
 
-They run the real plans over whole tables with the deterministic stub models
+Model output has no SQL oracle (rows-only checks), its parsing has.  They run the real plans over whole tables with the deterministic stub models
 standing in for hosted services.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from filingflow.functions import text
-from filingflow.operators import model, tallies
+from filingflow.operators import model, quality, tallies
 from filingflow.operators.parallel import by_setting
 from filingflow.plans import proxy_ingest
 from filingflow.plans.catalog import register
@@ -17,6 +18,31 @@ from filingflow.session import materialize
 from filingflow.sources.tables import read_table
 
 
+# Model output of five kinds, by event type: as it should be, cut off, with a field of another type, with
+# fields that nobody asked for, and none at all.
+@register("parsed_model_output", "UD-7", oracle="""
+with o as (select event_id, case event_type when 'view' then props when 'click' then substr(props, 1, 5)
+                  when 'error' then '{"k": "' || event_id || '?"}' when 'purchase' then replace(props, '}', ', "more": [{"k": 1}]}') end as out
+           from events)
+select event_id, case when ok then cast(json_extract(out, '$.k') as bigint) end as k,
+       case when out is null then 'no output' when not ok then 'malformed model output' end as reject_reason
+from (select event_id, out, coalesce(case when json_valid(out) then json_type(out, '$.k') = 'UBIGINT' else false end, false) as ok
+      from o)
+""")
+def parsed_model_output(spark, d):
+    e = read_table(spark, d, "events", "event_id", "event_type", "props")
+    kind = F.col("event_type")
+    out = F.when(kind == "view", F.col("props")).when(kind == "click", F.substring("props", 1, 5)) \
+        .when(kind == "error", F.concat(F.lit('{"k": "'), "event_id", F.lit('?"}'))) \
+        .when(kind == "purchase", F.replace("props", F.lit("}"), F.lit(', "more": [{"k": 1}]}')))
+    src = e.select("event_id", out.alias("model_output"), F.lit(None).cast("string").alias("model_error"))
+    parsed = model.parse_output(src, StructType([StructField("k", LongType())]))
+    tagged = quality.validate(parsed, [("no output", F.col("model_output").isNotNull()),
+                                       ("malformed model output", model.parse_ok())])
+    good = F.col("reject_reason").isNull()
+    return tagged.select("event_id", F.when(good, F.col("parsed.k")).alias("k"), "reject_reason")
+
+
 @register("proxy_questions", "UD-2 UD-4 UD-7 SC-17 SC-19 SRC-11 JN-5 WN-4 AG-2 WN-5")
 def proxy_questions(spark, d):
     docs = by_setting(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"]) \

@@ -81,6 +81,26 @@ def word_chunks(spark, d):
                      F.col("n_tokens").cast("bigint").alias("n_tokens"), "chunk_text")
 
 
+# Pieces are words with the white space behind them, so joined pieces are the text.
+_WS = r" \t\n\x0B\f\r"
+
+
+@register("chunk_spans", "SC-13 WN-5 WN-6", oracle=rf"""
+with t as (select doc_id, regexp_extract_all(text, '[^{_WS}]+[{_WS}]*') as p,
+                  len(regexp_extract(text, '^[{_WS}]*')) as lead from documents),
+s as (select *, unnest(range(0, greatest(1, len(p) - 200), 600)) as st from t where len(p) > 0),
+w as (select doc_id, st, len(list_slice(p, st + 1, st + 800)) as n_tokens,
+             lead + len(array_to_string(list_slice(p, 1, st), '')) as char_start,
+             regexp_replace(array_to_string(list_slice(p, st + 1, st + 800), ''), '[{_WS}]+$', '') as chunk_text from s)
+select doc_id, cast(st // 600 as int) as chunk_index, cast(st as int) as first_token, cast(n_tokens as int) as n_tokens,
+       cast(char_start as int) as char_start, cast(char_start + len(chunk_text) as int) as char_end, chunk_text
+from w
+""")
+def chunk_spans(spark, d):
+    docs = by_setting(read_table(spark, d, "documents", "doc_id", "text"), ["doc_id"])
+    return chunking.chunk_spans(docs, "text", ["doc_id"])
+
+
 @register("chunk_counts", "AG-5 WN-5", oracle=f"""
 select doc_id,
        cast(case when n > 0 then 1 + ceil(greatest(0, n - 800) / 600.0) else 0 end as bigint) as n_chunks
