@@ -36,17 +36,20 @@ QUESTION_PROMPT = ("Extract every proxy voting question from the passages of {co
 def select_proxy_filings(index_rows: DataFrame, year: int | None = None) -> DataFrame:
     """FLT-3 (+ FLT-1 when ``year``): DEF 14A / DEFR14A rows of a normalised index
     ``(cik, accessionNumber, filing_date, form, primaryDocument)``; adds keys.
-    A filing listed on several index pages is kept once."""
+    A filing listed on several index pages is kept once: the row with the latest
+    filing date, then the greatest form and document name."""
     sel = index_rows.where(forms.is_proxy_statement("form"))
     if year is not None:
         sel = sel.where(keys.year_range("filing_date", year))
     cik = keys.pad_cik("cik")
-    return sel.select(
+    rows = sel.select(
         cik.alias("cik"), F.col("accessionNumber").alias("accession_number"),
         F.col("primaryDocument").alias("primary_document"), "filing_date", "form",
         keys.proxy_id(cik, F.col("accessionNumber")).alias("proxy_id"),
-        keys.archive_url(cik, F.col("accessionNumber"), F.col("primaryDocument")).alias("url")) \
-        .dropDuplicates(["proxy_id"])
+        keys.archive_url(cik, F.col("accessionNumber"), F.col("primaryDocument")).alias("url"))
+    cols = ["cik", "accession_number", "primary_document", "filing_date", "form", "url"]
+    last = F.max_by(F.struct(*cols), F.struct("filing_date", "form", "primary_document"))
+    return rows.groupBy("proxy_id").agg(last.alias("_r")).select(*[f"_r.{c}" for c in cols[:-1]], "proxy_id", "_r.url")
 
 
 def new_filings(selected: DataFrame, stored: DataFrame, redo: DataFrame | None = None) -> DataFrame:

@@ -51,8 +51,7 @@ where o_orderdate >= date '1997-01-01' and o_orderdate < date '1998-01-01'
 """)
 def index_filter(spark, d):
     o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
-    cond = keys.year_range("o_orderdate", 1997) & \
-        F.coalesce(F.col("o_orderpriority").rlike(r"(?i)^[12]-(URGENT|HIGH)$"), F.lit(False))
+    cond = keys.year_range("o_orderdate", 1997) & forms.form_matches("o_orderpriority", r"^[12]-(URGENT|HIGH)$")
     return o.where(cond).select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
@@ -121,7 +120,7 @@ select user_id, event_id from (
 def first_match(spark, d):
     e = read_table(spark, d, "events", "event_id", "user_id", "event_type", "ts")
     m = e.where(F.col("event_type") == "purchase")
-    return m.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return ranking.first_per_group(m, ["user_id"], [F.asc("ts"), F.asc("event_id")]).select("user_id", "event_id")
 
 
 @register("explicit_ids_or_top_n", "JN-6 WN-1", oracle="""
@@ -196,9 +195,10 @@ def pending_questions(spark, d):
         F.col("o_orderkey").alias("filing_id"), F.col("c_name").alias("company_name"), F.col("o_orderdate").alias("filing_date"))
     e = read_table(spark, d, "events", "event_id", "user_id", "event_type", "ts")
     done = F.col("event_type").isin("purchase", "click")
-    # a log entry holds for all questions of its filing
+    # a log entry holds for all questions of its filing: the latest per filing first, then its questions
     log = e.select(F.col("user_id").alias("filing_id"), F.when(done, "DONE").otherwise("ERROR").alias("status"),
                    F.struct("ts", "event_id").alias("seq"))
+    log = log.groupBy("filing_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
     log = questions.select("filing_id", "question_id").join(log, "filing_id")
     got = recommendation.pending_questions(questions, filings, log)
     return got.select("filing_id", "question_id", "proxy_question", "status", "company_name", "meeting_date_text")
