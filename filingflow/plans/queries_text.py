@@ -139,12 +139,22 @@ def item507_scan(spark, d):
     return T.add_clean_text(pages, "html").select("page_id", T.mentions_item_507("text").alias("mentions_item_507"))
 
 
-@register("decode_html_bytes", "SC-9", oracle="""
-select page_id, html as text from pages
+# Characters of Windows-1252 by byte; the five bytes without one become replacement characters.
+_SQL_1252 = "[" + ", ".join(f"chr({ord(bytes([b]).decode('windows-1252', errors='replace'))})" for b in range(256)) + "]"
+
+
+# Bytes no UTF-8 text holds stand before a page's own, so the whole page takes the fallback.
+@register("decode_html_bytes", "SC-9", oracle=f"""
+select page_id, html as text, 'caf' || chr(233) || ' ' || chr(8364) || ' ' || page_id || ' ' || coalesce(array_to_string(list_transform(
+         regexp_extract_all(hex(encode(html)), '..'), lambda x: {_SQL_1252}[cast('0x' || x as int) + 1]), ''), '') as text_1252
+from pages
 """)
 def decode_html_bytes(spark, d):
     pages = read_table(spark, d, "pages", "page_id", "html")
-    return pages.select("page_id", T.decode_bytes(F.encode("html", "UTF-8")).alias("text"))
+    own = F.encode("html", "UTF-8")
+    old = F.concat(F.unhex(F.lit("636166E9208020")), F.encode(F.concat(F.col("page_id").cast("string"), F.lit(" ")), "UTF-8"),
+                   F.coalesce(own, F.lit(b"")))
+    return pages.select("page_id", T.decode_bytes(own).alias("text"), T.decode_bytes(old).alias("text_1252"))
 
 
 @register("decode_page_bytes", "SC-9", oracle="""

@@ -171,3 +171,11 @@ def test_every_page_is_decoded_from_its_own_bytes(spark, tmp_path):
     assert len(rows) == 2 * len(pages)
     assert {(r.page_id, r.text) for r in rows if r.variant == "utf-8"} == set(pages)
     assert {(r.page_id, r.text) for r in rows if r.variant == "windows-1252"} == {(i, f"caf\u00e9 \u20ac {i}") for i, _ in pages}
+
+
+def test_every_page_takes_both_ways_of_decoding(spark, tmp_path):
+    from filingflow.plans.queries_text import decode_html_bytes
+    pages = [(1, "a"), (2, "b\u00fc\u20ac\u00cd"), (3, ""), (6, None), (9, "d" * 2000)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = {r.page_id: (r.text, r.text_1252) for r in decode_html_bytes(spark, str(tmp_path)).collect()}
+    assert rows == {i: (h, f"caf\u00e9 \u20ac {i} " + (h or "").encode().decode("windows-1252", "replace")) for i, h in pages}
