@@ -94,9 +94,9 @@ def question_recommendations(spark, d):
     fil = kept.select("filing_id", "company_name", F.lit(None).cast("date").alias("filing_date"),
                       F.pmod(F.xxhash64("company_name"), F.lit(max(n_policies, 1))).alias("policy_id"))
     pending = recommendation.pending_questions(questions, fil)
-    contexts = recommendation.question_contexts(pending, chunks)
-    results, failures = recommendation.recommend(pending, contexts, policies,
-                                                 model.stub_recommendation_model(), max_concurrency=None)
+    passages = recommendation.question_passages(pending, chunks)
+    results, failures = recommendation.recommend(pending, passages, policies, model.stub_recommendation_model(),
+                                                 max_concurrency=None, chunks=chunks)
     status_log = recommendation.status_entries(results, failures, 1)
     return status_log.join(results.select("filing_id", "question_id", "voting_recommendation", "confidence"),
                            ["filing_id", "question_id"], "left") \

@@ -15,6 +15,8 @@ from filingflow.operators import concat, merge, model, quality, retrieval, statu
 from filingflow.session import materialize
 
 REC_K = retrieval.RAG_TOP_K
+#: Questions of one filing that share one row of passage texts.
+TEXT_BLOCK = 256
 RESULT_KEY = ["filing_id", "question_id"]
 RESULT_RULES = {c: merge.REPLACE for c in ("voting_recommendation", "rationale", "citation", "confidence",
                                             "key_facts", "policy_breaches", "updated_at")}
@@ -58,27 +60,55 @@ def policy_texts(rules: DataFrame, policy_col: str = "policy_id") -> DataFrame:
                                  name="policy_rules").select(policy_col, "policy_rules")
 
 
-def question_contexts(pending: DataFrame, chunks: DataFrame, k: int = REC_K) -> DataFrame:
-    """JN-5b + WN-3 + AG-2: context per question from its own filing's chunks,
-    using the question embedding as the query."""
+def question_passages(pending: DataFrame, chunks: DataFrame, k: int = REC_K) -> DataFrame:
+    """JN-5b + WN-3: ``(filing_id, question_id, query_no, passages)``, the k best
+    chunk numbers of each question in its own filing, best first, with the
+    question embedding as the query.  Ids only; ``add_context`` joins the text."""
     # number the questions within their filing: query_no is the join key back
     per_filing = Window.partitionBy("filing_id").orderBy("question_id")
     q = pending.where(F.col("question_embedding").isNotNull()).select(
         "filing_id", F.dense_rank().over(per_filing).alias("query_no"), "question_id",
         F.col("question_embedding").alias("qv"))
     ids = q.select("filing_id", "query_no", "question_id")
-    # ids and scores are ranked; the text joins the k chunks that are left
-    top = retrieval.top_k(chunks, q.drop("question_id"), "filing_id", "chunk_index", k)
-    top = top.join(chunks.select("filing_id", "chunk_index", "chunk_text"), ["filing_id", "chunk_index"])
-    ctx = concat.context_concat(top, ["filing_id", "query_no"], ["rank"], "chunk_text")
-    return ctx.join(ids, ["filing_id", "query_no"]).drop("query_no")
+    top = retrieval.top_k(chunks, q.drop("question_id"), "filing_id", "chunk_index", k).where("chunk_index is not null")
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "chunk_index")))
+    best = top.groupBy("filing_id", "query_no").agg(F.transform(ranked, lambda s: s["chunk_index"]).alias("passages"))
+    return best.join(ids, ["filing_id", "query_no"]).select("filing_id", "question_id", "query_no", "passages")
+
+
+def add_context(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """AG-2: ``rows`` (filing_id, query_no, passages, ...) with ``context``, the
+    passages' texts in order with blank lines between, and ``n_parts``.
+
+    Questions of a filing share most passages: a block of ``TEXT_BLOCK``
+    questions gets each text once, and contexts are put together in the stage
+    that reads them, so none is shuffled.
+    """
+    of = F.floor(F.col("query_no") / TEXT_BLOCK).alias("_block")
+    need = rows.select("filing_id", of, F.explode("passages").alias("chunk_index")).distinct()
+    # a chunk number that occurs again has several texts, in text order
+    texts = chunks.groupBy("filing_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("chunk_text"))).alias("t"))
+    texts = texts.select("filing_id", "chunk_index", F.transform("t", lambda s: s["chunk_text"]).alias("t"))
+    blocks = texts.join(need, ["filing_id", "chunk_index"]).groupBy("filing_id", "_block") \
+        .agg(F.map_from_entries(F.collect_list(F.struct("chunk_index", "t"))).alias("_texts"))
+    parts = F.flatten(F.transform("passages", lambda i: F.element_at("_texts", i)))
+    return rows.withColumn("_block", of).join(blocks, ["filing_id", "_block"], "left").select(
+        *rows.columns, F.array_join(parts, "\n\n").alias("context"), F.size(parts).alias("n_parts"))
+
+
+def question_contexts(pending: DataFrame, chunks: DataFrame, k: int = REC_K) -> DataFrame:
+    """JN-5b + WN-3 + AG-2: context per question from its own filing's chunks,
+    using the question embedding as the query."""
+    return add_context(question_passages(pending, chunks, k), chunks).drop("query_no", "passages")
 
 
 def recommend(pending: DataFrame, contexts: DataFrame, policies: DataFrame, fn: model.ModelFn,
               custom_policy: str | None = None, max_concurrency: int | None = None,
-              store_output: bool = True) -> tuple[DataFrame, DataFrame]:
+              store_output: bool = True, chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """SC-19 + UD-3 + UD-7 + SC-17: ``(results, failures)``.
 
+    ``contexts`` is ``(filing_id, question_id, context)``; with ``chunks`` it is
+    ``question_passages`` and the text joins last, right before the calls.
     ``pending`` carries a ``policy_id`` (the client's voting policy) and
     ``policies`` is ``(policy_id, policy_rules)`` from ``policy_texts`` -- an
     equi-join on a table with one short row per policy, which AQE
@@ -88,9 +118,12 @@ def recommend(pending: DataFrame, contexts: DataFrame, policies: DataFrame, fn:
     output is written once to the checkpoint folder, so results and failures
     come from the same calls and the model is never re-run.
     """
-    src = pending.join(contexts.select("filing_id", "question_id", "context"), RESULT_KEY, "left") \
-        .withColumn("context", F.coalesce("context", F.lit(""))) \
-        .join(policies.select("policy_id", "policy_rules"), "policy_id", "left") \
+    text = ["context"] if chunks is None else ["query_no", "passages"]
+    src = pending.join(contexts.select(*RESULT_KEY, *text), RESULT_KEY, "left") \
+        .join(policies.select("policy_id", "policy_rules"), "policy_id", "left")
+    if chunks is not None:
+        src = add_context(src, chunks)
+    src = src.withColumn("context", F.coalesce("context", F.lit(""))) \
         .withColumn("policy", F.coalesce(keys.first_truthy(F.lit(custom_policy or ""), "policy_rules"),
                                          F.lit("")))
     src = src.withColumn("prompt", F.format_string(

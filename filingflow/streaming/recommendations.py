@@ -55,8 +55,8 @@ def make_handler(questions_dir: str, state_dir: str, filings: DataFrame, chunks:
         retry = stored.join(cur.where(F.col("status") == "ERROR").select(*rec.RESULT_KEY), rec.RESULT_KEY, "left_semi")
         todo = batch.unionByName(retry).dropDuplicates(rec.RESULT_KEY)
         pending = rec.pending_questions(todo, filings, log)
-        contexts = rec.question_contexts(pending, chunks, k)
-        results, failures = rec.recommend(pending, contexts, policies, fn, max_concurrency=None)
+        passages = rec.question_passages(pending, chunks, k)
+        results, failures = rec.recommend(pending, passages, policies, fn, max_concurrency=None, chunks=chunks)
         results.write.mode("overwrite").parquet(os.path.join(state_dir, RESULTS, f"batch_id={batch_id}"))
         rec.status_entries(results, failures, batch_id).drop("seq") \
             .write.mode("overwrite").parquet(logs.log_path(os.path.join(state_dir, STATUS), batch_id))

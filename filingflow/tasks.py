@@ -148,6 +148,6 @@ def recommend_votes(questions: DataFrame, filings: DataFrame, chunks_embedded: D
                     fn: model.ModelFn, status_log: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Recommendations for pending questions: ``(results, status entries)``."""
     pending = recommendation.pending_questions(questions, filings, status_log)
-    contexts = recommendation.question_contexts(pending, chunks_embedded)
-    results, failures = recommendation.recommend(pending, contexts, policies, fn)
+    passages = recommendation.question_passages(pending, chunks_embedded)
+    results, failures = recommendation.recommend(pending, passages, policies, fn, chunks=chunks_embedded)
     return results, recommendation.status_entries(results, failures, 1)

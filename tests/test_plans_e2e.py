@@ -103,3 +103,24 @@ def test_tasks_facade_ingest(spark, tmp_path):
     assert chunks.count() == 2 and rejects.count() == 0
     qs, bad = tasks.extract_ballot_questions(chunks, model.stub_question_model(min_words=9))
     assert qs.count() > 100
+
+
+def test_contexts_are_put_together_behind_the_last_shuffle(spark):
+    """A context repeats most of its filing's text, so no exchange may carry one."""
+    chunks = spark.createDataFrame([(1, i, f"t{i}", [1.0, float(i)]) for i in range(5)] + [(1, 3, "again", [1.0, 3.0])],
+                                   "filing_id long, chunk_index int, chunk_text string, embedding array<float>")
+    asked = [(1, f"q{i:03d}", f"Q{i}", [0.0, 1.0 if i % 2 else -1.0]) for i in range(300)] + [(1, "none", "N", None), (2, "far", "F", [0.0, 1.0])]
+    pending = spark.createDataFrame(asked, "filing_id long, question_id string, proxy_question string, question_embedding array<float>") \
+        .withColumns({"company_name": F.lit("C"), "meeting_date_text": F.lit(None).cast("string"), "policy_id": F.lit(7)})
+    policies = spark.createDataFrame([(7, "R")], "policy_id int, policy_rules string")
+    passages = recommendation.question_passages(pending, chunks, k=3)
+    want = {f"q{i:03d}": "t4" + "\n\nagain\n\nt3" * 2 if i % 2 else "t0\n\nt1\n\nt2" for i in range(300)}
+    got = {r.question_id: (r.context, r.n_parts) for r in recommendation.add_context(passages, chunks).collect()}
+    assert {q: c for q, (c, _) in got.items()} == want and {n for _, n in got.values()} == {3, 5}
+    prompts = recommendation.recommend(pending, passages, policies, lambda pdf: [{"rationale": p, "voting_recommendation": "For", "confidence": 1} for p in pdf["prompt"]],
+                                       store_output=False, chunks=chunks)[0]
+    said = {r.question_id: r.rationale.split("Passages:\n")[1].rsplit("\n\nRecommend", 1)[0] for r in prompts.collect()}
+    assert said == {**want, "none": "", "far": ""}
+    plan = prompts._jdf.queryExecution().sparkPlan().toString()
+    calls = plan[plan.index("MapInPandas"):]
+    assert "_texts" in calls[:calls.index("Join")]  # the join with the texts is the last one
