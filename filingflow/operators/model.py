@@ -58,18 +58,19 @@ def apply_model(df: DataFrame, fn: ModelFn | None, input_cols: list[str], keep_c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model_fn = factory() if factory is not None else fn
         for pdf in batches:
-            inp = pdf[input_cols]
-            outs: list = [None] * len(pdf)
-            errs: list = [None] * len(pdf)
+            # one slice after the other, so that a batch's outputs are never held together
             for lo in range(0, len(pdf), max(call_rows, 1)):
-                hi = min(lo + max(call_rows, 1), len(pdf))
+                part = pdf.iloc[lo:lo + max(call_rows, 1)]
+                inp, n = part[input_cols], len(part)
+                outs: list = [None] * n
+                errs: list = [None] * n
                 try:
-                    res = list(model_fn(inp.iloc[lo:hi]))
-                    if len(res) != hi - lo:
-                        raise ValueError(f"model returned {len(res)} outputs for {hi - lo} rows")
-                    outs[lo:hi] = res
+                    res = list(model_fn(inp))
+                    if len(res) != n:
+                        raise ValueError(f"model returned {len(res)} outputs for {n} rows")
+                    outs = res
                 except Exception:  # noqa: BLE001 -- retry row by row, isolate failures
-                    for i in range(lo, hi):
+                    for i in range(n):
                         for attempt in range(max(retries, 1)):
                             try:
                                 outs[i] = list(model_fn(inp.iloc[i:i + 1]))[0]
@@ -79,11 +80,11 @@ def apply_model(df: DataFrame, fn: ModelFn | None, input_cols: list[str], keep_c
                                 errs[i] = f"{type(e).__name__}: {e}"
                                 if backoff_seconds and attempt + 1 < retries:
                                     time.sleep(backoff_seconds)
-            res_pdf = pdf[keep_cols].copy()
-            # models may hand back parsed objects; store JSON text either way
-            res_pdf[output_col] = [o if o is None or isinstance(o, str) else json.dumps(o) for o in outs]
-            res_pdf[error_col] = errs
-            yield res_pdf
+                res_pdf = part[keep_cols].copy()
+                # models may hand back parsed objects; store JSON text either way
+                res_pdf[output_col] = [o if o is None or isinstance(o, str) else json.dumps(o) for o in outs]
+                res_pdf[error_col] = errs
+                yield res_pdf
 
     return src.mapInPandas(run, out_schema)
 
@@ -105,6 +106,8 @@ def parse_ok(parsed_col: str = "parsed", error_col: str = "model_error") -> Colu
 # Embedders (UD-4)
 
 EMBED_DIM = 64
+#: Text that one call of the embedder splits into words, in characters.
+EMBED_CHARS = 1 << 20
 
 
 def hashing_embedder(dim: int = EMBED_DIM) -> Callable[[pd.Series], pd.Series]:
@@ -112,17 +115,17 @@ def hashing_embedder(dim: int = EMBED_DIM) -> Callable[[pd.Series], pd.Series]:
 
     A stand-in for a hosted embedding model with the same contract (text in,
     unit-length float vector out).  Vectorised per Arrow batch: all words of
-    the batch are hashed in one call (fixed-key SipHash) and binned with one
-    ``bincount``.
+    a slice of the batch are hashed in one call (fixed-key SipHash) and binned with
+    one ``bincount``.
     """
     word = re.compile(r"\w+", re.UNICODE)
 
-    def embed(texts: pd.Series) -> pd.Series:
+    def slice_vectors(texts: list) -> np.ndarray:
         toks = [word.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
         n = len(toks)
         lens = np.fromiter((len(x) for x in toks), dtype=np.int64, count=n)
         if lens.sum() == 0:
-            return pd.Series([np.zeros(dim, dtype=np.float32) for _ in range(n)])
+            return np.zeros((n, dim), dtype=np.float32)
         flat = np.array([w for x in toks for w in x], dtype=object)
         h = pd.util.hash_array(flat, categorize=False)
         rows = np.repeat(np.arange(n, dtype=np.int64), lens)
@@ -130,8 +133,14 @@ def hashing_embedder(dim: int = EMBED_DIM) -> Callable[[pd.Series], pd.Series]:
         sign = np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
         m = np.bincount(rows * dim + bucket, weights=sign, minlength=n * dim).reshape(n, dim)
         norms = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0).astype(np.float32)
-        return pd.Series(list(m))
+        return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0).astype(np.float32)
+
+    def embed(texts: pd.Series) -> pd.Series:
+        # words are many times larger than their text: at most EMBED_CHARS of text at once, whatever the batch
+        texts = list(texts)
+        ends = np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts]) // EMBED_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(texts)] if texts else []
+        return pd.Series([v for lo, hi in zip(cuts, cuts[1:]) for v in slice_vectors(texts[lo:hi])], dtype=object)
     return embed
 
 

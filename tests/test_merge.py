@@ -221,3 +221,21 @@ def test_model_called_in_bounded_slices(spark):
         return [json.dumps({"n": len(pdf)})] * len(pdf)
     out = model.apply_model(df, sized, ["t"], ["id"], call_rows=100).collect()
     assert all(r["model_error"] is None and json.loads(r["model_output"])["n"] <= 100 for r in out)
+
+
+def test_embedder_holds_the_words_of_a_slice_only():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    texts = pd.Series([" ".join(f"w{i % 7}x{j}" for j in range(800)) for i in range(1500)] + [None, "", "x"])
+    embed = model.hashing_embedder()
+    tracemalloc.start()
+    got = embed(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20, peak
+    alone = [embed(texts.iloc[i:i + 1]).iloc[0] for i in (0, 8, 1499, 1500, 1501, 1502)]
+    assert len(got) == len(texts) and all(np.array_equal(a, got.iloc[i]) for a, i in zip(alone, (0, 8, 1499, 1500, 1501, 1502)))
+    assert len(embed(pd.Series([], dtype=object))) == 0
