@@ -24,9 +24,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filingflow.functions import html_tables
 from filingflow.operators import quality, tallies
@@ -40,7 +41,10 @@ KIND_PATTERNS = (
     ("total_votes", r"(?i)\btotal\b"),
 )
 KINDS = tuple(k for k, _ in KIND_PATTERNS)
-ROW_TYPE = "array<struct<table_no:int,row_no:int,resolution:string," + ",".join(f"{k}:string" for k in KINDS) + ">>"
+ROW_TYPE = T.StructType([T.StructField("table_no", T.IntegerType()), T.StructField("row_no", T.IntegerType()),
+                         *(T.StructField(c, T.StringType()) for c in ("resolution", *KINDS))])
+#: Pages whose rows a task holds at once.
+PAGES_AT_ONCE = 500
 _COUNT = r"^[0-9]{1,3}(,[0-9]{3})+$|^[0-9]+$"
 _NOT_REPORTED = r"(?i)^([-‐-―*]+|n\.?/?a\.?|none)?$"
 _NUMBERED = r"(?i)^(?:proposal|item|resolution)\s+(?:no\.?\s*|number\s+)?(\d{1,3}[a-z]?)\b|^(\d{1,2}[a-z]?)[.):]\s"
@@ -68,8 +72,16 @@ def _label_kind(label: str) -> str | None:
 
 def _first_shown(cells: list[str]) -> str | None:
     """The first cell with a count, else the first that reports something."""
-    shown = [c for c in cells if not _not_reported_re.search(_notes_re.sub("", c))]
-    return next((c for c in shown if _is_count(c)), shown[0] if shown else None)
+    first = None
+    for c in cells:
+        if c.isascii() and c.isdigit():
+            return c
+        bare = _notes_re.sub("", c)
+        if not _not_reported_re.search(bare):
+            if _count_re.search(bare):
+                return c
+            first = c if first is None else first
+    return first
 
 
 def vote_rows(page: str) -> list[dict]:
@@ -92,8 +104,22 @@ def vote_rows(page: str) -> list[dict]:
     return out
 
 
-def _series_rows(pages: pd.Series) -> pd.Series:
-    return pd.Series([vote_rows(p) if isinstance(p, str) else None for p in pages], dtype=object)
+def _table_rows(pages: DataFrame, key_cols: list[str], html_col: str) -> DataFrame:
+    """``key_cols`` and the rows of each page's vote tables, column by column."""
+    schema = T.StructType([*pages.select(*key_cols).schema, *ROW_TYPE])
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), PAGES_AT_ONCE):
+                part = batch.slice(lo, PAGES_AT_ONCE)
+                found = [(i, r) for i, p in enumerate(part.column(len(key_cols)).to_pylist()) if isinstance(p, str) for r in vote_rows(p)]
+                at = pa.array([i for i, _ in found], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(at) for c in range(len(key_cols))),
+                     *(pa.array([r[f.name] for _, r in found], pa.int32() if f.name.endswith("_no") else pa.string()) for f in ROW_TYPE)],
+                    schema.names)
+
+    return pages.select(*key_cols, html_col).mapInArrow(run, schema)
 
 
 def tagged_tallies(pages: DataFrame, key_cols: list[str], html_col: str = "html") -> DataFrame:
@@ -102,7 +128,7 @@ def tagged_tallies(pages: DataFrame, key_cols: list[str], html_col: str = "html"
     Totals are computed (AG-6) for those; a reject keeps the counts that were read.
     Null and empty pages and pages without vote tables yield no rows.
     """
-    rows = pages.select(*key_cols, F.inline(F.pandas_udf(_series_rows, ROW_TYPE)(html_col)))
+    rows = _table_rows(pages, key_cols, html_col)
     number = F.concat(F.regexp_extract("resolution", _NUMBERED, 1), F.regexp_extract("resolution", _NUMBERED, 2))
     place = F.concat_ws(".", F.col("table_no") + 1, "row_no")
     typed = rows.select(*key_cols, "table_no", "row_no", F.coalesce(F.nullif(F.lower(number), F.lit("")), place).alias("question_id"),

@@ -184,3 +184,10 @@ def test_older_pages_by_year(spark, tmp_path):
     assert kept(None) == [("1", "later"), ("1", "new"), ("1", "one"), ("2", "one"), ("2", "two")]
     assert kept(2016) == [("1", "new"), ("1", "one"), ("2", "one"), ("2", "two")]
     assert kept(2020) == [("1", "later"), ("1", "new"), ("2", "two")]
+
+
+def test_tags_that_the_whole_tag_pattern_leaves_to_the_scan():
+    grid = lambda page: [t["rows"] for t in page_grids(page)]
+    assert grid("<table><tr><td a=b\"c>1</td x=\">\">2<td colspan = '2' it's>3</table>") == [[["1", "3", "3"]]]
+    assert grid("<table><tr><td a=\"1>x<td>2</table>") == [[["x", "2"]]]
+    assert grid("<table><tr><td/colspan=2>1<th><script>a < b</SCRIPT >2<!-- > --></table>") == [[["1", "1", "2"]]]
