@@ -100,9 +100,9 @@ def job_life_cycle(spark, d):
     orders = read_table(spark, d, "orders", "o_custkey")
     worker = lifecycle.start(spark, base, _counted(orders), tries=2, retry_after=0, processing_time="0 seconds")
     try:
-        n = req.count()
-        while worker.isActive and lifecycle.current(spark, base).where(F.col("status").isin(*lifecycle.FINAL)).count() < n:
-            time.sleep(0.2)
+        n = req.select("id").distinct().count()
+        while worker.isActive and lifecycle.count_final(spark, base) < n:
+            time.sleep(1)
     finally:
         worker.stop()
     if worker.exception():

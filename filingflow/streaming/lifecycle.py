@@ -49,8 +49,6 @@ class LifeCycle(StatefulProcessor):
         self.state = handle.getValueState("item", STATE)
 
     def _change(self, key, status: str, number: int, seq: int, params, created_at, error, now: int, due: int | None) -> Row:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         if due is not None:
             self.handle.registerTimer(due)
         self.state.update((status, number, seq, params, created_at))
@@ -60,16 +58,18 @@ class LifeCycle(StatefulProcessor):
         now = timerValues.getCurrentProcessingTimeInMs()
         # requests first, of several the earliest; then outcomes by try
         for r in sorted(rows, key=lambda r: (r["try"] or 0, str(r["created_at"]), r["params"] or "")):
-            known = self.state.exists()
+            known = self.state.get()
             if r["try"] is None:
-                if not known:
+                if known is None:
                     yield self._change(key, "pending", 0, 1, r["params"], r["created_at"], None, now, now)
                 continue
-            if not known:
+            if known is None:
                 continue
-            status, number, seq, params, created_at = self.state.get()
+            status, number, seq, params, created_at = known
             if status != "running" or number != r["try"]:
                 continue
+            for timer in list(self.handle.listTimers()):  # the lease
+                self.handle.deleteTimer(timer)
             if r["error"] is None:
                 yield self._change(key, "done", number, seq + 1, params, created_at, None, now, None)
             elif number >= self.tries:
@@ -78,6 +78,7 @@ class LifeCycle(StatefulProcessor):
                 yield self._change(key, "error", number, seq + 1, params, created_at, r["error"], now, now + self.retry_after)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # an item has one timer at most, and Spark deletes the one that is due
         now = timerValues.getCurrentProcessingTimeInMs()
         status, number, seq, params, created_at = self.state.get()
         if status == "running" and number >= self.tries:
@@ -110,6 +111,11 @@ def current(spark: SparkSession, base: str) -> DataFrame:
     return st.current_status(changes(spark, base), ["id"], ["seq"], ["status", "try", "params", "created_at", "error", "at_ms"])
 
 
+def count_final(spark: SparkSession, base: str) -> int:
+    """Items that are done or failed: each gets one such row, so nothing is grouped."""
+    return changes(spark, base).where(F.col("status").isin(*FINAL)).count()
+
+
 def results(spark: SparkSession, base: str) -> DataFrame:
     """Result rows of the tries that ended well."""
     done = current(spark, base).where("status = 'done'").select("id", "try")

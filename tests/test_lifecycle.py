@@ -80,3 +80,32 @@ def test_a_batch_that_runs_again_replaces_its_files(spark, tmp_path):
 
     lc.make_handler(base, broken)(rows, 8)
     assert {r.error for r in spark.read.json(f"{base}/outcomes/batch_id=8").collect()} == {"RuntimeError: no model"}
+
+
+def test_a_change_looks_for_timers_only_where_a_lease_can_run():
+    from types import SimpleNamespace as Of
+
+    from pyspark.sql import Row
+
+    calls, held, timers = [], [], set()
+    handle = Of(listTimers=lambda: calls.append("list") or iter(timers), deleteTimer=timers.discard, registerTimer=timers.add)
+    life = lc.LifeCycle(tries=2, retry_after=5, lease=100)
+    life.handle = handle
+    life.state = Of(get=lambda: held[-1] if held else None, update=held.append, exists=lambda: bool(held))
+    at = lambda now: Of(getCurrentProcessingTimeInMs=lambda: now)
+
+    def event(number, error, now):
+        row = Row(id="a", params="p", created_at=None, **{"try": number}, error=error)
+        return [r.status for r in life.handleInputRows(("a",), iter([row]), at(now))]
+
+    def due(now):
+        timer = min(timers)
+        out = [r.status for r in life.handleExpiredTimer(("a",), at(now), None)]
+        timers.discard(timer)  # as Spark does
+        return out
+
+    assert event(None, None, 1) == ["pending"] and timers == {1}
+    assert due(2) == ["running"] and timers == {102} and calls == []
+    assert event(1, "bad", 3) == ["error"] and timers == {8} and calls == ["list"]
+    assert due(9) == ["running"] and timers == {109}
+    assert event(2, None, 10) == ["done"] and timers == set() and calls == ["list"] * 2
