@@ -57,8 +57,8 @@ RANK, MORE, COSINE = 32, 16, 0.6
 WHOLE, PARAPHRASE, OF_ANSWER, LEAST_PARAPHRASE = 0.8, 0.6, 0.8, 10
 EXTRA = 8
 PORTION = 4096
-#: Pairs checked at once; entries of a passages x items or groups x items matrix.
-_PAIRS, _CELLS, _TABLE = 1 << 14, 1 << 21, 1 << 24
+#: Pairs checked at once, and in one step of a check; entries of a passages x items or groups x items matrix.
+_PAIRS, _FEW, _CELLS, _TABLE = 1 << 14, 1 << 11, 1 << 21, 1 << 24
 
 # Words are runs of ASCII letters and digits and of bytes beyond ASCII.
 _GAP = np.ones(256, bool)
@@ -168,6 +168,22 @@ class Items:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((region >= 0) & (self.keys[at] == key), at, len(self.keys))
 
+    def there(self, part: np.ndarray, begin: np.ndarray, end: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The places, as bits, of each part that the vocabulary numbers known[begin:end] fill."""
+        out, mask = np.zeros(len(part), np.uint64), np.append(self.mask[0], np.uint64(0))
+        some = np.flatnonzero(begin < end)
+        for k in range(0, len(some), _FEW):  # as many words as stay in the processor's cache
+            pair = some[k:k + _FEW]
+            n = end[pair] - begin[pair]
+            first = np.cumsum(n) - n
+            word = known[np.arange(n.sum()) + np.repeat(begin[pair] - first, n)]
+            if self.table is not None:
+                place = self.table[word + np.repeat(part[pair] * (len(self.vocabulary) + 1), n)]
+            else:
+                place = self.places_of(np.repeat(part[pair], n), word[:, None])[:, 0]
+            out[pair] = np.bitwise_or.reduceat(mask[place], first)
+        return out
+
     def common(self, kind: int, part: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Lengths of the longest common subsequences of parts (kind 1: their answers) and regions."""
         return common_subsequences(np.append(self.mask[kind], np.uint64(0))[at], self.every[kind][part])
@@ -221,13 +237,16 @@ class _Layout:
         out[self.left[self.two] + 1] += of_passages[self.two]
         return out
 
-    def half_sums(self, word: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Sums by half of ``rows``, one for each of the words numbered ``word`` (ascending)."""
+    def half_sums(self, word: np.ndarray, rows: np.ndarray, number: np.ndarray | None = None) -> np.ndarray:
+        """Sums by half of ``rows``, one for each of the words numbered ``word`` (ascending), or those that ``number`` names."""
         out = np.zeros((int(self.halves.sum()), rows.shape[1]), rows.dtype)
-        if len(word):
-            half = self.half[word]
-            cut = np.flatnonzero(np.append(True, half[1:] != half[:-1]))
-            out[half[cut]] = np.add.reduceat(rows, cut)
+        half = self.half[word]
+        cut = np.flatnonzero(np.append(True, half[1:] != half[:-1])) if len(word) else np.zeros(0, int)
+        count, half = np.diff(np.append(cut, len(word))), half[cut]
+        for j in range(count.max(initial=0)):  # the j-th word of every half, STRIDE at most
+            more = count > j
+            at = cut[more] + j
+            out[half[more]] += rows[at if number is None else number[at]]
         return out
 
 
@@ -284,18 +303,18 @@ def _sketch(shipped):
     def run(batches):
         space, omega = shipped.value
         weighted = space.idf[:, None] * omega
-        g = np.zeros(omega.shape)
+        g = np.zeros(omega.shape[::-1])
         for batch in batches:
             for _, _, buf, offs in blocks(batch.column("text")):
                 lay = _Layout(buf, offs)
                 word, t = space.terms(lay.h)
                 if not len(word):
                     continue
-                y = lay.back(lay.passages(lay.half_sums(word, weighted[t])))
-                order = np.argsort(t, kind="stable")
-                t = t[order]
-                cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                g[t[cut]] += space.idf[t[cut], None] * np.add.reduceat(y[lay.half[word[order]]], cut)
+                y = np.ascontiguousarray(lay.back(lay.passages(lay.half_sums(word, weighted, t))).T, float)
+                half = lay.half[word]
+                for column, sums in zip(y, g):
+                    sums += np.bincount(t, column[half], len(sums))
+        g = g.T * space.idf[:, None]
         some = np.flatnonzero(g.any(1))
         if len(some):
             cuts = pa.array(np.arange(len(some) + 1) * g.shape[1], pa.int32())
@@ -351,7 +370,7 @@ def _leaks(shipped):
 def _leaks_of(lay: _Layout, items: Items, space: Space, z_items: np.ndarray, least: float) -> list[tuple]:
     """(passage, part, cosine, words found, answer found) of a block's leaks."""
     word, t = space.terms(lay.h)
-    z = space.place(lay.passages(lay.half_sums(word, space.coordinates[t])))
+    z = space.place(lay.passages(lay.half_sums(word, space.coordinates, t)))
     number = items.lookup(lay.h)  # among the items' words
     start = lay.first[lay.text] + (lay.left - lay.half_base[lay.text]) * STRIDE
     end = (lay.first + lay.n)[lay.text]
@@ -384,15 +403,11 @@ def _regions(begin: np.ndarray, end: np.ndarray, number: np.ndarray) -> np.ndarr
 
 def _paraphrases(passage, part, number, start, first, end, items: Items) -> list[tuple]:
     """Candidates of which a run of twice the part's words holds enough of it in order."""
-    mask = np.append(items.mask[0], np.uint64(0))
     at = np.flatnonzero(number >= 0)  # other words match nothing
-    known = np.append(number[at], -1)
+    known = number[at]
 
     def possible(p, begin, end):  # words that are there at all bound those in order
-        begin, end, there = np.searchsorted(at, begin), np.searchsorted(at, end), np.zeros(len(p), np.uint64)
-        for j in range((end - begin).max(initial=0)):
-            word = known[np.where(begin + j < end, begin + j, len(at))]
-            there |= mask[items.places_of(p, word[:, None])[:, 0]]
+        there = items.there(p, np.searchsorted(at, begin), np.searchsorted(at, end), known)
         answer = np.bitwise_count(there & items.every[1][p])
         return np.flatnonzero((np.bitwise_count(there) >= PARAPHRASE * items.words[p]) & (answer >= OF_ANSWER * items.answers[p]))
 

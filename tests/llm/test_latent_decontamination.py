@@ -197,3 +197,30 @@ def test_all_windows_with_most_words_in_order_are_found(spark):
             want |= {(d, p.item_id) for p, x in zip(parts, found) if x >= ld.WHOLE}
     got = ld.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), "doc_id", "text").collect()
     assert len(want) > 30 and want == {(r.doc_id, r.item_id) for r in got if r.words_found >= ld.WHOLE}
+
+
+def test_places_that_words_fill_equal_a_loop(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(ld, "_FEW", 7)
+    parts = ld.parts_of([(i, " ".join(f"w{k}" for k in rng.integers(0, 40, rng.integers(5, 30)))) for i in range(12)])
+    items = ld.Items(parts)
+    known = rng.integers(0, len(items.vocabulary), 300)
+    part, begin = rng.integers(0, len(parts), 60), rng.integers(0, 300, 60)
+    end = np.minimum(300, begin + rng.integers(0, 25, 60))
+    want = [sum(1 << k for k, h in enumerate(parts[p].h) if h in items.vocabulary[known[a:b]]) for p, a, b in zip(part, begin, end)]
+    assert want == items.there(part, begin, end, known).tolist()
+    items.table = None
+    assert want == items.there(part, begin, end, known).tolist()
+    assert items.there(part[:0], begin[:0], end[:0], known).tolist() == []
+
+
+def test_sums_by_half_take_rows_by_number():
+    rng = np.random.default_rng(7)
+    texts = [b" ".join(b"w%d" % k for k in rng.integers(0, 50, n)) for n in (0, 1, 31, 32, 33, 200)]
+    lay = ld._Layout(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    word = np.flatnonzero(rng.random(len(lay.h)) < 0.6)
+    table, number = rng.normal(size=(9, 4)), rng.integers(0, 9, len(word))
+    want = np.zeros((int(lay.halves.sum()), 4))
+    np.add.at(want, lay.half[word], table[number])
+    assert np.allclose(lay.half_sums(word, table, number), want) and np.allclose(lay.half_sums(word, table[number]), want)
+    assert not lay.half_sums(word[:0], table, number[:0]).any()
