@@ -355,7 +355,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     # 2. whole contexts
     order = F.xxhash64("key", "tag", "at")
     kinds = scratch.put(shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(order).alias("first")), "kinds")
-    covered = shared.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"])
+    covered = shared.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
     anchor, before = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF)
     covered = covered.select("key", "tag", (anchor - before).alias("start"), (anchor - F.col("at").bitwiseAND(0xFFFF) + length).alias("end"))
     # 3. contexts of anchors that have several

@@ -96,3 +96,17 @@ def test_suffix_groups_and_prefixes():
         for p in range(len(buf)):
             q = suffix[sa[rank[p] - 1]] if rank[p] else b""
             assert shared[p] == next((i for i, (x, y) in enumerate(zip(suffix[p], q)) if x != y), min(len(suffix[p]), len(q)))
+
+
+def test_repeated_contexts_are_looked_up_by_a_semi_join(spark, monkeypatch):
+    """A row of a context that many texts share is kept once; no join can multiply it by the context's other rows."""
+    plans, put = {}, sd.Scratch.put
+
+    def spy(self, df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return put(self, df, label)
+    monkeypatch.setattr(sd.Scratch, "put", spy)
+    passage = "the same words in every text of a group, over and over"
+    compare(spark, [f"{i * 7919:012d} {passage} {i * 104729:012d}" for i in range(50)], 40, 12)
+    joins = [line for line in plans["found"].splitlines() if "Join" in line and "context" in line]
+    assert joins and all("LeftSemi" in line for line in joins)
