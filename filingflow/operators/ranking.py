@@ -45,8 +45,9 @@ def explicit_ids_or_top_n(requests: DataFrame, candidates: DataFrame, explicit:
 
 
 def top_n_varying(candidates: DataFrame, requests: DataFrame, key_cols: list[str],
-                  order: list[Column], n_col: str = "n", rank_col: str = "rank") -> DataFrame:
-    """Top ``n`` candidates per key where ``n`` comes from each request row.
+                  order: list[Column], n_col: str = "n", rank_col: str = "rank", first_of: str | None = None) -> DataFrame:
+    """Top ``n`` candidates per key where ``n`` comes from each request row; with ``first_of``,
+    by which ``order`` must begin, only those that have the least value of their key.
 
     The largest requested n (one number from the small request table) is a
     static bound, so the ranking gets a partial ``WindowGroupLimit`` before
@@ -58,6 +59,9 @@ def top_n_varying(candidates: DataFrame, requests: DataFrame, key_cols: list[str
         return candidates.join(requests, key_cols).withColumn(rank_col, F.lit(None).cast("int")) \
             .where(F.lit(False))
     ranked = top_n_per_group(candidates, key_cols, order, int(max_n), rank_col)
+    if first_of:  # the best candidate has it
+        least = F.min(first_of).over(Window.partitionBy(*key_cols))
+        ranked = ranked.withColumn("_least", least).where(F.col(first_of) == F.col("_least")).drop("_least")
     return ranked.join(requests, key_cols).where(F.col(rank_col) <= F.col(n_col))
 
 

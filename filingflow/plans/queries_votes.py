@@ -87,21 +87,22 @@ bad as (
 
 def _feed_and_requests(spark, d):
     """Feed files (written as JSON lines, then read as feeds) and one request per customer and range of orders."""
-    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    page = F.expr("o_orderkey div 4000")
-    m = o.groupBy("o_custkey", page.alias("page_no")).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderdate"))),
-        lambda x: F.struct(x["o_orderkey"].cast("string").alias("meetingId"),
-                           F.date_format(x["o_orderdate"], "yyyy-MM-dd").alias("meetingDate"))).alias("meetings"))
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate").withColumn("page_no", F.expr("o_orderkey div 4000"))
     ticker = F.concat(F.lit("T"), F.expr("o_custkey div 4"), F.lit("-"), "page_no")
     isin = F.concat(F.lit("I"), F.expr("o_custkey div 2"))
-    feed = m.groupBy(ticker.alias("ticker")).agg(F.transform(
+    # dealt by ticker, which customer and page determine: both groupings need no other shuffle
+    lines = o.select(ticker.alias("ticker"), "o_custkey", "page_no", F.struct(
+        "o_orderkey", "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).alias("line")).repartition("ticker")
+    m = lines.groupBy("ticker", "o_custkey", "page_no").agg(F.transform(
+        F.sort_array(F.collect_list("line")),
+        lambda x: F.struct(x["o_orderkey"].cast("string").alias("meetingId"), x["day"].alias("meetingDate"))).alias("meetings"))
+    feed = m.groupBy("ticker").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("o_custkey", isin.alias("isin"), "meetings"))),
         lambda x: F.struct(x["isin"].alias("isin"), x["meetings"].alias("meetings"))).alias("companies"))
     path = scratch_path(spark, "meeting-feeds")
     feed.write.json(path)
     c = read_table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    r = o.select("o_custkey", page.alias("page_no")).distinct().join(c, F.col("o_custkey") == F.col("c_custkey"))
+    r = o.select("o_custkey", "page_no").distinct().join(c, F.col("o_custkey") == F.col("c_custkey"))
     seg = F.col("c_mktsegment")
     requests = r.select(
         F.concat_ws("-", "o_custkey", "page_no").alias("request_id"), "o_custkey", "page_no", "c_mktsegment",
@@ -157,8 +158,9 @@ select request_id, null, null, reason from bad
 def meeting_documents(spark, d):
     feed, requests = _feed_and_requests(spark, d)
     o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    urgent = o.where(F.col("o_orderpriority") == "1-URGENT").groupBy("o_custkey", F.expr("o_orderkey div 4000").alias("page_no")) \
-        .agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("ids"))
+    asking = read_table(spark, d, "customer", "c_custkey", "c_mktsegment").where(F.col("c_mktsegment") == "AUTOMOBILE")
+    urgent = o.where(F.col("o_orderpriority") == "1-URGENT").join(asking, F.col("o_custkey") == F.col("c_custkey"), "left_semi") \
+        .groupBy("o_custkey", F.expr("o_orderkey div 4000").alias("page_no")).agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("ids"))
     requests = requests.join(urgent, ["o_custkey", "page_no"], "left").select(
         "request_id", "ticker", "isin", "n", F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.col("ids")).alias("meeting_ids"))
     key = F.col("o_orderkey").cast("string")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from filingflow.operators import quality, ranking
+from filingflow.session import materialize
 
 # Default number of meetings per security.
 DEFAULT_MEETINGS = 5
@@ -51,18 +52,29 @@ def read_meeting_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """FLT-11 + Q18: isin and ticker required, n >= 1 when given."""
+    """FLT-11 + Q18: isin and ticker required, n >= 1 when given.  Stored once, as both sides are read several times."""
     n_ok = F.col("n").isNull() | (F.col("n") >= 1) if "n" in requests.columns else F.lit(True)
     tagged = quality.validate(requests, [("isin is required", quality.present("isin")),
                                          ("ticker is required", quality.present("ticker")),
                                          ("n must be at least 1", n_ok)])
-    return quality.split(tagged)
+    return quality.split(materialize(tagged, "meeting-requests"))
 
 
-def _first_company(rows: DataFrame) -> DataFrame:
-    """WN-2: per (ticker, isin) only the first company in feed order."""
-    first = rows.groupBy("ticker", "isin").agg(F.min("company_pos").alias("company_pos"))
-    return rows.join(first, ["ticker", "isin", "company_pos"], "left_semi")
+def _newest(requests: DataFrame, rows: DataFrame, default_n: int) -> tuple[DataFrame, DataFrame]:
+    """The newest ``n`` meetings per request (WN-1), stored once, and the requests without any.
+
+    WN-2: per (ticker, isin) only the first company in feed order counts; its rows come first in
+    the ranking, those without a meeting after the others, so one pass over the feed is enough.
+    """
+    req = requests.withColumn("n", F.coalesce(F.col("n"), F.lit(default_n))) if "n" in requests.columns \
+        else requests.withColumn("n", F.lit(default_n))
+    no_meeting = F.col("meeting_id").isNull()
+    top = ranking.top_n_varying(rows, req.select("request_id", "ticker", "isin", "n"), ["ticker", "isin"],
+                                [F.asc("company_pos"), no_meeting.asc(), F.desc("meeting_date"), F.asc("meeting_pos")],
+                                first_of="company_pos").where(~no_meeting) \
+        .select("request_id", "ticker", "isin", "meeting_id", "meeting_date", "rank")
+    top = materialize(top, "meetings-listed")
+    return top, quality.diagnostics(req, top, ["request_id"], F.lit(None).cast("string")).drop("reason")
 
 
 def list_meetings(requests: DataFrame, rows: DataFrame, default_n: int = DEFAULT_MEETINGS
@@ -73,16 +85,9 @@ def list_meetings(requests: DataFrame, rows: DataFrame, default_n: int = DEFAULT
     ``(meetings, diagnostics)``; a request without meetings gets a reason
     (ticker unknown / ticker known but ISIN not in its feed).
     """
-    req = requests.withColumn("n", F.coalesce(F.col("n"), F.lit(default_n))) if "n" in requests.columns \
-        else requests.withColumn("n", F.lit(default_n))
-    m = _first_company(rows).where(F.col("meeting_id").isNotNull())
-    top = ranking.top_n_varying(m, req.select("request_id", "ticker", "isin", "n"), ["ticker", "isin"],
-                                [F.desc("meeting_date"), F.asc("meeting_pos")]) \
-        .select("request_id", "ticker", "isin", "meeting_id", "meeting_date", "rank")
+    top, miss = _newest(requests, rows, default_n)
     known = rows.select("ticker").distinct().withColumn("_known", F.lit(True))
-    miss = quality.diagnostics(req, top, ["request_id"], F.lit(None).cast("string")).drop("reason") \
-        .join(known, "ticker", "left")
-    diag = miss.select("request_id", "ticker", "isin", F.when(F.col("_known"), F.format_string(
+    diag = miss.join(known, "ticker", "left").select("request_id", "ticker", "isin", F.when(F.col("_known"), F.format_string(
         "No company of ticker '%s' has the ISIN '%s'", F.col("ticker"), F.col("isin")))
         .otherwise(F.format_string("No feed for ticker '%s'", F.col("ticker"))).alias("reason"))
     return top, diag
@@ -96,21 +101,22 @@ def select_meetings(requests: DataFrame, rows: DataFrame, default_n: int = DEFAU
     has_ids = F.coalesce(F.size("meeting_ids") > 0, F.lit(False))
     explicit = requests.where(has_ids).select("request_id", "ticker", "isin",
                                                F.explode("meeting_ids").alias("meeting_id"))
-    listed, diag = list_meetings(requests.where(~has_ids).drop("meeting_ids"), rows, default_n)
+    listed, miss = _newest(requests.where(~has_ids).drop("meeting_ids"), rows, default_n)
     chosen = explicit.unionByName(listed.select("request_id", "ticker", "isin", "meeting_id"))
-    return chosen, diag.withColumn("reason", F.lit("no meetings found"))
+    return chosen, miss.select("request_id", "ticker", "isin", F.lit("no meetings found").alias("reason"))
 
 
 def fetch_documents(chosen: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JN-7 + FLT-10: attach payloads; missing ones and those that say "Not
-    found" with status "warning" go to rejects, other warnings are kept."""
+    found" with status "warning" go to rejects, other warnings are kept.  The join is stored
+    once for both."""
     j = chosen.join(documents, "meeting_id", "left")
     absent = (F.get_json_object("payload", "$.status") == "warning") & (F.get_json_object("payload", "$.message") == "Not found")
     tagged = quality.validate(j, [
         ("document missing", F.col("payload").isNotNull()),
         ("not found / warning payload", ~F.coalesce(absent, F.lit(False))),
     ])
-    return quality.split(tagged)
+    return quality.split(materialize(tagged, "meeting-documents"))
 
 
 def write_documents(docs: DataFrame, base: str) -> None:
