@@ -240,13 +240,11 @@ class _Layout:
     def half_sums(self, word: np.ndarray, rows: np.ndarray, number: np.ndarray | None = None) -> np.ndarray:
         """Sums by half of ``rows``, one for each of the words numbered ``word`` (ascending), or those that ``number`` names."""
         out = np.zeros((int(self.halves.sum()), rows.shape[1]), rows.dtype)
-        half = self.half[word]
-        cut = np.flatnonzero(np.append(True, half[1:] != half[:-1])) if len(word) else np.zeros(0, int)
-        count, half = np.diff(np.append(cut, len(word))), half[cut]
-        for j in range(count.max(initial=0)):  # the j-th word of every half, STRIDE at most
-            more = count > j
-            at = cut[more] + j
-            out[half[more]] += rows[at if number is None else number[at]]
+        if len(word):
+            half = self.half[word]
+            cut = np.flatnonzero(np.append(True, half[1:] != half[:-1]))
+            for sums, column in zip(out.T, rows.T):  # a column at a time stays in the processor's cache
+                sums[half[cut]] = np.add.reduceat(column if number is None else column[number], cut)
         return out
 
 
@@ -302,7 +300,7 @@ def _counts(batches):
 def _sketch(shipped):
     def run(batches):
         space, omega = shipped.value
-        weighted = space.idf[:, None] * omega
+        weighted = np.asfortranarray(space.idf[:, None] * omega)
         g = np.zeros(omega.shape[::-1])
         for batch in batches:
             for _, _, buf, offs in blocks(batch.column("text")):
@@ -310,11 +308,13 @@ def _sketch(shipped):
                 word, t = space.terms(lay.h)
                 if not len(word):
                     continue
-                y = np.ascontiguousarray(lay.back(lay.passages(lay.half_sums(word, weighted, t))).T, float)
-                half = lay.half[word]
-                for column, sums in zip(y, g):
-                    sums += np.bincount(t, column[half], len(sums))
-        g = g.T * space.idf[:, None]
+                y = np.asfortranarray(lay.back(lay.passages(lay.half_sums(word, weighted, t))))
+                order = np.argsort(t, kind="stable")
+                half, t = lay.half[word[order]], t[order]
+                cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+                for sums, column in zip(g, y.T):
+                    sums[t[cut]] += space.idf[t[cut]] * np.add.reduceat(column[half], cut)
+        g = g.T
         some = np.flatnonzero(g.any(1))
         if len(some):
             cuts = pa.array(np.arange(len(some) + 1) * g.shape[1], pa.int32())
@@ -349,7 +349,7 @@ def fit(texts: DataFrame, scratch: Scratch) -> Space:
     g = np.zeros(omega.shape)
     g[sums["term"].to_numpy()] = sums["g"].combine_chunks().flatten().to_numpy().reshape(-1, omega.shape[1])
     vectors, size = leading(g, omega.astype(float), RANK)
-    space.coordinates = (space.idf[:, None] * vectors / size).astype(np.float32)
+    space.coordinates = np.asfortranarray((space.idf[:, None] * vectors / size).astype(np.float32))
     return space
 
 
