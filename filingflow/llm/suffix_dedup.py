@@ -7,8 +7,10 @@ never cross texts, and all are judged on the input.
 1. Anchors.  The anchor of a window is its leftmost ``GRAM``-byte string of
    least hash, so equal windows have equal anchors at equal offsets.  The
    windows of one anchor are consecutive; together they span the anchor's
-   context.  About one position in 70 is an anchor.  Only anchors whose string
-   occurs twice go on, found by grouped counts; no window is lost.
+   context.  About one position in 70 is an anchor.  Contexts that occur again
+   in the same block of texts are repeated in full; their spans are known at
+   once, and one of each goes on with the number of its copies.  Only anchors
+   whose string occurs twice go on, found by grouped sums; no window is lost.
 2. Contexts that occur twice, as whole byte strings, are repeated in full.  One
    of each is kept as a partner for contexts with the same anchor that occur once.
 3. Shards of such contexts, all of an anchor in one shard, get a suffix array
@@ -79,15 +81,39 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
     return np.searchsorted(offs, s0, "right") - 1, h[p], context, p, s0, s1
 
 
+_ANCHOR_OUT = "key long, tag int, gram long, context long, at long, copies long, start long, end long"
+
+
+def _copies(gram: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """How often each context of an anchor occurs, at its first place; 0 at the others."""
+    order = np.lexsort((context, gram))  # stable
+    new = np.ones(len(order), bool)
+    new[1:] = (gram[order[1:]] != gram[order[:-1]]) | (context[order[1:]] != context[order[:-1]])
+    first = np.flatnonzero(new)
+    copies = np.zeros(len(order), np.int64)
+    copies[order[first]] = np.diff(np.append(first, len(order)))
+    return copies
+
+
 def _anchor_rows(length: int, gram: int):
+    """The first place of every context of a block with the number of its copies there, and the spans of the other places."""
     def run(batches):
         for batch in batches:
             for a, b, buf, offs in blocks(batch.column("text")):
                 text, g, c, p, s0, s1 = anchors(buf, offs, length, gram)
-                row = pa.array(text + a)
-                at = (p - offs[text]) << 32 | (p - s0) << 16 | (p - s1)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(row), batch.column("tag").take(row), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(at)],
-                                                 ["key", "tag", "gram", "context", "at"])
+                copies = _copies(g, c)
+                one, more = np.flatnonzero(copies), np.flatnonzero(copies == 0)
+                row, nothing = pa.array(text[one] + a), pa.nulls(len(one), pa.int64())
+                at = ((p - offs[text]) << 32 | (p - s0) << 16 | (p - s1))[one]
+                names = ["key", "tag", "gram", "context", "at", "copies", "start", "end"]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(row), batch.column("tag").take(row), pa.array(g[one].view(np.int64)), pa.array(c[one].view(np.int64)), pa.array(at), pa.array(copies[one]), nothing, nothing], names)
+                if len(more):
+                    text, start, end = text[more], s0[more] - offs[text[more]], s1[more] + length - offs[text[more]]
+                    new = np.ones(len(more), bool)
+                    new[1:] = (text[1:] != text[:-1]) | (start[1:] > end[:-1])  # spans that meet are one
+                    first = np.flatnonzero(new)
+                    row, nothing = pa.array(text[first] + a), pa.nulls(len(first), pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(row), batch.column("tag").take(row), nothing, nothing, nothing, nothing, pa.array(start[first]), pa.array(end[np.append(first[1:], len(more)) - 1])], names)
     return run
 
 
@@ -347,14 +373,16 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     keyed = df.withColumns({"__key": F.xxhash64(F.col(id_col), text), "__tag": F.hash(text)})
     source = keyed.select(F.col("__key").alias("key"), F.col("__tag").alias("tag"), text.alias("text"))
     # 1. anchors that occur twice
-    all_anchors = scratch.put(source.mapInArrow(_anchor_rows(length, gram), "key long, tag int, gram long, context long, at long"), "anchors")
+    made = scratch.put(source.mapInArrow(_anchor_rows(length, gram), _ANCHOR_OUT), "anchors")
+    again = scratch.put(made.where("start is not null").select("key", "tag", "start", "end"), "again")
+    all_anchors = made.where("start is null").drop("start", "end")
     # written, so that the join below reads two plain shuffles and Spark can split a hot anchor
-    twice = scratch.put(all_anchors.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram"), "twice")
+    twice = scratch.put(all_anchors.groupBy("gram").agg(F.sum("copies").alias("times")).where("times > 1").select("gram"), "twice")
     shared = scratch.put(all_anchors.join(twice, "gram"), "shared")
     scratch.drop("anchors", "twice")
     # 2. whole contexts
     order = F.xxhash64("key", "tag", "at")
-    kinds = scratch.put(shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(order).alias("first")), "kinds")
+    kinds = scratch.put(shared.groupBy("gram", "context").agg(F.sum("copies").alias("n"), F.min(order).alias("first")), "kinds")
     covered = shared.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
     anchor, before = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF)
     covered = covered.select("key", "tag", (anchor - before).alias("start"), (anchor - F.col("at").bitwiseAND(0xFFFF) + length).alias("end"))
@@ -382,7 +410,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     buckets = _rounded(windows.count() / 500_000)
     across = windows.withColumn("bucket", F.pmod("h1", F.lit(buckets))).groupBy("bucket").applyInArrow(_merge(length), "key long, tag int, start long, end long")
     # removal
-    found = covered.unionByName(within).unionByName(across).groupBy("key", "tag").agg(F.collect_list(F.struct("start", "end")).alias("__found"))
+    found = again.unionByName(covered).unionByName(within).unionByName(across).groupBy("key", "tag").agg(F.collect_list(F.struct("start", "end")).alias("__found"))
     found = scratch.put(found.withColumnsRenamed({"key": "__of", "tag": "__of_tag"}), "found")
     keep = [f for f in df.schema.fields if f.name not in (text_col, "kept_bytes", "spans", "n_bytes")]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -390,7 +418,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     names = [f.name for f in keep]
     joined = keyed.join(found, (F.col("__key") == F.col("__of")) & (F.col("__tag") == F.col("__of_tag")), "left").select(*names, text.alias("__text"), "__found")
     out = joined.mapInArrow(_cut(names, characters), schema)
-    scratch.drop("shared", "kinds", "several", "contexts", "local", "windows")
+    scratch.drop("again", "shared", "kinds", "several", "contexts", "local", "windows")
     return out
 
 

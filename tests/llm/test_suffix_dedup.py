@@ -110,3 +110,21 @@ def test_repeated_contexts_are_looked_up_by_a_semi_join(spark, monkeypatch):
     compare(spark, [f"{i * 7919:012d} {passage} {i * 104729:012d}" for i in range(50)], 40, 12)
     joins = [line for line in plans["found"].splitlines() if "Join" in line and "context" in line]
     assert joins and all("LeftSemi" in line for line in joins)
+
+
+def test_contexts_of_one_block_go_on_once(spark, monkeypatch):
+    """However often a passage stands in a block of texts, one row of each of its contexts meets the other blocks."""
+    rows, put = {}, sd.Scratch.put
+
+    def spy(self, df, label):
+        got = put(self, df, label)
+        if label in ("shared", "again"):
+            rows[label] = got.collect()
+        return got
+    monkeypatch.setattr(sd.Scratch, "put", spy)
+    passage = "the same words in every text of a group, over and over. "
+    for texts in ([f"{i * 7919:012d} {passage} {i * 104729:012d}" for i in range(200)], [passage * 30, "-" + passage * 30, passage * 3, passage[5:50], None], [passage * 2] * 40):
+        compare(spark, texts, 40, 12)
+        most = Counter((r.gram, r.context) for r in rows["shared"])
+        assert max(most.values()) <= 4  # the partitions, each of one block
+        assert len(rows["again"]) <= len(texts)
