@@ -110,7 +110,7 @@ def fit(sample: np.ndarray, vectors: int, k: int) -> Hashes:
         probes, most = 8, 0
         while most < MAX_PROBES:
             seen = hashes.visits(slots, probes)
-            hit = np.array([[any(keys[v, t] in seen_q[t] for t in range(hashes.tables)) for v in row] for row, seen_q in zip(true, [[set(x) for x in q.tolist()] for q in seen])])
+            hit = np.array([np.any([np.isin(keys[row, t], seen_q[t]) for t in range(hashes.tables)], 0) for row, seen_q in zip(true, seen)])
             hashes.probes = most = probes
             if hit.mean() >= RECALL:
                 return hashes
@@ -160,6 +160,27 @@ def _rerank(keep: int):
     return run
 
 
+def _sample(classes: DataFrame, n: int) -> np.ndarray:
+    """The vectors of the ``SAMPLE`` first of ``n`` classes by hash.
+
+    Each task sends as many candidates as are wanted in all, so only hashes
+    below twice the share wanted are asked for.
+    """
+    order = F.xxhash64("cid")
+    below = classes.where(order <= -(1 << 63) + min((1 << 64) - 1, (1 << 65) * SAMPLE // max(1, n)))
+    for some in (below, classes):  # all, if hashes are so uneven that too few are below
+        rows = some.orderBy(order, "cid").limit(SAMPLE).select("vec").collect()
+        if len(rows) >= min(SAMPLE, n):
+            break
+    return np.array([r.vec for r in rows], float)
+
+
+def _join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """By shuffle and merge: a broadcast goes whole through the driver, and Spark
+    takes a side's size from its files or, behind Python, from the rows read."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def nearest(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of the nearest found to each row for which ``is_query`` (of the column ``id``) holds."""
     scratch = Scratch(df.sparkSession, "nearest")
@@ -175,11 +196,10 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int =
     least = rows.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= k + 1)
     classes = least.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # at most k + 1 a class
     classes = scratch.put(classes.select(F.col("ids")[0].alias("cid"), "vec", "ids"), "classes")
-    asked = scratch.put(rows.where(is_query).join(classes, "vec").select("id", "cid"), "asked")
-    asking = scratch.put(classes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "vec"), "asking")
+    asked = scratch.put(_join(rows.where(is_query), classes, "vec").select("id", "cid"), "asked")
+    asking = scratch.put(_join(classes, asked.select("cid").distinct(), "cid", "left_semi").select("cid", "vec"), "asking")
     n, n_asking = classes.count(), asking.count()
-    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("vec").collect()
-    hashes = fit(np.array([r.vec for r in sample], float), n, k)
+    hashes = fit(_sample(classes, n), n, k)
     shipped = df.sparkSession.sparkContext.broadcast(hashes)  # TABLES * k * dimension numbers
     blocks, parts = max(1, math.ceil(n_asking / BLOCK)), max(1, math.ceil(n / PART))
 
@@ -188,14 +208,14 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int =
 
     index = classes.select("cid", "vec").mapInArrow(_emit(shipped, False), "cid long, key long")
     probes = asking.mapInArrow(_emit(shipped, True), "cid long, key long").groupBy("key", block("cid")).agg(F.collect_set("cid").alias("qs"))
-    hits = index.join(probes, "key").groupBy("cid", "block").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
+    hits = _join(index, probes, "key").groupBy("cid", "block").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
     part = F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(parts)).cast("int").alias("part")
-    left = hits.join(classes.select("cid", "vec"), "cid").select("block", part, "cid", "vec", "qs")
+    left = _join(hits, classes.select("cid", "vec"), "cid").select("block", part, "cid", "vec", "qs")
     right = asking.select(block("cid"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("cid").alias("q"), "vec")
     best = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_rerank(k + 1), "q long, cid long, score double")
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "cid"))).where(F.col("r") <= k + 1)
-    best = best.join(classes.select("cid", "ids"), "cid").select("q", "score", "ids")
-    pairs = best.join(asked.select(F.col("id").alias("query_id"), F.col("cid").alias("q")), "q").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    best = _join(best, classes.select("cid", "ids"), "cid").select("q", "score", "ids")
+    pairs = _join(best, asked.select(F.col("id").alias("query_id"), F.col("cid").alias("q")), "q").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     out = scratch.put(pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "out")
     scratch.drop("rows", "classes", "asked", "asking")

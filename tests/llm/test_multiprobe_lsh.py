@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -88,3 +89,59 @@ def test_fit_lowers_the_functions_until_the_recall_holds(monkeypatch):
     monkeypatch.setattr(lsh, "RECALL", 1.1)
     with pytest.raises(ValueError):
         lsh.fit(sample, 100, 10)
+
+
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """Python's rows are estimated from those read: 300 rows look small enough for a broadcast, their 20 tables of probes need not be."""
+    plans = []
+
+    class Noted(lsh.Scratch):
+        def put(self, df, label):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().put(df, label)
+
+    monkeypatch.setattr(lsh, "Scratch", Noted)
+    x = np.random.default_rng(8).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = lsh.nearest(df, "vec_id", "embedding", F.col("id") % 3 == 0, 5)
+    assert got.count() == 500
+    assert "SortMergeJoin" in " ".join(plans) and "Broadcast" not in " ".join(plans)
+
+
+def test_sample_is_the_first_by_hash_and_few_rows_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "SAMPLE", 40)
+    n = 4000
+    classes = spark.range(n).select(F.col("id").alias("cid"), F.array(F.col("id").cast("float")).alias("vec"))
+    want = [[float(r.cid)] for r in classes.orderBy(F.xxhash64("cid"), "cid").limit(40).collect()]
+    sent = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            sent.add(batch.num_rows)
+            yield batch
+
+    frame, order = type(classes), type(classes).orderBy
+    monkeypatch.setattr(frame, "orderBy", lambda self, *by: order(self.mapInArrow(counted, self.schema), *by))
+    assert lsh._sample(classes, n).tolist() == want
+    assert 40 <= sent.value <= 200
+    assert len(lsh._sample(classes.limit(10), 10)) == 10
+    # fewer below the bound than wanted: all are asked
+    assert lsh._sample(classes, 10**9).tolist() == want
+
+
+def test_fit_keeps_no_python_object_for_each_key(monkeypatch):
+    sample = np.random.default_rng(9).normal(size=(200, 8))
+    visits = lsh.Hashes.visits
+
+    def late(self, slots, probes):  # nothing is found before 1,500 probes, as in a large table
+        if probes >= 1500:
+            return np.concatenate([visits(self, slots, 60), np.arange(probes - 60) + np.zeros((len(slots), self.tables, 1), np.int64)], 2)
+        return np.arange(probes + 1) + np.zeros((len(slots), self.tables, 1), np.int64)
+
+    monkeypatch.setattr(lsh.Hashes, "visits", late)
+    monkeypatch.setattr(lsh, "RECALL", 0.5)
+    tracemalloc.start()
+    hashes = lsh.fit(sample, 10**4, 10)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert hashes.probes >= 1500 and most < 100
