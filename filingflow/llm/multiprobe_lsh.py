@@ -42,6 +42,8 @@ RECALL, SAMPLE, SAMPLE_QUERIES, MAX_PROBES = 0.97, 4096, 64, 2048
 #: Bucket width over the median distance of the k-th neighbour.
 WIDTH = 2.35
 BLOCK, PART = 512, 20_000
+#: Queries whose probes one task lists: long work on few bytes.
+PROBING = 64
 _PAIRS = 1 << 16
 
 
@@ -123,7 +125,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def _emit(shipped, probing: bool):
+def _emit(shipped, probing: bool, *carried: str):
     def run(batches):
         hashes = shipped.value
         for whole in batches:
@@ -132,7 +134,7 @@ def _emit(shipped, probing: bool):
                 slots = hashes.slots(_matrix(batch.column("vec")))
                 keys = hashes.visits(slots, hashes.probes).reshape(len(batch), -1) if probing else hashes.keys(slots)
                 row = np.repeat(np.arange(len(batch)), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(row)), pa.array(keys.ravel())], ["cid", "key"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in carried), pa.array(keys.ravel())], [*carried, "key"])
     return run
 
 
@@ -142,21 +144,30 @@ def _rerank(keep: int):
         if not candidates.num_rows or not queries.num_rows:
             return empty
         lists = candidates.column("qs").combine_chunks()
-        v = _matrix(candidates.column("vec").combine_chunks())
-        qids, q = queries.column("q").to_numpy(), _matrix(queries.column("vec").combine_chunks())
-        order = np.argsort(qids)
-        qids, q = qids[order], q[order]
-        row = np.repeat(np.arange(len(v)), lists.value_lengths().to_numpy())
-        at = np.searchsorted(qids, lists.flatten().to_numpy())
-        score = np.empty(len(row))
-        for i in range(0, len(row), _PAIRS):
-            d = v[row[i:i + _PAIRS]] - q[at[i:i + _PAIRS]]
-            score[i:i + _PAIRS] = np.sqrt((d * d).sum(1))
-        cid = candidates.column("cid").to_numpy()[row]
-        order = np.lexsort((cid, score, at))
-        first = np.searchsorted(at[order], at[order])
-        order = order[np.arange(len(order)) - first < keep]
-        return pa.table({"q": pa.array(qids[at[order]]), "cid": pa.array(cid[order]), "score": pa.array(score[order])})
+        asked, counts = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        v, cids = _matrix(candidates.column("vec").combine_chunks()), candidates.column("cid").to_numpy()
+        qids, q = queries.column("cid").to_numpy(), _matrix(queries.column("vec").combine_chunks())
+        numbers = queries.column("q").to_numpy()
+        place = np.zeros(numbers.max() + 1, np.int64)
+        place[numbers] = np.arange(len(numbers))
+        # the best so far, by query, score and id; the score of each query's last when there are enough
+        at, cid, score, last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(len(qids), np.inf)
+        i = 0
+        while i < len(v):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + _PAIRS, "right")) - 1)
+            row, to = np.repeat(np.arange(i, j), counts[i:j]), place[asked[ends[i]:ends[j]]]
+            d = v[row] - q[to]
+            d = np.sqrt((d * d).sum(1))
+            near = d <= last[to]
+            at, cid, score = np.concatenate([at, to[near]]), np.concatenate([cid, cids[row[near]]]), np.concatenate([score, d[near]])
+            order = np.lexsort((cid, score, at))
+            rank = np.arange(len(order)) - np.searchsorted(at[order], at[order])
+            full = order[rank == keep - 1]
+            last[at[full]] = score[full]
+            order = order[rank < keep]
+            at, cid, score, i = at[order], cid[order], score[order], j
+        return pa.table({"q": pa.array(qids[at]), "cid": pa.array(cid), "score": pa.array(score)})
     return run
 
 
@@ -197,21 +208,21 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int =
     classes = least.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # at most k + 1 a class
     classes = scratch.put(classes.select(F.col("ids")[0].alias("cid"), "vec", "ids"), "classes")
     asked = scratch.put(_join(rows.where(is_query), classes, "vec").select("id", "cid"), "asked")
-    asking = scratch.put(_join(classes, asked.select("cid").distinct(), "cid", "left_semi").select("cid", "vec"), "asking")
-    n, n_asking = classes.count(), asking.count()
+    asked_classes = asked.select("cid").distinct()
+    n, n_asking = classes.count(), asked_classes.count()
+    blocks, parts = max(1, math.ceil(n_asking / BLOCK)), max(1, math.ceil(n / PART))
+    # lists of queries hold their short numbers in the block
+    block = F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(blocks)).cast("int")
+    number = F.row_number().over(Window.partitionBy("block").orderBy("cid")).cast("short")
+    asking = scratch.put(_join(classes, asked_classes, "cid", "left_semi").select("cid", "vec", block.alias("block")).withColumn("q", number), "asking")
     hashes = fit(_sample(classes, n), n, k)
     shipped = df.sparkSession.sparkContext.broadcast(hashes)  # TABLES * k * dimension numbers
-    blocks, parts = max(1, math.ceil(n_asking / BLOCK)), max(1, math.ceil(n / PART))
-
-    def block(c):
-        return F.pmod(F.xxhash64(c, F.lit(1)), F.lit(blocks)).alias("block")
-
-    index = classes.select("cid", "vec").mapInArrow(_emit(shipped, False), "cid long, key long")
-    probes = asking.mapInArrow(_emit(shipped, True), "cid long, key long").groupBy("key", block("cid")).agg(F.collect_set("cid").alias("qs"))
+    index = classes.select("cid", "vec").mapInArrow(_emit(shipped, False, "cid"), "cid long, key long")
+    probes = asking.repartition(max(1, math.ceil(n_asking / PROBING)), "cid").mapInArrow(_emit(shipped, True, "block", "q"), "block int, q short, key long").groupBy("key", "block").agg(F.collect_set("q").alias("qs"))
     hits = _join(index, probes, "key").groupBy("cid", "block").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
     part = F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(parts)).cast("int").alias("part")
     left = _join(hits, classes.select("cid", "vec"), "cid").select("block", part, "cid", "vec", "qs")
-    right = asking.select(block("cid"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("cid").alias("q"), "vec")
+    right = asking.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "q", "cid", "vec")
     best = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_rerank(k + 1), "q long, cid long, score double")
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "cid"))).where(F.col("r") <= k + 1)
     best = _join(best, classes.select("cid", "ids"), "cid").select("q", "score", "ids")

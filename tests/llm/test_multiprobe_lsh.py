@@ -3,6 +3,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,18 @@ def test_fit_keeps_no_python_object_for_each_key(monkeypatch):
     most = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert hashes.probes >= 1500 and most < 100
+
+
+def test_rerank_by_slices_is_exact(monkeypatch):
+    monkeypatch.setattr(lsh, "_PAIRS", 7)
+    rng = np.random.default_rng(10)
+    v, q = rng.integers(0, 3, (40, 2)).astype(float), rng.integers(0, 3, (5, 2)).astype(float)  # many ties
+    cids, qids, numbers = rng.permutation(40) + 100, np.array([50, 40, 30, 20, 10]), [3, 1, 2, 5, 4]
+    lists = [sorted(rng.choice(numbers, rng.integers(0, 6), replace=False).tolist()) for _ in v]
+    candidates = pa.table({"cid": cids, "vec": v.tolist(), "qs": pa.array(lists, pa.list_(pa.int16()))})
+    queries = pa.table({"q": pa.array(numbers, pa.int16()), "cid": qids, "vec": q.tolist()})
+    got = lsh._rerank(4)(candidates, queries).to_pylist()
+    for i, number in enumerate(numbers):
+        want = sorted((float(np.sqrt(((v[j] - q[i]) ** 2).sum())), int(cids[j])) for j in range(40) if number in lists[j])[:4]
+        assert [(r["score"], r["cid"]) for r in got if r["q"] == qids[i]] == want
+    assert lsh._rerank(4)(candidates.slice(0, 0), queries).num_rows == 0
